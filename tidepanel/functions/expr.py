@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,8 +96,13 @@ def l2_norm(a: str | Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scaled(a: str | Column, factor: Column) -> Column:
-    return F.transform(col(a), lambda v: v * factor)
+    return let(factor, lambda f: F.transform(col(a), lambda v: v * f))
 
 
 def argmax(a: str | Column) -> Column:
@@ -114,9 +119,11 @@ def argmin(a: str | Column) -> Column:
 def normalised(a: str | Column) -> Column:
     """Non-negative shares that add up to one; uniform when nothing is left to share."""
     clipped = F.transform(col(a), lambda v: F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
-    total = array_sum(clipped)
-    n = F.size(clipped)
-    return F.transform(clipped, lambda v: F.when(total > 0, v / total).otherwise(F.lit(1.0) / n))
+
+    def share(c: Column) -> Column:
+        return let(array_sum(c), lambda t: F.transform(c, lambda v: F.when(t > 0, v / t).otherwise(F.lit(1.0) / F.size(c))))
+
+    return let(clipped, share)
 
 
 def euclidean(a: str | Column, b: str | Column) -> Column:
@@ -131,9 +138,8 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
 def membership(distances: str | Column) -> Column:
     """Shares that fall with the distance: ``1 - d / sum(d)``, scaled to add up to one."""
     d = col(distances)
-    total = array_sum(d) + 1e-12
-    raw = F.transform(d, lambda v: 1.0 - v / total)
-    return scaled(raw, 1.0 / (array_sum(raw) + 1e-12))
+    raw = let(array_sum(d) + 1e-12, lambda t: F.transform(d, lambda v: 1.0 - v / t))
+    return let(raw, lambda x: let(array_sum(x) + 1e-12, lambda t: F.transform(x, lambda v: v / t)))
 
 
 def from_names(values: Sequence[str], c: str | Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import col, safe_log
@@ -35,15 +35,20 @@ def log_return(price: str | Column, w: WindowSpec) -> Column:
     return F.when((price > 0) & (before > 0), F.log(price / before))
 
 
-def forward_fill(value: str | Column, w: WindowSpec, limit: int | Column | None = None) -> Column:
-    """Last known value, at most ``limit`` rows old. Growing frame, so constant work per row."""
+def forward_fill(value: str | Column, w: WindowSpec, limit: int | Column | None = None,
+                 position: str | Column | None = None) -> Column:
+    """Last known value, at most ``limit`` rows old.
+
+    The frame only grows, so the work per row is constant for any limit. ``position`` is
+    the row's number in its series (a column, see ``with_position``), needed for a limit.
+    """
     value = col(value)
+    last = F.last(value, ignorenulls=True).over(running(w))
     if limit is None:
-        return F.last(value, ignorenulls=True).over(running(w))
-    position = F.row_number().over(w)
-    known = F.when(value.isNotNull(), position)
-    age = position - F.last(known, ignorenulls=True).over(running(w))
-    return F.when(age <= limit, F.last(value, ignorenulls=True).over(running(w)))
+        return last
+    position = col(position)
+    age = position - F.last(F.when(value.isNotNull(), position), ignorenulls=True).over(running(w))
+    return F.when(age <= limit, last)
 
 
 def backward_fill(value: str | Column, w: WindowSpec) -> Column:
@@ -58,31 +63,37 @@ def rolling(value: str | Column, w: WindowSpec, n: int, how: str, min_count: int
     return F.when(F.count(value).over(frame) >= (n if min_count is None else min_count), function(value).over(frame))
 
 
-class PrefixRolling:
-    """Rolling sums over long windows as differences of running sums.
+def with_position(df: DataFrame, keys: Sequence[str], order: str | Sequence[str] = "date",
+                  name: str = "position") -> DataFrame:
+    """Number the rows of every series from 1."""
+    return df.withColumn(name, F.row_number().over(by(keys, order)))
+
+
+def with_long_rolling(df: DataFrame, keys: Sequence[str], value: str, n: int, min_count: int,
+                      total: str | None = None, std: str | None = None, order: str = "date") -> DataFrame:
+    """Rolling sum and sample std over long windows as differences of running sums.
 
     A sliding frame re-adds all ``n`` rows for every row; running sums cost the same for
     any ``n``. Meant for values around zero, such as returns, where the difference of two
     running sums keeps its digits.
     """
-
-    def __init__(self, value: str | Column, w: WindowSpec, n: int):
-        value = col(value)
-        self.n = n
-        self._w = w
-        self.count = self._difference(F.count(value).over(running(w)))
-        self.sum = self._difference(F.coalesce(F.sum(value).over(running(w)), F.lit(0.0)))
-        self._squares = self._difference(F.coalesce(F.sum(value * value).over(running(w)), F.lit(0.0)))
-
-    def _difference(self, total: Column) -> Column:
-        return total - F.coalesce(F.lag(total, self.n).over(self._w), F.lit(0))
-
-    def total(self, min_count: int) -> Column:
-        return F.when(self.count >= min_count, self.sum)
-
-    def std(self, min_count: int) -> Column:
-        variance = (self._squares - self.sum * self.sum / self.count) / (self.count - 1)
-        return F.when(self.count >= max(min_count, 2), F.sqrt(F.greatest(variance, F.lit(0.0))))
+    w = by(keys, order)
+    v = F.col(value)
+    out = (
+        df.withColumn("_n", F.count(v).over(running(w)))
+        .withColumn("_s", F.coalesce(F.sum(v).over(running(w)), F.lit(0.0)))
+        .withColumn("_q", F.coalesce(F.sum(v * v).over(running(w)), F.lit(0.0)))
+    )
+    for c in ("_n", "_s", "_q"):
+        out = out.withColumn(f"{c}w", F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0)))
+    if total:
+        out = out.withColumn(total, F.when(F.col("_nw") >= min_count, F.col("_sw")))
+    if std:
+        variance = (F.col("_qw") - F.col("_sw") * F.col("_sw") / F.col("_nw")) / F.nullif(F.col("_nw") - 1, F.lit(0))
+        out = out.withColumn(
+            std, F.when(F.col("_nw") >= max(min_count, 2), F.sqrt(F.greatest(variance, F.lit(0.0))))
+        )
+    return out.drop("_n", "_s", "_q", "_nw", "_sw", "_qw")
 
 
 def transform_by_code(value: str | Column, code: str | Column, w: WindowSpec) -> Column:
@@ -124,16 +135,15 @@ def lag_filled(value: str | Column, w: WindowSpec, periods: int) -> Column:
     return F.last(col(value), ignorenulls=True).over(frame)
 
 
-def interpolated(value: str | Column, w: WindowSpec) -> Column:
+def interpolated(value: str | Column, w: WindowSpec, position: str | Column = "position") -> Column:
     """Positional linear interpolation; both ends take the nearest known value."""
-    value = col(value)
-    position = F.row_number().over(w)
+    value, position = col(value), col(position)
     known = F.when(value.isNotNull(), position)
     left_at = F.last(known, ignorenulls=True).over(running(w))
     right_at = F.first(known, ignorenulls=True).over(following(w))
     left = F.last(value, ignorenulls=True).over(running(w))
     right = F.first(value, ignorenulls=True).over(following(w))
-    between = left + (right - left) * (position - left_at) / (right_at - left_at)
+    between = left + (right - left) * (position - left_at) / F.nullif(right_at - left_at, F.lit(0))
     return F.when(value.isNotNull(), value).when(left_at.isNull(), right).when(right_at.isNull(), left).otherwise(between)
 
 
