@@ -206,9 +206,9 @@ def smoothed_transition(spark, sf):
 
 
 @query("next_regime_weights", sql(f"""SELECT universe, month, state, {r('w / sum(w) OVER (PARTITION BY universe, month)')} AS w,
-    arg_max(state, w) OVER (PARTITION BY universe, month) AS predicted FROM nextw""", "return_matrix", "states_monthly", **CHAIN))
+    arg_max(state, ({r('w', 9)}, -state)) OVER (PARTITION BY universe, month) AS predicted FROM nextw""", "return_matrix", "states_monthly", **CHAIN))
 def next_weights(spark, sf):
-    w = scenarios(spark, sf).select("universe", "month", argmax("weights").alias("predicted"), F.posexplode("weights").alias("state", "w"))
+    w = scenarios(spark, sf).select("universe", "month", argmax(F.transform("weights", lambda v: rounded(v, 9))).alias("predicted"), F.posexplode("weights").alias("state", "w"))
     return w.select("universe", "month", F.col("state").cast("long").alias("state"), rounded("w").alias("w"), "predicted")
 
 

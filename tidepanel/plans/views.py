@@ -24,16 +24,23 @@ def prices_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(part, line.l_partkey == part.p_partkey).select(
         "series_id",
         F.to_date("l_shipdate").alias("date"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
     )
 
 
+def cents(c: str):
+    """Amounts as whole cents: their sums do not depend on the order of addition."""
+    return F.round(F.col(c) * 100).cast("long")
+
+
 SEQUENCE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices_raw(spark, sf_dir).groupBy("series_id", "date").agg(F.avg("price").alias("price"))
+    """Daily price per brand: turnover over quantity."""
+    price = F.sum(cents("l_extendedprice")) / (100.0 * F.sum("l_quantity"))
+    return prices_raw(spark, sf_dir).groupBy("series_id", "date").agg(price.alias("price"))
 
 
 def dense_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ def asset_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("universe"),
         F.col("o_orderpriority").alias("asset"),
         F.trunc(F.to_date("o_orderdate"), "month").alias("month"),
-    ).agg(F.sum("o_totalprice").alias("v"))
+    ).agg((F.sum(cents("o_totalprice")) / 100.0).alias("v"))
     w = O.by(["universe", "asset"], "month")
     adjacent = F.lag("month").over(w) == F.add_months("month", -1)
     return monthly.select("universe", "asset", "month", F.when(adjacent, F.col("v") / F.lag("v").over(w) - 1).alias("ret")).where(
@@ -71,7 +78,7 @@ def states_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderstatus").alias("universe"),
         F.trunc(F.to_date("o_orderdate"), "month").alias("month"),
         (F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("state"),
-    ).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    ).agg(F.sum(cents("o_totalprice")).alias("v"))
     best = F.min_by("state", F.struct(-F.col("v"), F.col("state")))
     return sums.groupBy("universe", "month").agg(best.alias("state"))
 
@@ -94,10 +101,10 @@ def macro_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.create_map(*[F.lit(v) for kv in MACRO_CODES.items() for v in kv])
     names = F.array(F.concat_ws("|", "l_returnflag", "l_linestatus"), F.lit("TOTAL"))
     sums = line.groupBy(F.trunc(F.to_date("l_shipdate"), "month").alias("month"), "l_returnflag", "l_linestatus").agg(
-        F.sum("l_extendedprice").alias("v")
+        F.sum(cents("l_extendedprice")).alias("v")
     )
     long = sums.select("month", F.explode(names).alias("series_id"), "v")
-    out = long.groupBy("month", "series_id").agg(F.round(F.sum("v"), 2).alias("value"))
+    out = long.groupBy("month", "series_id").agg((F.sum("v") / 100.0).alias("value"))
     return out.withColumn("tcode", code[F.col("series_id")].cast("long"))
 
 
@@ -107,13 +114,13 @@ def annual_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     # fold orders by customer and year before any join: one row per customer-year travels
-    folded = orders.groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.sum("o_totalprice").alias("v"))
+    folded = orders.groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.sum(cents("o_totalprice")).alias("v"))
     return (
         folded.join(customer, folded.o_custkey == customer.c_custkey)
         .groupBy("c_nationkey", "year").agg(F.sum("v").alias("v"))
         .join(nation, F.col("c_nationkey") == nation.n_nationkey)
         .join(region, F.col("n_regionkey") == region.r_regionkey)
-        .select("year", F.col("n_name").alias("nation"), F.col("r_name").alias("bloc"), F.round("v", 2).alias("gdp"))
+        .select("year", F.col("n_name").alias("nation"), F.col("r_name").alias("bloc"), (F.col("v") / 100.0).alias("gdp"))
     )
 
 
@@ -131,7 +138,7 @@ def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("date")).agg(
-        F.count(F.lit(1)).cast("double").alias("n_events"), F.avg("value").alias("mean_value")
+        F.count(F.lit(1)).cast("double").alias("n_events"), (F.sum(cents("value")) / (100.0 * F.count("value"))).alias("mean_value")
     )
 
 
