@@ -120,7 +120,7 @@ def annual_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("c_nationkey", "year").agg(F.sum("v").alias("v"))
         .join(nation, F.col("c_nationkey") == nation.n_nationkey)
         .join(region, F.col("n_regionkey") == region.r_regionkey)
-        .select("year", F.col("n_name").alias("nation"), F.col("r_name").alias("bloc"), (F.col("v") / 100.0).alias("gdp"))
+        .select("year", F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("nation"), F.col("r_name").alias("bloc"), (F.col("v") / 100.0).alias("gdp"))
     )
 
 
