@@ -49,8 +49,8 @@ VIEWS: dict[str, str] = {
     "macro_sums": f"""SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_returnflag || '|' || l_linestatus AS series_id,
         {_cents('l_extendedprice')} AS v FROM lineitem GROUP BY ALL""",
     "macro_monthly": f"""SELECT month, series_id, value, CAST(CASE series_id {_CODES} END AS BIGINT) AS tcode FROM (
-        SELECT month, series_id, v / 100.0::DOUBLE AS value FROM macro_sums UNION ALL
-        SELECT month, 'TOTAL', CAST(sum(v) AS BIGINT) / 100.0::DOUBLE FROM macro_sums GROUP BY month)""",
+        SELECT month, series_id, floor(v / 100.0::DOUBLE) AS value FROM macro_sums UNION ALL
+        SELECT month, 'TOTAL', floor(CAST(sum(v) AS BIGINT) / 100.0::DOUBLE) FROM macro_sums GROUP BY month)""",
     "annual_weights": f"""SELECT CAST(year(o_orderdate) AS BIGINT) AS year, n_nationkey AS nationkey, n_name AS nation, r_name AS bloc,
         {_cents('o_totalprice')} / 100.0::DOUBLE AS gdp FROM orders JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",

@@ -104,7 +104,7 @@ def macro_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(cents("l_extendedprice")).alias("v")
     )
     long = sums.select("month", F.explode(names).alias("series_id"), "v")
-    out = long.groupBy("month", "series_id").agg((F.sum("v") / 100.0).alias("value"))
+    out = long.groupBy("month", "series_id").agg(F.floor(F.sum("v") / 100.0).cast("double").alias("value"))
     return out.withColumn("tcode", code[F.col("series_id")].cast("long"))
 
 
