@@ -50,7 +50,8 @@ def silhouette_rows(df: DataFrame, keys: Sequence[str], row: str, vector: str, l
 
     # the visitors' home block is part of the group, so that no task meets more than two blocks
     left = visitors.groupBy(*keys, "_k", "_b", "_from")
-    homes = base.select(*keys, "_k", "_row", "_x", "_l", "_b", F.explode(targets).alias("_from"))
+    fresh = [F.col(c).alias(c) for c in (*keys, "_k", "_row", "_x", "_l", "_b")]
+    homes = base.select(*fresh, F.explode(targets).alias("_from"))
     met = left.cogroup(homes.groupBy(*keys, "_k", "_b", "_from")).applyInPandas(meet, schema)
     sums = met.groupBy(*keys, "_row", "_own", "_l").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
     inside = F.max(F.when(F.col("_l") == F.col("_own"), F.struct("_s", "_c")))

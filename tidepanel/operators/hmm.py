@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.operators.mixture import log_sum
-from tidepanel.operators.passes import Span, add_up, fold_pass, lloyd, starting_rows
+from tidepanel.operators.passes import Span, add_up, fold_pass, lloyd, starting_rows, task_count
 
 TINY = 1e-300
 CHUNK = 512
@@ -204,12 +204,15 @@ def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol:
     def moments(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    v = fold_pass(rows, moments, ["all"])["all"]
+    rows = rows.persist()
+    n_tasks = task_count(rows)
+    v = fold_pass(rows, moments, ["all"], n_tasks)["all"]
     d = (len(v) - 1) // 2
     var = np.maximum(v[d + 1 :] / v[0] - (v[1 : d + 1] / v[0]) ** 2, 1e-6)
     names = {f"init{i}": (Span(), k, seed * 100 + i) for i in range(n_init)}
     starts = starting_rows(rows, names, {n: int(v[0]) for n in names})
-    centres = lloyd(rows, starts, {n: Span() for n in names}, 10)
+    centres = lloyd(rows, starts, {n: Span() for n in names}, 10, n_tasks)
+    rows.unpersist()
 
     best = None
     for name in names:

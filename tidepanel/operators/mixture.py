@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.operators.passes import Span, fold_pass, lloyd, stack, starting_rows
+from tidepanel.operators.passes import Span, fold_pass, lloyd, stack, starting_rows, task_count
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
     """
     full = covariance == "full"
     data = df.select("idx", "x").persist()
+    n_tasks = task_count(data)
     by_name = {r.name: r for r in runs}
     spans = {r.name: r.span for r in runs}
 
@@ -101,7 +102,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
     distinct = {}
     for r in runs:
         distinct.setdefault(r.span, r.name)
-    sums = fold_pass(data, moments, list(distinct.values()))
+    sums = fold_pass(data, moments, list(distinct.values()), n_tasks)
     counts, means, scales = {}, {}, {}
     for r in runs:
         v = sums[distinct[r.span]]
@@ -114,7 +115,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
         scales[r.name] = np.where(sd > 0, sd, 1.0) if standardise else np.ones(d)
 
     starts = starting_rows(data, {r.name: (r.span, r.k, r.seed) for r in runs}, counts)
-    centres = lloyd(data, starts, spans, warm_steps)
+    centres = lloyd(data, starts, spans, warm_steps, n_tasks)
     fits: dict[str, Mixture] = {}
     for r in runs:
         d = centres[r.name].shape[1]
@@ -141,7 +142,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
             second = np.einsum("nk,ni,nj->kij", resp, z, z, optimize=True) if full else resp.T @ (z * z)
             return np.concatenate([[norm.sum()], resp.sum(axis=0), (resp.T @ z).ravel(), second.ravel()])
 
-        for name, v in fold_pass(data, expect, sorted(live)).items():
+        for name, v in fold_pass(data, expect, sorted(live), n_tasks).items():
             m = fits[name]
             k, d = m.means.shape
             m.loglik = float(v[0])

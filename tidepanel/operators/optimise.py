@@ -99,7 +99,7 @@ def _linear(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: float,
     return sol[:k], sol[iv] - shift, sol[iz], ok
 
 
-def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: float, gap: float = 1e-9) -> tuple[np.ndarray, float, bool]:
+def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: float, gap: float = 1e-8) -> tuple[np.ndarray, float, bool]:
     """Tail loss plus ``theta`` times the Euclidean length, by Newton steps along a log barrier."""
     used = p > 0
     r, p = r[used], p[used]
@@ -113,7 +113,8 @@ def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: floa
     lhs[2 * k + n :, :k], lhs[2 * k + n :, k], lhs[2 * k + n :, k + 1 :] = r, 1.0, np.eye(n)
     rhs = np.concatenate([np.zeros(k), np.full(k, top), np.zeros(2 * n)])
     cost = np.concatenate([np.zeros(k), [1.0], p / (1.0 - eta)])
-    ones = np.concatenate([np.ones(k), np.zeros(1 + n)])
+    # directions that keep the sum of the weights: the first weight balances the others
+    free = np.vstack([np.concatenate([-np.ones(k - 1), np.zeros(1 + n)]), np.eye(k + n)])
     x0 = np.full(k, 1.0 / k)
     loss = -(r @ x0)
     v0 = float(np.quantile(loss, eta))
@@ -134,8 +135,9 @@ def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: floa
             gradient[:k] += t * weight * y[:k] / length
             hessian = (lhs / slack[:, None] ** 2).T @ lhs
             hessian[:k, :k] += t * weight * (np.eye(k) / length - np.outer(y[:k], y[:k]) / length**3)
-            system = np.block([[hessian, ones[:, None]], [ones[None], np.zeros((1, 1))]])
-            step = np.linalg.lstsq(system, np.concatenate([-gradient, [0.0]]), rcond=None)[0][:-1] if t > 1e9 else np.linalg.solve(system, np.concatenate([-gradient, [0.0]]))[:-1]
+            reduced = free.T @ hessian @ free
+            balance = 1.0 / np.sqrt(np.diag(reduced))
+            step = free @ (balance * np.linalg.solve(reduced * np.outer(balance, balance), -balance * (free.T @ gradient)))
             decrease = -float(gradient @ step)
             if decrease < 1e-9:
                 break

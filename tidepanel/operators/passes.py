@@ -37,22 +37,28 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def add_up(parts: DataFrame) -> dict[str, np.ndarray]:
-    """Sum arrays per run: first inside ``SHARDS`` groups of tasks, then the few shard sums on the driver."""
+def add_up(parts: DataFrame, n_tasks: int | None = None) -> dict[str, np.ndarray]:
+    """Sum arrays per run: first inside ``SHARDS`` groups of tasks, then the few shard sums on the driver.
+
+    With at most ``SHARDS`` tasks their own arrays are already few enough.
+    """
 
     def shard_sum(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"run": [pdf["run"].iloc[0]], "v": [stack(pdf["v"]).sum(axis=0)]})
 
     sharded = parts.withColumn("shard", F.spark_partition_id() % SHARDS)
     sums = sharded.groupBy("run", "shard").applyInPandas(shard_sum, "run string, v array<double>")
+    if n_tasks is not None and n_tasks <= SHARDS:
+        sums = parts
     total: dict[str, np.ndarray] = {}
-    for row in sums.toLocalIterator():
+    for row in sums.collect():
         v = np.array(row["v"])
         total[row["run"]] = total[row["run"]] + v if row["run"] in total else v
     return total
 
 
-def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.ndarray], runs: Sequence[str]) -> dict[str, np.ndarray]:
+def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.ndarray], runs: Sequence[str],
+              n_tasks: int | None = None) -> dict[str, np.ndarray]:
     """Sum ``fold(run, idx, x)`` over all batches of ``df(idx, x)``."""
     names = list(runs)
 
@@ -68,7 +74,12 @@ def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.nd
         if sums:
             yield pd.DataFrame({"run": list(sums), "v": list(sums.values())})
 
-    return add_up(df.select("idx", "x").mapInPandas(task, "run string, v array<double>"))
+    return add_up(df.select("idx", "x").mapInPandas(task, "run string, v array<double>"), n_tasks)
+
+
+def task_count(df: DataFrame) -> int:
+    """Number of tasks a pass over a persisted table runs."""
+    return df.rdd.getNumPartitions()
 
 
 def hashed(idx: np.ndarray, seed: int) -> np.ndarray:
@@ -121,7 +132,7 @@ def starting_rows(df: DataFrame, runs: dict[str, tuple[Span, int, int]], counts:
     return found
 
 
-def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span], steps: int) -> dict[str, np.ndarray]:
+def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span], steps: int, n_tasks: int | None = None) -> dict[str, np.ndarray]:
     """A few k-means steps for all runs together; an empty cluster keeps its centre."""
     centres = dict(starts)
     for _ in range(steps):
@@ -134,7 +145,7 @@ def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span],
             hot = np.eye(len(c))[near]
             return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel() if len(x) else np.zeros(c.size)])
 
-        sums = fold_pass(df, fold, list(current))
+        sums = fold_pass(df, fold, list(current), n_tasks)
         moved = 0.0
         for run, v in sums.items():
             k, d = current[run].shape

@@ -64,8 +64,9 @@ def exact_quantiles(
     brackets = [
         F.struct(
             F.lit(i).alias("q"), F.lit(float(p)).alias("p"),
-            (F.col("_lo") if p <= margin else F.col("_e")[2 * i]).alias("lo"),
-            (F.col("_hi") if p >= 1 - margin else F.col("_e")[2 * i + 1]).alias("hi"),
+            # a group no larger than the accuracy is its own bracket: its ranks lie closer than the margin
+            F.when((F.col("_n") <= accuracy) | F.lit(p <= margin), F.col("_lo")).otherwise(F.col("_e")[2 * i]).alias("lo"),
+            F.when((F.col("_n") <= accuracy) | F.lit(p >= 1 - margin), F.col("_hi")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
         )
         for i, p in enumerate(probs)
     ]
@@ -88,6 +89,8 @@ def exact_quantiles(
     low = F.max(F.when(k.between(first, last), F.col("_v")))
     high = F.max(F.when(F.least(k + 1, F.col("_n") - 1).between(first, last), F.col("_v")))
     picked = placed.groupBy(*group, "_i").agg(low.alias("_low"), high.alias("_high"), F.first(at - k).alias("_f"))
+    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
+    picked = picked.withColumn("_low", F.coalesce("_low", missed)).withColumn("_high", F.coalesce("_high", missed))
     exact = F.when(F.col("_f") == 0, F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f"))
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(n) for i, n in enumerate(names)])
 

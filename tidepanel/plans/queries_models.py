@@ -224,7 +224,7 @@ def mahalanobis_outlier(spark, sf):
     return rnd(out.select("row_id", "d", "is_outlier", "p_outlier"), "d", "p_outlier")
 
 
-@query("soft_label", sql(f"""SELECT row_id, list_transform(full, lambda v: {r('v / (list_sum(full) + 1e-12)')}) AS p FROM (SELECT row_id, list_concat([-list_max(p) * log2(1 - least(0.9, abs(x[1]) / 10))], p) AS full FROM (
+@query("soft_label", sql(f"""SELECT row_id, list_transform(f, lambda v: {r('v / (list_sum(f) + 1e-12)')}) AS p FROM (SELECT row_id, list_concat([-list_max(p) * log2(1 - least(0.9, abs(x[1]) / 10))], p) AS f FROM (
     SELECT row_id, x, list_transform(d, lambda v: (1 - v / (list_sum(d) + 1e-12)) / (list_sum(list_transform(d, lambda w: 1 - w / (list_sum(d) + 1e-12))) + 1e-12)) AS p FROM cosd))""", "features", cosd=_COS))
 def soft_label(spark, sf):
     """Outlier share raised by ``-max(p) log2(1 - p0)`` in front of the cosine memberships."""
