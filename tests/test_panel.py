@@ -51,7 +51,7 @@ def test_only_long_flat_runs_are_removed(spark):
 
 def test_interpolation_takes_the_nearest_value_at_the_ends(spark):
     df = O.with_position(series(spark, [None, 2.0, None, None, 5.0, None]), ["series_id"])
-    out = df.withColumn("price", O.interpolated("price", O.by(["series_id"])))
+    out = df.withColumn("price", O.interpolated("price", ["series_id"]))
     assert column(out) == [2.0, 2.0, 3.0, 4.0, 5.0, 5.0]
 
 

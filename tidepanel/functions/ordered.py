@@ -25,8 +25,13 @@ def running(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def following(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def backwards(keys: Sequence[str], order: str = "date") -> WindowSpec:
+    """The same series read from its end.
+
+    A frame that reaches from the current row to the end is evaluated anew for every row;
+    read backwards it only grows, which is linear for the price of a second sort.
+    """
+    return running(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
 
 
 def log_return(price: str | Column, w: WindowSpec) -> Column:
@@ -51,8 +56,9 @@ def forward_fill(value: str | Column, w: WindowSpec, limit: int | Column | None
     return F.when(age <= limit, last)
 
 
-def backward_fill(value: str | Column, w: WindowSpec) -> Column:
-    return F.first(col(value), ignorenulls=True).over(following(w))
+def backward_fill(value: str | Column, keys: Sequence[str], order: str = "date") -> Column:
+    """Next known value."""
+    return F.last(col(value), ignorenulls=True).over(backwards(keys, order))
 
 
 def rolling(value: str | Column, w: WindowSpec, n: int, how: str, min_count: int | None = None) -> Column:
@@ -135,16 +141,14 @@ def lag_filled(value: str | Column, w: WindowSpec, periods: int) -> Column:
     return F.last(col(value), ignorenulls=True).over(frame)
 
 
-def interpolated(value: str | Column, w: WindowSpec, position: str | Column = "position") -> Column:
+def interpolated(value: str | Column, keys: Sequence[str], order: str = "date", position: str | Column = "position") -> Column:
     """Positional linear interpolation; both ends take the nearest known value."""
     value, position = col(value), col(position)
-    known = F.when(value.isNotNull(), position)
-    left_at = F.last(known, ignorenulls=True).over(running(w))
-    right_at = F.first(known, ignorenulls=True).over(following(w))
-    left = F.last(value, ignorenulls=True).over(running(w))
-    right = F.first(value, ignorenulls=True).over(following(w))
-    between = left + (right - left) * (position - left_at) / F.nullif(right_at - left_at, F.lit(0))
-    return F.when(value.isNotNull(), value).when(left_at.isNull(), right).when(right_at.isNull(), left).otherwise(between)
+    known = F.when(value.isNotNull(), F.struct(position.alias("at"), value.alias("v")))
+    left = F.last(known, ignorenulls=True).over(running(by(keys, order)))
+    right = F.last(known, ignorenulls=True).over(backwards(keys, order))
+    between = left["v"] + (right["v"] - left["v"]) * (position - left["at"]) / F.nullif(right["at"] - left["at"], F.lit(0))
+    return F.when(value.isNotNull(), value).when(left.isNull(), right["v"]).when(right.isNull(), left["v"]).otherwise(between)
 
 
 def average_rank(value: str | Column, keys: Sequence[str], descending: bool = True) -> Column:

@@ -134,7 +134,7 @@ def daily_weights(weights: DataFrame, member: str, start: str, end: str) -> Data
     """Weights on a business-day calendar: latest known, the first one also before its start."""
     days = P.business_calendar(weights, [member], start, end)
     known = P.as_of(days, weights, [member], ["weight"])
-    return known.withColumn("weight", O.backward_fill("weight", O.by([member])))
+    return known.withColumn("weight", O.backward_fill("weight", [member]))
 
 
 def currency_basket(prices: DataFrame, weights: DataFrame, member: str, inverted: Sequence[str], start: str, end: str,

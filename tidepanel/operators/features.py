@@ -64,7 +64,7 @@ def prepare(panel: DataFrame, date: str = "month", exclude: Sequence[str] = (),
     series = Window.partitionBy(*keys)
     dense = masked.withColumn("_known", F.count("value").over(series)).withColumn("_median", F.percentile("value", F.lit(0.5)).over(series))
     dense = dense.withColumn("_k", F.lit(0)).join(rows, [*bundle, "_k"]).where(F.col("_known") >= F.col("_need"))
-    filled = dense.withColumn("value", F.coalesce(O.interpolated("value", w), "_median"))
+    filled = dense.withColumn("value", F.coalesce(O.interpolated("value", keys, date), "_median"))
     return filled.where(F.col("value").isNotNull()).select(*keys, date, "value", "tcode")
 
 

@@ -151,7 +151,7 @@ def _forward(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, enter: np.ndarr
     return out
 
 
-def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov) -> dict[str, np.ndarray]:
+def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov, n_tasks: int | None = None) -> dict[str, np.ndarray]:
     """Expected counts of starts, transitions and emissions, added up over all blocks."""
     k, d = m.means.shape
 
@@ -191,7 +191,7 @@ def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov) -> dict[str,
             yield pd.DataFrame({"run": ["hmm"], "v": [total]})
 
     joined = blocks.select("seq", "block", "first", "x").join(chain, ["seq", "block"])
-    return add_up(joined.mapInPandas(task, "run string, v array<double>"))["hmm"]
+    return add_up(joined.mapInPandas(task, "run string, v array<double>"), n_tasks)["hmm"]
 
 
 def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol: float = 1e-3, n_init: int = 1, reg: float = 1e-2, seed: int = 0,
@@ -214,6 +214,8 @@ def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol:
     centres = lloyd(rows, starts, {n: Span() for n in names}, 10, n_tasks)
     rows.unpersist()
 
+    # the join of a pass runs over the blocks' own partitions or over shuffle partitions
+    block_tasks = max(task_count(blocks), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None
     for name in names:
         transition = np.full((k, k), (1 - stay) / max(1, k - 1))
@@ -221,7 +223,7 @@ def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol:
         m = HiddenMarkov(centres[name], np.tile(np.log(var + reg), (k, 1)), transition, np.full(k, 1.0 / k))
         previous = -np.inf
         for _ in range(max_iter):
-            e = _expected(blocks, _chain(_summaries(blocks, m, False), k, False), m)
+            e = _expected(blocks, _chain(_summaries(blocks, m, False), k, False), m, block_tasks)
             ll, n, n_seq = float(e[0]), int(e[1]), int(e[2])
             at = 3
             begins, at = e[at : at + k], at + k

@@ -66,13 +66,9 @@ def align_to_calendar(
     inside = inside.withColumn("_split", split).withColumn("_daily", F.col("date") >= F.col("_split"))
 
     w = O.by(keys)
-    per_series = Window.partitionBy(*keys)
-    marked = (
-        inside.withColumn("_next", F.lead("date").over(w))
-        .withColumn("_first", F.min("date").over(per_series))
-    )
+    marked = inside.withColumn("_next", F.lead("date").over(w)).withColumn("_first", F.lag("date").over(w).isNull())
     gap_end = F.date_sub(F.coalesce(F.col("_next"), F.date_add(hi, 1)), 1)
-    own_from = F.when(F.col("date") == F.col("_first"), F.least(lo, F.col("date"))).otherwise(F.col("date"))
+    own_from = F.when(F.col("_first"), F.least(lo, F.col("date"))).otherwise(F.col("date"))
     dense = marked.withColumn("_day", F.explode(F.sequence(own_from, gap_end, day))).where(is_business_day("_day"))
 
     age = business_index("_day") - business_index("date")
@@ -111,6 +107,16 @@ def log_returns(df: DataFrame, keys: Sequence[str] = SERIES, price: str = "price
     return df.withColumn(name, O.log_return(price, O.by(keys)))
 
 
+def per_date(df: DataFrame) -> DataFrame:
+    """Mark a table with one row per calendar day for broadcasting.
+
+    Its size is bounded by the calendar, not by the data: a century of days with a few
+    numbers each is a few megabytes. The alternative, regrouping a panel by date, would
+    put every series of a day into one task.
+    """
+    return F.broadcast(df)
+
+
 def drop_empty_dates(df: DataFrame, value: str, date: str = "date") -> DataFrame:
     """Drop dates on which no series has a value.
 
@@ -118,7 +124,7 @@ def drop_empty_dates(df: DataFrame, value: str, date: str = "date") -> DataFrame
     regrouped by date.
     """
     kept = df.where(F.col(value).isNotNull()).select(date).distinct()
-    return df.join(kept, date, "left_semi")
+    return df.join(per_date(kept), date, "left_semi")
 
 
 def complete_groups(df: DataFrame, group: Sequence[str], value: str, n: int | Column) -> DataFrame:
@@ -132,7 +138,7 @@ def null_fraction_rows(df: DataFrame, threshold: float, n_series: int, date: str
     allowed = int(threshold * n_series)
     known = df.groupBy(date).agg(F.count(value).alias("_known"))
     kept = known.where(F.lit(n_series) - F.col("_known") <= allowed).select(date)
-    return df.join(kept, date, "left_semi")
+    return df.join(per_date(kept), date, "left_semi")
 
 
 def drop_sparse_series(df: DataFrame, keys: Sequence[str], value: str, n_rows: int | Column, min_share: float) -> DataFrame:

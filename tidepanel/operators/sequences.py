@@ -44,46 +44,62 @@ def with_neighbour(
     )
 
 
-def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Running total of ``value`` in sequence order: inside the block plus the totals of earlier blocks."""
-    w = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*keys, BLOCK).agg(F.sum(value).alias("_total"))
-    before = F.coalesce(
-        F.sum("_total").over(Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    carry = totals.select(*keys, BLOCK, before.alias("_carry"))
-    out = df.withColumn("_run", F.sum(value).over(w)).join(carry, [*keys, BLOCK], "left")
-    return out.withColumn(name, F.col("_run") + F.col("_carry")).drop("_run", "_carry")
-
-
 def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, seconds: int,
                       by: Sequence[str] = ()) -> DataFrame:
-    """Counts of (state, next state) pairs over all sequences, or per ``by`` columns."""
-    paired = with_neighbour(with_block(df, time, seconds), keys, order, state, "_next", side="after")
-    paired = paired.where(F.col(state).isNotNull() & F.col("_next").isNotNull())
-    return paired.groupBy(*by, F.col(state).alias("from_state"), F.col("_next").alias("to_state")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Counts of (state, next state) pairs over all sequences, or per ``by`` columns (a subset of the keys).
+
+    Pairs inside a block are counted where the block is; pairs across a border come from
+    the blocks' first and last states alone, so rows are never joined.
+    """
+    blocked = with_block(df.select(*keys, *order, state, time) if time not in order else df.select(*keys, *order, state), time, seconds)
+    blocked = blocked.where(F.col(state).isNotNull())
+    w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    inside = blocked.select(*by, F.col(state).alias("from_state"), F.lead(state).over(w).alias("to_state"))
+    edges = blocked.groupBy(*keys, BLOCK).agg(
+        F.min_by(state, F.struct(*order)).alias("_first"), F.max_by(state, F.struct(*order)).alias("_last")
     )
+    next_first = F.lead("_first").over(Window.partitionBy(*keys).orderBy(BLOCK))
+    across = edges.select(*by, F.col("_last").alias("from_state"), next_first.alias("to_state"))
+    pairs = inside.unionByName(across).where(F.col("to_state").isNotNull())
+    return pairs.groupBy(*by, "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
 
 
 def periods(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, seconds: int) -> DataFrame:
     """Contiguous runs of one state: ``start``, ``end`` (first time of the next run, or the run's
-    own last time for the final run), ``last_time`` and length."""
+    own last time for the final run), ``last_time`` and length.
+
+    Runs are formed inside blocks; a block's count, first and last state decide how its
+    runs continue those before it. The rows are shuffled once, the rest works on runs.
+    """
+    w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     blocked = with_block(df, time, seconds)
-    marked = with_neighbour(blocked, keys, order, state, "_before")
-    marked = marked.withColumn("_change", F.when(F.col(state).eqNullSafe(F.col("_before")), 0).otherwise(1).cast("long"))
-    numbered = with_running_sum(marked, keys, order, "_change", "_run_id")
-    runs = numbered.groupBy(*keys, "_run_id").agg(
-        F.first(state).alias(state),
-        F.min(time).alias("start"),
-        F.max(time).alias("last_time"),
-        F.count(F.lit(1)).alias("n_rows"),
+    before = F.lag(state).over(w)
+    starts = F.lag(F.lit(1)).over(w).isNull() | ~F.col(state).eqNullSafe(before)
+    marked = blocked.withColumn("_new", starts.cast("long"))
+    marked = marked.withColumn("_local", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*keys, BLOCK, "_local").agg(
+        F.first(state).alias(state), F.min(time).alias("start"), F.max(time).alias("last_time"), F.count(F.lit(1)).alias("n_rows")
+    )
+    edges = runs.groupBy(*keys, BLOCK).agg(
+        F.count(F.lit(1)).alias("_runs"),
+        F.min_by(F.struct(state, "start"), "_local").alias("_first"),
+        F.max_by(F.struct(state), "_local").alias("_last"),
     )
-    # the next run's start is the lead over runs, again taken block by block
-    runs = with_neighbour(with_block(runs, "start", seconds), keys, ["start", "_run_id"], "start", "_next", side="after")
-    return runs.select(
-        *keys, F.col("_run_id").alias("run_id"), state, "start", F.coalesce("_next", "last_time").alias("end"), "last_time", "n_rows"
+    chain = Window.partitionBy(*keys).orderBy(BLOCK)
+    joins = F.lag("_last").over(chain)[state].eqNullSafe(F.col("_first")[state]) & F.lag(F.lit(1)).over(chain).isNotNull()
+    edges = edges.withColumn("_joins", joins.cast("long")).withColumn("_next", F.lead("_first").over(chain))
+    total = lambda c: F.sum(c).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    edges = edges.select(*keys, BLOCK, (total("_runs") - F.col("_runs") - total("_joins")).alias("_base"), F.col("_runs").alias("_last_local"), "_next")
+
+    inner = Window.partitionBy(*keys, BLOCK).orderBy("_local")
+    placed = runs.withColumn("_follow", F.lead("start").over(inner)).join(edges, [*keys, BLOCK])
+    outside = F.when(~F.col("_next")[state].eqNullSafe(F.col(state)), F.col("_next")["start"])
+    follow = F.when(F.col("_local") == F.col("_last_local"), outside).otherwise(F.col("_follow"))
+    merged = placed.withColumn("_follow", follow).groupBy(*keys, (F.col("_base") + F.col("_local")).alias("run_id")).agg(
+        F.first(state).alias(state), F.min("start").alias("start"), F.max("_follow").alias("_follow"),
+        F.max("last_time").alias("last_time"), F.sum("n_rows").alias("n_rows"),
     )
+    return merged.select(*keys, "run_id", state, "start", F.coalesce("_follow", "last_time").alias("end"), "last_time", "n_rows")
 
 
 def last_per_period(df: DataFrame, keys: Sequence[str], period: Column, order: Sequence[str], values: Sequence[str],

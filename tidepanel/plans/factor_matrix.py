@@ -93,7 +93,7 @@ def _regressors(factors: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def residualise(targets: DataFrame, factors: DataFrame, on: Sequence[str], halflife: int, min_periods: int) -> DataFrame:
-    joined = targets.join(_regressors(factors, on), "date").withColumnRenamed("value", "y")
+    joined = targets.join(P.per_date(_regressors(factors, on)), "date").withColumnRenamed("value", "y")
     out = X.ew_residual(joined, ["factor"], len(on), halflife=halflife, min_periods=min_periods, out="value")
     return out.select("factor", "date", "value")
 

@@ -56,7 +56,7 @@ def ew_residual_k1(spark, sf):
     """Every series net of the first one."""
     returns = V.returns(spark, sf)
     x = returns.where((F.col("series_id") == "Brand#1") & F.col("ret").isNotNull()).select("date", F.array("ret").alias("x"))
-    data = returns.where(F.col("series_id") != "Brand#1").withColumnRenamed("ret", "y").join(x, "date")
+    data = returns.where(F.col("series_id") != "Brand#1").withColumnRenamed("ret", "y").join(P.per_date(x), "date")
     return rnd(X.ew_residual(data, ["series_id"], 1), "resid")
 
 
@@ -66,7 +66,7 @@ def ew_residual_multi(spark, sf):
     returns = V.returns(spark, sf)
     names = ["Brand#1", "Brand#2", "Brand#3"]
     x = returns.where(F.col("series_id").isin(*names)).groupBy("date").agg(F.array(*[F.max(F.when(F.col("series_id") == n, F.col("ret"))) for n in names]).alias("x"))
-    data = returns.where(~F.col("series_id").isin(*names)).withColumnRenamed("ret", "y").join(x, "date")
+    data = returns.where(~F.col("series_id").isin(*names)).withColumnRenamed("ret", "y").join(P.per_date(x), "date")
     return rnd(X.ew_residual(data, ["series_id"], 3), "resid")
 
 

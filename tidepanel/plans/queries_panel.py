@@ -135,7 +135,7 @@ def ffill_window_limit(spark, sf):
     FROM reindexed""", "reindexed"))
 def backfill(spark, sf):
     panel = P.align_to_calendar(V.prices(spark, sf), KEY, "price", V.START, V.END, limit=0)
-    return rnd(panel.withColumn("price", O.backward_fill("price", O.by(KEY))), "price")
+    return rnd(panel.withColumn("price", O.backward_fill("price", KEY)), "price")
 
 
 _DAILY_FROM = {"Brand#2": "1996-04-03", "Brand#5": "1998-01-01", "Brand#11": "1995-06-05"}
@@ -429,7 +429,7 @@ _SIDES = f"""SELECT *, last_value(CASE WHEN price IS NOT NULL THEN n END IGNORE
     FROM sides""", "reindexed", pos=_POS, sides=_SIDES))
 def interpolate_linear(spark, sf):
     panel = O.with_position(P.align_to_calendar(V.prices(spark, sf), KEY, "price", V.START, V.END, limit=0), KEY)
-    return rnd(panel.withColumn("price", O.interpolated("price", O.by(KEY))).drop("position"), "price")
+    return rnd(panel.withColumn("price", O.interpolated("price", KEY)).drop("position"), "price")
 
 
 @query("tail_rows", sql(f"""SELECT series_id, date, {r('price')} AS price FROM dense_prices QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 60""", "dense_prices"))
