@@ -289,3 +289,27 @@ def test_missing_values_are_left_out_of_performance(spark):
     assert out["s"]["n_months"] == 5 and out["s"]["final_wealth"] == pytest.approx(wealth[-1])
     assert out["s"]["max_drawdown"] == pytest.approx((wealth / np.maximum.accumulate(wealth) - 1).min())
     assert out["one"]["sharpe"] is None and out["one"]["ann_vol"] is None
+
+
+# ---- factor panel -----------------------------------------------------------------------------------------------
+
+def test_universes_run_side_by_side(spark):
+    """Two universes in one plan give what each gives alone; a missing ticker skips its factor only."""
+    from tidepanel.plans import factor_matrix as F_
+
+    rng = np.random.default_rng(12)
+    names = [t for t in F_.ALL_TICKERS if t != "PUT"]
+    days = [d.date() for d in pd.bdate_range("2020-01-01", periods=150)]
+    rows = [(u, t, d, float(rng.normal(0, 0.01))) for u in ("a", "b") for t in names for d in days]
+    df = spark.createDataFrame(rows, "universe string, series_id string, date date, ret double")
+    both = F_.factor_matrix(df, halflife=10, min_periods=20, by=["universe"])
+    assert [s[0] for s in both.skipped] == ["Foreign_Currency", "Short_Volatility"]
+    alone = F_.factor_matrix(df.where("universe = 'b'").drop("universe"), halflife=10, min_periods=20)
+    key = ["factor", "date"]
+    x = both.factors.where("universe = 'b'").toPandas().sort_values(key)
+    y = alone.factors.toPandas().sort_values(key)
+    assert len(x) == len(y) > 0 and np.allclose(x["value"].astype(float), y["value"].astype(float), equal_nan=True)
+    with pytest.raises(KeyError):
+        F_.complete_vectors(both, ["Nothing"])
+    with pytest.raises(KeyError):
+        F_.core_factors(df.where("series_id <> 'LUACTRUU'"))

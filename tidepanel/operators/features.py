@@ -1,7 +1,9 @@
 """Feature preparation and screening on long tables ``(row, feature, value)``.
 
 The number of features is the width of a table (at most a few thousand); the number of
-rows is not bounded, so per-feature statistics are partial aggregations or sketches.
+rows is not bounded, so per-feature statistics are partial aggregations or sketches. Such
+statistics have one row per feature, a size the width bounds, and are broadcast: joining
+by shuffle would send all rows of a feature to one task.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ def standardise(df: DataFrame, keys: Sequence[str], value: str, out: str = "z")
     """Z-scores with the population deviation; a constant feature is only centred."""
     m = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     scale = F.when(F.col("_std") > 0, F.col("_std")).otherwise(F.lit(1.0))
-    return df.join(m, list(keys)).withColumn(out, (F.col(value) - F.col("_mean")) / scale).drop("_mean", "_std")
+    return df.join(F.broadcast(m), list(keys)).withColumn(out, (F.col(value) - F.col("_mean")) / scale).drop("_mean", "_std")
 
 
 def mask_outliers(df: DataFrame, keys: Sequence[str], value: str, k: float = 10.0) -> DataFrame:
     """Values farther than ``k`` interquartile ranges from the median become NULL."""
     q = S.exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])
     far = F.abs(F.col(value) - F.col("_q2")) > k * (F.col("_q3") - F.col("_q1"))
-    return df.join(q, list(keys), "left").withColumn(value, F.when(~far, F.col(value))).drop("_q1", "_q2", "_q3")
+    return df.join(F.broadcast(q), list(keys), "left").withColumn(value, F.when(~far, F.col(value))).drop("_q1", "_q2", "_q3")
 
 
 def prepare(panel: DataFrame, date: str = "month", exclude: Sequence[str] = (), drop_initial: int = 2, k: float = 10.0,

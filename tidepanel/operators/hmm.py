@@ -47,22 +47,23 @@ class HiddenMarkov:
 
 
 def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64) -> DataFrame:
-    """Blocks ``(seq, block, first, rows)``; rows are ordered and at most one per day."""
+    """Blocks ``(seq, block, first, n, dates, x)``: ``n`` ordered rows, at most one per day, their vectors end to end."""
     block = F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / width).cast("long")
     rows = df.groupBy(F.col(seq).alias("seq"), block.alias("block")).agg(
         F.array_sort(F.array_agg(F.struct(F.col(date).alias("date"), F.col(x).alias("x")))).alias("rows")
     )
     first = F.min("block").over(Window.partitionBy("seq"))
-    return rows.select("seq", "block", (F.col("block") == first).alias("first"), F.transform("rows", lambda r: r["date"]).alias("dates"),
-                       F.transform("rows", lambda r: r["x"]).alias("x"))
+    return rows.select("seq", "block", (F.col("block") == first).alias("first"), F.size("rows").alias("n"),
+                       F.transform("rows", lambda r: r["date"]).alias("dates"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
 def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    series = [np.stack([np.asarray(v, dtype=float) for v in rows]) for rows in batch["x"]]
-    lengths = np.array([len(s) for s in series])
-    x = np.zeros((len(series), lengths.max(), series[0].shape[1]))
-    for i, s in enumerate(series):
-        x[i, : len(s)] = s
+    lengths = batch["n"].to_numpy()
+    flat = batch["x"].to_numpy()
+    d = len(flat[0]) // int(lengths[0])
+    x = np.zeros((len(flat), lengths.max(), d))
+    for i, values in enumerate(flat):
+        x[i, : lengths[i]] = np.asarray(values, dtype=float).reshape(-1, d)
     return x, lengths
 
 
@@ -96,7 +97,7 @@ def _summaries(blocks: DataFrame, m: HiddenMarkov, best: bool) -> DataFrame:
             yield pd.DataFrame({"seq": batch["seq"], "block": batch["block"], "m": list(total.reshape(len(total), -1))})
 
     kind = blocks.schema["seq"].dataType.simpleString()
-    return blocks.select("seq", "block", "first", "x").mapInPandas(task, f"seq {kind}, block long, m array<double>")
+    return blocks.select("seq", "block", "first", "n", "x").mapInPandas(task, f"seq {kind}, block long, m array<double>")
 
 
 def _chain(summaries: DataFrame, k: int, best: bool) -> DataFrame:
@@ -190,7 +191,7 @@ def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov, n_tasks: int
         if total is not None:
             yield pd.DataFrame({"run": ["hmm"], "v": [total]})
 
-    joined = blocks.select("seq", "block", "first", "x").join(chain, ["seq", "block"])
+    joined = blocks.select("seq", "block", "first", "n", "x").join(chain, ["seq", "block"])
     return add_up(joined.mapInPandas(task, "run string, v array<double>"), n_tasks)["hmm"]
 
 

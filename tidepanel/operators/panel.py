@@ -133,12 +133,13 @@ def complete_groups(df: DataFrame, group: Sequence[str], value: str, n: int | Co
     return df.join(counts.where(F.col("_known") == n).select(*group), list(group), "left_semi")
 
 
-def null_fraction_rows(df: DataFrame, threshold: float, n_series: int, date: str = "date", value: str = "value") -> DataFrame:
+def null_fraction_rows(df: DataFrame, threshold: float, n_series: int, date: str = "date", value: str = "value",
+                       by: Sequence[str] = ()) -> DataFrame:
     """Keep dates whose missing values number at most ``int(threshold * n_series)``; absent rows count as missing."""
     allowed = int(threshold * n_series)
-    known = df.groupBy(date).agg(F.count(value).alias("_known"))
-    kept = known.where(F.lit(n_series) - F.col("_known") <= allowed).select(date)
-    return df.join(per_date(kept), date, "left_semi")
+    known = df.groupBy(*by, date).agg(F.count(value).alias("_known"))
+    kept = known.where(F.lit(n_series) - F.col("_known") <= allowed).select(*by, date)
+    return df.join(kept if by else per_date(kept), [*by, date], "left_semi")
 
 
 def drop_sparse_series(df: DataFrame, keys: Sequence[str], value: str, n_rows: int | Column, min_share: float) -> DataFrame:
@@ -176,13 +177,13 @@ def coalesce_sources(df: DataFrame, keys: Sequence[str], source: str, value: str
 
 
 def spread(df: DataFrame, left: str, right: str, name: str, how: str = "difference", series: str = "series_id",
-           value: str = "value", date: str = "date") -> DataFrame:
+           value: str = "value", date: str = "date", by: Sequence[str] = ()) -> DataFrame:
     """``left - right`` or ``left / right`` per date, NULL unless both are known."""
     a = F.max(F.when(F.col(series) == left, F.col(value)))
     b = F.max(F.when(F.col(series) == right, F.col(value)))
     combined = a - b if how == "difference" else a / F.nullif(b, F.lit(0.0))
     chosen = df.where(F.col(series).isin(left, right))
-    return chosen.groupBy(date).agg(combined.alias(value)).select(date, F.lit(name).alias(series), value)
+    return chosen.groupBy(*by, date).agg(combined.alias(value)).select(*by, date, F.lit(name).alias(series), value)
 
 
 def month_end_hold(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

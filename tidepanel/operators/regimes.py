@@ -97,6 +97,15 @@ def auto_names(scores: DataFrame, regime: str, keys: Sequence[str] = ()) -> Data
     return out.select(*keys, regime, F.coalesce("name", F.concat_ws("_", "_favourite", suffix)).alias("name"))
 
 
+def latest_probabilities(scored: DataFrame, names: DataFrame, order: str, keys: Sequence[str] = (), regime: str = "state") -> DataFrame:
+    """Named probabilities of the latest row per key, largest first."""
+    last = scored.withColumn("_k", F.lit(0)).groupBy(*keys, "_k").agg(F.max_by("p", order).alias("p"), F.max(order).alias(order))
+    cells = last.select(*keys, order, F.posexplode("p").alias(regime, "probability")).withColumn(regime, F.col(regime).cast("long"))
+    named = cells.join(names, [*keys, regime], "left")
+    label = F.coalesce("name", F.concat(F.lit("Regime_"), F.col(regime).cast("string")))
+    return named.select(*keys, order, label.alias("name"), "probability").orderBy(*keys, F.col("probability").desc(), "name")
+
+
 def relabel(names: DataFrame, changes: Mapping[int, str], regime: str) -> DataFrame:
     """Replace given names, keep the rest."""
     new = F.create_map(*[F.lit(x) for kv in changes.items() for x in kv])[F.col(regime).cast("int")]

@@ -41,6 +41,24 @@ def fit_engines(spark, data: DataFrame, flag: DataFrame, config: str, k: int = 6
     return out
 
 
+def stability(spark, data: DataFrame, engine: str, k: int = 6, seeds: int = 10, n_init: int = 10, hmm_iter: int = 20) -> DataFrame:
+    """Agreement (mean and deviation) of fits from ``seeds`` further seeds with the fit of seed 0."""
+    data = data.persist()
+    rows = data.select(F.xxhash64("seq", "date").alias("idx"), "seq", "date", "x")
+    if engine == "GMM":
+        runs = [run for s in range(seeds + 1) for run in M.restarts(str(s), k, n_init, seed=s)]
+        fits = M.fit(rows, runs, covariance="diag")
+        labels = M.score(rows, list(fits.values()), keep=["seq", "date"]).select("seq", "date", F.col("model").cast("int").alias("seed"), "label")
+    else:
+        blocks = H.to_blocks(data, "seq", "date", "x").repartition("seq", "block").persist()
+        labels = None
+        for s in range(seeds + 1):
+            path = H.decode(blocks, H.fit(blocks, rows, k=k, max_iter=hmm_iter, seed=s))
+            one = path.select("seq", "date", F.lit(s).alias("seed"), F.col("state").alias("label"))
+            labels = one if labels is None else labels.unionByName(one)
+    return Q.seed_stability(labels, ["seq", "date"], "seed", "label", 0).withColumn("engine", F.lit(engine))
+
+
 SCHEMA = "engine string, config string, n_states int, silhouette double, bic double, crisis int, recall double, precision double, f1 double"
 
 

@@ -135,7 +135,17 @@ def risk_free_stitch(spark, sf):
 
 # ---- whole factor panel ---------------------------------------------------------------------------
 
-@query("clean_prices_panel")
+_STARTS = " ".join(f"WHEN '{t}' THEN DATE '{d}'" for t, d in M.DAILY_FROM.items())
+_NAMES = ", ".join(f"('{b}', '{t}')" for b, t in TICKERS.items())
+_CARRY = ", ".join(f"'{t}'" for t in M.HOLIDAY_CARRY)
+_SECTION = f"""SELECT m.ticker AS series_id, g.date, g.price, coalesce(g.date >= CASE m.ticker {_STARTS} END, true) AS daily FROM reindexed g JOIN (VALUES {_NAMES}) m(brand, ticker) ON m.brand = g.series_id"""
+_S = "PARTITION BY series_id, daily ORDER BY date"
+_CARRIED = f"""SELECT *, CASE WHEN daily THEN last_value(price IGNORE NULLS) OVER ({_S} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE last_value(price IGNORE NULLS) OVER ({_S} ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) END AS filled FROM section"""
+_FRESH = f"SELECT *, CASE WHEN filled = lag(filled) OVER ({_S}) THEN NULL ELSE filled END AS fresh FROM carried"
+
+
+@query("clean_prices_panel", sql(f"""SELECT series_id, date, {r(f"CASE WHEN daily AND series_id IN ({_CARRY}) THEN last_value(fresh IGNORE NULLS) OVER ({_S} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE filled END")} AS price FROM fresh""",
+    "reindexed", section=_SECTION, carried=_CARRIED, fresh=_FRESH))
 def clean_prices_panel(spark, sf):
     """Mixed-frequency fill and stale-run removal for all mapped tickers."""
     return rnd(M.clean_prices(H.rename_known(V.prices(spark, sf), TICKERS), V.START, V.END), "price")

@@ -192,3 +192,19 @@ def regime_artifacts(spark, sf):
     daily = states.groupBy(F.to_date("ts").alias("day")).agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
     last = Q.last_per_period(daily, [], F.trunc("day", "month"), ["day"], ["state"])
     return last.join(names, "state").select("month", F.col("name").alias("regime"))
+
+
+@query("latest_probabilities", sql(f"""SELECT entity, date, 'Regime_' || (i - 1) AS name, {r('p[i] / list_sum(p)')} AS probability FROM (SELECT entity, date, p, unnest(range(1, 6)) AS i FROM (
+    SELECT user_id AS entity, max(CAST(ts AS DATE)) AS date, arg_max([a, b, c, d, e], d0) AS p FROM (SELECT user_id, CAST(ts AS DATE) AS d0, max(ts) AS ts, {', '.join(f"CAST(1 + count(*) FILTER (event_type = '{t}') AS DOUBLE) AS {n}" for t, n in zip(V.EVENT_TYPES, 'abcde'))}
+    FROM events GROUP BY user_id, d0) GROUP BY user_id)) WHERE i <> 3 UNION ALL SELECT entity, date, 'Calm', {r('p[3] / list_sum(p)')} FROM (
+    SELECT user_id AS entity, max(CAST(ts AS DATE)) AS date, arg_max([a, b, c, d, e], d0) AS p FROM (SELECT user_id, CAST(ts AS DATE) AS d0, max(ts) AS ts, {', '.join(f"CAST(1 + count(*) FILTER (event_type = '{t}') AS DOUBLE) AS {n}" for t, n in zip(V.EVENT_TYPES, 'abcde'))}
+    FROM events GROUP BY user_id, d0) GROUP BY user_id)"""))
+def latest_probabilities(spark, sf):
+    """Latest day's state shares per user, with one state named."""
+    from tidepanel.functions.expr import normalised
+
+    hits = [F.sum(F.when(F.col("event_type") == t, 1.0).otherwise(0.0)) + 1 for t in V.EVENT_TYPES]
+    days = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("entity"), F.to_date("ts").alias("date")).agg(F.array(*hits).alias("p"))
+    days = days.withColumn("p", normalised("p"))
+    names = days.select("entity").distinct().select("entity", F.lit(2).cast("long").alias("state"), F.lit("Calm").alias("name"))
+    return rnd(G.latest_probabilities(days, names, "date", ["entity"]), "probability")
