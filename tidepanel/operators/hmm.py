@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.operators.mixture import log_sum
-from tidepanel.operators.passes import Span, add_up, fold_pass, lloyd, starting_rows, task_count
+from tidepanel.operators.passes import Span, add_up, fold_pass, lloyd, pooled, starting_rows
 
 TINY = 1e-300
 CHUNK = 512
@@ -57,6 +57,12 @@ def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64) -> Da
                        F.transform("rows", lambda r: r["date"]).alias("dates"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
+def stored(blocks: DataFrame, blocks_per_task: int = 2_000) -> DataFrame:
+    """Blocks persisted by sequence and block, in as many partitions as their number asks for."""
+    wanted = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // blocks_per_task))
+    return blocks.repartition(wanted, "seq", "block").persist()
+
+
 def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     lengths = batch["n"].to_numpy()
     flat = batch["x"].to_numpy()
@@ -199,24 +205,23 @@ def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol:
         stay: float = 0.95) -> HiddenMarkov:
     """Baum-Welch over all sequences; ``rows(idx, x)`` are the same vectors for the starting means.
 
-    ``blocks`` should be persisted by sequence and block, so that each pass moves only the
-    chained vectors. A fit whose likelihood is not finite is repeated with another seed.
+    ``blocks`` should come from ``stored``, so that each pass moves only the chained vectors.
+    A fit whose likelihood is not finite is repeated with another seed.
     """
     def moments(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    rows = rows.persist()
-    n_tasks = task_count(rows)
+    held, rows, n_tasks = pooled(rows)
     v = fold_pass(rows, moments, ["all"], n_tasks)["all"]
     d = (len(v) - 1) // 2
     var = np.maximum(v[d + 1 :] / v[0] - (v[1 : d + 1] / v[0]) ** 2, 1e-6)
     names = {f"init{i}": (Span(), k, seed * 100 + i) for i in range(n_init)}
     starts = starting_rows(rows, names, {n: int(v[0]) for n in names})
     centres = lloyd(rows, starts, {n: Span() for n in names}, 10, n_tasks)
-    rows.unpersist()
+    held.unpersist()
 
     # the join of a pass runs over the blocks' own partitions or over shuffle partitions
-    block_tasks = max(task_count(blocks), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block_tasks = max(blocks.rdd.getNumPartitions(), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     best = None
     for name in names:
         transition = np.full((k, k), (1 - stay) / max(1, k - 1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.operators.passes import Span, fold_pass, lloyd, stack, starting_rows, task_count
+from tidepanel.operators.passes import Span, fold_pass, lloyd, pooled, stack, starting_rows
 
 
 @dataclass(frozen=True)
@@ -90,8 +90,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
     log-likelihood gains less than ``tol``.
     """
     full = covariance == "full"
-    data = df.select("idx", "x").persist()
-    n_tasks = task_count(data)
+    held, data, n_tasks = pooled(df.select("idx", "x"))
     by_name = {r.name: r for r in runs}
     spans = {r.name: r.span for r in runs}
 
@@ -161,7 +160,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
             else:
                 covs = np.maximum(rest.reshape(k, d) / nk[:, None] - mu**2, 0.0) + reg
             m.weights, m.means, m.covs, m.steps = nk / nk.sum(), mu, covs, m.steps + 1
-    data.unpersist()
+    held.unpersist()
     best: dict[str, Mixture] = {}
     for m in fits.values():
         if m.model not in best or m.loglik > best[m.model].loglik:

@@ -77,9 +77,20 @@ def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.nd
     return add_up(df.select("idx", "x").mapInPandas(task, "run string, v array<double>"), n_tasks)
 
 
-def task_count(df: DataFrame) -> int:
-    """Number of tasks a pass over a persisted table runs."""
-    return df.rdd.getNumPartitions()
+ROWS_PER_TASK = 50_000
+
+
+def pooled(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame, int]:
+    """Persist a table and group its partitions to fit its size.
+
+    Returns the persisted table (to release later), the view to read and its number of
+    tasks. A table that came out of a wide shuffle may have hundreds of near-empty
+    partitions, each of which would start a worker on every pass.
+    """
+    stored = df.persist()
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // rows_per_task))
+    view = stored.coalesce(wanted)
+    return stored, view, view.rdd.getNumPartitions()
 
 
 def hashed(idx: np.ndarray, seed: int) -> np.ndarray:

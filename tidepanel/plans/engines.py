@@ -22,7 +22,7 @@ def fit_engines(spark, data: DataFrame, flag: DataFrame, config: str, k: int = 6
     mixture = M.fit(rows, M.restarts(config, k, n_init), covariance="diag")[config]
     mixed = M.score(rows, [mixture], keep=["seq", "date"]).select("seq", "date", F.col("label").alias("state"))
 
-    blocks = H.to_blocks(data, "seq", "date", "x").repartition("seq", "block").persist()
+    blocks = H.stored(H.to_blocks(data, "seq", "date", "x"))
     chain = H.fit(blocks, rows, k=k, max_iter=hmm_iter)
     path = H.decode(blocks, chain)
 
@@ -50,7 +50,7 @@ def stability(spark, data: DataFrame, engine: str, k: int = 6, seeds: int = 10,
         fits = M.fit(rows, runs, covariance="diag")
         labels = M.score(rows, list(fits.values()), keep=["seq", "date"]).select("seq", "date", F.col("model").cast("int").alias("seed"), "label")
     else:
-        blocks = H.to_blocks(data, "seq", "date", "x").repartition("seq", "block").persist()
+        blocks = H.stored(H.to_blocks(data, "seq", "date", "x"))
         labels = None
         for s in range(seeds + 1):
             path = H.decode(blocks, H.fit(blocks, rows, k=k, max_iter=hmm_iter, seed=s))
