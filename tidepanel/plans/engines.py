@@ -10,6 +10,7 @@ from tidepanel.operators import evaluate as Q
 from tidepanel.operators import hmm as H
 from tidepanel.operators import mixture as M
 from tidepanel.operators import regimes as G
+from tidepanel.operators.passes import pooled
 
 
 def fit_engines(spark, data: DataFrame, flag: DataFrame, config: str, k: int = 6, n_init: int = 10, hmm_iter: int = 20) -> list[tuple]:
@@ -17,7 +18,7 @@ def fit_engines(spark, data: DataFrame, flag: DataFrame, config: str, k: int = 6
 
     A row of figures per engine: silhouette, BIC, crisis state, recall, precision, F1.
     """
-    data = data.persist()
+    held, data, _ = pooled(data)
     rows = data.select(F.xxhash64("seq", "date").alias("idx"), "seq", "date", "x")
     mixture = M.fit(rows, M.restarts(config, k, n_init), covariance="diag")[config]
     mixed = M.score(rows, [mixture], keep=["seq", "date"]).select("seq", "date", F.col("label").alias("state"))
@@ -28,22 +29,22 @@ def fit_engines(spark, data: DataFrame, flag: DataFrame, config: str, k: int = 6
 
     out = []
     for engine, labels, bic in (("GMM", mixed, mixture.bic()), ("HMM", path, chain.bic())):
-        labelled = labels.join(data, ["seq", "date"]).persist()
+        kept, labelled, _ = pooled(labels.join(data, ["seq", "date"]))
         crisis = C.crisis_state(labelled, "x", "state")
         n_blocks = max(1, labelled.count() // 20_000)
         quality = Q.silhouette(labelled.withColumn("row", F.struct("seq", "date")), [], "row", "x", "state", n_blocks=int(n_blocks)).first()
         flagged = labelled.withColumn("month", F.trunc("date", "month")).join(flag, "month")
         d = G.detection(flagged, F.col("state") == crisis, F.col("flag") > 0).first()
         out.append((engine, config, k, float(quality["silhouette"]) if quality["silhouette"] is not None else None, float(bic), crisis, float(d["recall"]), float(d["precision"]), float(d["f1"])))
-        labelled.unpersist()
+        kept.unpersist()
     blocks.unpersist()
-    data.unpersist()
+    held.unpersist()
     return out
 
 
 def stability(spark, data: DataFrame, engine: str, k: int = 6, seeds: int = 10, n_init: int = 10, hmm_iter: int = 20) -> DataFrame:
     """Agreement (mean and deviation) of fits from ``seeds`` further seeds with the fit of seed 0."""
-    data = data.persist()
+    _, data, _ = pooled(data)
     rows = data.select(F.xxhash64("seq", "date").alias("idx"), "seq", "date", "x")
     if engine == "GMM":
         runs = [run for s in range(seeds + 1) for run in M.restarts(str(s), k, n_init, seed=s)]
