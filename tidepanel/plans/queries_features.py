@@ -27,7 +27,8 @@ def zscore_pop(spark, sf):
     return rnd(J.standardise(V.features_long(spark, sf), ["feature"], "value").select("row_id", "feature", "z"), "z")
 
 
-_HOLED = "SELECT month, series_id, tcode, CASE WHEN (month(month) = 5 AND tcode < 3) OR (tcode = 6 AND month(month) IN (2, 8)) THEN NULL ELSE value END AS v FROM macro_monthly"
+_HOLED = """SELECT m.month, s.series_id, s.tcode, CASE WHEN (month(m.month) = 5 AND s.tcode < 3) OR (s.tcode = 6 AND month(m.month) IN (2, 8)) THEN NULL ELSE v.value END AS v
+    FROM (SELECT DISTINCT month FROM macro_monthly) m CROSS JOIN (SELECT DISTINCT series_id, tcode FROM macro_monthly) s LEFT JOIN macro_monthly v ON v.month = m.month AND v.series_id = s.series_id"""
 _MW = "(PARTITION BY series_id ORDER BY month)"
 _L = {k: f"lag(v, {k}) OVER {_MW}" for k in (1, 2)}
 _CODED = f"""SELECT month, series_id, tcode, CASE tcode WHEN 1 THEN v WHEN 2 THEN v - {_L[1]} WHEN 3 THEN (v - {_L[1]}) - ({_L[1]} - {_L[2]}) WHEN 4 THEN ln(v) WHEN 5 THEN ln(v) - ln({_L[1]})
