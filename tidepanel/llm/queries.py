@@ -8,16 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, licenses, mixing, personal_data, quality_rules
+from tidepanel.llm import byte_bpe, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join
 from tidepanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.reported(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,7 +45,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_shingle_join": op3_shingle_join,
     "op5_personal_data": op5_personal_data,
     "op8_licenses": op8_licenses,
     "op9_byte_bpe": op9_byte_bpe,
