@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join
+from tidepanel.llm import byte_bpe, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
 from tidepanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,18 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.reported(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,7 +56,9 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_shingle_join": op3_shingle_join,
+    "op4_topk_search": op4_topk_search,
     "op5_personal_data": op5_personal_data,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_licenses": op8_licenses,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
