@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
+from tidepanel.llm import byte_bpe, katz, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
 from tidepanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.reported(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op3_shingle_join": op3_shingle_join,
     "op4_topk_search": op4_topk_search,
     "op5_personal_data": op5_personal_data,
+    "op6_katz": op6_katz,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_licenses": op8_licenses,
     "op9_byte_bpe": op9_byte_bpe,
