@@ -37,7 +37,7 @@ def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
 
 def segment_keys(tau: int) -> Column:
     """Keys of a line's own segments."""
-    n = F.length("line")
+    n = F.col("size")
     keys = []
     for i in range(tau + 1):
         start, size = segment(n, i, tau + 1)
@@ -46,8 +46,8 @@ def segment_keys(tau: int) -> Column:
 
 
 def probe_keys(tau: int, min_chars: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line up to ``tau`` shorter."""
-    n = F.length("line")
+    """Keys of the substrings that can equal a segment of a line up to ``tau`` shorter; null where none fits."""
+    n = F.col("size")
     keys = []
     for shorter in range(tau + 1):
         m = n - shorter
@@ -58,20 +58,71 @@ def probe_keys(tau: int, min_chars: int) -> Column:
                     at = start + shift
                     fits = (m >= min_chars) & (at >= 0) & (at + size <= n)
                     keys.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring(F.col("line"), at + 1, size))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return F.array(*keys)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def common_prefix(a: Column, b: Column, limit: Column) -> Column:
+    """Characters that two strings share at the front, at most ``limit``: halving steps."""
+    start = F.struct(a.alias("a"), b.alias("b"), limit.alias("limit"), F.lit(0).alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        same = (s["n"] + k <= s["limit"]) & (F.substring(s["a"], s["n"] + 1, k) == F.substring(s["b"], s["n"] + 1, k))
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["limit"].alias("limit"), (s["n"] + F.when(same, k).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), start, step)["n"]
+
+
+def close(a: Column, b: Column, tau: int) -> Column:
+    """Whether two strings are within ``tau`` edits: what differs between their common ends decides.
+
+    Of the middle's pieces, all but ``tau`` must be found in the other middle at nearly the
+    same place; only then, or when the middle is short, is the distance computed.
+    """
+    pieces = 4 * (tau + 1)
+
+    def middles(w: Column) -> Column:
+        front = common_prefix(w["a"], w["b"], w["short"])
+        return bound(F.struct(w["a"].alias("a"), w["b"].alias("b"), w["short"].alias("short"), front.alias("front")), tails)
+
+    def tails(w: Column) -> Column:
+        back = common_prefix(F.reverse(w["a"]), F.reverse(w["b"]), w["short"] - w["front"])
+        ends = F.struct(w["a"].alias("a"), w["b"].alias("b"), w["front"].alias("front"), back.alias("back"))
+        return bound(ends, lambda v: bound(F.struct(
+            F.substring(v["a"], v["front"] + 1, F.length(v["a"]) - v["front"] - v["back"]).alias("x"),
+            F.substring(v["b"], v["front"] + 1, F.length(v["b"]) - v["front"] - v["back"]).alias("y"),
+        ), decided))
+
+    def decided(v: Column) -> Column:
+        x, y = F.when(F.length(v["x"]) >= F.length(v["y"]), v["x"]).otherwise(v["y"]), F.when(F.length(v["x"]) >= F.length(v["y"]), v["y"]).otherwise(v["x"])
+        return bound(F.struct(x.alias("x"), y.alias("y"), F.floor(F.length(x) / pieces).cast("int").alias("k")), judged)
+
+    def judged(v: Column) -> Column:
+        found = F.lit(0)
+        for i in range(pieces):
+            piece = F.substring(v["x"], i * v["k"] + 1, v["k"])
+            begin = F.greatest(i * v["k"] - tau, F.lit(0))
+            found = found + F.when(F.instr(F.substring(v["y"], begin + 1, v["k"] + 2 * tau), piece) > 0, 1).otherwise(0)
+        return (F.length(v["x"]) <= tau) | (((v["k"] < 2) | (found >= pieces - tau)) & within(v["x"], v["y"], tau))
+
+    return bound(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("short")), middles)
 
 
 def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether the edit distance of two strings longer than ``tau`` is at most ``tau``.
+    """Whether the edit distance of two strings, the first longer than ``tau`` and not the shorter one, is at most ``tau``.
 
     One word of 2 tau + 2 bits follows the diagonal: bit k stands for the row tau - top + k
     from it. Down to the last row the distance grows along the diagonal, then along the row.
     """
     top = 2 * tau + 1
     mask = (1 << (top + 1)) - 1
-    m, n = F.length(a), F.length(b)
-    chars, others = F.split(a, ""), F.split(b, "")
+    # the state carries the characters: an expression inside the step would be evaluated at every step
     start = F.struct(
+        F.split(a, "").alias("chars"), F.length(a).alias("m"),
         F.lit(((1 << (tau + 1)) - 1) << (top - tau)).alias("vp"), F.lit(0).alias("vn"), F.lit(tau).alias("dist"), F.lit(0).alias("at"),
     )
     inverse = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(mask))
@@ -80,7 +131,7 @@ def within(a: Column, b: Column, tau: int) -> Column:
         vp, vn, i = s["vp"], s["vn"], s["at"]
         match = F.lit(0)
         for k in range(top + 1):
-            match = match + F.when(F.get(chars, i + (tau - top + k)) == c, 1 << k).otherwise(0)
+            match = match + F.when(F.get(s["chars"], i + (tau - top + k)) == c, 1 << k).otherwise(0)
         # several expressions use the same words, so each is bound once as the only element of an array
         return F.element_at(F.transform(F.array(F.struct(match.alias("x"), vp.alias("vp"), vn.alias("vn"))), lambda w: second(s, w)), 1)
 
@@ -91,21 +142,23 @@ def within(a: Column, b: Column, tau: int) -> Column:
     def third(s: Column, w: Column, d0: Column) -> Column:
         hp, hn = w["vn"].bitwiseOR(inverse(d0.bitwiseOR(w["vp"]))), d0.bitwiseAND(w["vp"])
         down = F.shiftright(d0, 1)
-        along = s["at"] - (m - tau)  # columns since the band reached the last row
+        along = s["at"] - (s["m"] - tau)  # columns since the band reached the last row
         bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(F.lit(1))
         place = F.greatest(F.lit(top - 1) - along, F.lit(0))
         grown = F.when(along < 0, 1 - bit(d0, F.lit(top))).otherwise(bit(hp, place) - bit(hn, place))
         return F.struct(
+            s["chars"].alias("chars"), s["m"].alias("m"),
             hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["dist"] + grown).alias("dist"), (s["at"] + 1).alias("at"),
         )
 
-    return (F.abs(m - n) <= tau) & (F.aggregate(others, start, step)["dist"] <= tau)
+    return (F.abs(F.length(a) - F.length(b)) <= tau) & (F.aggregate(F.split(b, ""), start, step)["dist"] <= tau)
 
 
 def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of names of different lines within ``tau`` edits; ``lines`` has lid and line, one row per lid."""
-    own = lines.select("lid", F.explode(segment_keys(tau)).alias("key"))
-    probes = lines.select("lid", F.explode(F.array_distinct(probe_keys(tau, min_chars))).alias("key"))
+    sized = lines.withColumn("size", F.length("line"))
+    own = sized.select("lid", F.explode(segment_keys(tau)).alias("key"))
+    probes = sized.select("lid", F.explode(probe_keys(tau, min_chars)).alias("key")).where("key is not null")
     meets = lambda x, y: x.alias("x").join(y.alias("y"), F.expr("x.key = y.key and x.lid <> y.lid"), "left_semi")
     members = meets(own, probes).withColumn("own", F.lit(True)).unionByName(meets(probes, own).withColumn("own", F.lit(False)))
     count = lambda letters: F.length("line") - F.length(F.translate("line", letters, ""))
@@ -119,7 +172,8 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     for i in range(len(LETTERS)):
         near &= F.abs(F.col("x.counts")[i] - F.col("y.counts")[i]) <= tau
     pairs = left.join(right, near).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.line").alias("s"), F.col("y.line").alias("t"))
-    return pairs.dropDuplicates(["a", "b"]).where(within(F.col("s"), F.col("t"), tau)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be merged into a few tasks
+    return pairs.repartition(tasks, "a", "b").dropDuplicates(["a", "b"]).where(close(F.col("s"), F.col("t"), tau)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
