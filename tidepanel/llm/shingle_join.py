@@ -7,7 +7,7 @@ their first (1 - 0.8) n + 1 shingles, so a set enters the regions of those that
 also holds. Inside a region, pivots are drawn, every member's distance to them is computed
 exactly, members near a pivot are linked to it and make up its cell, and by the triangle
 inequality only members that could be near one outside their cell stay for the next round,
-with twice as many pivots. Rounds end when no region has two open members. No pair is lost,
+with eight times as many pivots. Rounds end when no region has two open members. No pair is lost,
 and copies are never paired with each other: equal sets are one set throughout.
 
 Frequencies are counted by ranges of the hash, packed into binary columns, so that no task
@@ -189,6 +189,32 @@ def anchors(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "n", "hashes").mapInPandas(run, "anchor long, set_id long, n long")
 
 
+CELLS = 256
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """set_id, n and how many of a set's shared shingles fall into each of CELLS cells of the hash."""
+
+    def count(hashes: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount((np.frombuffer(h, np.uint64) >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32).tobytes() for h in hashes])
+
+    return sets.select("set_id", "n", F.pandas_udf(count, "binary")("hashes").alias("cells"))
+
+
+def bounded(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """``pairs`` with a lower bound of the distance: sets share no more than the smaller count of every cell."""
+
+    def bound(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        common = [int(np.minimum(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)).sum()) for a, b in zip(x, y)]
+        common = np.array(common, np.int64)
+        return pd.Series(np.where(100 * common >= PERCENT * (n + m - common), 0.0, 1 - common / (n + m - common)))
+
+    left = cells.select("set_id", F.col("n").alias("n1"), F.col("cells").alias("c1"))
+    right = cells.select(F.col("set_id").alias("pivot"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
+    both = pairs.join(left, "set_id").join(right, "pivot")
+    return both.select("set_id", "pivot", F.pandas_udf(bound, "double")("c1", "c2", "n1", "n2").alias("least"))
+
+
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact Jaccard distance and whether it is near, for pairs (set_id, pivot)."""
 
@@ -212,6 +238,9 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     reach = 1 - PERCENT / 100
     wide = lambda m: m.join(m.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchor")
     open_, pivots_each = stored(wide(members)), 1
+    inside = lambda s: stored(s.join(open_.select("set_id").distinct(), "set_id", "left_semi"))  # noqa: E731  what later rounds compare
+    sets = inside(sets)
+    cells = stored(sketched(sets))
     links = []
     while open_.take(1):
         rank = F.row_number().over(Window.partitionBy("anchor").orderBy("set_id"))
@@ -219,7 +248,10 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         met = open_.join(pivots, "anchor").where("set_id <> pivot").withColumn("bound", 1 - F.least("n", "m") / F.greatest("n", "m"))
         possible = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
         # a pair is compared once, whatever number of regions it shares
-        known = stored(distances(met.where(possible).select("set_id", "pivot").distinct(), sets))
+        rough = stored(bounded(met.where(possible).select("set_id", "pivot").distinct(), cells))
+        exact = distances(rough.where("least = 0").select("set_id", "pivot"), sets)
+        far = rough.where("least > 0").select("set_id", "pivot", F.col("least").alias("d"), F.lit(False).alias("near"))
+        known = stored(exact.unionByName(far))
         links.append(known.where("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")))
         seen = met.join(known, ["set_id", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False))).withColumn("d", F.coalesce("d", "bound"))
         is_pivot = pivots.select("anchor", F.col("pivot").alias("set_id"))
@@ -231,7 +263,8 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         # a member of a cell stays only if one outside it may be near by the triangle inequality
         stays = placed.where(F.col("home").isNull() | (F.col("closest") <= F.col("home.d") + reach + 1e-9))
         open_ = stored(wide(stays.select("anchor", "set_id", "n")))
-        pivots_each *= 2
+        sets, cells = inside(sets), inside(cells)
+        pivots_each *= 8
     out = links[0] if links else members.where("false").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
     for more in links[1:]:
         out = out.unionByName(more)
