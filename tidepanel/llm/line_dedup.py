@@ -171,9 +171,8 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     near = F.expr("x.key = y.key and x.window = y.window and x.lid <> y.lid")
     for i in range(len(LETTERS)):
         near &= F.abs(F.col("x.counts")[i] - F.col("y.counts")[i]) <= tau
-    pairs = left.join(right, near).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"), F.col("x.line").alias("s"), F.col("y.line").alias("t"))
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be merged into a few tasks
-    return pairs.repartition(tasks, "a", "b").dropDuplicates(["a", "b"]).where(close(F.col("s"), F.col("t"), tau)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near &= close(F.col("x.line"), F.col("y.line"), tau)  # decided inside the join: only links are rows
+    return left.join(right, near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
 
 
 def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
