@@ -187,7 +187,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                     out.append((rid, pos, anchor, 1, raw[end : end + HALF + 1], raw[max(pos - HALF + 1, 0) : pos][::-1], raw[end : end + REACH]))
         return pd.DataFrame(out, columns=["rid", "pos", "anchor", "side", "near", "before", "after"])
 
-    around = _map(texts.join(places, "rid").select("rid", "raw", "places"), surround,
+    # the same columns as in the last join, so that the texts are dealt out once
+    around = _map(texts.join(places, "rid").select("doc_id", "rid", "raw", "places"), surround,
                   "rid long, pos long, anchor long, side int, near binary, before binary, after binary")
     around = around.select("rid", "pos", "side", F.xxhash64("anchor", "side", "near").alias("key"), "before", "after", F.xxhash64("before", "after").alias("ctx"))
     merged = around.groupBy("key", "side", "before", "after", "ctx").agg(F.count(F.lit(1)).alias("times"))
