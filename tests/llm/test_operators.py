@@ -248,7 +248,8 @@ def test_byte_bpe(make_docs):
 
 def test_mixing(make_docs):
     rng = random.Random(2)
-    rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "é", None])) for i in range(400)] + [(400, None, "a"), (5, "again", rows[5][2])]
+    rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice(["a", "b", "é", None])) for i in range(400)]
+    rows += [(400, None, "a"), (5, "again", rows[5][2])]
     docs = make_docs(rows)
     got = mixing.taken(docs).collect()
     sizes, weights = Counter(), {}
