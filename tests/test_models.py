@@ -313,3 +313,16 @@ def test_universes_run_side_by_side(spark):
         F_.complete_vectors(both, ["Nothing"])
     with pytest.raises(KeyError):
         F_.core_factors(df.where("series_id <> 'LUACTRUU'"))
+
+
+def test_permuted_copies_do_not_depend_on_partitions(spark):
+    from tidepanel.operators.importance import permuted_copies
+
+    rng = np.random.default_rng(4)
+    rows = [([float(a), float(b)], float(a > 0)) for a, b in rng.normal(size=(700, 2))] + [([1.0, 1.0], 1.0)] * 30
+    df = spark.createDataFrame(rows, "x array<double>, y double")
+    seen = []
+    for n in (1, 4, 400):
+        out = permuted_copies(df.repartition(n), "x", "y", 2, 2, 0)
+        seen.append(sorted((r.feature, r.repeat, tuple(r.x), r.label) for r in out.collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 5 * len(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,29 +35,36 @@ def forest_importance(df: DataFrame, vector: str, label: str, seeds: Sequence[in
     return df.sparkSession.createDataFrame(rows, "seed int, feature long, gini double")
 
 
-def permuted_copies(df: DataFrame, vector: str, label: str, width: int, repeats: int, seed: int) -> DataFrame:
-    """For every component and repeat, the rows with that component permuted inside each batch.
+BUCKET_ROWS = 512
 
-    Rows are spread by hash first, so a batch is a random subset and permuting inside it
-    breaks the link between component and label without a global sort. ``feature = -1``
-    are the untouched rows.
-    """
 
-    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, batch in enumerate(batches):
-            x = np.stack(batch["x"].to_numpy()).astype(float)
-            y = batch["label"].to_numpy()
-            yield pd.DataFrame({"feature": -1, "repeat": 0, "x": list(x), "label": y})
-            for j in range(width):
-                for r in range(repeats):
-                    rng = np.random.default_rng([seed, r, j, number, len(x)])
-                    moved = x.copy()
-                    moved[:, j] = x[rng.permutation(len(x)), j]
-                    yield pd.DataFrame({"feature": j, "repeat": r, "x": list(moved), "label": y})
+def permuted_copies(df: DataFrame, vector: str, label: str, width: int, repeats: int, seed: int) -> DataFrame:
+    """For every component and repeat, the rows with that component permuted inside random buckets.
 
+    A bucket is chosen by the row's hash and ordered by its content, so the result does not
+    depend on partitions or batches. ``feature = -1`` are the untouched rows. Equal rows share
+    a bucket unless a second hash over their number splits them.
+    """
     rows = df.select(F.col(vector).alias("x"), F.col(label).cast("double").alias("label"))
-    spread = rows.repartition(F.xxhash64("x", "label"))
-    return spread.mapInPandas(permute, "feature long, repeat int, x array<double>, label double")
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    counted = rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("_n"))  # copies of a row are spread over the buckets
+    numbered = counted.select("x", "label", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    spread = numbered.withColumn("_bucket", F.pmod(F.xxhash64("x", "label", "_i", F.lit(seed)), F.lit(buckets)))
+
+    def permute(batch: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["label"].to_numpy()
+        order = np.lexsort([batch["_i"].to_numpy(), y, *x.T[::-1]])
+        x, y, bucket = x[order], y[order], int(batch["_bucket"].iloc[0])
+        out = [pd.DataFrame({"feature": -1, "repeat": 0, "x": list(x), "label": y})]
+        for j in range(width):
+            for r in range(repeats):
+                rng = np.random.default_rng([seed, r, j, bucket])
+                moved = x.copy()
+                moved[:, j] = x[rng.permutation(len(x)), j]
+                out.append(pd.DataFrame({"feature": j, "repeat": r, "x": list(moved), "label": y}))
+        return pd.concat(out)
+
+    return spread.groupBy("_bucket").applyInPandas(permute, "feature long, repeat int, x array<double>, label double")
 
 
 def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0, repeats: int = 3, trees: int = 200, depth: int = 15) -> DataFrame:

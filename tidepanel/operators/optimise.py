@@ -264,7 +264,9 @@ def backtest(feed: DataFrame, keys: Sequence[str], window: int, n_states: int |
     """Weights, diagnostics and realised returns by universe, gamma, month and strategy."""
     todo = problems(feed, keys, window, n_states, gammas, pi, strategies, missing)
     spread = F.xxhash64(*keys, "month", "strategy", F.coalesce("gamma", F.lit(-1.0)))
-    todo = todo.repartition(n_tasks, spread) if n_tasks else todo.repartition(spread)
+    # few bytes but much work: a stated number of partitions is not merged again by adaptive execution
+    spark = feed.sparkSession
+    todo = todo.repartition(n_tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), spread)
     solved = optimise(todo, eta, max_weight, norm, on_failure)
     solved = R.concentration(solved).withColumn("ret", dot("w", "realised"))
     solved = solved.withColumn("loss", -F.col("ret")).withColumn("robust_penalty", F.col("theta") * F.col("dual_norm") / (1 - eta))
@@ -283,6 +285,3 @@ def backtest_report(results: DataFrame, assets: DataFrame, keys: Sequence[str],
     out = perf.unionByName(bench_perf, allowMissingColumns=True)
     return out.orderBy(F.col("cvar_loss").asc_nulls_last(), *keys, F.col("gamma").asc_nulls_last(), "strategy")
 
-
-def rounded_weights(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumn("w", F.transform("w", lambda v: rounded(v, digits)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,14 +24,13 @@ def build_session(app: str = "tidepanel", master: str | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that lost executors cost no recomputation.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    none is named (tests, a laptop) a temporary folder is set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; where none is
+    named the frame is returned as it is, because no other folder is known to be shared.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepanel-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
