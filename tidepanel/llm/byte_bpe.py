@@ -178,12 +178,14 @@ class PairTable:
 class Coder:
     """Encoder and decoder over a table of ranks; pieces seen before come from a bounded cache."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 300_000):
         self.ranks, self.cache_size = ranks, cache_size
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
         self.single = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
         self.pairs = PairTable(ranks)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(self.tokens)] = list(map(len, self.tokens.values()))
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -298,11 +300,10 @@ class Coder:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def offsets(self, ids) -> list[int]:
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset of every token."""
-        if not ids:
-            return []
-        return [0, *np.cumsum([len(self.tokens[i]) for i in ids])[:-1].tolist()]
+        size = self.sizes[ids]
+        return (np.cumsum(size) - size).astype(np.int32)
 
 
 def _groups(texts: list[str | None], limit: int = 500_000) -> Iterator[list[str]]:
@@ -346,7 +347,8 @@ def encoded(df: DataFrame, text: str, ranks: dict[bytes, int], into: str = "toke
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = coder_of(shared)
         for batch in batches:
-            ids = [list(chain.from_iterable(got)) for group in _groups(batch.tolist()) for got in coder.encode(group)]
+            # compact arrays: a batch may hold many millions of ids
+            ids = [np.fromiter(chain.from_iterable(got), np.int32) for group in _groups(batch.tolist()) for got in coder.encode(group)]
             yield pd.DataFrame({"ids": ids, "offsets": [coder.offsets(x) for x in ids]})
 
     return df.withColumn(into, run(F.col(text)))
