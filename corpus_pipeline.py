@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, by the multilingual byte-level vocabulary."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = byte_bpe.encoded(docs.select("doc_id", "lang", "source", "text"), "text", ranks)
+    out = byte_bpe.encoded(docs.select("doc_id", "lang", "source", "text"), "text", ranks, with_offsets=False)
     return out.select("doc_id", "lang", "source", "tokens.ids")
 
 

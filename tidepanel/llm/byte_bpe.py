@@ -178,7 +178,7 @@ class PairTable:
 class Coder:
     """Encoder and decoder over a table of ranks; pieces seen before come from a bounded cache."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 200_000):
         self.ranks, self.cache_size = ranks, cache_size
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
@@ -306,7 +306,7 @@ class Coder:
         return (np.cumsum(size) - size).astype(np.int32)
 
 
-def _groups(texts: list[str | None], limit: int = 500_000) -> Iterator[list[str]]:
+def _groups(texts: list[str | None], limit: int = 200_000) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters, so that a scan's arrays stay small."""
     group: list[str] = []
     size = 0
@@ -339,17 +339,17 @@ def share(df: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
     return df.sparkSession.sparkContext.broadcast((name, ranks))
 
 
-def encoded(df: DataFrame, text: str, ranks: dict[bytes, int], into: str = "tokens") -> DataFrame:
-    """``df`` with a struct column: ids, and the byte offset of every token. The table of ranks travels to the tasks."""
+def encoded(df: DataFrame, text: str, ranks: dict[bytes, int], into: str = "tokens", with_offsets: bool = True) -> DataFrame:
+    """``df`` with a struct column: ids and, if wanted, the byte offset of every token. The table of ranks travels to the tasks."""
     shared = share(df, ranks)
 
-    @F.pandas_udf("ids array<int>, offsets array<int>")
+    @F.pandas_udf("ids array<int>" + ", offsets array<int>" * with_offsets)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = coder_of(shared)
         for batch in batches:
             # compact arrays: a batch may hold many millions of ids
             ids = [np.fromiter(chain.from_iterable(got), np.int32) for group in _groups(batch.tolist()) for got in coder.encode(group)]
-            yield pd.DataFrame({"ids": ids, "offsets": [coder.offsets(x) for x in ids]})
+            yield pd.DataFrame({"ids": ids} | ({"offsets": [coder.offsets(x) for x in ids]} if with_offsets else {}))
 
     return df.withColumn(into, run(F.col(text)))
 
