@@ -1,10 +1,11 @@
 """Suffix dedup: bytes covered by a 200-byte string that occurs twice anywhere are removed.
 
 A string of 200 bytes holds the smallest hash of its 32-byte strings; equal strings hold it
-at the same place. Only suffixes at such anchors are sorted: those whose anchor occurs
-twice travel with the bytes around it, keyed by the anchor and the 84 bytes on one side of
-it, of which any 200 bytes around an anchor hold one side whole. Equal surroundings are
-merged before they meet. Within a key the text after and, reversed, before the anchors is
+at the same place. Only suffixes at such anchors are sorted. Anchors first meet by hashes: one
+that occurs once is no repeat, and one whose surroundings are the same at every place repeats
+as far as its text goes. Of the others every different surrounding is fetched once, keyed by
+the anchor and the 84 bytes on one side of it, of which any 200 bytes around an anchor hold
+one side whole. Within a key the text after and, reversed, before the anchors is
 put in suffix order by deep-shallow sorting: a multikey sort on the first words, then blind
 tries for the groups still tied. The common prefixes of neighbours give, for every offset
 of a 200-byte string around the anchor, the classes of equal left and right parts.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,48 +167,60 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = max(64, total // 4_000_000)
 
     def find(batch: pd.DataFrame) -> pd.DataFrame:
-        found = [anchors(bytes(raw)) for raw in batch["raw"]]
-        count = [len(p) for p, _ in found]
-        join = lambda k: np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
-        return pd.DataFrame({"rid": np.repeat(batch["rid"].to_numpy(), count), "pos": join(0), "anchor": join(1)})
-
-    at = _map(texts.where(F.octet_length("raw") >= LENGTH).select("rid", "raw"), find, "rid long, pos long, anchor long")
-    twice = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    places = at.join(twice, "anchor").groupBy("rid").agg(F.collect_set(F.struct("pos", "anchor")).alias("places"))
+        rids, pos, anchor, ctx = [], [], [], []
+        for rid, raw in zip(batch["rid"], batch["raw"]):
+            raw = bytes(raw)
+            at, hashes = anchors(raw)
+            rids.append(np.full(len(at), rid, np.int64))
+            pos.append(at)
+            anchor.append(hashes)
+            ctx += [xxhash.xxh3_64_intdigest(raw[max(p - REACH, 0) : p + LENGTH], seed=min(p, REACH)) for p in at.tolist()]
+        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+        return pd.DataFrame({"rid": join(rids), "pos": join(pos).astype(np.int32), "anchor": join(anchor), "ctx": np.array(ctx, np.uint64).view(np.int64)})
+
+    at = _map(texts.where(F.octet_length("raw") >= LENGTH).select("rid", "raw"), find, "rid long, pos int, anchor long, ctx long")
+    met = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+    # an anchor whose surroundings are equal everywhere is decided by its count alone
+    places = at.join(met.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor").select("rid", "pos", "ctx", "same")
+    unlike = places.where("not same").groupBy("ctx").agg(F.min(F.struct("rid", "pos")).alias("at"), F.count(F.lit(1)).alias("times"))
+    samples = unlike.select("at.rid", "at.pos", "ctx", "times").groupBy("rid").agg(F.collect_set(F.struct("pos", "ctx", "times")).alias("found"))
 
     def surround(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for rid, raw, spots in zip(batch["rid"], batch["raw"], batch["places"]):
+        for raw, spots in zip(batch["raw"], batch["found"]):
             raw = bytes(raw)
             for spot in spots:
-                pos, anchor = spot["pos"], spot["anchor"]
+                pos, ctx, times = spot["pos"], spot["ctx"], spot["times"]
                 end = pos + GRAM
                 if pos >= HALF:
-                    out.append((rid, pos, anchor, 0, raw[pos - HALF : pos], raw[max(pos - REACH, 0) : pos][::-1], raw[end : end + REACH - HALF]))
+                    out.append((xxhash.xxh3_64_intdigest(raw[pos - HALF : end]), ctx, times, 0, raw[max(pos - REACH, 0) : pos][::-1], raw[end : end + REACH - HALF]))
                 if end + HALF + 1 <= len(raw):
-                    out.append((rid, pos, anchor, 1, raw[end : end + HALF + 1], raw[max(pos - HALF + 1, 0) : pos][::-1], raw[end : end + REACH]))
-        return pd.DataFrame(out, columns=["rid", "pos", "anchor", "side", "near", "before", "after"])
+                    out.append((xxhash.xxh3_64_intdigest(raw[pos : end + HALF + 1], seed=1), ctx, times, 1, raw[max(pos - HALF + 1, 0) : pos][::-1], raw[end : end + REACH]))
+        frame = pd.DataFrame(out, columns=["key", "ctx", "times", "side", "before", "after"])
+        return frame.assign(key=frame["key"].to_numpy(np.uint64).view(np.int64))
 
-    # the same columns as in the last join, so that the texts are dealt out once
-    around = _map(texts.join(places, "rid").select("doc_id", "rid", "raw", "places"), surround,
-                  "rid long, pos long, anchor long, side int, near binary, before binary, after binary")
-    around = around.select("rid", "pos", "side", F.xxhash64("anchor", "side", "near").alias("key"), "before", "after", F.xxhash64("before", "after").alias("ctx"))
-    merged = around.groupBy("key", "side", "before", "after", "ctx").agg(F.count(F.lit(1)).alias("times"))
+    # every surrounding is fetched once; the same columns as in the last join, so that the texts are dealt out once
+    around = _map(texts.join(samples, "rid").select("doc_id", "rid", "raw", "found"), surround, "key long, ctx long, times long, side int, before binary, after binary")
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for side, own in rows.groupby("side"):
             low, high = (HALF, REACH) if side == 0 else (0, HALF - 1)
-            left, right = [bytes(x) for x in own["before"]], [bytes(x) for x in own["after"]]
-            marks = marked_offsets(own["key"].to_numpy(), left, right, own["times"].to_numpy(), low, high)
-            hit = marks.any(axis=1)
-            wide = np.zeros((int(hit.sum()), REACH + 1), np.uint8)
-            wide[:, low : high + 1] = marks[hit]
-            out.append(pd.DataFrame({"key": own["key"].to_numpy()[hit], "ctx": own["ctx"].to_numpy()[hit], "marks": [w.tobytes() for w in np.packbits(wide, axis=1)]}))
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "ctx": [], "marks": []})
-
-    marks = merged.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(mark, "key long, ctx long, marks binary")
-    found = around.select("rid", "pos", "key", "ctx").join(marks, ["key", "ctx"]).groupBy("rid").agg(F.collect_set(F.struct("pos", "marks")).alias("found"))
+            seen: dict[tuple, int] = {}  # equal surroundings within the reach of this side are one
+            which = np.array([seen.setdefault(x, len(seen)) for x in zip(own["key"], own["before"], own["after"])], np.int64)
+            times = np.bincount(which, own["times"].to_numpy()).astype(np.int64)
+            keys = np.fromiter((k for k, _, _ in seen), np.int64, len(seen))
+            marks = marked_offsets(keys, [b for _, b, _ in seen], [a for _, _, a in seen], times, low, high)
+            wide = np.zeros((len(seen), REACH + 1), np.uint8)
+            wide[:, low : high + 1] = marks
+            bits = [w.tobytes() for w in np.packbits(wide, axis=1)]
+            hit = marks.any(axis=1)[which]
+            out.append(pd.DataFrame({"ctx": own["ctx"].to_numpy()[hit], "marks": [bits[i] for i in which[hit].tolist()]}))
+        return pd.concat(out) if out else pd.DataFrame({"ctx": [], "marks": []})
+
+    marks = around.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(mark, "ctx long, marks binary")
+    marks = marks.groupBy("ctx").agg(F.collect_set("marks").alias("marks"))  # one of each side
+    found = places.join(marks, "ctx", "left").where("same or marks is not null").groupBy("rid").agg(F.collect_set(F.struct("pos", "marks")).alias("found"))
 
     def cut(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -214,9 +228,15 @@ def repeats(docs: DataFrame) -> DataFrame:
             raw = bytes(raw)
             edge = np.zeros(len(raw) + 1, np.int64)
             for spot in spots if spots is not None else []:
-                l = np.flatnonzero(np.unpackbits(np.frombuffer(spot["marks"], np.uint8))[: REACH + 1])
-                np.add.at(edge, spot["pos"] - l, 1)
-                np.add.at(edge, spot["pos"] - l + LENGTH, -1)
+                pos = spot["pos"]
+                if spot["marks"] is None:  # whatever fits into the text
+                    edge[pos - min(pos, REACH)] += 1
+                    edge[pos - max(0, REACH + pos + GRAM - len(raw)) + LENGTH] -= 1
+                    continue
+                for bits in spot["marks"]:
+                    l = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))[: REACH + 1])
+                    np.add.at(edge, pos - l, 1)
+                    np.add.at(edge, pos - l + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             spans = int((gone & ~np.append(False, gone[:-1])).sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
