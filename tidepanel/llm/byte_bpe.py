@@ -14,15 +14,17 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points of white space, and letters after an apostrophe that end a contraction.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -265,8 +267,11 @@ class Coder:
         for t in texts:
             parts += [np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0x110000], np.uint32)]
         points = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        width = (1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)) * (points < 0x110000)
-        offset = np.append(0, np.cumsum(width))  # byte offsets of all texts in a row
+        width = (points < 0x110000).astype(np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += (points >= least) & (points < 0x110000)
+        offset = np.zeros(len(points) + 1, np.int64)  # byte offsets of all texts in a row
+        np.cumsum(width, out=offset[1:])
         start = boundaries(points)
         is_end = points == 0x110000
         cuts = offset[:-1][start]
@@ -306,7 +311,7 @@ class Coder:
         return (np.cumsum(size) - size).astype(np.int32)
 
 
-def _groups(texts: list[str | None], limit: int = 200_000) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str | None], limit: int = 200_000) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters, so that a scan's arrays stay small."""
     group: list[str] = []
     size = 0
@@ -340,18 +345,38 @@ def share(df: DataFrame, ranks: dict[bytes, int]) -> Broadcast:
 
 
 def encoded(df: DataFrame, text: str, ranks: dict[bytes, int], into: str = "tokens", with_offsets: bool = True) -> DataFrame:
-    """``df`` with a struct column: ids and, if wanted, the byte offset of every token. The table of ranks travels to the tasks."""
-    shared = share(df, ranks)
+    """``df`` with a struct column: ids and, if wanted, the byte offset of every token. The table of ranks travels to the tasks.
 
-    @F.pandas_udf("ids array<int>" + ", offsets array<int>" * with_offsets)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    A task holds one Arrow batch and the tokens of one run of texts at a time; runs leave as batches of their own.
+    A column named ``into`` is replaced.
+    """
+    shared = share(df, ranks)
+    if into == text:
+        raise ValueError("the tokens need a column of their own")
+    rest = df.drop(into)
+    place = rest.columns.index(text)
+    plain = rest.toDF(*[f"c{i}" for i in range(len(rest.columns))])  # names may hold dots
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType())) for name in ["ids", *["offsets"] * with_offsets]]
+    kinds = pa.struct([pa.field(f.name, pa.list_(pa.int32())) for f in fields])
+
+    def listed(arrays: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
         for batch in batches:
-            # compact arrays: a batch may hold many millions of ids
-            ids = [np.fromiter(chain.from_iterable(got), np.int32) for group in _groups(batch.tolist()) for got in coder.encode(group)]
-            yield pd.DataFrame({"ids": ids} | ({"offsets": [coder.offsets(x) for x in ids]} if with_offsets else {}))
-
-    return df.withColumn(into, run(F.col(text)))
+            at = 0
+            for group in _groups(x.as_py() for x in batch.column(place)):
+                ids = [np.fromiter(chain.from_iterable(got), np.int32) for got in coder.encode(group)]
+                columns = [listed(ids)] + [listed([coder.offsets(x) for x in ids])] * with_offsets
+                part = batch.slice(at, len(group))
+                at += len(group)
+                tokens = pa.StructArray.from_arrays(columns, fields=list(kinds))
+                yield pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, "tokens"])
+
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("tokens", T.StructType(fields))]))
+    return out.toDF(*rest.columns, into)
 
 
 def decoded(df: DataFrame, ids: str, ranks: dict[bytes, int], into: str = "bytes") -> DataFrame:
