@@ -202,15 +202,16 @@ def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov, n_tasks: int
 
 
 def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol: float = 1e-3, n_init: int = 1, reg: float = 1e-2, seed: int = 0,
-        stay: float = 0.95) -> HiddenMarkov:
+        stay: float = 0.95, retry: bool = True) -> HiddenMarkov:
     """Baum-Welch over all sequences; ``rows(idx, x)`` are the same vectors for the starting means.
 
     ``blocks`` should come from ``stored``, so that each pass moves only the chained vectors.
-    A fit whose likelihood is not finite is repeated with another seed.
+    A fit whose likelihood is not finite is repeated once with another seed, then an error.
     """
     def moments(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
+    source = rows
     held, rows, n_tasks = pooled(rows)
     v = fold_pass(rows, moments, ["all"], n_tasks)["all"]
     d = (len(v) - 1) // 2
@@ -245,7 +246,9 @@ def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol:
         if best is None or m.loglik > best.loglik:
             best = m
     if not np.isfinite(best.loglik):
-        return fit(blocks, rows, k, max_iter, tol, n_init, reg, seed + 1, stay)
+        if not retry:
+            raise ValueError("the likelihood is not finite; check the vectors and raise reg")
+        return fit(blocks, source, k, max_iter, tol, n_init, reg, seed + 1, stay, retry=False)
     return best
 
 

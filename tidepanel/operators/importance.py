@@ -24,7 +24,7 @@ def _vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.select(array_to_vector(vector).alias("vec"), F.col(label).cast("double").alias("label"))
 
 
-def forest_importance(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), trees: int = 200, depth: int = 15) -> DataFrame:
+def forest_importance(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), trees: int = 200, depth: int = 30) -> DataFrame:
     """Impurity importance of every vector component, one forest per seed."""
     data = _vectors(df, vector, label).persist()
     rows = []
@@ -67,7 +67,7 @@ def permuted_copies(df: DataFrame, vector: str, label: str, width: int, repeats:
     return spread.groupBy("_bucket").applyInPandas(permute, "feature long, repeat int, x array<double>, label double")
 
 
-def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0, repeats: int = 3, trees: int = 200, depth: int = 15) -> DataFrame:
+def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0, repeats: int = 3, trees: int = 200, depth: int = 30) -> DataFrame:
     """Mean accuracy lost when one component is permuted."""
     data = _vectors(df, vector, label).persist()
     model = _forest(data, seed, trees, depth)
@@ -81,7 +81,7 @@ def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0
 
 
 def ranked_features(df: DataFrame, long: DataFrame, vector: str = "x", label: str = "label", seeds: Sequence[int] = (0, 1, 2), repeats: int = 3,
-                    trees: int = 200, depth: int = 15) -> DataFrame:
+                    trees: int = 200, depth: int = 30) -> DataFrame:
     """Mean rank over seeds of impurity, permutation and F importance, best first."""
     gini = forest_importance(df, vector, label, seeds, trees, depth)
     drops = None

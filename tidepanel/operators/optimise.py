@@ -121,6 +121,7 @@ def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: floa
     y = np.concatenate([x0, [v0], np.maximum(loss - v0, 0.0) + 0.01])
     if cap * k <= 1.0 + 1e-9:
         return x0, v0, True
+    decrease = np.inf
 
     def value(y: np.ndarray, t: float) -> float:
         slack = lhs @ y + rhs
@@ -148,7 +149,8 @@ def _euclidean(r: np.ndarray, p: np.ndarray, eta: float, theta: float, cap: floa
                 break
             y = y + size * step
         if m / t < gap:
-            return y[:k], float(y[k]), bool(np.isfinite(y).all())
+            # a Newton decrement this small bounds the distance to the centre, and with it the gap
+            return y[:k], float(y[k]), bool(np.isfinite(y).all() and decrease < 0.1)
         t *= 20.0
 
 
