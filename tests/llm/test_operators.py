@@ -139,6 +139,7 @@ def test_topk(spark):
         best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
         expected |= {(i, k, j, -s) for k, (s, j) in enumerate(best, 1)}
     assert {tuple(r) for r in topk_search.search(df).collect()} == expected
+    assert {tuple(r) for r in topk_search.search(df, vectors_each=60, queries_each=2).collect()} == expected
     assert topk_search.search(df.limit(0)).count() == 0
     assert topk_search.search(df.where("vec_id in (0, 3)")).count() == 1
 
