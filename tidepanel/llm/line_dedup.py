@@ -25,7 +25,8 @@ LETTERS = "aeinorst"
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no (from 0), line and its name, for lines long enough to be judged."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # outer forms throughout: the plain ones evaluate their array once more, for a filter on its size
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
 
 
@@ -157,8 +158,9 @@ def within(a: Column, b: Column, tau: int) -> Column:
 def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of names of different lines within ``tau`` edits; ``lines`` has lid and line, one row per lid."""
     sized = lines.withColumn("size", F.length("line"))
-    own = sized.select("lid", F.explode(segment_keys(tau)).alias("key"))
-    probes = sized.select("lid", F.explode(probe_keys(tau, min_chars)).alias("key")).where("key is not null")
+    # a projection evaluates what its expressions share once; within the generator they would not share it
+    own = sized.select("lid", segment_keys(tau).alias("keys")).select("lid", F.explode_outer("keys").alias("key"))
+    probes = sized.select("lid", probe_keys(tau, min_chars).alias("keys")).select("lid", F.explode_outer("keys").alias("key")).where("key is not null")
     meets = lambda x, y: x.alias("x").join(y.alias("y"), F.expr("x.key = y.key and x.lid <> y.lid"), "left_semi")
     members = meets(own, probes).withColumn("own", F.lit(True)).unionByName(meets(probes, own).withColumn("own", F.lit(False)))
     count = lambda letters: F.length("line") - F.length(F.translate("line", letters, ""))
@@ -166,7 +168,7 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     few = stored(members.join(lines, "lid").select("key", "own", "lid", "line", counts.alias("counts"), count("abcdefghijklm").alias("half")))
     # the count of half the letters differs by at most tau: busy keys fall apart into windows of it
     window = F.floor(F.col("half") / (tau + 1))
-    left = few.where("own").select("key", "lid", "line", "counts", F.explode(F.array(window - 1, window, window + 1)).alias("window")).alias("x")
+    left = few.where("own").select("key", "lid", "line", "counts", F.explode_outer(F.array(window - 1, window, window + 1)).alias("window")).alias("x")
     right = few.where("not own").select("key", "lid", "line", "counts", window.alias("window")).alias("y")
     near = F.expr("x.key = y.key and x.window = y.window and x.lid <> y.lid")
     for i in range(len(LETTERS)):
