@@ -75,7 +75,9 @@ def common_prefix(a: Column, b: Column, limit: Column) -> Column:
         same = (s["n"] + k <= s["limit"]) & (F.substring(s["a"], s["n"] + 1, k) == F.substring(s["b"], s["n"] + 1, k))
         return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["limit"].alias("limit"), (s["n"] + F.when(same, k).otherwise(0)).alias("n"))
 
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), start, step)["n"]
+    highest = F.least(F.floor(F.log2(F.greatest(limit, F.lit(1)).cast("double"))).cast("int") + 1, F.lit(30))  # one more than needed, as log2 rounds
+    powers = F.transform(F.sequence(highest, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(powers, start, step)["n"]
 
 
 def close(a: Column, b: Column, tau: int) -> Column:
