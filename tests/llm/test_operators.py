@@ -195,6 +195,49 @@ def test_katz_normalises(spark, make_docs):
         assert mass.sum() == pytest.approx(1.0)
 
 
+def katz_scores(rows, held):
+    """log10 scores by brute force, every training word with counts of its own."""
+    split = lambda t: (t or "").encode().lower().split() + [None]
+    train = [split(t) for d, t in rows if not held(d)]
+    words = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip(["start", *t], t))
+    size = sum(words.values()) + len(words) + 1
+    of = Counter(pairs.values())
+    d = katz.discounts([of[r] for r in range(1, katz.TOP + 2)])
+    kept = lambda c: c * d[c - 1] if c <= katz.TOP else c
+    after = defaultdict(dict)
+    for (h, w), c in pairs.items():
+        after[h][w] = c
+
+    def p(h, w):
+        seen, total = after.get(h, {}), sum(after.get(h, {}).values())
+        if not seen:
+            return (words[w] + 1) / size
+        freed = total - sum(map(kept, seen.values()))
+        share = total / (total + 0.5) if freed < 1e-9 else 1.0
+        if w in seen:
+            return kept(seen[w]) / total * share
+        left = 0.5 / (total + 0.5) if freed < 1e-9 else freed / total
+        return left * (words[w] + 1) / size / (1 - sum((words[x] + 1) / size for x in seen))
+
+    return {d: sum(math.log10(p(h, w)) for h, w in zip(["start", *split(t)], split(t))) for d, t in rows}
+
+
+def test_katz_keeps_every_word(make_docs):
+    """The score is that of the whole model, however few words are cached."""
+    rng = random.Random(12)
+    rows = sample_texts() + [(i, " ".join(f"x{int(rng.paretovariate(0.6))}" for _ in range(60))) for i in range(200, 260)]
+    held = lambda d: zlib.crc32(str("null" if d is None else d).encode()) % 7 == 2
+    expected = katz_scores(rows, held)
+    assert sum(held(d) for d, _ in rows) > 5
+    docs = make_docs(rows).select("doc_id", "text")
+    for vocabulary in (1, 20, 100, 1 << 18):
+        got = katz.scored(docs, vocabulary=vocabulary).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.score == pytest.approx(expected[r.doc_id]), (vocabulary, r.doc_id)
+
+
 def test_suffix_dedup(make_docs):
     rng = random.Random(4)
     passage = prose(rng, 70)

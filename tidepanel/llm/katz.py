@@ -1,11 +1,14 @@
 """LM scoring by Katz backoff: Good-Turing discounted bigram counts, backing off to single words.
 
-Words are counted over all training texts. The ``vocabulary`` most frequent ones (a bounded
-table, a parameter of the model) get numbers; any other word counts as one rare class, within
-which its own count decides, so that every word has a probability and all of them sum to one.
-Bigrams are packed by ranges into binary columns: distinct ones per task travel, a part adds
-them up, and the parts form the stored model. For scoring, the bigrams of the texts meet the
-part that holds them. Very frequent first words are spread over all parts.
+Words are counted over all training texts. The ``vocabulary`` most frequent ones are cached:
+they have numbers, and their counts and backoff weights are broadcast. This only saves space:
+all other words go by their hashes and have bigrams, counts and backoff weights of their own in
+the partitioned tables, so the size of the cache does not change the result.
+Bigrams are packed by parts into binary columns: distinct ones per task travel, a part adds
+them up, and the parts form the stored model. The counts of uncached second words come by a join,
+as sums per first word. For scoring, the bigrams of the texts meet the part that holds them; an
+unseen bigram's uncached second word then meets the word counts. Very frequent first words are
+spread over all parts.
 
 P(w | h) = d(c) c / C(h) for seen pairs, with d the Good-Turing discount up to counts of 5, and
 alpha(h) P(w) for others; alpha(h) is the mass the discounts free, over the mass of the words
@@ -66,7 +69,7 @@ def tokens(text: str | None, names: Names) -> list[int]:
 
 @dataclass
 class Words:
-    """The numbered words: position in ``hashes`` is the number, most frequent first."""
+    """The cached words: position in ``hashes`` is the number, most frequent first."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -77,13 +80,15 @@ class Words:
         self.k = len(self.hashes)
         self.order = np.argsort(self.hashes, kind="stable")
         self.sorted = self.hashes[self.order]
-        rare = self.total - int(self.counts.sum())
-        self.rare_total, self.rare_distinct = rare, self.distinct - self.k
-        mass = np.append(self.counts, rare) + 1.0
-        self.p = mass / mass.sum()  # the last one is the rare class
+        rest = self.total - int(self.counts.sum()) + self.distinct - self.k
+        self.p = (np.append(self.counts, rest) + 1.0) / (self.total + self.distinct + 1)  # the last one is all other words together
+
+    def number_of(self, names: np.ndarray) -> np.ndarray:
+        """Numbers of words that are called by number, if cached, or by hash; k for the latter."""
+        return np.where((names >= 0) & (names < self.k + 2), names, self.k)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers; k for the rare class."""
+        """Numbers; k for a word that is not cached."""
         if not self.k:
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, hashes), self.k - 1)
@@ -133,38 +138,58 @@ def _sums(raw: bytes) -> np.ndarray:
 
 
 def part_of(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
-    mix = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(first < HOT, second, 0).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mix = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where((first >= 0) & (first < HOT), second, 0).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return ((mix ^ (mix >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
 
 
-PACKED = "part long, keys binary, docs binary, times binary, rids binary"
+PACKED = "part long, keys binary, docs binary, times binary, rids binary, first binary, second binary, hashed_docs binary, hashed_times binary, hashed_rids binary"
 
 
 def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int = 1_500_000) -> DataFrame:
-    """Bigrams of the texts by part: with counts per task, or, for scoring, per document."""
+    """Bigrams of the texts by part: with counts per task, or, for scoring, per document.
 
-    def pack(rids: list[int], sizes: list[int], hashes: list[int]) -> pd.DataFrame:
-        w = words.value
-        second = w.number(np.array(hashes, np.int64))
-        starts = np.cumsum([0, *sizes[:-1]])
-        first = np.roll(second, 1)
-        first[starts] = w.k + 1  # before the first word
-        key = first * (w.k + 2) + second
-        doc = np.repeat(np.arange(len(rids)), sizes) if by_doc else np.zeros(len(key), np.int64)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-        times = np.diff(np.append(new, len(key)))
-        key, doc = key[new], doc[new]
-        part = part_of(key // (w.k + 2), key % (w.k + 2), parts)
+    Bigrams of cached words are keyed by both numbers; the others by two names, a number or a hash.
+    """
+
+    def split(part: np.ndarray, values: list[np.ndarray], doc: np.ndarray, times: np.ndarray, rids: np.ndarray, side: str) -> pd.DataFrame:
         order = np.argsort(part, kind="stable")
-        key, doc, times, part = key[order], doc[order], times[order], part[order]
-        bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
-        names, rows = np.array(rids, np.int64), []
+        part, doc, times, values = part[order], doc[order], times[order], [v[order] for v in values]
+        bounds = (np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []) + [len(part)]
+        rows = []
         for i, j in zip(bounds, bounds[1:]):
             own, local = np.unique(doc[i:j], return_inverse=True)
-            rows.append((int(part[i]), _deltas(key[i:j]), _squeeze(local.astype(np.int32)), _squeeze(times[i:j].astype(np.int32)), names[own].tobytes() if by_doc else b""))
-        return pd.DataFrame(rows, columns=["part", "keys", "docs", "times", "rids"])
+            named = [_deltas(values[0][i:j])] + [_squeeze(v[i:j]) for v in values[1:]]
+            rows.append((int(part[i]), *named, _squeeze(local.astype(np.int32)), _squeeze(times[i:j].astype(np.int32)), rids[own].tobytes() if by_doc else b""))
+        names = ["first", "second"] if side else ["keys"]
+        return pd.DataFrame(rows, columns=["part", *names, f"{side}docs", f"{side}times", f"{side}rids"])
+
+    def pack(rids: list[int], sizes: list[int], hashes: list[int]) -> pd.DataFrame:
+        w = words.value
+        own, second = np.unique(np.array(hashes, np.int64), return_inverse=True)
+        numbers = np.append(w.number(own), w.k + 1)
+        first = np.roll(second, 1)
+        first[np.cumsum([0, *sizes[:-1]])] = len(own)  # before the first word
+        doc = np.repeat(np.arange(len(rids)), sizes) if by_doc else np.zeros(len(second), np.int64)
+        names = np.array(rids, np.int64)
+        hashed = (numbers[first] == w.k) | (numbers[second] == w.k)
+
+        many = len(rids) if by_doc else 1
+        both = (numbers[first] * (w.k + 2) + numbers[second])[~hashed] * many + doc[~hashed]
+        both, times = np.unique(both, return_counts=True)
+        key, own_doc = both // many, both % many
+        rows = split(part_of(key // (w.k + 2), key % (w.k + 2), parts), [key], own_doc, times, names, "")
+
+        one, two, doc = first[hashed], second[hashed], doc[hashed]
+        called = np.where(numbers == w.k, np.append(own, 0), numbers)
+        one, two = called[one], called[two]
+        order = np.lexsort((doc, two, one))
+        one, two, doc = one[order], two[order], doc[order]
+        new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]))) if len(one) else np.empty(0, np.int64)
+        times = np.diff(np.append(new, len(one)))
+        one, two, doc = one[new], two[new], doc[new]
+        others = split(part_of(one, two, parts), [one, two], doc, times, names, "hashed_")
+        out = rows.merge(others, "outer", "part") if len(others) else rows.reindex(columns=[*rows.columns, *others.columns[1:]])
+        return out.astype(object).where(out.notna(), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names()
@@ -184,34 +209,77 @@ def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int =
     return docs.select("rid", "text").mapInPandas(run, PACKED)
 
 
+def _joined(column: pd.Series, read=_ints, *kind) -> np.ndarray:
+    """The values of all rows that have any, one after the other."""
+    return np.concatenate([np.empty(0, *kind or (np.int64,)), *[read(x, *kind) for x in column if x is not None]])
+
+
+SPECTRUM = [f"n{r}" for r in range(1, TOP + 2)]
+TABLE = "part long, keys binary, counts binary, first binary, second binary, hashed_counts binary, " + ", ".join(f"{n} long" for n in SPECTRUM)
+
+
 def bigram_table(pairs: DataFrame) -> DataFrame:
-    """The stored counts: one row per part with its sorted bigrams and their counts."""
+    """The stored counts: one row per part with its sorted bigrams, their counts, and how many have count 1..TOP + 1."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, times = np.concatenate([_sums(x) for x in rows["keys"]]), np.concatenate([_ints(x, np.int32) for x in rows["times"]])
-        keys, which = np.unique(keys, return_inverse=True)
-        counts = np.bincount(which, times).astype(np.int64)
-        return pd.DataFrame([(int(rows["part"].iloc[0]), _deltas(keys), _squeeze(counts))], columns=["part", "keys", "counts"])
+        keys, which = np.unique(_joined(rows["keys"], _sums), return_inverse=True)
+        counts = np.bincount(which, _joined(rows["times"], _ints, np.int32), len(keys)).astype(np.int64)
+        first, second, times = _joined(rows["first"], _sums), _joined(rows["second"]), _joined(rows["hashed_times"], _ints, np.int32)
+        order = np.lexsort((second, first))
+        first, second, times = first[order], second[order], times[order]
+        new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(first) else np.empty(0, np.int64)
+        hashed = np.add.reduceat(times.astype(np.int64), new) if len(new) else np.empty(0, np.int64)
+        spectrum = np.bincount(np.minimum(np.append(counts, hashed), TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist()
+        row = (int(rows["part"].iloc[0]), _deltas(keys), _squeeze(counts), _deltas(first[new]), _squeeze(second[new]), _squeeze(hashed), *spectrum)
+        return pd.DataFrame([row], columns=["part", "keys", "counts", "first", "second", "hashed_counts", *SPECTRUM])
 
-    return pairs.groupBy("part").applyInPandas(add, "part long, keys binary, counts binary")
+    return pairs.groupBy("part").applyInPandas(add, TABLE)
 
 
-def contexts(table: DataFrame, words) -> DataFrame:
-    """Per first word: sum of counts, bigrams with count 1..TOP + 1, and the mass of the words seen after it; at most one row per number."""
-    names = [f"n{r}" for r in range(1, TOP + 2)]
+def uncached_mass(table: DataFrame, counts: DataFrame, words, parts: int) -> DataFrame:
+    """first (number or hash), its part, and the mass of the uncached words seen after it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = words.value
         for batch in batches:
-            for raw, times in zip(batch["keys"], batch["counts"]):
-                keys, counts = _sums(raw), _ints(times)
-                first, which = np.unique(keys // (w.k + 2), return_inverse=True)
-                out = {"first": first, "total": np.bincount(which, counts).astype(np.int64), "mass": np.bincount(which, w.p[keys % (w.k + 2)])}
-                out |= {n: np.bincount(which, counts == r).astype(np.int64) for r, n in enumerate(names, 1)}
-                yield pd.DataFrame(out)
+            for one, two in zip(batch["first"], batch["second"]):
+                one, two = _sums(one), _ints(two)
+                rare = w.number_of(two) == w.k
+                yield pd.DataFrame({"first": one[rare], "word": two[rare]})
+
+    asked = table.select("first", "second").mapInPandas(run, "first long, word long").join(counts, "word")
+    w = words.value
+    summed = asked.groupBy("first").agg(F.sum((F.col("n") + 1) / float(w.total + w.distinct + 1)).alias("mass"))
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first = batch["first"].to_numpy()
+            yield batch.assign(part=part_of(first, np.zeros(len(first), np.int64), parts))
+
+    return summed.mapInPandas(parted, "first long, mass double, part long")
+
 
-    rows = table.select("keys", "counts").mapInPandas(run, "first long, total long, mass double, " + ", ".join(f"{n} long" for n in names))
-    return rows.groupBy("first").agg(*[F.sum(c).alias(c) for c in ["total", "mass", *names]])
+def contexts(table: DataFrame, mass: DataFrame, words, factors: np.ndarray) -> DataFrame:
+    """Per cached first word: sum of counts, what the discounts free of it, the mass of the words seen after it, and what uncached words keep of the counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = words.value
+        for batch in batches:
+            for raw, times, one, two, hashed in zip(batch["keys"], batch["counts"], batch["first"], batch["second"], batch["hashed_counts"]):
+                keys, counts, one, two, hashed = _sums(raw), _ints(times), _sums(one), _ints(two), _ints(hashed)
+                cached = w.number_of(one) != w.k
+                second = np.append(keys % (w.k + 2), np.full(int(cached.sum()), w.k))
+                first, counts = np.append(keys // (w.k + 2), one[cached]), np.append(counts, hashed[cached])
+                first, which = np.unique(first, return_inverse=True)
+                kept = factors[np.minimum(counts, TOP + 1)] * counts
+                add = lambda x: np.bincount(which, x, len(first))  # noqa: E731, B023
+                p = np.append(w.p[:-1], 0.0)[second]
+                yield pd.DataFrame({"first": first, "total": add(counts).astype(np.int64), "freed": add(counts - kept), "mass": add(p), "outside": add(kept * (second == w.k))})
+
+    rows = table.select("keys", "counts", "first", "second", "hashed_counts").mapInPandas(run, "first long, total long, freed double, mass double, outside double")
+    k = words.value.k
+    more = mass.where(F.col("first").between(0, k + 1)).select("first", F.lit(0).cast("long"), F.lit(0.0), "mass", F.lit(0.0))
+    return rows.union(more).groupBy("first").agg(*[F.sum(c).alias(c) for c in ["total", "freed", "mass", "outside"]])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -225,37 +293,53 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def backoff(total: np.ndarray, freed: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha and the scale of the seen bigrams, by first word."""
+    none = freed < 1e-9
+    left = np.where(none, 0.5 / (total + 0.5), freed / np.maximum(total, 1))
+    return left / np.maximum(1 - mass, 1e-12), np.where(none, total / (total + 0.5), 1.0)
+
+
 @dataclass
 class Model:
+    """What is broadcast: the cached words with the contexts they are."""
+
     words: Words
     factors: np.ndarray  # by count, 1 above TOP
     total: np.ndarray  # by first word
     alpha: np.ndarray
     scale: np.ndarray
+    outside: np.ndarray  # probability of all uncached words together
 
     def log_p(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each bigram's second word (as a number) after the first."""
+        """log10 of the probability of each bigram's second word (as a number) after the first; number k stands for all uncached words together."""
         w = self.words
         first, second = keys // (w.k + 2), keys % (w.k + 2)
         seen = self.factors[np.minimum(counts, TOP + 1)] * counts / np.maximum(self.total[first], 1) * self.scale[first]
-        return np.log10(np.where(counts > 0, seen, self.alpha[first] * w.p[second]))
+        unseen = np.where(second == w.k, self.outside[first], self.alpha[first] * w.p[second])
+        return np.log10(np.where(counts > 0, seen, unseen))
 
 
-def fit_contexts(words: Words, rows: list[np.ndarray]) -> Model:
-    first, total, mass, *n = rows
-    d = discounts([int(x.sum()) for x in n])
-    totals, alpha, scale = np.zeros(words.k + 2, np.int64), np.ones(words.k + 2), np.ones(words.k + 2)
-    freed = sum(((1 - d[r - 1]) * r * n[r - 1] for r in range(1, TOP + 1)), np.zeros(len(first)))
-    none = freed < 1e-9
-    scale[first] = np.where(none, total / (total + 0.5), 1.0)
-    left = np.where(none, 0.5 / (total + 0.5), freed / np.maximum(total, 1))
+def fit_contexts(words: Words, factors: np.ndarray, rows: list[np.ndarray], uncached: list[np.ndarray]) -> Model:
+    """``rows`` of ``contexts``, and the part of their mass that is of uncached words."""
+    first, total, freed, mass, kept = rows
+    totals, alpha, scale, outside = np.zeros(words.k + 2, np.int64), np.ones(words.k + 2), np.ones(words.k + 2), np.full(words.k + 2, words.p[-1])
+    seen = np.zeros(words.k + 2)
+    seen[uncached[0]] = uncached[1]
+    alpha[first], scale[first] = backoff(total, freed, mass)
     totals[first] = total
-    alpha[first] = left / np.maximum(1 - mass, 1e-12)
-    return Model(words, np.concatenate([[0.0], d, [1.0]]), totals, alpha, scale)
+    outside[first] = kept / np.maximum(total, 1) * scale[first] + alpha[first] * (words.p[-1] - seen[first])
+    return Model(words, factors, totals, alpha, scale, outside)
 
 
 def fit(docs: DataFrame, vocabulary: int = 1 << 18, part_tokens: int = 2_000_000):
-    """Word counts (stored), the numbered words, the stored bigram table, the model and the number of parts."""
+    """Word counts (stored), the cached words, the stored bigram table, the model and the number of parts."""
+    counts, shared, table, model, parts, _ = fitted(docs, vocabulary, part_tokens)
+    return counts, shared, table, model, parts
+
+
+def fitted(docs: DataFrame, vocabulary: int, part_tokens: int = 2_000_000):
+    """As ``fit``, and the stored masses of uncached words by first word."""
     spark = docs.sparkSession
     counts = stored(word_counts(docs))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -264,35 +348,99 @@ def fit(docs: DataFrame, vocabulary: int = 1 << 18, part_tokens: int = 2_000_000
     shared = spark.sparkContext.broadcast(words)
     parts = max(32, int(total // part_tokens))
     table = stored(bigram_table(packed_pairs(docs.where("not held_out"), shared, parts, by_doc=False)))
-    model = fit_contexts(words, _numpy(contexts(table, shared)))
-    return counts, shared, table, model, parts
-
-
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text)."""
+    spectrum = table.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in SPECTRUM]).first()
+    factors = np.concatenate([[0.0], discounts(list(spectrum)), [1.0]])
+    mass = stored(uncached_mass(table, counts, shared, parts))
+    cached = _numpy(mass.where(F.col("first").between(0, words.k + 1)).select("first", "mass"))
+    model = fit_contexts(words, factors, _numpy(contexts(table, mass, shared, factors)), cached)
+    return counts, shared, table, model, parts, mass
+
+
+def ranked(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` in the sorted, distinct ``among``, and which are there."""
+    if not len(among):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return at, among[at] == values
+
+
+class Hashed:
+    """The bigrams of a part that have an uncached word, and the contexts of its uncached first words."""
+
+    def __init__(self, model: Model, first: np.ndarray, second: np.ndarray, counts: np.ndarray, mass_of: np.ndarray, mass: np.ndarray):
+        self.m, w = model, model.words
+        self.counts, self.firsts, self.seconds = counts, np.unique(first), np.unique(second)
+        which = np.searchsorted(self.firsts, first)
+        self.keys = which * len(self.seconds) + np.searchsorted(self.seconds, second)
+        add = lambda x: np.bincount(which, x, len(self.firsts)).astype(float)
+        self.total = add(counts)
+        at, there = ranked(mass_of, self.firsts)
+        seen = add(np.append(w.p[:-1], 0.0)[w.number_of(second)])
+        seen[at[there]] += mass[there]
+        self.alpha, self.scale = backoff(self.total, add(counts * (1 - model.factors[np.minimum(counts, TOP + 1)])), seen)
+
+    def log_p(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each probability, for unseen bigrams with an uncached second word without that word's own; and which these are."""
+        m, w = self.m, self.m.words
+        a, known = ranked(first, self.firsts)
+        b, there = ranked(second, self.seconds)
+        at, seen = ranked(a * len(self.seconds) + b, self.keys)
+        seen &= known & there
+        n = np.where(seen, self.counts[at], 0) if len(self.counts) else np.zeros(len(first), np.int64)
+        number, other = w.number_of(first), w.number_of(second)
+        cached = number != w.k
+        own = lambda x, one: np.where(cached, one[number], np.where(known, x[a], 0 if one is m.total else 1)) if len(x) else one[number]
+        total, alpha, scale = own(self.total, m.total), own(self.alpha, m.alpha), own(self.scale, m.scale)
+        late = (n == 0) & (other == w.k)
+        p = np.where(n > 0, m.factors[np.minimum(n, TOP + 1)] * n / np.maximum(total, 1) * scale, alpha * np.where(other == w.k, 1.0, w.p[other]))
+        return np.log10(p), late
+
+
+def scored(docs: DataFrame, vocabulary: int = 1 << 18) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text); ``vocabulary`` is the size of the cache."""
     texts = marked(docs)
-    counts, shared, table, model, parts = fit(texts)
+    counts, shared, table, model, parts, mass = fitted(texts, vocabulary)
     spark = docs.sparkSession
     learned, words = spark.sparkContext.broadcast(model), model.words
     base = float(words.total + words.distinct + 1)
-    rare = float(words.rare_total + words.rare_distinct + 1)
 
     def pair_sums(pairs: pd.DataFrame, model_rows: pd.DataFrame) -> pd.DataFrame:
         m = learned.value
-        known, seen = (_sums(model_rows["keys"].iloc[0]), _ints(model_rows["counts"].iloc[0])) if len(model_rows) else (np.empty(0, np.int64),) * 2
-        out = []
+        known, seen = _joined(model_rows["keys"], _sums), _joined(model_rows["counts"])
+        masses = model_rows[model_rows["mass"].notna()]
+        first, second, hashed_counts = _joined(model_rows["first"], _sums), _joined(model_rows["second"]), _joined(model_rows["hashed_counts"])
+        hashed = Hashed(m, first, second, hashed_counts, _joined(masses["mass_of"]), _joined(masses["mass"], _ints, np.float64))
+        sums, late = [], []
         for keys, local, times, rids in zip(pairs["keys"], pairs["docs"], pairs["times"], pairs["rids"]):
+            if keys is None:
+                continue
             keys, local, times, rids = _sums(keys), _ints(local, np.int32), _ints(times, np.int32), np.frombuffer(rids, np.int64)
             count = np.zeros(len(keys), np.int64)
             if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                count = np.where(known[at] == keys, seen[at], 0)
-            out.append(pd.DataFrame({"rid": rids, "s": np.bincount(local, times * m.log_p(keys, count), len(rids))}))
-        return pd.concat(out).groupby("rid", as_index=False).sum() if out else pd.DataFrame({"rid": [], "s": []})
-
+                at, there = ranked(keys, known)
+                count = np.where(there, seen[at], 0)
+            sums.append(pd.DataFrame({"rid": rids, "s": np.bincount(local, times * m.log_p(keys, count), len(rids))}))
+        for one, two, local, times, rids in zip(*[pairs[c] for c in ("first", "second", "hashed_docs", "hashed_times", "hashed_rids")]):
+            if one is None:
+                continue
+            one, two, local, times, rids = _sums(one), _ints(two), _ints(local, np.int32), _ints(times, np.int32), np.frombuffer(rids, np.int64)
+            logs, left = hashed.log_p(one, two)
+            sums.append(pd.DataFrame({"rid": rids, "s": np.bincount(local, times * logs, len(rids))}))
+            late.append(pd.DataFrame({"rid": rids[local[left]], "word": two[left], "times": times[left].astype(np.int64)}))
+        out = pd.concat(sums).groupby("rid", as_index=False).sum() if sums else pd.DataFrame({"rid": np.empty(0, np.int64), "s": np.empty(0)})
+        rows = pd.concat([out.assign(word=pd.array([None] * len(out), "Int64"), times=0), *[x.assign(s=0.0, word=x["word"].astype("Int64")) for x in late]])
+        return rows[["rid", "s", "word", "times"]]
+
+    def pack_mass(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(rows["part"].iloc[0], _squeeze(rows["first"].to_numpy()), _squeeze(rows["mass"].to_numpy()))], columns=["part", "mass_of", "mass"])
+
+    masses = mass.where(~F.col("first").between(0, words.k + 1)).groupBy("part").applyInPandas(pack_mass, "part long, mass_of binary, mass binary")
     pairs = packed_pairs(texts, shared, parts, by_doc=True)
-    sums = pairs.groupBy("part").cogroup(table.groupBy("part")).applyInPandas(pair_sums, "rid long, s double")
-    pair_score = sums.groupBy("rid").agg(F.sum("s").alias("pair_score"))
+    rows = table.drop(*SPECTRUM).unionByName(masses, allowMissingColumns=True)
+    sums = pairs.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(pair_sums, "rid long, s double, word long, times long")
+    sums = stored(sums.groupBy("rid", "word").agg(F.sum("s").alias("s"), F.sum("times").alias("times")))
+    pair_score = sums.where("word is null").select("rid", F.col("s").alias("pair_score"))
+    late = sums.where("word is not null").select("rid", "word", F.lit(0).cast("long").alias("times"), F.col("times").alias("unseen"))
 
     def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, w = Names(), shared.value
@@ -307,10 +455,12 @@ def scored(docs: DataFrame) -> DataFrame:
             if rids:
                 yield pd.DataFrame({"rid": np.concatenate(rids), "word": np.concatenate(found), "times": np.concatenate(times)})
 
-    rare_rows = texts.select("rid", "text").mapInPandas(rare_words, "rid long, word long, times long").join(counts, "word", "left")
+    own_rare = texts.select("rid", "text").mapInPandas(rare_words, "rid long, word long, times long").withColumn("unseen", F.lit(0).cast("long"))
+    rare_rows = own_rare.unionByName(late).join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
+    log_p = F.log10((n + 1) / base)
     rare_sums = rare_rows.groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((n + 1) / base)).alias("rare_base"), F.sum(F.col("times") * F.log10((n + 1) / rare)).alias("rare_score"),
+        F.sum(F.col("times") * log_p).alias("rare_base"), F.sum(F.col("unseen") * log_p).alias("rare_score"),
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
     )
 
