@@ -200,6 +200,15 @@ def outer_concat(spark, sf):
     return a.unionByName(b.select(F.col("asset").alias("series_id"), F.col("month").alias("date"), rounded("ret").alias("value")))
 
 
+@query("outer_concat_by_universe", sql(f"""SELECT NULL AS universe, series_id, date, {r('price', 4)} AS value FROM prices UNION ALL
+    SELECT universe, asset, month, {r('ret')} FROM asset_returns""", "prices", "asset_returns"))
+def outer_concat_by_universe(spark, sf):
+    """Prices belong to no universe."""
+    a = V.prices(spark, sf).select(F.lit(None).cast("string").alias("universe"), "series_id", "date", rounded("price", 4).alias("value"))
+    b = V.asset_returns(spark, sf)
+    return a.unionByName(b.select("universe", F.col("asset").alias("series_id"), F.col("month").alias("date"), rounded("ret").alias("value")))
+
+
 @query("walk_forward_splits", sql("""SELECT entity, CAST(d AS DATE) AS refit_date, CAST(d - INTERVAL 5 YEAR AS DATE) AS train_from, CAST(d + INTERVAL 3 MONTH AS DATE) AS test_to
     FROM (SELECT entity, unnest(generate_series(lo + INTERVAL 5 YEAR, CAST(hi AS TIMESTAMP), INTERVAL 3 MONTH)) AS d FROM (
     SELECT series_id AS entity, min(date) AS lo, max(date) AS hi FROM prices GROUP BY ALL))""", "prices"))

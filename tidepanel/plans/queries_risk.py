@@ -53,6 +53,19 @@ def benchmarks(spark, sf):
     return _round(R.performance(full, ["universe", "strategy"], sharpe="compound"))
 
 
+_BENCH_BY = """SELECT universe, gamma, strategy, month, ret FROM backtest_small
+    UNION ALL SELECT universe, gamma, 'EQUAL_WEIGHT', month, avg(ret) FROM full_returns, (SELECT DISTINCT gamma FROM books) GROUP BY ALL
+    UNION ALL SELECT universe, gamma, 'SINGLE_ASSET', month, ret FROM full_returns, (SELECT DISTINCT gamma FROM books) WHERE asset = '1-URGENT'"""
+
+
+@query("benchmarks_by_gamma", sql(perf_sql("bench", "universe, gamma, strategy", "compound"), "backtest_small", bench=_BENCH_BY))
+def benchmarks_by_gamma(spark, sf):
+    """Every penalty level beside the benchmarks, which do not depend on it."""
+    assets = V.asset_returns(spark, sf).withColumn("gamma", F.explode(F.array(*[F.lit(g) for g in V.GAMMAS])))
+    full = R.with_benchmarks(V.backtest_small(spark, sf), assets, ["universe", "gamma"], "1-URGENT")
+    return _round(R.performance(full, ["universe", "gamma", "strategy"], sharpe="compound"))
+
+
 @query("wealth_curve", sql(f"""SELECT universe, asset, month, {r('wealth')} AS wealth, {r('max(wealth) OVER w')} AS peak,
     {r('wealth / max(wealth) OVER w - 1')} AS drawdown FROM (SELECT *, product(1 + ret) OVER (PARTITION BY universe, asset ORDER BY month)
     AS wealth FROM asset_returns) WINDOW w AS (PARTITION BY universe, asset ORDER BY month)""", "asset_returns"))
