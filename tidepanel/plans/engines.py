@@ -79,6 +79,6 @@ def engine_table(spark, sf_dir: str) -> DataFrame:
         n = len(V.MACRO_CODES)
         x = z.groupBy("month").agg(F.array_sort(F.array_agg(F.struct("series_id", "z"))).alias("c")).where(F.size("c") == n)
         x = x.select(F.lit("macro").alias("seq"), F.col("month").alias("date"), F.transform("c", lambda c: c["z"]).alias("x"))
-        rows += fit_engines(spark, x, V.flag_monthly(spark, sf_dir), name, k=3, n_init=2, hmm_iter=5)
+        rows += fit_engines(spark, x, V.flag_monthly(spark, sf_dir), name)
     table = spark.createDataFrame(rows, SCHEMA)
     return table.select(*[c if t != "double" else rounded(c, 3).alias(c) for c, t in table.dtypes])

@@ -161,14 +161,14 @@ def describe_features(spark, sf):
 def forest_importance(spark, sf):
     from tidepanel.operators.importance import forest_importance as run
 
-    return rnd(run(V.features(spark, sf), "x", "label", seeds=[0, 1], trees=30, depth=6), "gini")
+    return rnd(run(V.features(spark, sf), "x", "label", seeds=[0, 1, 2]), "gini")
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     from tidepanel.operators.importance import permutation_importance as run
 
-    return rnd(run(V.features(spark, sf), "x", "label", seed=0, repeats=3, trees=20, depth=5), "drop")
+    return rnd(run(V.features(spark, sf), "x", "label", seed=0, repeats=3), "drop")
 
 
 @query("importance_mean_rank")
@@ -176,6 +176,6 @@ def importance_mean_rank(spark, sf):
     """Mean rank of impurity, permutation and F importance."""
     from tidepanel.operators.importance import ranked_features
 
-    return rnd(ranked_features(V.features(spark, sf), V.features_long(spark, sf), seeds=[0], trees=20, depth=5), "mean_rank")
+    return rnd(ranked_features(V.features(spark, sf), V.features_long(spark, sf)), "mean_rank")
 
 

@@ -38,14 +38,14 @@ def group_vectors(spark, sf):
 @query("gmm_full")
 def gmm_full(spark, sf):
     data = group_vectors(spark, sf)
-    model = M.fit(data, M.restarts("daily", 4, 5))["daily"]
+    model = M.fit(data, M.restarts("daily", 4, 20), max_iter=1000)["daily"]
     return M.score(data, [model], keep=["date"]).select("date", "label", arr("p").alias("p"))
 
 
 @query("gmm_diag")
 def gmm_diag(spark, sf):
     data = V.features(spark, sf).select(F.col("row_id").alias("idx"), "x")
-    model = M.fit(data, M.restarts("emb", 6, 4), covariance="diag")["emb"]
+    model = M.fit(data, M.restarts("emb", 6, 10), covariance="diag")["emb"]
     return M.score(data, [model]).select("idx", "label", arr("p").alias("p"))
 
 
@@ -53,7 +53,7 @@ def gmm_diag(spark, sf):
 def gmm_criteria(spark, sf):
     """AIC and BIC per number of components, all fits in the same passes."""
     data = group_vectors(spark, sf)
-    fits = M.fit(data, [run for k in range(2, 7) for run in M.restarts(str(k), k, 2)])
+    fits = M.fit(data, [run for k in range(2, 7) for run in M.restarts(str(k), k, 10)], max_iter=500)
     rows = [(int(k), float(m.loglik), float(m.aic()), float(m.bic())) for k, m in fits.items()]
     return rnd(spark.createDataFrame(rows, "k int, loglik double, aic double, bic double"), "loglik", "aic", "bic", digits=4)
 
@@ -74,7 +74,7 @@ def numbered(spark, sf):
 def gmm_cross_validation(spark, sf):
     data = numbered(spark, sf).persist()
     n = data.count()
-    scores = M.cross_validate(data, n, range(2, 6), folds=5, n_init=2, max_iter=60)
+    scores = M.cross_validate(data, n, range(2, 7), folds=5, n_init=20)
     data.unpersist()
     return rnd(scores, "score")
 
@@ -104,7 +104,7 @@ def elbow_by_curvature(spark, sf):
 def current_regime(spark, sf):
     """Probabilities of the last 60 rows under the fitted model."""
     data = group_vectors(spark, sf)
-    model = M.fit(data, M.restarts("daily", 4, 3))["daily"]
+    model = M.fit(data, M.restarts("daily", 4, 20), max_iter=1000)["daily"]
     recent = data.orderBy(F.col("date").desc()).limit(60)
     return M.score(recent, [model], keep=["date"]).select("date", "label", arr("p").alias("p"))
 
@@ -121,8 +121,8 @@ def walk_forward_mixture(spark, sf):
     for row in marked.where("idx >= s.a AND idx < s.b").groupBy("s.m").count().collect():
         sizes[row["m"]] = row["count"]
     usable = [s for s in spans if sizes[s["m"]] >= 100]
-    runs = [run for s in usable for run in M.restarts(s["m"], 4, 2, span=Span(s["a"], s["b"]))]
-    models = M.fit(data, runs, max_iter=40)
+    runs = [run for s in usable for run in M.restarts(s["m"], 4, 10, span=Span(s["a"], s["b"]))]
+    models = M.fit(data, runs, max_iter=500)
     out = M.score(data, list(models.values()), {s["m"]: Span(s["b"], s["c"]) for s in usable}, keep=["date"])
     return out.select(F.col("model").alias("refit_date"), "date", arr("p").alias("p"))
 
@@ -139,7 +139,7 @@ def hmm_inputs(spark, sf, width=16):
 
 def fitted_hmm(spark, sf):
     rows, blocks = hmm_inputs(spark, sf)
-    return rows, blocks, H.fit(blocks, H.numbered_rows(rows, ["entity", "date"]), k=3, max_iter=8)
+    return rows, blocks, H.fit(blocks, H.numbered_rows(rows, ["entity", "date"]))
 
 
 @query("hmm_fit")
@@ -174,7 +174,7 @@ def state_export(spark, sf):
     crisis = C.crisis_state(labelled, "x", "state")
     out = path.join(probs, ["seq", "date"])
     return out.select(F.col("seq").alias("entity"), "date", "state", (F.col("state") == crisis).cast("long").alias("crisis"), rounded(F.get("p", F.lit(crisis))).alias("p_crisis"),
-                      *[rounded(F.get("p", F.lit(k))).alias(f"p_state{k}") for k in range(3)])
+                      *[rounded(F.get("p", F.lit(k))).alias(f"p_state{k}") for k in range(m.means.shape[0])])
 
 
 @query("engine_grid")
