@@ -145,7 +145,7 @@ def part_of(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
 PACKED = "part long, keys binary, docs binary, times binary, rids binary, first binary, second binary, hashed_docs binary, hashed_times binary, hashed_rids binary"
 
 
-def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int = 1_500_000) -> DataFrame:
+def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int = 900_000) -> DataFrame:
     """Bigrams of the texts by part: with counts per task, or, for scoring, per document.
 
     Bigrams of cached words are keyed by both numbers; the others by two names, a number or a hash.
