@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, katz, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
+from tidepanel.llm import byte_bpe, decontaminate, katz, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
 from tidepanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.reported(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -67,5 +71,6 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
+    "op11_decontaminate": op11_decontaminate,
 }
 ORACLE: dict[str, str] = {}
