@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, decontaminate, katz, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, suffix_dedup, topk_search
+from tidepanel.llm import (
+    alignment, byte_bpe, decontaminate, katz, licenses, line_dedup, mixing, personal_data, quality_rules, shingle_join, spelling, suffix_dedup, topk_search,
+)
 from tidepanel.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +63,15 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.reported(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    files = [Path(given or public_tokenizers.path(name)).read_bytes() for given, name in ((a, "byte_bpe_50k.json"), (b, "piece_bpe_32k.model"))]
+    return alignment.reported(table(spark, sf_dir, "documents"), alignment.Vocabularies(*files, public_tokenizers.PATTERN))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -72,5 +84,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
     "op11_decontaminate": op11_decontaminate,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = {}
