@@ -102,6 +102,8 @@ def test_reported_equals_libraries(spark, make_docs, files, libraries, docs, run
         monkeypatch.setattr(alignment, "TOGETHER", 2)
         monkeypatch.setattr(alignment, "FRAME", 7)
     got = alignment.reported(make_docs(docs).repartition(3), files, run_links)
+    if run_links > 60:
+        assert sorted(map(tuple, alignment.reported(make_docs(docs).coalesce(1), files).collect()), key=repr) == brute_report(docs, libraries)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_report(docs, libraries)
 
 

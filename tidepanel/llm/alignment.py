@@ -313,7 +313,8 @@ def counted(spilled: DataFrame, n_runs: int) -> DataFrame:
         frames = [list(x) for x in rows["heads"]]
         return pd.DataFrame({"part": rows["part"][:1], "run": rows["run"][:1], "heads": [frames[0] if len(frames) == 1 else merged(frames)]})
 
-    level = spilled.where("part is not null").select("part", "run", "heads")
+    # new names for the columns: with one run nothing else tells them from the runs they will meet
+    level = spilled.where("part is not null").select(*[F.col(c).alias(c) for c in ("part", "run", "heads")])
     while n_runs > 1:
         n_runs = -(-n_runs // FAN)
         dealt = level.select("part", F.pmod(F.xxhash64("run"), F.lit(n_runs)).alias("run"), "heads")
