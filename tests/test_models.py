@@ -134,7 +134,7 @@ def test_expected_counts_do_not_depend_on_the_block_width(spark):
     results = []
     for width in (1, 10, 100):
         blocks = H.to_blocks(df, "seq", "date", "x", width)
-        results.append(H._expected(blocks, H._chain(H._summaries(blocks, m, False), 3, False), m))
+        results.append(H._expected(blocks, {"m": m}, H.layout(blocks))["m"])
     assert np.allclose(results[0], results[1]) and np.allclose(results[0], results[2])
     assert results[0][2] == 3 and results[0][6:15].sum() == pytest.approx(104 - 3)
 
@@ -149,7 +149,7 @@ def test_fit_recovers_sticky_states(spark):
             rows.append((s, dt.date(2024, 1, 1) + dt.timedelta(days=i), [float(rng.normal(6 * state, 1))]))
     df = spark.createDataFrame(rows, "seq long, date date, x array<double>")
     blocks = H.to_blocks(df, "seq", "date", "x", 32).persist()
-    m = H.fit(blocks, H.numbered_rows(df, ["seq", "date"]), k=2)
+    m = H.fit(blocks, H.numbered_rows(df, ["seq", "date"]), H.restarts("m", 2))["m"]
     assert np.allclose(m.transition.sum(axis=1), 1) and np.allclose(np.sort(m.means[:, 0]), [0, 6], atol=0.4)
     assert np.all(np.diag(m.transition) > 0.8)
 
@@ -313,16 +313,3 @@ def test_universes_run_side_by_side(spark):
         F_.complete_vectors(both, ["Nothing"])
     with pytest.raises(KeyError):
         F_.core_factors(df.where("series_id <> 'LUACTRUU'"))
-
-
-def test_permuted_copies_do_not_depend_on_partitions(spark):
-    from tidepanel.operators.importance import permuted_copies
-
-    rng = np.random.default_rng(4)
-    rows = [([float(a), float(b)], float(a > 0)) for a, b in rng.normal(size=(700, 2))] + [([1.0, 1.0], 1.0)] * 30
-    df = spark.createDataFrame(rows, "x array<double>, y double")
-    seen = []
-    for n in (1, 4, 400):
-        out = permuted_copies(df.repartition(n), "x", "y", 2, 2, 0)
-        seen.append(sorted((r.feature, r.repeat, tuple(r.x), r.label) for r in out.collect()))
-    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 5 * len(rows)

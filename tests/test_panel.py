@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as E
 from tidepanel.functions import ordered as O
+from tidepanel.operators import moments as N
 from tidepanel.operators import panel as P
 from tidepanel.operators import sequences as Q
 from tidepanel.operators import stats as S
@@ -119,23 +120,36 @@ def test_sequence_results_do_not_depend_on_the_block_width(spark, seconds):
     assert runs.groupby("seq_id").size().tolist() == changes.tolist() and runs["n_rows"].sum() == len(pdf)
 
 
-@pytest.mark.parametrize("accuracy", [50, 100_000])
-def test_exact_quantiles_with_and_without_a_sketch(spark, accuracy):
+def test_exact_quantiles_of_any_distribution(spark):
     rng = np.random.default_rng(4)
-    values = {"a": rng.normal(size=4000), "b": rng.integers(0, 5, 3000).astype(float), "c": np.array([7.0])}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double").repartition(6)
-    out = {r["k"]: r for r in S.exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.85], ["p", "q", "r"], accuracy).collect()}
+    values = {
+        "normal": rng.normal(size=4000), "ties": rng.integers(-2, 5, 3000).astype(float), "one": np.array([7.0]), "two": np.array([-1.0, 3.0]),
+        "far": 1e8 + rng.normal(size=2000), "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 500), -(10.0 ** rng.uniform(-300, 300, 500)), [0.0, -0.0]]),
+        "close": 1.0 + np.arange(500) * 2.0**-52, "constant": np.full(50, 0.1), "ends": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("normal", None)], "k string, v double").repartition(6)
+    probs, names = [0.0, 0.1, 0.5, 0.85, 1.0], list("mpqrx")
+    out = {r["k"]: r for r in S.exact_quantiles(df, ["k"], "v", probs, names).collect()}
     for k, vs in values.items():
-        assert [out[k][n] for n in "pqr"] == pytest.approx(np.quantile(vs, [0.1, 0.5, 0.85]).tolist())
+        at = np.array(probs) * (len(vs) - 1)
+        low, ordered = np.floor(at).astype(int), np.sort(vs)
+        for name, i, share in zip(names, low, at - low):
+            expected = ordered[i] if share == 0 else ordered[i] + (ordered[i + 1] - ordered[i]) * share
+            assert out[k][name] == pytest.approx(expected, rel=1e-12, nan_ok=True), (k, name)
+    row = S.exact_quantiles(df.where("k = 'far'"), [], "v", [0.5], ["q"]).collect()
+    assert len(row) == 1 and row[0]["q"] == pytest.approx(np.median(values["far"]), rel=1e-15)
+    assert S.exact_quantiles(df.where("k = 'none'"), ["k"], "v", [0.5], ["q"]).count() == 0
 
 
 def test_adjusted_rand_of_equal_and_renamed_labels(spark):
     df = spark.createDataFrame([(i, i % 3, (i + 1) % 3) for i in range(30)], "i long, a long, b long")
     assert S.adjusted_rand(df, "a", "b").first()["ari"] == pytest.approx(1.0)
+    keyed = S.adjusted_rand(df.withColumn("g", F.col("i") % 2), "a", "b", ["g"]).collect()
+    assert {r["g"]: (r["n"], r["ari"]) for r in keyed} == {0: (15, pytest.approx(1.0)), 1: (15, pytest.approx(1.0))}
 
 
 def test_pair_moments_skip_missing_cells(spark):
     df = spark.createDataFrame([([1.0, 2.0, None],), ([2.0, 1.0, 4.0],), ([4.0, 0.5, 1.0],)], "x array<double>")
-    out = {(r["i"], r["j"]): r for r in S.correlation_pairs(df, "x").collect()}
+    out = {(r["i"], r["j"]): r for r in N.correlation_pairs(df, "x").collect()}
     pdf = pd.DataFrame([[1, 2, np.nan], [2, 1, 4], [4, 0.5, 1]])
     assert out[(0, 2)]["n"] == 2 and out[(0, 1)]["corr"] == pytest.approx(pdf[0].corr(pdf[1])) and out[(0, 2)]["cov"] == pytest.approx(pdf[0].cov(pdf[2]))

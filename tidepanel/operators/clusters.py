@@ -6,12 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as E
+from tidepanel.operators import moments as N
 from tidepanel.operators import stats as S
 
 
@@ -57,7 +59,7 @@ def mahalanobis(vector: str, center: Column, variance: Column) -> Column:
 
 def diagonal_moments(df: DataFrame, vector: str) -> tuple[list[float], list[float]]:
     """Mean and sample variance per component."""
-    mean, cov, _ = S.covariance_matrix(df, vector)
+    mean, cov, _ = N.covariance_matrix(df, vector)
     return mean.tolist(), np.diag(cov).tolist()
 
 
@@ -125,28 +127,36 @@ def with_layers(df: DataFrame, vector: str, m: Layers) -> DataFrame:
     return out.drop("_cos", "_d", "_p", "_p0")
 
 
+def crisis_states(df: DataFrame, vector: str, label: str, key: str, share: float = 0.15) -> DataFrame:
+    """Per ``key`` the state that owns most of the rows with the largest full Mahalanobis distance, the lowest on a tie: ``(key, crisis)``."""
+    fitted = {name: (mean, np.linalg.pinv(cov + 1e-6 * np.eye(len(cov)))) for name, (mean, cov, _) in N.covariance_matrices(df, vector, key).items()}
+
+    @F.pandas_udf("double")
+    def distance(names: pd.Series, x: pd.Series) -> pd.Series:
+        out = pd.Series(0.0, index=x.index)
+        for name, rows in x.groupby(names, sort=False):
+            mean, inverse = fitted[name]
+            z = np.stack(rows.to_numpy()) - mean
+            out[rows.index] = ((z @ inverse) * z).sum(axis=1)
+        return out
+
+    scored = df.select(key, label, distance(F.col(key).cast("string"), vector).alias("_q"))
+    bounds = S.exact_quantiles(scored, [key], "_q", [1 - share], ["_bound"])
+    owners = scored.join(bounds, key).groupBy(key, label).agg(F.sum((F.col("_q") >= F.col("_bound")).cast("long")).alias("_n"))
+    return owners.groupBy(key).agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).cast("int").alias("crisis"))
+
+
 def crisis_state(df: DataFrame, vector: str, label: str, share: float = 0.15) -> int:
-    """State that owns most of the rows with the largest full Mahalanobis distance, the lowest on a tie."""
-    mean, cov, _ = S.covariance_matrix(df, vector)
-    inverse = np.linalg.pinv(cov + 1e-6 * np.eye(len(cov)))
-    centred = F.zip_with(F.col(vector), _lit(mean), lambda a, c: a - c)
-    rows = [_lit(row) for row in inverse]
-    scored = df.withColumn("_c", centred)
-    quad = E.array_sum(F.zip_with("_c", F.array(*[E.dot("_c", row) for row in rows]), lambda a, b: a * b))
-    scored = scored.withColumn("_q", quad).select(label, "_q")
-    bound = S.exact_quantiles(scored, [], "_q", [1 - share], ["q"]).first()["q"]
-    owners = scored.where(F.col("_q") >= bound).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return int(owners.orderBy(F.col("n").desc(), label).first()[label])
+    """As ``crisis_states`` for one table."""
+    return crisis_states(df.withColumn("_model", F.lit("")), vector, label, "_model", share).first()["crisis"]
 
 
 def outlier_table(df: DataFrame, keys: Sequence[str], distance: str, share: float = 0.15) -> DataFrame:
     """Distance threshold, deviation, mark and logistic probability per row, all inside one plan."""
-    q = S.exact_quantiles(df, keys, distance, [1.0 - share, 0.5], ["threshold", "_median"]).withColumn("_k", F.lit(0))
-    tagged = df.withColumn("_k", F.lit(0)).join(q, [*keys, "_k"])
+    q = S.exact_quantiles(df, keys, distance, [1.0 - share, 0.5], ["threshold", "_median"])
+    tagged = S.joined(df, q, keys, ["threshold", "_median"])
     spread = tagged.withColumn("_dev", F.abs(F.col(distance) - F.col("_median")))
-    mad = S.exact_quantiles(spread, keys, "_dev", [0.5], ["mad"]).withColumn("_k", F.lit(0))
-    out = tagged.join(mad, [*keys, "_k"])
+    mad = S.exact_quantiles(spread, keys, "_dev", [0.5], ["mad"])
+    out = S.joined(tagged, mad, keys, ["mad"])
     z = (F.col(distance) - F.col("threshold")) / (F.col("mad") + 1e-9)
-    return out.withColumn("is_outlier", F.col(distance) >= F.col("threshold")).withColumn("p_outlier", 1.0 / (1.0 + F.exp(-z))).drop("_k", "_median")
-
-
+    return out.withColumn("is_outlier", F.col(distance) >= F.col("threshold")).withColumn("p_outlier", 1.0 / (1.0 + F.exp(-z))).drop("_median")

@@ -71,13 +71,11 @@ def silhouette(df: DataFrame, keys: Sequence[str], row: str, vector: str, label:
     return out.select(*keys, "n", F.when(F.col("_n") > 1, F.col("_m")).alias("silhouette"))
 
 
-def seed_stability(labels: DataFrame, row: Sequence[str], seed: str, label: str, reference: int) -> DataFrame:
-    """Mean and population deviation of the adjusted Rand index of every seed against a reference seed."""
+def seed_stability(labels: DataFrame, row: Sequence[str], seed: str, label: str, reference: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key, mean and population deviation of the adjusted Rand index of every seed against a reference seed."""
     from tidepanel.operators.stats import adjusted_rand
 
-    base = labels.where(F.col(seed) == reference).select(*row, F.col(label).alias("_ref"))
-    paired = labels.where(F.col(seed) != reference).join(base, list(row))
-    ari = adjusted_rand(paired, "_ref", label, [seed])
-    return ari.agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"), F.count(F.lit(1)).alias("n_seeds"))
-
-
+    base = labels.where(F.col(seed) == reference).select(*keys, *row, F.col(label).alias("_ref"))
+    paired = labels.where(F.col(seed) != reference).join(base, [*keys, *row])
+    ari = adjusted_rand(paired, "_ref", label, [*keys, seed])
+    return ari.groupBy(*keys).agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"), F.count(F.lit(1)).alias("n_seeds"))

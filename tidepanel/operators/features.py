@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import ordered as O
+from tidepanel.operators import moments as N
 from tidepanel.operators import stats as S
 
 
@@ -142,27 +144,26 @@ class Components:
         return np.cumsum(self.ratio)
 
     def scores(self, df: DataFrame, vector: str, out: str = "scores") -> DataFrame:
-        """Component scores as dot products with literal loadings, inside the JVM."""
-        z = F.zip_with(
-            F.zip_with(F.col(vector), F.array(*[F.lit(float(v)) for v in self.mean]), lambda a, b: a - b),
-            F.array(*[F.lit(float(v)) for v in self.scale]), lambda a, b: a / b,
-        )
-        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.loadings])
+        return component_scores(df, vector, {"": self}, out=out)
 
-        def project(zz: Column) -> Column:
-            return F.transform(rows, lambda w: F.aggregate(F.zip_with(zz, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
-        return df.withColumn(out, F.get(F.transform(F.array(z), project), F.lit(0)))
+def component_scores(df: DataFrame, vector: str, models: dict[str, Components], key: str | None = None, out: str = "scores") -> DataFrame:
+    """``df`` with its component scores, every row under the model of its ``key``: one matrix product per model and Arrow batch."""
+    fitted = {name: (m.mean, m.scale, m.loadings.T) for name, m in models.items()}
 
+    @F.pandas_udf("array<double>")
+    def project(names: pd.Series, x: pd.Series) -> pd.Series:
+        scores = pd.Series([None] * len(x), index=x.index, dtype=object)
+        for name, rows in x.groupby(names, sort=False):
+            mean, scale, loadings = fitted[name]
+            scores[rows.index] = pd.Series(list((np.stack(rows.to_numpy()) - mean) / scale @ loadings), index=rows.index)
+        return scores
 
-def fit_components(df: DataFrame, vector: str, share: float = 0.95) -> Components:
-    """Components of the standardised vectors that explain ``share`` of the variance.
+    return df.withColumn(out, project(F.col(key).cast("string") if key else F.lit(""), F.col(vector)))
 
-    One pass folds the rows into a covariance matrix; its eigenvectors are found on the
-    driver, whose work depends on the number of features only. Signs are fixed so that
-    each component's largest loading is positive.
-    """
-    mean, cov, n = S.covariance_matrix(df, vector)
+
+def components_of(mean: np.ndarray, cov: np.ndarray, n: int, share: float = 0.95) -> Components:
+    """Components of the correlation matrix that explain ``share`` of the variance, each with a positive largest loading."""
     variance = np.diag(cov) * (n - 1) / n
     scale = np.where(variance > 0, np.sqrt(np.maximum(variance, 0)), 1.0)
     corr = cov * (n - 1) / n / np.outer(scale, scale)
@@ -175,12 +176,31 @@ def fit_components(df: DataFrame, vector: str, share: float = 0.95) -> Component
     return Components(mean, scale, vectors[:keep], ratio[:keep], n)
 
 
-def loading_table(spark, model: Components, names: Sequence[str]) -> DataFrame:
-    """Loadings in long form, with the explained and cumulative shares as two extra rows per component."""
-    rows = [(f"PC{i + 1}", names[j], float(v)) for i, row in enumerate(model.loadings) for j, v in enumerate(row)]
-    rows += [(f"PC{i + 1}", "__explained_var_ratio__", float(v)) for i, v in enumerate(model.ratio)]
-    rows += [(f"PC{i + 1}", "__cum_var_ratio__", float(v)) for i, v in enumerate(model.cumulative)]
-    return spark.createDataFrame(rows, "pc string, feature string, value double")
+def fit_components_by(df: DataFrame, vector: str, key: str | None = None, share: float = 0.95) -> dict[str, Components]:
+    """Components of the standardised vectors of every ``key``, whose vectors may differ in length.
+
+    One pass folds the rows of all keys into covariance matrices; eigenvectors are found on the
+    driver, whose work depends on the number of features only.
+    """
+    return {name: components_of(*found, share) for name, found in N.covariance_matrices(df, vector, key).items()}
+
+
+def fit_components(df: DataFrame, vector: str, share: float = 0.95) -> Components:
+    """As ``fit_components_by`` for one table."""
+    return fit_components_by(df, vector, share=share)[""]
+
+
+def loading_table(spark, models: Components | dict[str, Components], names: Sequence[str] | dict[str, Sequence[str]]) -> DataFrame:
+    """Loadings in long form, with the explained and cumulative shares as two extra rows per component; keyed by ``config`` for several models."""
+    several = isinstance(models, dict)
+    rows = []
+    for config, model in (models if several else {"": models}).items():
+        own = names[config] if several else names
+        rows += [(config, f"PC{i + 1}", own[j], float(v)) for i, row in enumerate(model.loadings) for j, v in enumerate(row)]
+        rows += [(config, f"PC{i + 1}", "__explained_var_ratio__", float(v)) for i, v in enumerate(model.ratio)]
+        rows += [(config, f"PC{i + 1}", "__cum_var_ratio__", float(v)) for i, v in enumerate(model.cumulative)]
+    out = spark.createDataFrame(rows, "config string, pc string, feature string, value double")
+    return out if several else out.drop("config")
 
 
 def top_loadings(loadings: DataFrame, n: int = 3) -> DataFrame:

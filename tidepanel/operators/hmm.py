@@ -1,9 +1,11 @@
-"""Hidden Markov models with diagonal Gaussian emissions over many sequences.
+"""Hidden Markov models with diagonal Gaussian emissions over many sequences, any number of runs per pass.
 
 A sequence is stored as blocks of at most ``width`` consecutive days, one row per block.
-Each pass works on blocks alone: a block is summarised by a small state-to-state matrix,
-the matrices of a sequence are chained in order, and the chained vectors go back to the
-blocks. However long a sequence is, a task holds single blocks and one matrix per block.
+Each pass works on blocks alone: a block is summarised by one small state-to-state matrix per
+run, the matrices are chained, and the chained vectors go back to the blocks. Chaining is a tree:
+matrices multiply associatively, so neighbouring blocks are multiplied ``FAN`` at a time, level by
+level, until one product of a sequence is left, and the vectors come down the same way. However long a
+sequence is, a task holds single blocks and at most ``FAN`` matrices a run.
 Blocks of one batch are padded to the same length and processed together.
 """
 
@@ -19,10 +21,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.operators.mixture import log_sum
-from tidepanel.operators.passes import Span, add_up, fold_pass, lloyd, pooled, starting_rows
+from tidepanel.operators.moments import column_stats, column_summary, merged_columns
+from tidepanel.operators.passes import Span, add_up, columns, fold_pass, lloyd, pooled, starting_rows
 
 TINY = 1e-300
 CHUNK = 512
+FAN = 64
+
+
+@dataclass(frozen=True)
+class Run:
+    """One fit: ``model`` groups restarts, ``seed`` tells them apart, ``config`` names the rows where there are several kinds."""
+
+    model: str
+    k: int
+    seed: int = 0
+    config: str = ""
+
+    @property
+    def name(self) -> str:
+        return f"{self.model}|{self.seed}"
+
+
+def restarts(model: str, k: int, n_init: int = 1, seed: int = 0, config: str = "") -> list[Run]:
+    return [Run(model, k, seed * 100 + i, config) for i in range(n_init)]
 
 
 @dataclass
@@ -34,6 +56,12 @@ class HiddenMarkov:
     loglik: float = -np.inf
     n: int = 0
     n_sequences: int = 0
+    config: str = ""
+    steps: int = 0
+
+    @property
+    def k(self) -> int:
+        return len(self.start)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Log density ``(..., k)`` of vectors ``(..., d)``."""
@@ -46,21 +74,56 @@ class HiddenMarkov:
         return -2 * self.loglik + (2 * k * d + k * (k - 1) + k - 1) * np.log(max(self.n, 1))
 
 
-def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64) -> DataFrame:
-    """Blocks ``(seq, block, first, n, dates, x)``: ``n`` ordered rows, at most one per day, their vectors end to end."""
+def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64, config: str | None = None) -> DataFrame:
+    """Blocks ``(config, seq, block, first, n, dates, x)``: ``n`` ordered rows, at most one per day, their vectors end to end."""
     block = F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / width).cast("long")
-    rows = df.groupBy(F.col(seq).alias("seq"), block.alias("block")).agg(
+    kind = F.col(config).cast("string") if config else F.lit("")
+    rows = df.groupBy(kind.alias("config"), F.col(seq).alias("seq"), block.alias("block")).agg(
         F.array_sort(F.array_agg(F.struct(F.col(date).alias("date"), F.col(x).alias("x")))).alias("rows")
     )
-    first = F.min("block").over(Window.partitionBy("seq"))
-    return rows.select("seq", "block", (F.col("block") == first).alias("first"), F.size("rows").alias("n"),
+    first = F.min("block").over(Window.partitionBy("config", "seq"))
+    return rows.select("config", "seq", "block", (F.col("block") == first).alias("first"), F.size("rows").alias("n"),
                        F.transform("rows", lambda r: r["date"]).alias("dates"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
 def stored(blocks: DataFrame, blocks_per_task: int = 2_000) -> DataFrame:
     """Blocks persisted by sequence and block, in as many partitions as their number asks for."""
     wanted = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // blocks_per_task))
-    return blocks.repartition(wanted, "seq", "block").persist()
+    return blocks.repartition(wanted, "config", "seq", "block").persist()
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How deep the chain's tree is and how many tasks a pass may have."""
+
+    levels: int
+    tasks: int
+
+
+def layout(blocks: DataFrame) -> Layout:
+    placed = blocks.select("block", F.spark_partition_id().alias("part"))
+    low, high, parts = placed.agg(F.min("block"), F.max("block"), F.count_distinct("part")).first()
+    levels, span = 0, (high - low + 1) if low is not None else 1
+    while span > FAN:
+        levels, span = levels + 1, span // FAN + 2
+    return Layout(levels, max(parts, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+Models = dict[str, HiddenMarkov]
+
+
+def _ordered(models: Models) -> dict[str, list[tuple[str, HiddenMarkov]]]:
+    """Models by configuration, those with the same number of states next to each other."""
+    out: dict[str, list] = {}
+    for name, m in sorted(models.items(), key=lambda item: (item[1].k, item[0])):
+        out.setdefault(m.config, []).append((name, m))
+    return out
+
+
+def _groups(own: list[tuple[str, HiddenMarkov]]) -> list[tuple[int, int]]:
+    """(states, models) of every number of states, in order."""
+    sizes = [m.k for _, m in own]
+    return [(k, sizes.count(k)) for k in dict.fromkeys(sizes)]
 
 
 def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +136,12 @@ def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
+    """Configuration and rows, at most CHUNK blocks at once."""
     for batch in batches:
-        for i in range(0, len(batch), CHUNK):
-            yield batch.iloc[i : i + CHUNK]
+        for config, rows in batch.groupby("config", sort=False):
+            for i in range(0, len(rows), CHUNK):
+                yield config, rows.iloc[i : i + CHUNK]
 
 
 def _step_matrices(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
@@ -87,65 +152,114 @@ def _step_matrices(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, t: int) -
     return la + lb[:, t, None, :]
 
 
-def _summaries(blocks: DataFrame, m: HiddenMarkov, best: bool) -> DataFrame:
-    """One state-to-state matrix per block: sums over paths, or the best path."""
+def _summary(m: HiddenMarkov, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, best: bool) -> np.ndarray:
+    lb = m.emissions(x)
+    total = _step_matrices(m, lb, first, 0)
+    for t in range(1, x.shape[1]):
+        paths = total[:, :, :, None] + _step_matrices(m, lb, first, t)[:, None, :, :]
+        new = paths.max(axis=2) if best else log_sum(paths, 2)
+        total = np.where((t < lengths)[:, None, None], new, total)
+    return total.reshape(len(total), -1)
+
+
+def _summaries(blocks: DataFrame, models: Models, best: bool) -> DataFrame:
+    """Per block one state-to-state matrix of every model, end to end: sums over paths, or the best path."""
+    ordered = _ordered(models)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _chunks(batches):
-            x, lengths = _padded(batch)
-            first = batch["first"].to_numpy()
-            lb = m.emissions(x)
-            total = _step_matrices(m, lb, first, 0)
-            for t in range(1, x.shape[1]):
-                paths = total[:, :, :, None] + _step_matrices(m, lb, first, t)[:, None, :, :]
-                new = paths.max(axis=2) if best else log_sum(paths, 2)
-                total = np.where((t < lengths)[:, None, None], new, total)
-            yield pd.DataFrame({"seq": batch["seq"], "block": batch["block"], "m": list(total.reshape(len(total), -1))})
+        for config, batch in _chunks(batches):
+            if config in ordered:
+                x, lengths = _padded(batch)
+                first = batch["first"].to_numpy()
+                m = np.concatenate([_summary(m, x, lengths, first, best) for _, m in ordered[config]], axis=1)
+                yield pd.DataFrame({"config": config, "seq": batch["seq"], "block": batch["block"], "m": list(m)})
 
     kind = blocks.schema["seq"].dataType.simpleString()
-    return blocks.select("seq", "block", "first", "n", "x").mapInPandas(task, f"seq {kind}, block long, m array<double>")
+    return blocks.select("config", "seq", "block", "first", "n", "x").mapInPandas(task, f"config string, seq {kind}, block long, m array<double>")
+
+
+def _sliced(v: np.ndarray, groups: list[tuple[int, int]], power: int) -> list[np.ndarray]:
+    """``v`` (..., all models) as arrays (..., models, k[, k]), one per number of states."""
+    out, at = [], 0
+    for k, r in groups:
+        size = r * k**power
+        out.append(v[..., at : at + size].reshape(*v.shape[:-1], r, *[k] * power))
+        at += size
+    return out
 
 
-def _chain(summaries: DataFrame, k: int, best: bool) -> DataFrame:
-    """Per block the vector that enters it and what follows it.
+def _product(mats: np.ndarray, groups: list[tuple[int, int]], best: bool) -> np.ndarray:
+    """One matrix per model for several blocks in a row."""
+    out = []
+    for group in _sliced(mats, groups, 2):
+        total = group[0]
+        for one in group[1:]:
+            paths = total[:, :, :, None] + one[:, None, :, :]
+            total = paths.max(axis=2) if best else log_sum(paths, 2)
+        out.append(total.ravel())
+    return np.concatenate(out)
 
-    ``enter`` is the log weight of each state of the row before the block. ``leave`` is,
-    for sums, the log weight of everything after the block, for best paths the state the
-    block ends in. A sequence contributes one array of matrices, one per block.
+
+def _walk(mats: np.ndarray, groups: list[tuple[int, int]], best: bool, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
+    """Per block the vectors that enter it and what follows it, and the models' values of the whole.
+
+    ``enter`` holds the log weight of each state of the row before a block. ``leave`` holds,
+    for sums, the log weight of everything after it, for best paths the state the block ends in.
     """
-    rows = summaries.groupBy("seq").agg(F.array_sort(F.array_agg(F.struct("block", "m"))).alias("c"))
-    rows = rows.select("seq", F.transform("c", lambda c: c["block"]).alias("blocks"), F.transform("c", lambda c: c["m"]).alias("ms"))
+    n = len(mats)
+    enters, leaves, totals = [], [], []
+    starts = _sliced(enter, groups, 1) if enter is not None else [np.tile(np.where(np.arange(k) == 0, 0.0, -np.inf), (r, 1)) for k, r in groups]
+    ends = [None] * len(groups) if leave is None else _sliced(leave, groups, 0 if best else 1)
+    for (k, r), group, state, end in zip(groups, _sliced(mats, groups, 2), starts, ends):
+        before = np.empty((n + 1, r, k))
+        before[0] = state
+        for b in range(n):
+            paths = before[b][:, :, None] + group[b]
+            before[b + 1] = paths.max(axis=1) if best else log_sum(paths, 1)
+        enters.append(before[:-1].reshape(n, -1))
+        totals.append(before[-1].max(axis=1) if best else log_sum(before[-1], 1))
+        if best:
+            after = np.empty((n, r))
+            after[-1] = before[-1].argmax(axis=1) if end is None else end
+            for b in range(n - 1, 0, -1):
+                after[b - 1] = (before[b] + group[b][np.arange(r), :, after[b].astype(int)]).argmax(axis=1)
+        else:
+            after = np.empty((n, r, k))
+            after[-1] = 0.0 if end is None else end
+            for b in range(n - 1, 0, -1):
+                after[b - 1] = log_sum(group[b] + after[b][:, None, :], 2)
+        leaves.append(after.reshape(n, -1))
+    return np.concatenate(enters, axis=1), np.concatenate(leaves, axis=1), np.concatenate(totals)
+
+
+def _chain(summaries: DataFrame, models: Models, best: bool, levels: int) -> DataFrame:
+    """Per block what ``_walk`` gives over its whole sequence; ``ll`` stands at the sequence's first block."""
+    groups = {config: _groups(own) for config, own in _ordered(models).items()}
+    kind = summaries.schema["seq"].dataType.simpleString()
+    up = F.floor(F.col("block") / FAN).cast("long") if levels else F.lit(0).cast("long")
+    rows = summaries.groupBy("config", "seq", up.alias("up")).agg(F.array_sort(F.array_agg(F.struct("block", "m"))).alias("c"))
+    rows = rows.select("config", "seq", "up", F.transform("c", lambda c: c["block"]).alias("blocks"), F.transform("c", lambda c: c["m"]).alias("ms"))
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {"seq": [], "block": [], "enter": [], "leave": [], "ll": []}
-            for seq, ids, ms in zip(batch["seq"], batch["blocks"], batch["ms"]):
-                mats = [np.asarray(v, dtype=float).reshape(k, k) for v in ms]
-                enter = [np.where(np.arange(k) == 0, 0.0, -np.inf)]
-                for mat in mats:
-                    through = enter[-1][:, None] + mat
-                    enter.append(through.max(axis=0) if best else log_sum(through, 0))
-                total = float(log_sum(enter[-1], 0)) if not best else float(enter[-1].max())
-                if best:
-                    ends = [int(enter[-1].argmax())]
-                    for b in range(len(mats) - 1, 0, -1):
-                        ends.append(int((enter[b] + mats[b][:, ends[-1]]).argmax()))
-                    leave = [[float(e)] for e in reversed(ends)]
-                else:
-                    after = [np.zeros(k)]
-                    for mat in reversed(mats[1:]):
-                        after.append(log_sum(mat + after[-1][None, :], 1))
-                    leave = list(reversed(after))
-                for b, i in enumerate(ids):
-                    out["seq"].append(seq)
-                    out["block"].append(i)
-                    out["enter"].append(enter[b])
-                    out["leave"].append(leave[b])
-                    out["ll"].append(total if b == 0 else 0.0)
-            yield pd.DataFrame(out)
+            m = [_product(np.stack(ms), groups[config], best) for config, ms in zip(batch["config"], batch["ms"])]
+            yield pd.DataFrame({"config": batch["config"], "seq": batch["seq"], "block": batch["up"], "m": m})
 
-    kind = summaries.schema["seq"].dataType.simpleString()
-    return rows.mapInPandas(task, f"seq {kind}, block long, enter array<double>, leave array<double>, ll double")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            from_above = [(None, None, None)] * len(batch) if not levels else zip(batch["enter"], batch["leave"], batch["ll"])
+            for config, seq, ids, ms, (enter, leave, above) in zip(batch["config"], batch["seq"], batch["blocks"], batch["ms"], from_above):
+                enters, leaves, total = _walk(np.stack(ms), groups[config], best, enter, leave)
+                lls = np.zeros((len(ids), len(total)))
+                lls[0] = total if above is None else above
+                yield pd.DataFrame({"config": config, "seq": seq, "block": ids, "enter": list(enters), "leave": list(leaves), "ll": list(lls)})
+
+    out = f"config string, seq {kind}, block long, enter array<double>, leave array<double>, ll array<double>"
+    if not levels:
+        return rows.mapInPandas(walk, out)
+    products = rows.mapInPandas(multiply, f"config string, seq {kind}, block long, m array<double>")
+    above = _chain(products, models, best, levels - 1).withColumnRenamed("block", "up")
+    return rows.join(above, ["config", "seq", "up"]).mapInPandas(walk, out)
 
 
 def _forward(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, enter: np.ndarray, best: bool = False) -> np.ndarray:
@@ -158,143 +272,168 @@ def _forward(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, enter: np.ndarr
     return out
 
 
-def _expected(blocks: DataFrame, chain: DataFrame, m: HiddenMarkov, n_tasks: int | None = None) -> dict[str, np.ndarray]:
-    """Expected counts of starts, transitions and emissions, added up over all blocks."""
+def _per_model(batch: pd.DataFrame, own: list[tuple[str, HiddenMarkov]], best: bool) -> Iterator[tuple[int, str, HiddenMarkov, np.ndarray, np.ndarray]]:
+    """Every model with its part of the chained vectors of a batch of blocks."""
+    enter, leave = np.stack(batch["enter"].to_numpy()), np.stack(batch["leave"].to_numpy())
+    at = 0
+    for i, (name, m) in enumerate(own):
+        part = slice(at, at + m.k)
+        yield i, name, m, enter[:, part], leave[:, i].astype(int) if best else leave[:, part]
+        at += m.k
+
+
+def _counts(m: HiddenMarkov, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Expected starts, transitions and emissions of a batch; emissions are taken around the middle of the means, so that variances do not cancel."""
     k, d = m.means.shape
+    lb = m.emissions(x)
+    alpha = _forward(m, lb, first, enter)
+    beta = np.zeros_like(lb)
+    la = np.log(m.transition + TINY)
+    for t in range(lb.shape[1] - 1, -1, -1):
+        if t + 1 < lb.shape[1]:
+            inner = log_sum(la[None] + (lb[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        else:
+            inner = leave
+        beta[:, t] = np.where((t == lengths - 1)[:, None], leave, inner)
+    live = np.arange(lb.shape[1])[None, :] < lengths[:, None]
+    joint = alpha + beta
+    gamma = np.exp(joint - log_sum(joint, 2)[:, :, None]) * live[:, :, None]
+    moves = np.zeros((k, k))
+    for t in range(lb.shape[1]):
+        use = live[:, t] & ~(first & (t == 0))
+        if use.any():
+            before = enter if t == 0 else alpha[:, t - 1]
+            pair = before[use][:, :, None] + la[None] + (lb[:, t] + beta[:, t])[use][:, None, :]
+            pair -= log_sum(pair.reshape(len(pair), -1), 1)[:, None, None]
+            moves += np.exp(pair).sum(axis=0)
+    flat, g = np.where(live[:, :, None], x - m.means.mean(axis=0), 0.0).reshape(-1, d), gamma.reshape(-1, k)
+    return np.concatenate([gamma[:, 0][first].sum(axis=0), moves.ravel(), gamma.sum(axis=(0, 1)), (g.T @ flat).ravel(), (g.T @ flat**2).ravel()])
+
+
+def _expected(blocks: DataFrame, models: Models, plan: Layout) -> dict[str, np.ndarray]:
+    """Per model the log-likelihood, rows, sequences and expected counts, added up over all blocks in one job."""
+    ordered = _ordered(models)
+    chain = _chain(_summaries(blocks, models, False), models, False, plan.levels)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in _chunks(batches):
+        total: dict[str, np.ndarray] = {}
+        for config, batch in _chunks(batches):
             x, lengths = _padded(batch)
             first = batch["first"].to_numpy()
-            lb = m.emissions(x)
-            enter, leave = np.stack(batch["enter"].to_numpy()), np.stack(batch["leave"].to_numpy())
-            alpha = _forward(m, lb, first, enter)
-            beta = np.zeros_like(lb)
-            la = np.log(m.transition + TINY)
-            for t in range(lb.shape[1] - 1, -1, -1):
-                if t + 1 < lb.shape[1]:
-                    inner = log_sum(la[None] + (lb[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                else:
-                    inner = leave
-                beta[:, t] = np.where((t == lengths - 1)[:, None], leave, inner)
-            live = np.arange(lb.shape[1])[None, :] < lengths[:, None]
-            joint = alpha + beta
-            gamma = np.exp(joint - log_sum(joint, 2)[:, :, None]) * live[:, :, None]
-            moves = np.zeros((k, k))
-            for t in range(lb.shape[1]):
-                use = live[:, t] & ~(first & (t == 0))
-                if use.any():
-                    before = enter if t == 0 else alpha[:, t - 1]
-                    pair = before[use][:, :, None] + la[None] + (lb[:, t] + beta[:, t])[use][:, None, :]
-                    pair -= log_sum(pair.reshape(len(pair), -1), 1)[:, None, None]
-                    moves += np.exp(pair).sum(axis=0)
-            begins = gamma[:, 0][first].sum(axis=0)
-            mass = gamma.sum(axis=(0, 1))
-            flat, g = x.reshape(-1, d), gamma.reshape(-1, k)
-            v = np.concatenate([[batch["ll"].sum(), lengths.sum(), first.sum()], begins, moves.ravel(), mass, (g.T @ flat).ravel(), (g.T @ flat**2).ravel()])
-            total = v if total is None else total + v
-        if total is not None:
-            yield pd.DataFrame({"run": ["hmm"], "v": [total]})
-
-    joined = blocks.select("seq", "block", "first", "n", "x").join(chain, ["seq", "block"])
-    return add_up(joined.mapInPandas(task, "run string, v array<double>"), n_tasks)["hmm"]
-
-
-def fit(blocks: DataFrame, rows: DataFrame, k: int = 6, max_iter: int = 20, tol: float = 1e-3, n_init: int = 1, reg: float = 1e-2, seed: int = 0,
-        stay: float = 0.95, retry: bool = True) -> HiddenMarkov:
-    """Baum-Welch over all sequences; ``rows(idx, x)`` are the same vectors for the starting means.
-
-    ``blocks`` should come from ``stored``, so that each pass moves only the chained vectors.
-    A fit whose likelihood is not finite is repeated once with another seed, then an error.
+            ll = np.stack(batch["ll"].to_numpy()).sum(axis=0)
+            for i, name, m, enter, leave in _per_model(batch, ordered[config], False):
+                v = np.concatenate([[ll[i], lengths.sum(), first.sum()], _counts(m, x, lengths, first, enter, leave)])
+                total[name] = total[name] + v if name in total else v
+        if total:
+            yield pd.DataFrame({"run": list(total), "v": list(total.values())})
+
+    joined = blocks.select("config", "seq", "block", "first", "n", "x").join(chain, ["config", "seq", "block"])
+    return add_up(joined.mapInPandas(task, "run string, v array<double>"), plan.tasks)
+
+
+def _maximised(m: HiddenMarkov, e: np.ndarray, reg: float) -> HiddenMarkov:
+    k, d = m.means.shape
+    begins, moves, mass, first, second = np.split(e[3:], np.cumsum([k, k * k, k, k * d]))
+    moves, mass = moves.reshape(k, k), np.maximum(mass, 1e-10)[:, None]
+    shift, second = first.reshape(k, d) / mass, second.reshape(k, d) / mass
+    variances = np.maximum(second - shift**2, 0.0) + reg
+    return HiddenMarkov(m.means.mean(axis=0) + shift, np.log(variances), moves / np.maximum(moves.sum(axis=1, keepdims=True), 1e-10), begins / begins.sum(),
+                        float(e[0]), int(e[1]), int(e[2]), m.config, m.steps + 1)
+
+
+def fit(blocks: DataFrame, rows: DataFrame, runs: Sequence[Run], max_iter: int = 20, tol: float = 1e-3, reg: float = 1e-2, stay: float = 0.95,
+        retry: bool = True) -> Models:
+    """Baum-Welch, the best restart per model; ``rows(idx, x[, config])`` are the blocks' vectors for the starting means.
+
+    All runs that have not converged share one job a step: restarts, seeds, numbers of states and
+    configurations. ``blocks`` should come from ``stored``, so that each pass moves only the
+    chained vectors. A model without a finite likelihood is fitted once more with other seeds, then it is an error.
     """
-    def moments(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
-
-    source = rows
-    held, rows, n_tasks = pooled(rows)
-    v = fold_pass(rows, moments, ["all"], n_tasks)["all"]
-    d = (len(v) - 1) // 2
-    var = np.maximum(v[d + 1 :] / v[0] - (v[1 : d + 1] / v[0]) ** 2, 1e-6)
-    names = {f"init{i}": (Span(), k, seed * 100 + i) for i in range(n_init)}
-    starts = starting_rows(rows, names, {n: int(v[0]) for n in names})
-    centres = lloyd(rows, starts, {n: Span() for n in names}, 10, n_tasks)
+    held, data, n_tasks = pooled(columns(rows))
+    spans = {r.name: Span(config=r.config) for r in runs}
+    firsts: dict[str, str] = {}
+    for r in runs:
+        firsts.setdefault(r.config, r.name)
+    stats = fold_pass(data, lambda run, idx, x: column_summary(x), list(firsts.values()), n_tasks, spans, merged_columns)
+    starts = starting_rows(data, {r.name: (spans[r.name], r.k, r.seed) for r in runs})
+    centres = lloyd(data, starts, spans, 10, n_tasks)
     held.unpersist()
 
-    # the join of a pass runs over the blocks' own partitions or over shuffle partitions
-    block_tasks = max(blocks.rdd.getNumPartitions(), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    best = None
-    for name in names:
-        transition = np.full((k, k), (1 - stay) / max(1, k - 1))
+    fits: Models = {}
+    for r in runs:
+        _, _, var = column_stats(stats[firsts[r.config]])
+        transition = np.full((r.k, r.k), (1 - stay) / max(1, r.k - 1))
         np.fill_diagonal(transition, stay)
-        m = HiddenMarkov(centres[name], np.tile(np.log(var + reg), (k, 1)), transition, np.full(k, 1.0 / k))
-        previous = -np.inf
-        for _ in range(max_iter):
-            e = _expected(blocks, _chain(_summaries(blocks, m, False), k, False), m, block_tasks)
-            ll, n, n_seq = float(e[0]), int(e[1]), int(e[2])
-            at = 3
-            begins, at = e[at : at + k], at + k
-            moves, at = e[at : at + k * k].reshape(k, k), at + k * k
-            mass, at = np.maximum(e[at : at + k], 1e-10), at + k
-            first, second = e[at : at + k * d].reshape(k, d), e[at + k * d :].reshape(k, d)
-            means = first / mass[:, None]
-            variances = np.maximum(second / mass[:, None] - means**2, 0.0) + reg
-            m = HiddenMarkov(means, np.log(variances), moves / np.maximum(moves.sum(axis=1, keepdims=True), 1e-10), begins / begins.sum(), ll, n, n_seq)
-            if abs(ll - previous) < tol:
-                break
-            previous = ll
-        if best is None or m.loglik > best.loglik:
-            best = m
-    if not np.isfinite(best.loglik):
-        if not retry:
-            raise ValueError("the likelihood is not finite; check the vectors and raise reg")
-        return fit(blocks, source, k, max_iter, tol, n_init, reg, seed + 1, stay, retry=False)
+        fits[r.name] = HiddenMarkov(centres[r.name], np.tile(np.log(np.maximum(var, 1e-6) + reg), (r.k, 1)), transition, np.full(r.k, 1.0 / r.k), config=r.config)
+    plan, live = layout(blocks), dict(fits)
+    for _ in range(max_iter):
+        if not live:
+            break
+        for name, e in _expected(blocks, live, plan).items():
+            before = fits[name].loglik
+            fits[name] = _maximised(fits[name], e, reg)
+            if abs(fits[name].loglik - before) < tol:
+                del live[name]
+            else:
+                live[name] = fits[name]
+    best: Models = {}
+    for r in runs:
+        m = fits[r.name]
+        if np.isfinite(m.loglik) and (r.model not in best or m.loglik > best[r.model].loglik):
+            best[r.model] = m
+    lost = [r for r in runs if r.model not in best]
+    if lost and not retry:
+        raise ValueError("the likelihood is not finite; check the vectors and raise reg")
+    if lost:
+        again = [Run(r.model, r.k, r.seed + 50_000, r.config) for r in lost]
+        best |= fit(blocks, rows, again, max_iter, tol, reg, stay, retry=False)
     return best
 
 
-def decode(blocks: DataFrame, m: HiddenMarkov) -> DataFrame:
-    """Most likely state path ``(seq, date, state)``."""
-    k = len(m.start)
-    chain = _chain(_summaries(blocks, m, True), k, True)
+def _applied(blocks: DataFrame, models: HiddenMarkov | Models, best: bool, column: T.StructField, values) -> DataFrame:
+    """``(model, seq, date, …)`` under every model; without ``model`` where a single one was given."""
+    named = models if isinstance(models, dict) else {"": models}
+    ordered = _ordered(named)
+    chain = _chain(_summaries(blocks, named, best), named, best, layout(blocks).levels)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _chunks(batches):
+        for config, batch in _chunks(batches):
             x, lengths = _padded(batch)
             first = batch["first"].to_numpy()
-            lb = m.emissions(x)
-            score = _forward(m, lb, first, np.stack(batch["enter"].to_numpy()), best=True)
-            la = np.log(m.transition + TINY)
-            state = np.array([int(v[0]) for v in batch["leave"]])
-            path = np.zeros(lb.shape[:2], dtype=int)
-            for t in range(lb.shape[1] - 1, -1, -1):
-                if t < lb.shape[1] - 1:
-                    back = (score[:, t] + la[:, state].T).argmax(axis=1)
-                    state = np.where(t < lengths - 1, back, state)
-                path[:, t] = state
-            yield _unrolled(batch, lengths, {"state": path})
-
-    joined = blocks.join(chain, ["seq", "block"])
-    return joined.mapInPandas(task, _row_schema(blocks, [T.StructField("state", T.LongType())]))
-
-
-def filtered(blocks: DataFrame, m: HiddenMarkov) -> DataFrame:
-    """State probabilities given the data up to each row, ``(seq, date, p)``."""
-    k = len(m.start)
-    chain = _chain(_summaries(blocks, m, False), k, False)
+            for _, name, m, enter, leave in _per_model(batch, ordered[config], best):
+                yield _unrolled(batch, lengths, {column.name: values(m, x, lengths, first, enter, leave)}).assign(model=name)
+
+    schema = T.StructType([blocks.schema["seq"], T.StructField("date", T.DateType()), column, T.StructField("model", T.StringType())])
+    out = blocks.join(chain, ["config", "seq", "block"]).mapInPandas(task, schema)
+    return out.select("model", "seq", "date", column.name) if isinstance(models, dict) else out.drop("model")
+
+
+def decode(blocks: DataFrame, models: HiddenMarkov | Models) -> DataFrame:
+    """Most likely state path ``([model,] seq, date, state)``."""
+
+    def path_of(m, x, lengths, first, enter, leave):
+        lb = m.emissions(x)
+        score = _forward(m, lb, first, enter, best=True)
+        la = np.log(m.transition + TINY)
+        state, path = leave, np.zeros(lb.shape[:2], dtype=int)
+        for t in range(lb.shape[1] - 1, -1, -1):
+            if t < lb.shape[1] - 1:
+                back = (score[:, t] + la[:, state].T).argmax(axis=1)
+                state = np.where(t < lengths - 1, back, state)
+            path[:, t] = state
+        return path
+
+    return _applied(blocks, models, True, T.StructField("state", T.LongType()), path_of)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _chunks(batches):
-            x, lengths = _padded(batch)
-            alpha = _forward(m, m.emissions(x), batch["first"].to_numpy(), np.stack(batch["enter"].to_numpy()))
-            p = np.exp(alpha - log_sum(alpha, 2)[:, :, None])
-            yield _unrolled(batch, lengths, {"p": p})
 
-    joined = blocks.join(chain, ["seq", "block"])
-    return joined.mapInPandas(task, _row_schema(blocks, [T.StructField("p", T.ArrayType(T.DoubleType()))]))
+def filtered(blocks: DataFrame, models: HiddenMarkov | Models) -> DataFrame:
+    """State probabilities given the data up to each row, ``([model,] seq, date, p)``."""
 
+    def probabilities(m, x, lengths, first, enter, leave):
+        alpha = _forward(m, m.emissions(x), first, enter)
+        return np.exp(alpha - log_sum(alpha, 2)[:, :, None])
 
-def _row_schema(blocks: DataFrame, extra: Sequence[T.StructField]) -> T.StructType:
-    return T.StructType([blocks.schema["seq"], T.StructField("date", T.DateType()), *extra])
+    return _applied(blocks, models, False, T.StructField("p", T.ArrayType(T.DoubleType())), probabilities)
 
 
 def _unrolled(batch: pd.DataFrame, lengths: np.ndarray, values: dict[str, np.ndarray]) -> pd.DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.operators import features as J
+from tidepanel.operators.passes import numbered
 
 
 def _forest(data: DataFrame, seed: int, trees: int, depth: int) -> RandomForestClassificationModel:
@@ -24,70 +23,70 @@ def _vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
     return df.select(array_to_vector(vector).alias("vec"), F.col(label).cast("double").alias("label"))
 
 
+def _gini(model: RandomForestClassificationModel, seed: int) -> list[tuple[int, int, float]]:
+    return [(int(seed), j, float(v)) for j, v in enumerate(model.featureImportances.toArray())]
+
+
 def forest_importance(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), trees: int = 200, depth: int = 30) -> DataFrame:
     """Impurity importance of every vector component, one forest per seed."""
     data = _vectors(df, vector, label).persist()
-    rows = []
-    for seed in seeds:
-        values = _forest(data, seed, trees, depth).featureImportances.toArray()
-        rows += [(int(seed), j, float(v)) for j, v in enumerate(values)]
+    rows = [row for seed in seeds for row in _gini(_forest(data, seed, trees, depth), seed)]
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "seed int, feature long, gini double")
 
 
-BUCKET_ROWS = 512
-
-
-def permuted_copies(df: DataFrame, vector: str, label: str, width: int, repeats: int, seed: int) -> DataFrame:
-    """For every component and repeat, the rows with that component permuted inside random buckets.
+def partnered(df: DataFrame, vector: str, label: str, seed: int, repeats: int) -> DataFrame:
+    """Every row with the vectors of the rows that take its place in ``repeats`` permutations: x, partners, label.
 
-    A bucket is chosen by the row's hash and ordered by its content, so the result does not
-    depend on partitions or batches. ``feature = -1`` are the untouched rows. Equal rows share
-    a bucket unless a second hash over their number splits them.
+    A permutation is a second numbering of the rows, in the order of a hash; it meets the first one on
+    the number. It is one permutation of the whole table, whatever the partitions.
     """
     rows = df.select(F.col(vector).alias("x"), F.col(label).cast("double").alias("label"))
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    counted = rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("_n"))  # copies of a row are spread over the buckets
-    numbered = counted.select("x", "label", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
-    spread = numbered.withColumn("_bucket", F.pmod(F.xxhash64("x", "label", "_i", F.lit(seed)), F.lit(buckets)))
-
-    def permute(batch: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["label"].to_numpy()
-        order = np.lexsort([batch["_i"].to_numpy(), y, *x.T[::-1]])
-        x, y, bucket = x[order], y[order], int(batch["_bucket"].iloc[0])
-        out = [pd.DataFrame({"feature": -1, "repeat": 0, "x": list(x), "label": y})]
-        for j in range(width):
-            for r in range(repeats):
-                rng = np.random.default_rng([seed, r, j, bucket])
-                moved = x.copy()
-                moved[:, j] = x[rng.permutation(len(x)), j]
-                out.append(pd.DataFrame({"feature": j, "repeat": r, "x": list(moved), "label": y}))
-        return pd.concat(out)
-
-    return spread.groupBy("_bucket").applyInPandas(permute, "feature long, repeat int, x array<double>, label double")
+    out = numbered(rows, F.xxhash64("x", "label"), "x", "label", name="_i")
+    for r in range(repeats):
+        other = numbered(rows.select("x"), F.xxhash64("x", F.lit(seed), F.lit(r)), "x", name="_i").select("_i", F.col("x").alias(f"_p{r}"))
+        out = out.join(other, "_i")
+    return out.select("x", F.array(*[F.col(f"_p{r}") for r in range(repeats)]).alias("partners"), "label")
+
+
+def permutation_scores(model: RandomForestClassificationModel, rows: DataFrame, seed: int, repeats: int) -> DataFrame:
+    """Mean accuracy lost when one component is taken from another row; copies of a row stream through the forest one by one."""
+    width = model.numFeatures
+    which = F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).alias("r"))), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.transform(
+        F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.struct(j.alias("j"), r.alias("r")))))))
+    each = rows.withColumn("_w", which)
+    swapped = F.transform("x", lambda v, i: F.when(i == F.col("_w.j"), F.get(F.get("partners", F.col("_w.r")), i)).otherwise(v))
+    scored = model.transform(each.select(F.col("_w.j").cast("long").alias("feature"), F.col("_w.r").alias("repeat"), "label", array_to_vector(swapped).alias("vec")))
+    accuracy = scored.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
+    means = accuracy.groupBy("feature").agg(F.avg("acc").alias("acc"))
+    base = F.max(F.when(F.col("feature") == -1, F.col("acc"))).over(J.Window.partitionBy())  # one row per feature
+    return means.select("feature", (base - F.col("acc")).alias("drop"), F.lit(seed).alias("seed")).where("feature >= 0")
 
 
 def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0, repeats: int = 3, trees: int = 200, depth: int = 30) -> DataFrame:
-    """Mean accuracy lost when one component is permuted."""
+    """Mean accuracy lost when one component is permuted over the whole table."""
     data = _vectors(df, vector, label).persist()
     model = _forest(data, seed, trees, depth)
     data.unpersist()
-    copies = permuted_copies(df, vector, label, model.numFeatures, repeats, seed)
-    scored = model.transform(copies.withColumn("vec", array_to_vector("x")))
-    accuracy = scored.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
-    means = accuracy.groupBy("feature").agg(F.avg("acc").alias("acc"))
-    base = F.max(F.when(F.col("feature") == -1, F.col("acc"))).over(J.Window.partitionBy())
-    return means.select("feature", (base - F.col("acc")).alias("drop"), F.lit(seed).alias("seed")).where("feature >= 0")
+    return permutation_scores(model, partnered(df, vector, label, seed, repeats), seed, repeats)
+
+
+def tree_scores(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), repeats: int = 3, trees: int = 200, depth: int = 30) -> DataFrame:
+    """Impurity and permutation importance from one forest per seed: ``(seed, feature, gini, drop)``."""
+    data = _vectors(df, vector, label).persist()
+    rows, drops = [], None
+    for seed in seeds:
+        model = _forest(data, seed, trees, depth)
+        rows += _gini(model, seed)
+        one = permutation_scores(model, partnered(df, vector, label, seed, repeats), seed, repeats)
+        drops = one if drops is None else drops.unionByName(one)
+    data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "seed int, feature long, gini double").join(drops, ["seed", "feature"])
 
 
 def ranked_features(df: DataFrame, long: DataFrame, vector: str = "x", label: str = "label", seeds: Sequence[int] = (0, 1, 2), repeats: int = 3,
                     trees: int = 200, depth: int = 30) -> DataFrame:
     """Mean rank over seeds of impurity, permutation and F importance, best first."""
-    gini = forest_importance(df, vector, label, seeds, trees, depth)
-    drops = None
-    for seed in seeds:
-        one = permutation_importance(df, vector, label, seed, repeats, trees, depth)
-        drops = one if drops is None else drops.unionByName(one)
     f = J.anova_f(long, ["feature"], "value", label)
-    joined = gini.join(drops, ["seed", "feature"]).join(f, "feature")
+    joined = tree_scores(df, vector, label, seeds, repeats, trees, depth).join(f, "feature")
     return J.mean_rank(joined, "feature", ["gini", "drop", "f"], runs=["seed"])

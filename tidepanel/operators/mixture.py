@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.operators.passes import Span, fold_pass, lloyd, pooled, stack, starting_rows
+from tidepanel.operators.moments import column_stats, column_summary, merged_columns
+from tidepanel.operators.passes import Span, by_config, columns, fold_pass, lloyd, pooled, starting_rows
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,11 @@ class Mixture:
     steps: int = 0
     converged: bool = False
     history: list[float] = field(default_factory=list)
+    config: str = ""
+
+    @property
+    def middle(self) -> np.ndarray:
+        return self.weights @ self.means
 
     @property
     def diagonal(self) -> bool:
@@ -84,45 +90,37 @@ def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
 
 def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float = 1e-6, max_iter: int = 100, tol: float = 1e-3,
         standardise: bool = True, warm_steps: int = 8) -> dict[str, Mixture]:
-    """Best restart per model on ``df(idx, x)``.
+    """Best restart per model on ``df(idx, x[, config])``.
 
-    All unfinished runs share each pass over the persisted rows. A run stops when its mean
+    All unfinished runs share each pass over the persisted rows; a run whose span names a
+    configuration looks at that configuration's rows only. A run stops when its mean
     log-likelihood gains less than ``tol``.
     """
     full = covariance == "full"
-    held, data, n_tasks = pooled(df.select("idx", "x"))
+    held, data, n_tasks = pooled(columns(df))
     by_name = {r.name: r for r in runs}
     spans = {r.name: r.span for r in runs}
 
-    def moments(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
-        x = x[spans[run].mask(idx)]
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
-
     distinct = {}
     for r in runs:
         distinct.setdefault(r.span, r.name)
-    sums = fold_pass(data, moments, list(distinct.values()), n_tasks)
-    counts, means, scales = {}, {}, {}
+    sums = fold_pass(data, lambda run, idx, x: column_summary(x[spans[run].mask(idx)]), list(distinct.values()), n_tasks, spans, merged_columns)
+    counts, means, variances, scales = {}, {}, {}, {}
     for r in runs:
-        v = sums[distinct[r.span]]
-        d = (len(v) - 1) // 2
-        n = v[0]
-        mu, var = v[1 : d + 1] / n, v[d + 1 :] / n - (v[1 : d + 1] / n) ** 2
-        counts[r.name] = int(n)
-        means[r.name] = mu if standardise else np.zeros(d)
-        sd = np.sqrt(np.maximum(var, 0.0))
-        scales[r.name] = np.where(sd > 0, sd, 1.0) if standardise else np.ones(d)
-
-    starts = starting_rows(data, {r.name: (r.span, r.k, r.seed) for r in runs}, counts)
+        counts[r.name], mu, var = column_stats(sums[distinct[r.span]])
+        sd = np.sqrt(var)
+        variances[r.name] = var
+        means[r.name] = mu if standardise else np.zeros(len(mu))
+        scales[r.name] = np.where(sd > 0, sd, 1.0) if standardise else np.ones(len(mu))
+
+    starts = starting_rows(data, {r.name: (r.span, r.k, r.seed) for r in runs})
     centres = lloyd(data, starts, spans, warm_steps, n_tasks)
     fits: dict[str, Mixture] = {}
     for r in runs:
-        d = centres[r.name].shape[1]
         z = (centres[r.name] - means[r.name]) / scales[r.name]
-        v = sums[distinct[r.span]]
-        var = np.maximum(v[d + 1 :] / v[0] - (v[1 : d + 1] / v[0]) ** 2, 0.0) / scales[r.name] ** 2 + reg
+        var = variances[r.name] / scales[r.name] ** 2 + reg
         covs = np.tile(np.diag(var), (r.k, 1, 1)) if full else np.tile(var, (r.k, 1))
-        fits[r.name] = Mixture(r.model, np.full(r.k, 1.0 / r.k), z, covs, means[r.name], scales[r.name], n=counts[r.name])
+        fits[r.name] = Mixture(r.model, np.full(r.k, 1.0 / r.k), z, covs, means[r.name], scales[r.name], n=counts[r.name], config=r.span.config)
 
     live = set(by_name)
     for _ in range(max_iter):
@@ -137,11 +135,11 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
             joint = m.log_joint(x)
             norm = log_sum(joint, 1)
             resp = np.exp(joint - norm[:, None])
-            z = (x - m.mean) / m.scale
+            z = (x - m.mean) / m.scale - m.middle  # products are taken around the middle of the means, so they do not cancel
             second = np.einsum("nk,ni,nj->kij", resp, z, z, optimize=True) if full else resp.T @ (z * z)
             return np.concatenate([[norm.sum()], resp.sum(axis=0), (resp.T @ z).ravel(), second.ravel()])
 
-        for name, v in fold_pass(data, expect, sorted(live), n_tasks).items():
+        for name, v in fold_pass(data, expect, sorted(live), n_tasks, spans).items():
             m = fits[name]
             k, d = m.means.shape
             m.loglik = float(v[0])
@@ -159,7 +157,7 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
                 covs = (covs + covs.transpose(0, 2, 1)) / 2 + reg * np.eye(d)
             else:
                 covs = np.maximum(rest.reshape(k, d) / nk[:, None] - mu**2, 0.0) + reg
-            m.weights, m.means, m.covs, m.steps = nk / nk.sum(), mu, covs, m.steps + 1
+            m.weights, m.means, m.covs, m.steps = nk / nk.sum(), mu + m.middle, covs, m.steps + 1
     held.unpersist()
     best: dict[str, Mixture] = {}
     for m in fits.values():
@@ -174,27 +172,29 @@ def restarts(model: str, k: int, n_init: int, seed: int = 0, span: Span = Span()
 
 def score(df: DataFrame, models: Sequence[Mixture], spans: dict[str, Span] | None = None, keep: Sequence[str] = ("idx",)) -> DataFrame:
     """Component probabilities, label and log-density of every row under every model (or the rows in its span)."""
-    items = [(m, (spans or {}).get(m.model, Span())) for m in models]
+    items = {m.model: m for m in models}
+    spans = {m.model: (spans or {}).get(m.model, Span(config=m.config)) for m in models}
     keep = list(dict.fromkeys(["idx", *keep]))
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            idx, x = batch["idx"].to_numpy(), stack(batch["x"])
-            for m, span in items:
-                inside = np.flatnonzero(span.mask(idx))
-                if not len(inside):
-                    continue
-                joint = m.log_joint(x[inside])
-                norm = log_sum(joint, 1)
-                p = np.exp(joint - norm[:, None])
-                yield batch.iloc[inside][keep].assign(model=m.model, label=joint.argmax(axis=1), p=list(p), logp=norm)
+            for _, rows in batch.groupby("config", sort=False) if "config" in batch.columns else [("", batch)]:
+                for own, idx, x in by_config(rows, list(items), spans):
+                    for name in own:
+                        inside = np.flatnonzero(spans[name].mask(idx))
+                        if not len(inside):
+                            continue
+                        joint = items[name].log_joint(x[inside])
+                        norm = log_sum(joint, 1)
+                        p = np.exp(joint - norm[:, None])
+                        yield rows.iloc[inside][keep].assign(model=name, label=joint.argmax(axis=1), p=list(p), logp=norm)
 
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([
         *fields, T.StructField("model", T.StringType()), T.StructField("label", T.LongType()),
         T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("logp", T.DoubleType()),
     ])
-    return df.select(*keep, "x").mapInPandas(task, schema)
+    return df.select(*keep, "x", *[c for c in ("config",) if c in df.columns and c not in keep]).mapInPandas(task, schema)
 
 
 def cross_validate(df: DataFrame, n_rows: int, components: Sequence[int], folds: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 500) -> DataFrame:

@@ -13,20 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.session import kept
+
 SHARDS = 64
 
 
 @dataclass(frozen=True)
 class Span:
-    """Rows of a run: ``lo <= idx < hi`` without ``cut_lo <= idx < cut_hi``."""
+    """Rows of a run: ``lo <= idx < hi`` without ``cut_lo <= idx < cut_hi``, of one configuration where the rows name them."""
 
     lo: int = -(2**62)
     hi: int = 2**62
     cut_lo: int = 0
     cut_hi: int = 0
+    config: str = ""
 
     def mask(self, idx: np.ndarray) -> np.ndarray:
         keep = (idx >= self.lo) & (idx < self.hi)
@@ -37,14 +40,37 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def add_up(parts: DataFrame, n_tasks: int | None = None) -> dict[str, np.ndarray]:
-    """Sum arrays per run: first inside ``SHARDS`` groups of tasks, then the few shard sums on the driver.
+Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def columns(df: DataFrame) -> DataFrame:
+    """What passes read: row number, vector and, where there are several, the configuration."""
+    return df.select(*[c for c in ("config", "idx", "x") if c in df.columns])
+
+
+def by_config(batch: pd.DataFrame, runs: Sequence[str], spans: dict[str, Span] | None) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Runs with the rows they look at, one configuration after the other; vectors of a configuration have one length."""
+    if "config" not in batch.columns:
+        if len(batch):
+            yield list(runs), batch["idx"].to_numpy(), stack(batch["x"])
+        return
+    for config, part in batch.groupby("config", sort=False):
+        names = [r for r in runs if spans[r].config == config]
+        if names:
+            yield names, part["idx"].to_numpy(), stack(part["x"])
+
+
+def add_up(parts: DataFrame, n_tasks: int | None = None, merge: Merge = np.add) -> dict[str, np.ndarray]:
+    """Merge arrays per run (add them, unless told otherwise): first inside ``SHARDS`` groups of tasks, then the few shards on the driver.
 
     With at most ``SHARDS`` tasks their own arrays are already few enough.
     """
 
     def shard_sum(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "v": [stack(pdf["v"]).sum(axis=0)]})
+        total = None
+        for v in pdf["v"]:
+            total = np.asarray(v, float) if total is None else merge(total, np.asarray(v, float))
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "v": [total]})
 
     sharded = parts.withColumn("shard", F.spark_partition_id() % SHARDS)
     sums = sharded.groupBy("run", "shard").applyInPandas(shard_sum, "run string, v array<double>")
@@ -53,28 +79,26 @@ def add_up(parts: DataFrame, n_tasks: int | None = None) -> dict[str, np.ndarray
     total: dict[str, np.ndarray] = {}
     for row in sums.collect():
         v = np.array(row["v"])
-        total[row["run"]] = total[row["run"]] + v if row["run"] in total else v
+        total[row["run"]] = merge(total[row["run"]], v) if row["run"] in total else v
     return total
 
 
 def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.ndarray], runs: Sequence[str],
-              n_tasks: int | None = None) -> dict[str, np.ndarray]:
-    """Sum ``fold(run, idx, x)`` over all batches of ``df(idx, x)``."""
+              n_tasks: int | None = None, spans: dict[str, Span] | None = None, merge: Merge = np.add) -> dict[str, np.ndarray]:
+    """Merge ``fold(run, idx, x)`` over all batches of ``df(idx, x[, config])``."""
     names = list(runs)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            idx, x = batch["idx"].to_numpy(), stack(batch["x"])
-            for run in names:
-                v = fold(run, idx, x)
-                sums[run] = sums[run] + v if run in sums else v
+            for own, idx, x in by_config(batch, names, spans):
+                for run in own:
+                    v = fold(run, idx, x)
+                    sums[run] = merge(sums[run], v) if run in sums else v
         if sums:
             yield pd.DataFrame({"run": list(sums), "v": list(sums.values())})
 
-    return add_up(df.select("idx", "x").mapInPandas(task, "run string, v array<double>"), n_tasks)
+    return add_up(columns(df).mapInPandas(task, "run string, v array<double>"), n_tasks, merge)
 
 
 ROWS_PER_TASK = 50_000
@@ -83,14 +107,32 @@ ROWS_PER_TASK = 50_000
 def pooled(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame, int]:
     """Persist a table and group its partitions to fit its size.
 
-    Returns the persisted table (to release later), the view to read and its number of
-    tasks. A table that came out of a wide shuffle may have hundreds of near-empty
+    Returns the persisted table (to release later), the view to read and the most tasks
+    it has. A table that came out of a wide shuffle may have hundreds of near-empty
     partitions, each of which would start a worker on every pass.
     """
     stored = df.persist()
     wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // rows_per_task))
-    view = stored.coalesce(wanted)
-    return stored, view, view.rdd.getNumPartitions()
+    return stored, stored.coalesce(wanted), wanted
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "idx") -> DataFrame:
+    """Rows numbered 0 ... n-1 in the given total order, without a window over the table.
+
+    Rows are dealt out by ranges of the order and sorted inside; the counts of the ranges, one number
+    each, make their offsets. The dealt rows are kept (in the checkpoint folder, else persisted), so that the
+    offsets and the rows speak of the same ranges.
+    """
+    dealt = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order)
+    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    held = kept(placed)
+    counts = {r["_part"]: r["count"] for r in held.groupBy("_part").count().collect()}
+    total, starts = 0, []
+    for part in range(max(counts, default=-1) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    offset = F.get(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), F.col("_part"))
+    return held.select(*df.columns, (offset + F.col("_at")).alias(name))
 
 
 def hashed(idx: np.ndarray, seed: int) -> np.ndarray:
@@ -103,43 +145,57 @@ def hashed(idx: np.ndarray, seed: int) -> np.ndarray:
     return z.astype(np.float64) / 2.0**64
 
 
-def starting_rows(df: DataFrame, runs: dict[str, tuple[Span, int, int]], counts: dict[str, int]) -> dict[str, np.ndarray]:
-    """``k`` random rows per run ``(span, k, seed)``: those with the smallest hash.
+def content(x: np.ndarray) -> np.ndarray:
+    """A number per row that depends on its values only."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(len(x), np.uint64)
+        for column in (x + 0.0).T:  # no negative zero
+            out = (out ^ np.ascontiguousarray(column).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def starting_rows(df: DataFrame, runs: dict[str, tuple[Span, int, int]]) -> dict[str, np.ndarray]:
+    """``k`` random distinct rows per run ``(span, k, seed)``: those whose content has the smallest hash.
 
-    Only rows below a threshold that about ``30 k`` rows pass are looked at; it is raised
-    in the unlikely case that too few pass.
+    Equal rows have equal hashes, so a task keeps and sends the first ``k`` different ones of every run,
+    however many copies there are, and no second look at the table is needed.
     """
-    open_runs, found, factor = dict(runs), {}, 30.0
-    while open_runs:
-        bounds = {r: factor * k / max(counts[r], 1) for r, (_, k, _) in open_runs.items()}
-        current = dict(open_runs)
-
-        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                idx, x = batch["idx"].to_numpy(), stack(batch["x"])
-                for run, (span, _, seed) in current.items():
-                    h = hashed(idx, seed)
-                    keep = np.flatnonzero(span.mask(idx) & (h < bounds[run]))
-                    if len(keep):
-                        yield pd.DataFrame({"run": run, "h": h[keep], "x": list(x[keep])})
-
-        rows = df.select("idx", "x").mapInPandas(task, "run string, h double, x array<double>").toPandas()
-        for run, (_, k, _) in current.items():
-            part = rows[rows["run"] == run].sort_values("h")
-            distinct = np.unique(stack(part["x"]), axis=0) if len(part) else np.zeros((0, 0))
-            if len(distinct) >= k or bounds[run] >= 1.0:
-                seen: list[np.ndarray] = []
-                for v in part["x"]:
-                    v = np.asarray(v, dtype=float)
-                    if not any(np.array_equal(v, s) for s in seen):
-                        seen.append(v)
-                    if len(seen) == k:
-                        break
-                if len(seen) < k:
-                    raise ValueError(f"run {run} has fewer than {k} distinct rows")
-                found[run] = np.stack(seen)
-                del open_runs[run]
-        factor *= 30
+    spans = {r: span for r, (span, _, _) in runs.items()}
+
+    def smallest(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        return rows.sort_values("h", kind="stable").drop_duplicates("h").head(k)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            for own, idx, x in by_config(batch, list(runs), spans):
+                name = content(x)
+                for run in own:
+                    span, k, seed = runs[run]
+                    keep = np.flatnonzero(span.mask(idx))
+                    if not len(keep):
+                        continue
+                    h = hashed(name[keep], seed)
+                    near = np.unique(h, return_index=True)[1][:k]
+                    rows = pd.DataFrame({"run": run, "h": h[near], "x": list(x[keep[near]])})
+                    held[run] = smallest(pd.concat([held[run], rows]), k) if run in held else rows
+        if held:
+            yield pd.concat(held.values())
+
+    sent = columns(df).mapInPandas(task, "run string, h double, x array<double>")
+
+    def shard_smallest(rows: pd.DataFrame) -> pd.DataFrame:
+        return smallest(rows, runs[rows["run"].iloc[0]][1])[["run", "h", "x"]]
+
+    shards = sent.withColumn("shard", F.spark_partition_id() % SHARDS).groupBy("run", "shard").applyInPandas(shard_smallest, sent.schema)
+    rows = shards.groupBy("run").applyInPandas(shard_smallest, sent.schema).toPandas()
+    found = {}
+    for run, (_, k, _) in runs.items():
+        part = rows[rows["run"] == run].sort_values("h")
+        if len(part) < k:
+            raise ValueError(f"run {run} has fewer than {k} distinct rows")
+        found[run] = stack(part["x"])
     return found
 
 
@@ -156,7 +212,7 @@ def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span],
             hot = np.eye(len(c))[near]
             return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel() if len(x) else np.zeros(c.size)])
 
-        sums = fold_pass(df, fold, list(current), n_tasks)
+        sums = fold_pass(df, fold, list(current), n_tasks, spans)
         moved = 0.0
         for run, v in sums.items():
             k, d = current[run].shape

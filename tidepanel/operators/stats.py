@@ -1,15 +1,14 @@
-"""Descriptive statistics: summaries, moments, quantiles, frequencies, contingency."""
+"""Descriptive statistics: summaries, quantiles, frequencies, contingency (second moments are in ``moments``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import ratio
+from tidepanel.session import kept
 
 
 def factor_summary(df: DataFrame, keys: Sequence[str], value: str, periods: int = 252) -> DataFrame:
@@ -42,57 +41,88 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact interpolated quantiles of groups of any size.
+def joined(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``df`` with columns of a table that has one row per key; without keys its one row is a scalar of the plan, not a join."""
+    if keys:
+        return df.join(table.select(*keys, *columns), list(keys))
+    row = table.select(F.struct(*columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in columns])
 
-    A mergeable sketch brackets each quantile (its rank error is at most ``n / accuracy``);
-    the rows below a bracket are only counted and only the few inside it are ordered, after
-    equal values were merged. No group is gathered in one place.
+
+BINS = 1 << 16
+
+
+def _octave(v: Column) -> Column:
+    """A digit that never falls as ``v`` grows: 64 steps per factor of two, on both sides of zero; at most about 280,000 values."""
+    size = F.floor(F.log2(F.abs(v)) * 64) + 70_000
+    finite = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    return F.when(F.isnan(v), 400_000).when(v == float("inf"), 300_000).when(v == float("-inf"), -300_000).otherwise(finite).cast("long")
+
+
+def _share(v: Column, lo: Column, hi: Column) -> Column:
+    """A digit that never falls as ``v`` grows from ``lo`` to ``hi``: its place among ``BINS`` equal steps."""
+    part = (v - lo) / (hi - lo)
+    return F.when((hi > lo) & ~F.isnan(part), F.least(F.floor(part * BINS), F.lit(BINS - 1))).otherwise(0).cast("long")
+
+
+def _chosen(counts: DataFrame, group: Sequence[str], targets: DataFrame | None, probs: Sequence[float]) -> DataFrame:
+    """The bins (of ``counts``: group, _digit, _c, _lo, _hi) that hold the wanted places, with each place counted from its bin's first row.
+
+    The first time (no targets) the places follow from the groups' sizes: the two ranks around every probability.
+    """
+    w = Window.partitionBy(*group)
+    upto = F.sum("_c").over(w.orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_before", upto - F.col("_c"))
+    if targets is None:
+        n = F.sum("_c").over(w)
+        at = [(i, F.col("_n") - 1, p) for i, p in enumerate(probs)]
+        wanted = [
+            F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), F.least(F.floor(last * F.lit(float(p))).cast("long") + side, last).alias("place"),
+                     (last * F.lit(float(p)) - F.floor(last * F.lit(float(p)))).alias("share"))
+            for i, last, p in at for side in (0, 1)
+        ]
+        tagged = placed.withColumn("_n", n).withColumn("_t", F.explode(F.array(*wanted)))
+        tagged = tagged.select(*counts.columns, "_before", "_t.*")
+    else:
+        tagged = placed.join(targets, list(group))
+    here = (F.col("place") >= F.col("_before")) & (F.col("place") < F.col("_before") + F.col("_c"))
+    return tagged.where(here).withColumn("place", F.col("place") - F.col("_before"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact interpolated quantiles of groups of any size, by refining histograms.
+
+    The two rows around a quantile are found by place. Rows are counted by a digit that grows with the
+    value, the bins that hold wanted places are kept, and their rows are counted by the next digit:
+    the octave, two linear digits of ``BINS`` steps between the kept bin's ends, then the
+    few different values left. Rows are only ever counted, with partial aggregates; windows
+    run over bins. No group is gathered or ordered, and rows that no bin kept leave at the first join.
     """
     keys = list(keys)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(0).alias("_all"))
-    group = [*keys, "_all"]
-    margin = 4.0 / accuracy
-    ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = data.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_e"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+    data = df.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + 0.0).alias("_v"))
+    ends = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+
+    bins = data.withColumn("_digit", _octave(F.col("_v")))
+    found = _chosen(bins.groupBy(*keys, "_digit").agg(*ends), keys, None, probs)
+    path = ["_d0"]
+    found = kept(found.withColumnRenamed("_digit", "_d0"))  # a few rows per group; each level reads the one before
+    data = bins.withColumnRenamed("_digit", "_d0")
+    for level in (1, 2, 3):
+        group = [*keys, *path]
+        bounds = found.select(*group, "_lo", "_hi").distinct()
+        inside = data.join(bounds, group)
+        digit = _share(F.col("_v"), F.col("_lo"), F.col("_hi")) if level < 3 else F.col("_v")
+        inside = inside.withColumn("_digit", digit).drop("_lo", "_hi")
+        targets = found.select(*group, "q", "side", "place", "share")
+        found = _chosen(inside.groupBy(*group, "_digit").agg(*ends), group, targets, probs).withColumnRenamed("_digit", f"_d{level}")
+        found = kept(found) if level < 3 else found
+        data = inside.withColumnRenamed("_digit", f"_d{level}")
+        path.append(f"_d{level}")
+    sides = found.groupBy(*keys, "q").agg(
+        F.max(F.when(F.col("side") == 0, F.col("_lo"))).alias("_low"), F.max(F.when(F.col("side") == 1, F.col("_lo"))).alias("_high"), F.max("share").alias("_share")
     )
-    brackets = [
-        F.struct(
-            F.lit(i).alias("q"), F.lit(float(p)).alias("p"),
-            # a group no larger than the accuracy is its own bracket: its ranks lie closer than the margin
-            F.when((F.col("_n") <= accuracy) | F.lit(p <= margin), F.col("_lo")).otherwise(F.col("_e")[2 * i]).alias("lo"),
-            F.when((F.col("_n") <= accuracy) | F.lit(p >= 1 - margin), F.col("_hi")).otherwise(F.col("_e")[2 * i + 1]).alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    sketch = sketch.select(*group, "_n", F.array(*brackets).alias("_b"))
-    tagged = data.join(sketch, group)
-    below = tagged.groupBy(*group).agg(
-        *[F.sum((F.col("_v") < F.col("_b")[i]["lo"]).cast("long")).alias(f"_below{i}") for i in range(len(probs))]
-    )
-    inside = tagged.select(*group, "_n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v").between(b["lo"], b["hi"]))).alias("_q"))
-    merged = inside.groupBy(*group, "_n", F.col("_q")["q"].alias("_i"), F.col("_q")["p"].alias("_p"), "_v").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    w = Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = merged.withColumn("_upto", F.sum("_c").over(w)).join(below, group)
-    offset = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]), F.col("_i") + 1)
-    last = offset + F.col("_upto") - 1
-    first = last - F.col("_c") + 1
-    at = (F.col("_n") - 1) * F.col("_p")
-    k = F.floor(at)
-    low = F.max(F.when(k.between(first, last), F.col("_v")))
-    high = F.max(F.when(F.least(k + 1, F.col("_n") - 1).between(first, last), F.col("_v")))
-    picked = placed.groupBy(*group, "_i").agg(low.alias("_low"), high.alias("_high"), F.first(at - k).alias("_f"))
-    missed = F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
-    picked = picked.withColumn("_low", F.coalesce("_low", missed)).withColumn("_high", F.coalesce("_high", missed))
-    exact = F.when(F.col("_f") == 0, F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f"))
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, exact)).alias(n) for i, n in enumerate(names)])
+    exact = F.when(F.col("_share") == 0, F.col("_low")).otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share"))
+    return sides.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == i, exact)).alias(n) for i, n in enumerate(names)])
 
 
 def tail_risk(df: DataFrame, keys: Sequence[str], ret: str, eta: float = 0.95) -> DataFrame:
@@ -104,83 +134,26 @@ def tail_risk(df: DataFrame, keys: Sequence[str], ret: str, eta: float = 0.95) -
     return losses.select(*keys, "var", mean.alias("cvar"))
 
 
-# ---- second moments ----------------------------------------------------------------
-
-_MOMENT_SCHEMA = "run string, i int, j int, n double, si double, sj double, sij double, sii double, sjj double"
-
+# ---- agreement of labelings ----------------------------------------------------------
 
-def pair_moments(df: DataFrame, vector: str, run: str | None = None) -> DataFrame:
-    """Pairwise-complete sums of every pair of vector components.
+def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adjusted Rand index of two labelings from their contingency counts.
 
-    Each task folds its rows into one matrix per run with a matrix product and emits that;
-    no pair of values is ever a row of its own, and no group is collected.
+    Pairs within cells, within rows and within columns of the table are added up in one aggregate, without a join.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, list[np.ndarray]] = {}
-        for batch in batches:
-            for name, part in batch.groupby("run", sort=False):
-                x = np.stack(part["x"].to_numpy()).astype(float)  # missing cells arrive as NaN
-                m = np.isfinite(x).astype(float)
-                x = np.where(m > 0, x, 0.0)
-                new = [m.T @ m, x.T @ m, x.T @ x, (x * x).T @ m]
-                old = sums.get(name)
-                sums[name] = new if old is None else [a + b for a, b in zip(old, new)]
-        for name, (n, s, p, q) in sums.items():
-            i, j = np.triu_indices(n.shape[0])
-            yield pd.DataFrame(
-                {"run": name, "i": i.astype("int32"), "j": j.astype("int32"), "n": n[i, j], "si": s[i, j], "sj": s[j, i],
-                 "sij": p[i, j], "sii": q[i, j], "sjj": q[j, i]}
-            )
-
-    rows = df.select((F.col(run).cast("string") if run else F.lit("")).alias("run"), F.col(vector).alias("x"))
-    parts = rows.mapInPandas(fold, _MOMENT_SCHEMA)
-    return parts.groupBy("run", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij", "sii", "sjj")])
-
-
-def correlation_pairs(df: DataFrame, vector: str, run: str | None = None) -> DataFrame:
-    """Covariance (``n - 1``) and correlation of every component pair ``i <= j``; NULL for a constant component."""
-    m = pair_moments(df, vector, run)
-    n = F.col("n")
-    cross = F.col("sij") - F.col("si") * F.col("sj") / n
-    vi = F.col("sii") - F.col("si") * F.col("si") / n
-    vj = F.col("sjj") - F.col("sj") * F.col("sj") / n
-    scale = F.sqrt(F.greatest(vi, F.lit(0.0)) * F.greatest(vj, F.lit(0.0)))
-    return m.select(
-        "run", "i", "j", n.cast("long").alias("n"),
-        F.when(n > 1, cross / (n - 1)).alias("cov"),
-        F.when((n > 1) & (scale > 0), cross / scale).alias("corr"),
-    )
-
-
-def covariance_matrix(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector, sample covariance and row count on the driver; its size is the vector length squared."""
-    rows = pair_moments(df, vector).collect()
-    d = max(r["j"] for r in rows) + 1
-    cov, mean, n = np.zeros((d, d)), np.zeros(d), 0.0
-    for r in rows:
-        n = r["n"]
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = (r["sij"] - r["si"] * r["sj"] / n) / max(n - 1, 1.0)
-        if r["i"] == r["j"]:
-            mean[r["i"]] = r["si"] / n
-    return mean, cov, int(n)
-
-
-# ---- agreement of labelings ----------------------------------------------------------
-
-def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings from their contingency counts."""
     def pairs(c):
         c = F.col(c).cast("double")
         return c * (c - 1) / 2
 
-    named, keys = list(keys), [*keys, "_all"]
-    cells = df.withColumn("_all", F.lit(0)).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_n"))
-    rows = cells.groupBy(*keys, a).agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(F.sum(pairs("_n")).alias("_a"))
-    cols = cells.groupBy(*keys, b).agg(F.sum("_n").alias("_n")).groupBy(*keys).agg(F.sum(pairs("_n")).alias("_b"))
-    both = cells.groupBy(*keys).agg(F.sum(pairs("_n")).alias("_ab"), F.sum("_n").alias("n"))
-    joined = both.join(rows, keys).join(cols, keys)
-    expected = F.col("_a") * F.col("_b") / pairs("n")
+    cells = df.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_n"))
+    parts = None
+    for name, kept in (("_ab", [a, b]), ("_a", [a]), ("_b", [b])):
+        counts = cells if name == "_ab" else cells.groupBy(*keys, *kept).agg(F.sum("_n").alias("_n"))
+        part = counts.select(*keys, *[(pairs("_n") if c == name else F.lit(0.0)).alias(c) for c in ("_ab", "_a", "_b")], (F.col("_n") if name == "_ab" else F.lit(0).cast("long")).alias("n"))
+        parts = part if parts is None else parts.unionByName(part)
+    joined = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_ab", "_a", "_b", "n")])
+    expected = F.col("_a") * F.col("_b") / F.nullif(pairs("n"), F.lit(0.0))
     middle = (F.col("_a") + F.col("_b")) / 2
-    index = F.when(middle == expected, F.lit(1.0)).otherwise((F.col("_ab") - expected) / F.nullif(middle - expected, F.lit(0.0)))
-    return joined.select(*named, "n", index.alias("ari"))
+    index = F.when(expected.isNull() | (middle == expected), F.lit(1.0)).otherwise((F.col("_ab") - expected) / F.nullif(middle - expected, F.lit(0.0)))
+    return joined.select(*keys, "n", index.alias("ari"))

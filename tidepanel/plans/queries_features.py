@@ -52,9 +52,8 @@ def prepare_features(spark, sf):
     return rnd(out.select("month", "series_id", "value"), "value", digits=4)
 
 
-@query("feature_bundles")
-def feature_bundles(spark, sf):
-    """Four bundles of macro, engineered and alternative series, prepared in one plan."""
+def prepared_bundles(spark, sf):
+    """Four bundles of macro, engineered and alternative series, prepared in one plan: ``(bundle, month, series_id, value)``."""
     from tidepanel.plans.queries_factors import MACRO_NAMES, monthly_closes
 
     closes = monthly_closes(spark, sf)
@@ -63,7 +62,12 @@ def feature_bundles(spark, sf):
     from tidepanel.plans.engineered import engineered_features
 
     panel = B.bundles(macro, engineered_features(closes, names=MACRO_NAMES), alt, since="1995-01-01")
-    return rnd(J.prepare(panel, bundle=["bundle"]).select("bundle", "month", "series_id", "value"), "value", digits=4)
+    return J.prepare(panel, bundle=["bundle"]).select("bundle", "month", "series_id", "value")
+
+
+@query("feature_bundles")
+def feature_bundles(spark, sf):
+    return rnd(prepared_bundles(spark, sf), "value", digits=4)
 
 
 # ---- components -------------------------------------------------------------------------------------

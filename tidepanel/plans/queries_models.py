@@ -13,11 +13,13 @@ from tidepanel.operators import mixture as M
 from tidepanel.operators import optimise as Z
 from tidepanel.operators import risk as R
 from tidepanel.operators.passes import Span
+from tidepanel.operators.passes import numbered as numbered_rows
 from tidepanel.plans import views as V
 from tidepanel.plans.oracle_views import r, sql
 from tidepanel.plans.queries_panel import rnd
 from tidepanel.plans.queries_risk import TRAIN, K
 from tidepanel.plans.registry import query
+from tidepanel.session import kept
 from tidepanel.sources import shaping
 
 
@@ -59,15 +61,12 @@ def gmm_criteria(spark, sf):
 
 
 def numbered(spark, sf):
-    """Standardised vectors numbered 0 … n-1 in date order; the dates are a calendar, so their order is one small sort."""
-    from pyspark.sql import Window
-
+    """Standardised vectors numbered 0 … n-1 in date order."""
     rows = group_vectors(spark, sf).select("date", F.posexplode("x").alias("j", "v"))
     from tidepanel.operators.features import standardise
 
     z = standardise(rows, ["j"], "v", "z").groupBy("date").agg(F.array_sort(F.array_agg(F.struct("j", "z"))).alias("c"))
-    z = z.select("date", F.transform("c", lambda c: c["z"]).alias("x"))
-    return z.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1).cast("long").alias("idx"), "date", "x")
+    return numbered_rows(z.select("date", F.transform("c", lambda c: c["z"]).alias("x")), "date")
 
 
 @query("gmm_cross_validation")
@@ -139,7 +138,7 @@ def hmm_inputs(spark, sf, width=16):
 
 def fitted_hmm(spark, sf):
     rows, blocks = hmm_inputs(spark, sf)
-    return rows, blocks, H.fit(blocks, H.numbered_rows(rows, ["entity", "date"]))
+    return rows, blocks, H.fit(blocks, H.numbered_rows(rows, ["entity", "date"]), H.restarts("chain", 6))["chain"]
 
 
 @query("hmm_fit")
@@ -177,12 +176,33 @@ def state_export(spark, sf):
                       *[rounded(F.get("p", F.lit(k))).alias(f"p_state{k}") for k in range(m.means.shape[0])])
 
 
+# Fixed value: selections see months up to here only.
+SEEN_UNTIL = "1999-12-31"
+
+
+def engine_inputs(spark, sf):
+    """The prepared bundles, the flag and the features that selecting configurations take."""
+    from tidepanel.plans import engines
+    from tidepanel.plans.queries_features import prepared_bundles
+
+    long, flag = kept(prepared_bundles(spark, sf)), V.flag_monthly(spark, sf)
+    return long, flag, kept(engines.select_features(long, flag, SEEN_UNTIL))
+
+
+@query("engine_selection")
+def engine_selection(spark, sf):
+    """Screen size and mean rank of the two bundles that configurations select from, ranked against regimes of a third."""
+    return rnd(engine_inputs(spark, sf)[2], "mean_rank")
+
+
 @query("engine_grid")
 def engine_grid(spark, sf):
-    """Two engines on two feature configurations: quality and detection figures per fit."""
-    from tidepanel.plans.engines import engine_table
+    """Two engines on five feature configurations: sizes, quality, agreement of ten seeds and detection figures per fit."""
+    from tidepanel.plans import engines
 
-    return engine_table(spark, sf)
+    long, flag, chosen = engine_inputs(spark, sf)
+    table = engines.diagnostics(engines.fit_chain(long, chosen=chosen), flag)
+    return rnd(table, *[c for c, t in table.dtypes if t == "double"], digits=3)
 
 
 # ---- distances, layers, outliers ------------------------------------------------------------------------
@@ -280,13 +300,69 @@ def silhouette(spark, sf):
 
 @query("seed_stability")
 def seed_stability(spark, sf):
-    """Agreement of diagonal mixtures fitted from different seeds."""
+    """Agreement of diagonal mixtures from ten further seeds with that of seed 0."""
     data = V.features(spark, sf).select(F.col("row_id").alias("idx"), "x")
-    fits = M.fit(data, [run for s in range(4) for run in M.restarts(str(s), 4, 1, seed=s)], covariance="diag", max_iter=40)
+    fits = M.fit(data, [run for s in range(11) for run in M.restarts(str(s), 6, 10, seed=s)], covariance="diag")
     labels = M.score(data, list(fits.values())).select("idx", F.col("model").cast("int").alias("seed"), "label")
     return rnd(Q.seed_stability(labels, ["idx"], "seed", "label", 0), "ari_mean", "ari_std")
 
 
+@query("chain_stability")
+def chain_stability(spark, sf):
+    """The same for hidden Markov chains, all seeds fitted in one job a step."""
+    rows, blocks = hmm_inputs(spark, sf)
+    chains = H.fit(blocks, H.numbered_rows(rows, ["entity", "date"]), [run for s in range(11) for run in H.restarts(str(s), 6, 1, s)])
+    labels = H.decode(blocks, chains).select("seq", "date", F.col("model").cast("int").alias("seed"), F.col("state").alias("label"))
+    return rnd(Q.seed_stability(labels, ["seq", "date"], "seed", "label", 0), "ari_mean", "ari_std")
+
+
+# Tables after the fits, on labels that are plain functions of the data: seed s of a configuration cuts a value of the month differently.
+_GRID = """SELECT 'c' || (p.feature % 3) AS config, CASE WHEN p.seed % 2 = 0 THEN 'GMM' ELSE 'HMM' END AS engine, CAST(p.seed // 2 AS INT) AS seed, p.month, CAST(floor(abs(m.value / 1e5) / (p.seed // 2 + 1 + p.feature)) % 3 AS BIGINT) AS state
+    FROM (SELECT DISTINCT month, feature, seed FROM macro_monthly, range(3) f(feature), range(6) s(seed)) p JOIN macro_monthly m ON m.month = p.month AND m.series_id = 'TOTAL'"""
+_PAIRED = "SELECT a.config, a.engine, a.seed, a.month, a.state AS s, b.state AS ref FROM grid_labels a JOIN grid_labels b ON a.config = b.config AND a.engine = b.engine AND a.month = b.month AND b.seed = 0 WHERE a.seed > 0"
+_PAIRS = "sum(n::DOUBLE * (n - 1) / 2)"
+_ARI = f"""SELECT config, engine, seed, (ab - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)) AS ari FROM (SELECT config, engine, seed, {_PAIRS} AS ab, sum(n)::DOUBLE AS n FROM (SELECT config, engine, seed, s, ref, count(*) AS n FROM paired GROUP BY ALL) GROUP BY ALL)
+    JOIN (SELECT config, engine, seed, {_PAIRS} AS a FROM (SELECT config, engine, seed, s, count(*) AS n FROM paired GROUP BY ALL) GROUP BY ALL) USING (config, engine, seed) JOIN (SELECT config, engine, seed, {_PAIRS} AS b FROM (SELECT config, engine, seed, ref, count(*) AS n FROM paired GROUP BY ALL) GROUP BY ALL) USING (config, engine, seed)"""
+
+
+def grid_labels(spark, sf):
+    total = V.macro_monthly(spark, sf).where("series_id = 'TOTAL'").select("month", F.abs(F.col("value") / 1e5).alias("v"))
+    each = total.withColumn("feature", F.explode(F.array(*map(F.lit, range(3))))).withColumn("s", F.explode(F.array(*map(F.lit, range(6)))))
+    seed = F.floor(F.col("s") / 2).cast("int")
+    state = (F.floor(F.col("v") / (seed + 1 + F.col("feature"))) % 3).cast("long")
+    return each.select(F.concat(F.lit("c"), F.col("feature")).alias("config"), F.when(F.col("s") % 2 == 0, "GMM").otherwise("HMM").alias("engine"), seed.alias("seed"), "month", state.alias("state"))
+
+
+@query("stability_by_config", sql(f"SELECT config, engine, {r('avg(ari)')} AS ari_mean, {r('stddev_pop(ari)')} AS ari_std, count(*) AS n_seeds FROM ari GROUP BY ALL", "macro_monthly", grid_labels=_GRID, paired=_PAIRED, ari=_ARI))
+def stability_by_config(spark, sf):
+    from tidepanel.plans.engines import stability
+
+    return rnd(stability(grid_labels(spark, sf)), "ari_mean", "ari_std")
+
+
+# The two dimensions of the distances: the month's total and one of its parts; their covariance with 1e-6 on the diagonal is inverted by hand.
+_XY = "SELECT m.month, max(m.value) FILTER (series_id = 'TOTAL') / 1e6 AS x, max(m.value) FILTER (series_id = 'R|F') / 1e6 AS y FROM macro_monthly m GROUP BY month HAVING y IS NOT NULL"
+_QUAD = """SELECT l.config, l.engine, l.month, l.state, ((x - mx) * (x - mx) * vy - 2 * (x - mx) * (y - my) * c + (y - my) * (y - my) * vx) / (vx * vy - c * c) AS q FROM (SELECT config, engine, month, state FROM grid_labels WHERE seed = 0) l JOIN xy USING (month),
+    (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) + 1e-6 AS vx, var_samp(y) + 1e-6 AS vy, covar_samp(x, y) AS c FROM xy)"""
+_OWNER = "SELECT config, engine, state AS crisis FROM (SELECT config, engine, state, count(*) FILTER (q >= b) AS n FROM (SELECT *, quantile_cont(q, 0.85) OVER (PARTITION BY config, engine) AS b FROM quad) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY config, engine ORDER BY n DESC, state) = 1"
+_CELLS = "SELECT config, engine, crisis, count(*) FILTER (state = crisis AND flag > 0) AS tp, count(*) FILTER (state = crisis AND flag = 0) AS fp, count(*) FILTER (state <> crisis AND flag > 0) AS fn FROM quad JOIN owner USING (config, engine) JOIN flag_monthly USING (month) GROUP BY ALL"
+_RATES = "SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 3) AS recall FROM cells"
+
+
+@query("detection_by_config", sql("SELECT config, engine, CAST(crisis AS INT) AS crisis, tp, fp, fn, recall, precision, round(coalesce(2 * recall * precision / nullif(recall + precision, 0), 0), 3) AS f1 FROM rates",
+    "macro_monthly", "flag_monthly", grid_labels=_GRID, xy=_XY, quad=_QUAD, owner=_OWNER, cells=_CELLS, rates=_RATES))
+def detection_by_config(spark, sf):
+    """Crisis state by ownership of extreme months, and its recall and precision, for every configuration and engine at once."""
+    from tidepanel.plans.engines import detection
+
+    macro = V.macro_monthly(spark, sf)
+    pick = lambda name: (F.max(F.when(F.col("series_id") == name, F.col("value"))) / 1e6)
+    xy = macro.groupBy("month").agg(pick("TOTAL").alias("a"), pick("R|F").alias("b")).where("b is not null").select("month", F.array("a", "b").alias("x"))
+    scores = xy.withColumn("config", F.explode(F.array(*[F.lit(f"c{i}") for i in range(3)])))
+    first = grid_labels(spark, sf).where("seed = 0").drop("seed")
+    return detection(first, scores, V.flag_monthly(spark, sf))
+
+
 # ---- portfolios ------------------------------------------------------------------------------------------------
 
 def backtest_feed(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import rounded
+from tidepanel.operators import moments as N
 from tidepanel.operators import regimes as G
 from tidepanel.operators import stats as S
 from tidepanel.plans import views as V
@@ -20,10 +21,11 @@ def factor_summary(spark, sf):
 
 
 def return_vectors(spark, sf):
-    """One array of returns per date, series in name order; the array is as long as the list of series."""
-    cells = V.returns(spark, sf).where("ret IS NOT NULL").groupBy("date").agg(F.map_from_entries(F.array_agg(F.struct("series_id", "ret"))).alias("m"))
-    names = sorted(f"Brand#{i}" for i in range(1, 26))
-    return cells.select("date", F.array(*[F.try_element_at("m", F.lit(n)) for n in names]).alias("x"))
+    """One array of returns per date, a place for every series of the table in name order."""
+    returns = V.returns(spark, sf)
+    cells = returns.where("ret IS NOT NULL").groupBy("date").agg(F.map_from_entries(F.array_agg(F.struct("series_id", "ret"))).alias("m"))
+    names = returns.groupBy().agg(F.sort_array(F.collect_set("series_id")).alias("names"))  # one row, as wide as the result
+    return cells.join(F.broadcast(names)).select("date", F.transform("names", lambda n: F.try_element_at("m", n)).alias("x"))
 
 
 @query("correlation_matrix", sql(f"""SELECT CAST(i.k AS INT) AS i, CAST(j.k AS INT) AS j, count(*) AS n, {r('corr(a.ret, b.ret)')} AS corr, {r('covar_samp(a.ret, b.ret)')} AS cov
@@ -31,13 +33,21 @@ def return_vectors(spark, sf):
     WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND i.k <= j.k GROUP BY ALL""", "returns",
     names="SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS k FROM (SELECT DISTINCT series_id FROM prices)"))
 def correlation_matrix(spark, sf):
-    return rnd(S.correlation_pairs(return_vectors(spark, sf), "x").drop("run"), "corr", "cov")
+    return rnd(N.correlation_pairs(return_vectors(spark, sf), "x").drop("run"), "corr", "cov")
+
+
+@query("shifted_moments", sql(f"""SELECT CAST(a.feature AS INT) AS i, CAST(b.feature AS INT) AS j, count(*) AS n, {r('covar_samp(a.value, b.value)', 5)} AS cov, {r('corr(a.value, b.value)', 5)} AS corr
+    FROM s a JOIN s b USING (row_id) WHERE a.feature <= b.feature GROUP BY ALL""", "features_long", s="SELECT row_id, feature, value * 8 + 1e8::DOUBLE AS value FROM features_long"))
+def shifted_moments(spark, sf):
+    """Covariances of values whose mean is 1e8 times their deviation."""
+    far = V.features(spark, sf).select(F.transform("x", lambda v: v * 8 + 1e8).alias("x"))
+    return rnd(N.correlation_pairs(far, "x").drop("run"), "cov", "corr", digits=5)
 
 
 @query("second_moments", sql(f"""SELECT CAST(a.feature AS INT) AS i, CAST(b.feature AS INT) AS j, {r('covar_samp(a.value, b.value)')} AS cov FROM features_long a
     JOIN features_long b USING (row_id) WHERE a.feature <= b.feature GROUP BY ALL""", "features_long"))
 def second_moments(spark, sf):
-    return rnd(S.correlation_pairs(V.features(spark, sf), "x").select("i", "j", "cov"), "cov")
+    return rnd(N.correlation_pairs(V.features(spark, sf), "x").select("i", "j", "cov"), "cov")
 
 
 _DAY_STATE = "SELECT r.series_id, r.date, r.ret, m.state FROM returns r JOIN states_monthly m ON m.universe = 'F' AND m.month = CAST(date_trunc('month', r.date) AS DATE)"

@@ -34,3 +34,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A small table that several later steps read: checkpointed where a shared folder is named, else persisted when first read."""
+    out = cut_lineage(df)
+    return df.persist() if out is df else out
