@@ -99,6 +99,14 @@ def test_few_different_rows_send_few_rows(spark):
         starting_rows(df, {"a": (Span(), 4, 0)})
 
 
+def test_an_open_span_keeps_every_number(spark):
+    ends = np.array([-(2**63), -(2**62) - 1, 0, 2**62 + 1, 2**63 - 1])
+    assert Span().mask(ends).all() and Span(0, 5).mask(ends).tolist() == [False, False, True, False, False]
+    rows = spark.range(500).select(F.xxhash64("id").alias("idx"), F.array(F.col("id").cast("double")).alias("x"))
+    fit = M.fit(rows, M.restarts("m", 1, 1))["m"]
+    assert fit.n == 500 and M.score(rows, [fit]).count() == 500
+
+
 def test_partners_are_a_permutation_of_the_whole_table(spark):
     x = np.arange(2000.0)[:, None] * [1.0, -1.0]
     df = spark.createDataFrame([(row.tolist(), float(i % 2)) for i, row in enumerate(x)], "x array<double>, label double").repartition(6)
@@ -177,3 +185,25 @@ def test_models_of_values_far_from_zero(spark):
     a, b = chains
     order = [np.argsort(c.means[:, 0]) for c in chains]
     assert np.allclose(a.means[order[0]], b.means[order[1]] - 1e8, atol=1e-5) and np.allclose(a.log_vars[order[0]], b.log_vars[order[1]], atol=1e-4)
+
+
+# ---- k-means ----------------------------------------------------------------------------------------------
+
+def test_kmeans_of_many_runs_is_as_good_as_the_librarys(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from tidepanel.operators.passes import kmeans
+
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 0.4, (n, 3)) for c, n in zip(rng.normal(0, 6, (8, 3)), (400, 300, 200, 100, 50, 40, 20, 10))])
+    df = vectors(spark, x)
+    fits = kmeans(df, {f"{k}|{s}": (Span(), k, s) for k in (2, 5, 8) for s in range(5)})
+    for k in (2, 5, 8):
+        theirs = min(KMeans(k=k, seed=s, maxIter=50, featuresCol="v").fit(df.select(array_to_vector("x").alias("v"))).summary.trainingCost for s in range(3))
+        costs = [fits[f"{k}|{s}"][1] for s in range(5)]
+        assert min(costs) <= theirs * 1.001
+        centres, cost = fits[f"{k}|0"]
+        assert cost == pytest.approx(((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    with pytest.raises(ValueError, match="distinct"):
+        kmeans(vectors(spark, np.zeros((50, 2))), {"a": (Span(), 2, 0)})

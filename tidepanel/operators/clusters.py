@@ -7,29 +7,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as E
 from tidepanel.operators import moments as N
 from tidepanel.operators import stats as S
+from tidepanel.operators.passes import Span, fold_pass, kmeans, nearest, pooled
 
 
-def kmeans(df: DataFrame, vector: str, k: int, seeds: Sequence[int] = (0,), max_iter: int = 50) -> KMeansModel:
-    """Best of several seeds by training cost."""
-    data = df.select(array_to_vector(vector).alias("vec")).persist()
-    models = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="vec").fit(data) for s in seeds]
-    data.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _rows(df: DataFrame, vector: str) -> DataFrame:
+    return df.select(F.xxhash64(vector).alias("idx"), F.col(vector).alias("x"))
+
+
+def unit(vector: str) -> Column:
+    return E.scaled(vector, 1.0 / (E.l2_norm(vector) + 1e-12))
+
+
+def best_centres(df: DataFrame, vector: str, k: int, seeds: Sequence[int] = (0,)) -> np.ndarray:
+    """Centres of the seed with the smallest cost."""
+    return min(kmeans(_rows(df, vector), {str(s): (Span(), k, s) for s in seeds}).values(), key=lambda found: found[1])[0]
 
 
 def inertias(df: DataFrame, vector: str, counts: Sequence[int], seeds: Sequence[int] = (0,), normalise: bool = True) -> DataFrame:
-    """Training cost per number of clusters, on rows scaled to unit length unless told otherwise."""
-    rows = df.select(E.scaled(vector, 1.0 / (E.l2_norm(vector) + 1e-12)).alias("x") if normalise else F.col(vector).alias("x")).persist()
-    table = [(k, float(kmeans(rows, "x", k, seeds).summary.trainingCost)) for k in counts]
-    rows.unpersist()
+    """Smallest cost per number of clusters, all counts and seeds together, on rows scaled to unit length unless told otherwise."""
+    rows = _rows(df.select((unit(vector) if normalise else F.col(vector)).alias("x")), "x")
+    fits = kmeans(rows, {f"{k}|{s}": (Span(), k, s) for k in counts for s in seeds})
+    table = [(k, min(fits[f"{k}|{s}"][1] for s in seeds)) for k in counts]
     return df.sparkSession.createDataFrame(table, "k int, inertia double")
 
 
@@ -73,33 +77,33 @@ def distance_rule(df: DataFrame, distance: str, share: float) -> tuple[float, fl
 
 def spherical_centroids(df: DataFrame, vector: str, r: int, seeds: Sequence[int]) -> list[list[float]]:
     """k-means on unit vectors; each centroid is the mean of its members in original units."""
-    unit = df.withColumn("_u", E.scaled(vector, 1.0 / (E.l2_norm(vector) + 1e-12)))
-    model = kmeans(unit, "_u", r, seeds)
-    members = model.transform(unit.withColumn("vec", array_to_vector("_u"))).select("prediction", F.posexplode(vector).alias("j", "v"))
-    means = members.groupBy("prediction", "j").agg(F.avg("v").alias("v")).collect()
-    d = max(row["j"] for row in means) + 1
-    out = np.zeros((r, d))
-    for row in means:
-        out[row["prediction"], row["j"]] = row["v"]
-    return out.tolist()
+    centres = best_centres(df.select(unit(vector).alias("_u")), "_u", r, seeds)
+
+    def members(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+        hot = np.eye(r)[nearest(x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12), centres)[0]]
+        return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel()])
+
+    sums = fold_pass(_rows(df, vector), members, ["all"])["all"]
+    return (sums[r:].reshape(r, -1) / np.maximum(sums[:r], 1.0)[:, None]).tolist()
 
 
 def fit_layers(df: DataFrame, vector: str, r: int = 5, method: str = "quantile", share: float = 0.15, seeds: Sequence[int] = (0,)) -> Layers:
     """Outliers first, by distance quantile or as the smaller of two clusters; then spherical clusters of the rest."""
+    held, df, _ = pooled(df.select(vector))
     if method == "quantile":
         center, variance = diagonal_moments(df, vector)
         variance = [v + 1e-12 for v in variance]
-        distances = df.withColumn("_d", mahalanobis(vector, _lit(center), _lit(variance)))
-        threshold, scale = distance_rule(distances, "_d", share)
-        typical = distances.where(F.col("_d") < threshold)
-        return Layers(method, spherical_centroids(typical, vector, r, seeds), center, variance, threshold, scale)
-    model = kmeans(df, vector, 2, seeds)
-    labelled = model.transform(df.withColumn("vec", array_to_vector(vector)))
-    sizes = {row["prediction"]: row["count"] for row in labelled.groupBy("prediction").count().collect()}
-    outlier = min(range(2), key=lambda c: (sizes.get(c, 0), c))
-    typical = labelled.where(F.col("prediction") != outlier).drop("vec", "prediction")
-    split = [c.tolist() for c in model.clusterCenters()]
-    return Layers(method, spherical_centroids(typical, vector, r, seeds), split=split, outlier=outlier)
+        measured = df.withColumn("_d", mahalanobis(vector, _lit(center), _lit(variance)))
+        threshold, scale = distance_rule(measured, "_d", share)
+        out = Layers(method, spherical_centroids(measured.where(F.col("_d") < threshold), vector, r, seeds), center, variance, threshold, scale)
+    else:
+        centres = best_centres(df, vector, 2, seeds)
+        sizes = fold_pass(_rows(df, vector), lambda run, idx, x: np.bincount(nearest(x, centres)[0], minlength=2).astype(float), ["all"])["all"]
+        outlier, split = int(sizes.argmin()), centres.tolist()
+        typical = df.where(E.argmin(distances(vector, split, "euclidean")) != outlier)
+        out = Layers(method, spherical_centroids(typical, vector, r, seeds), split=split, outlier=outlier)
+    held.unpersist()
+    return out
 
 
 def distances(vector: str, centroids: Sequence[Sequence[float]], metric: str = "cosine") -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidepanel.operators.mixture import log_sum
 from tidepanel.operators.moments import column_stats, column_summary, merged_columns
-from tidepanel.operators.passes import Span, add_up, columns, fold_pass, lloyd, pooled, starting_rows
+from tidepanel.operators.passes import Span, add_up, columns, fold_pass, lloyd, pooled, starting_rows, task_count
 
 TINY = 1e-300
 CHUNK = 512
@@ -88,7 +88,7 @@ def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64, confi
 
 def stored(blocks: DataFrame, blocks_per_task: int = 2_000) -> DataFrame:
     """Blocks persisted by sequence and block, in as many partitions as their number asks for."""
-    wanted = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // blocks_per_task))
+    wanted = task_count(blocks, blocks.count(), 64, blocks_per_task)
     return blocks.repartition(wanted, "config", "seq", "block").persist()
 
 

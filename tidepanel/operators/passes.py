@@ -25,14 +25,14 @@ SHARDS = 64
 class Span:
     """Rows of a run: ``lo <= idx < hi`` without ``cut_lo <= idx < cut_hi``, of one configuration where the rows name them."""
 
-    lo: int = -(2**62)
-    hi: int = 2**62
+    lo: int = -(2**63)
+    hi: int = 2**63  # beyond every number, hashes included
     cut_lo: int = 0
     cut_hi: int = 0
     config: str = ""
 
     def mask(self, idx: np.ndarray) -> np.ndarray:
-        keep = (idx >= self.lo) & (idx < self.hi)
+        keep = (idx >= self.lo) & (idx <= self.hi - 1)
         return keep & ~((idx >= self.cut_lo) & (idx < self.cut_hi)) if self.cut_hi > self.cut_lo else keep
 
 
@@ -101,7 +101,12 @@ def fold_pass(df: DataFrame, fold: Callable[[str, np.ndarray, np.ndarray], np.nd
     return add_up(columns(df).mapInPandas(task, "run string, v array<double>"), n_tasks, merge)
 
 
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK, FEW_ROWS = 50_000, 200
+
+
+def task_count(df: DataFrame, rows: int, few: int = FEW_ROWS, most: int = ROWS_PER_TASK) -> int:
+    """Tasks for a pass over so many rows: all cores if each gets more than a few rows, more if a task would get too many."""
+    return max(1, min(df.sparkSession.sparkContext.defaultParallelism, rows // few), -(-rows // most))
 
 
 def pooled(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame, DataFrame, int]:
@@ -112,7 +117,7 @@ def pooled(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> tuple[DataFrame
     partitions, each of which would start a worker on every pass.
     """
     stored = df.persist()
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // rows_per_task))
+    wanted = task_count(df, stored.count(), most=rows_per_task)
     return stored, stored.coalesce(wanted), wanted
 
 
@@ -199,27 +204,104 @@ def starting_rows(df: DataFrame, runs: dict[str, tuple[Span, int, int]]) -> dict
     return found
 
 
-def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span], steps: int, n_tasks: int | None = None) -> dict[str, np.ndarray]:
-    """A few k-means steps for all runs together; an empty cluster keeps its centre."""
-    centres = dict(starts)
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre and the squared distance to it, a bounded slice of the rows at a time."""
+    label, square = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, 2_000_000 // max(centres.size, 1))
+    for i in range(0, len(x), step):
+        d = ((x[i : i + step, None, :] - centres[None]) ** 2).sum(axis=2)
+        label[i : i + step] = d.argmin(axis=1)
+        square[i : i + step] = d.min(axis=1)
+    return label, square
+
+
+def spread_rows(df: DataFrame, runs: dict[str, tuple[Span, int, int]], rounds: int = 3, n_tasks: int | None = None) -> dict[str, np.ndarray]:
+    """``k`` starting rows per run ``(span, k, seed)`` by oversampling, for all runs in the same passes.
+
+    Every round draws ``2 k`` further rows, the likelier the farther they lie from those drawn before: each row gets
+    an exponential number with its squared distance as rate, the smallest win, and a task keeps and sends
+    no more than win. One pass weighs the drawn rows by the rows nearest to them; the few weighted rows are reduced to ``k``.
+    """
+    spans = {r: span for r, (span, _, _) in runs.items()}
+    drawn = starting_rows(df, {r: (span, 1, seed) for r, (span, _, seed) in runs.items()})
+    schema = "run string, h double, x array<double>"
+    for turn in range(rounds):
+        current = dict(drawn)
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, pd.DataFrame] = {}
+            for batch in batches:
+                for own, idx, x in by_config(batch, list(runs), spans):
+                    for run in own:
+                        span, k, seed = runs[run]
+                        inside = np.flatnonzero(span.mask(idx))
+                        _, square = nearest(x[inside], current[run])
+                        with np.errstate(divide="ignore"):
+                            key = -np.log(hashed(idx[inside], 1 + turn + 16 * seed) + 2.0**-65) / square
+                        best = np.argsort(key, kind="stable")[: 2 * k]
+                        best = best[np.isfinite(key[best])]
+                        if not len(best):
+                            continue
+                        rows = pd.DataFrame({"run": run, "h": key[best], "x": list(x[inside][best])})
+                        held[run] = pd.concat([held[run], rows]).nsmallest(2 * k, "h") if run in held else rows
+            if held:
+                yield pd.concat(held.values())
+
+        def winners(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.nsmallest(2 * runs[rows["run"].iloc[0]][1], "h")[["run", "h", "x"]]
+
+        sent = columns(df).mapInPandas(task, schema)
+        shards = sent.withColumn("shard", F.spark_partition_id() % SHARDS).groupBy("run", "shard").applyInPandas(winners, schema)
+        for run, rows in shards.groupBy("run").applyInPandas(winners, schema).toPandas().groupby("run"):
+            drawn[run] = np.unique(np.vstack([drawn[run], stack(rows["x"])]), axis=0)
+    current = dict(drawn)
+
+    def weigh(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(nearest(x[spans[run].mask(idx)], current[run])[0], minlength=len(current[run])).astype(float)
+
+    weights = fold_pass(df, weigh, list(runs), n_tasks, spans)
+    return {run: _reduced(drawn[run], weights[run], k, seed) for run, (_, k, seed) in runs.items()}
+
+
+def _reduced(rows: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """``k`` of a few weighted rows, each drawn by weight times squared distance to those before."""
+    if len(rows) < k:
+        raise ValueError(f"fewer than {k} distinct rows")
+    rng = np.random.default_rng(seed)
+    taken = [int(rng.choice(len(rows), p=weight / weight.sum()))]
+    while len(taken) < k:
+        p = np.maximum(weight, 1e-9) * nearest(rows, rows[taken])[1]
+        taken.append(int(rng.choice(len(rows), p=p / p.sum())))
+    return rows[taken]
+
+
+def kmeans(df: DataFrame, runs: dict[str, tuple[Span, int, int]], steps: int = 50) -> dict[str, tuple[np.ndarray, float]]:
+    """Centres and cost of every run ``(span, k, seed)`` on ``df(idx, x[, config])``: all seeds and counts in the same passes."""
+    held, data, n_tasks = pooled(columns(df))
+    spans = {r: span for r, (span, _, _) in runs.items()}
+    centres = lloyd(data, spread_rows(data, runs, n_tasks=n_tasks), spans, steps, n_tasks, tol=1e-4)
+    cost = fold_pass(data, lambda run, idx, x: np.array([nearest(x[spans[run].mask(idx)], centres[run])[1].sum()]), list(runs), n_tasks, spans)
+    held.unpersist()
+    return {run: (centres[run], float(cost[run][0])) for run in runs}
+
+
+def lloyd(df: DataFrame, starts: dict[str, np.ndarray], spans: dict[str, Span], steps: int, n_tasks: int | None = None, tol: float = 1e-6) -> dict[str, np.ndarray]:
+    """k-means steps for all runs that still move; an empty cluster keeps its centre."""
+    centres, live = dict(starts), list(starts)
     for _ in range(steps):
-        current = dict(centres)
+        if not live:
+            break
+        current = {run: centres[run] for run in live}
 
         def fold(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = current[run]
             x = x[spans[run].mask(idx)]
-            near = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(axis=2), axis=1) if len(x) else np.zeros(0, int)
-            hot = np.eye(len(c))[near]
+            hot = np.eye(len(c))[nearest(x, c)[0]]
             return np.concatenate([hot.sum(axis=0), (hot.T @ x).ravel() if len(x) else np.zeros(c.size)])
 
-        sums = fold_pass(df, fold, list(current), n_tasks, spans)
-        moved = 0.0
-        for run, v in sums.items():
+        for run, v in fold_pass(df, fold, live, n_tasks, spans).items():
             k, d = current[run].shape
             n, s = v[:k], v[k:].reshape(k, d)
-            new = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], current[run])
-            moved = max(moved, float(np.abs(new - current[run]).max()))
-            centres[run] = new
-        if moved < 1e-6:
-            break
+            centres[run] = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], current[run])
+        live = [run for run in live if np.abs(centres[run] - current[run]).max() >= tol]
     return centres

@@ -258,7 +258,7 @@ def soft_label(spark, sf):
 def layered_regimes(spark, sf):
     """Distance-quantile outliers and five cosine clusters, hard and soft."""
     data = V.features(spark, sf)
-    model = C.fit_layers(data, "x", r=5, method="quantile", seeds=[0, 1])
+    model = C.fit_layers(data, "x", r=5, method="quantile", seeds=range(10))
     return C.with_layers(data, "x", model).select("row_id", F.col("label"), arr("p").alias("p"))
 
 
@@ -266,13 +266,13 @@ def layered_regimes(spark, sf):
 def layered_regimes_split(spark, sf):
     """The same with the smaller of two clusters as outliers."""
     data = V.features(spark, sf)
-    model = C.fit_layers(data, "x", r=5, method="kmeans", seeds=[0, 1])
+    model = C.fit_layers(data, "x", r=5, method="kmeans", seeds=range(10))
     return C.with_layers(data, "x", model).select("row_id", F.col("label"), arr("p").alias("p"))
 
 
 @query("kmeans_inertia")
 def kmeans_inertia(spark, sf):
-    table = C.inertias(V.features(spark, sf), "x", range(2, 7), seeds=[0, 1])
+    table = C.inertias(V.features(spark, sf), "x", range(2, 11), seeds=range(10))
     return rnd(table, "inertia", digits=4)
 
 
