@@ -104,20 +104,24 @@ def test_mixed_dates(spark):
     assert [r[0] for r in df.select(E.parse_mixed_date("d")).collect()] == [dt.date(2024, 2, 29), dt.date(2024, 2, 29), None, None]
 
 
-@pytest.mark.parametrize("seconds", [1, 3600, 86400, 10**9])
-def test_sequence_results_do_not_depend_on_the_block_width(spark, seconds):
+@pytest.mark.parametrize("blocks", [None, 1, 7, 1000])
+def test_sequence_results_do_not_depend_on_the_blocks(spark, blocks):
+    """One sequence owns most rows, and half of all rows share one second."""
     rng = np.random.default_rng(3)
-    rows = [(int(s), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(t)), i, int(rng.integers(3)))
-            for i, (s, t) in enumerate(zip(rng.choice([1, 1, 1, 2], 400), rng.integers(0, 5 * 86400, 400)))]
+    times = np.where(rng.random(400) < 0.5, 7200, rng.integers(0, 5 * 86400, 400))
+    rows = [(int(s), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(t)), i, int(rng.integers(3))) for i, (s, t) in enumerate(zip(rng.choice([1, 1, 1, 2], 400), times))]
     df = spark.createDataFrame(rows, "seq_id long, ts timestamp, event_id long, state long")
     pdf = pd.DataFrame(rows, columns=["seq", "ts", "id", "state"]).sort_values(["seq", "ts", "id"])
     pdf["next"] = pdf.groupby("seq")["state"].shift(-1)
     expected = pdf.dropna().groupby(["state", "next"]).size().to_dict()
-    counts = Q.transition_counts(df, ["seq_id"], ["ts", "event_id"], "state", "ts", seconds).collect()
+    counts = Q.transition_counts(df, ["seq_id"], ["ts", "event_id"], "state", blocks=blocks).collect()
     assert {(r["from_state"], r["to_state"]): r["n"] for r in counts} == expected
-    runs = Q.periods(df, ["seq_id"], ["ts", "event_id"], "state", "ts", seconds).toPandas().sort_values(["seq_id", "run_id"])
+    runs = Q.periods(df, ["seq_id"], ["ts", "event_id"], "state", "ts", blocks).toPandas().sort_values(["seq_id", "run_id"])
     changes = (pdf["state"] != pdf.groupby("seq")["state"].shift()).groupby(pdf["seq"]).sum()
     assert runs.groupby("seq_id").size().tolist() == changes.tolist() and runs["n_rows"].sum() == len(pdf)
+    near = Q.with_neighbour(Q.with_block(df, ["seq_id"], ["ts", "event_id"], blocks), ["seq_id"], ["ts", "event_id"], "state", "before").toPandas().set_index("event_id")["before"]
+    before = pdf.groupby("seq")["state"].shift().set_axis(pdf["id"])
+    assert near.sort_index().fillna(-1).tolist() == before.sort_index().fillna(-1).tolist()
 
 
 def test_exact_quantiles_of_any_distribution(spark):

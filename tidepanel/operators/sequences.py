@@ -1,8 +1,9 @@
 """Ordered operators over event sequences of any length.
 
-One sequence may hold a third of all rows, so nothing here sorts a whole sequence in one
-task. Rows are cut into time blocks; each block is sorted on its own, and the only thing
-that crosses a block border is one small summary row per block.
+One sequence may hold a third of all rows, and one day or second of it as many, so nothing here
+sorts a whole sequence, or a stretch of time, in one task. Rows are dealt out by ranges of
+(sequence, order) of about equal numbers of rows; a range's part of a sequence is a block, sorted on
+its own, and the only thing that crosses a block border is one small summary row per block.
 """
 
 from __future__ import annotations
@@ -12,12 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.passes import task_count
+from tidepanel.session import kept
+
 BLOCK = "_block"
 
 
-def with_block(df: DataFrame, time: str, seconds: int) -> DataFrame:
-    """Number of the fixed-width time block a row falls in."""
-    return df.withColumn(BLOCK, F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds).cast("long"))
+BLOCK_ROWS, FEW_ROWS = 500_000, 10_000
+
+
+def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Number of the range of (keys, order) a row falls in; numbers ascend with the order, and a range is bounded in rows.
+
+    The dealt rows are kept (in the checkpoint folder, else persisted): steps that read them must see the same ranges.
+    """
+    blocks = blocks or task_count(df, df.count(), FEW_ROWS, BLOCK_ROWS)
+    return kept(df.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("long")))
 
 
 def _block_edge(blocks: DataFrame, keys: Sequence[str], payload: Sequence[str], order: Sequence[str], side: str) -> DataFrame:
@@ -44,15 +55,13 @@ def with_neighbour(
     )
 
 
-def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, seconds: int,
-                      by: Sequence[str] = ()) -> DataFrame:
+def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
     """Counts of (state, next state) pairs over all sequences, or per ``by`` columns (a subset of the keys).
 
     Pairs inside a block are counted where the block is; pairs across a border come from
     the blocks' first and last states alone, so rows are never joined.
     """
-    blocked = with_block(df.select(*keys, *order, state, time) if time not in order else df.select(*keys, *order, state), time, seconds)
-    blocked = blocked.where(F.col(state).isNotNull())
+    blocked = with_block(df.where(F.col(state).isNotNull()).select(*keys, *order, state), keys, order, blocks)
     w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     inside = blocked.select(*by, F.col(state).alias("from_state"), F.lead(state).over(w).alias("to_state"))
     edges = blocked.groupBy(*keys, BLOCK).agg(
@@ -64,7 +73,7 @@ def transition_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return pairs.groupBy(*by, "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def periods(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, seconds: int) -> DataFrame:
+def periods(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, time: str, blocks: int | None = None) -> DataFrame:
     """Contiguous runs of one state: ``start``, ``end`` (first time of the next run, or the run's
     own last time for the final run), ``last_time`` and length.
 
@@ -72,7 +81,7 @@ def periods(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str
     runs continue those before it. The rows are shuffled once, the rest works on runs.
     """
     w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    blocked = with_block(df, time, seconds)
+    blocked = with_block(df, keys, order, blocks)
     before = F.lag(state).over(w)
     starts = F.lag(F.lit(1)).over(w).isNull() | ~F.col(state).eqNullSafe(before)
     marked = blocked.withColumn("_new", starts.cast("long"))

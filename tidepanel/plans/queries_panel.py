@@ -454,12 +454,11 @@ def sort_nulls_last(spark, sf):
 
 # ---- event sequences -----------------------------------------------------------------------------
 
-DAY = 86400
 
 
 @query("previous_state", sql("SELECT seq_id, event_id, state, lag(state) OVER (PARTITION BY seq_id ORDER BY ts, event_id) AS prev_state FROM states", "states"))
 def previous_state(spark, sf):
-    out = Q.with_neighbour(Q.with_block(V.states(spark, sf), "ts", DAY), ["seq_id"], ["ts", "event_id"], "state", "prev_state")
+    out = Q.with_neighbour(Q.with_block(V.states(spark, sf), ["seq_id"], ["ts", "event_id"]), ["seq_id"], ["ts", "event_id"], "state", "prev_state")
     return out.select("seq_id", "event_id", "state", "prev_state")
 
 
@@ -472,7 +471,7 @@ _PAIRS = "SELECT state, lead(state) OVER (PARTITION BY seq_id ORDER BY ts, event
 def transition_matrix(spark, sf):
     from tidepanel.operators import regimes as G
 
-    counts = Q.transition_counts(V.states(spark, sf), ["seq_id"], ["ts", "event_id"], "state", "ts", DAY)
+    counts = Q.transition_counts(V.states(spark, sf), ["seq_id"], ["ts", "event_id"], "state")
     return rnd(G.transition_matrix(counts, 5), "p")
 
 
@@ -481,7 +480,7 @@ def transition_matrix(spark, sf):
     SELECT *, sum(change) OVER (PARTITION BY seq_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
     SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY seq_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS change FROM states)) GROUP BY ALL)""", "states"))
 def regime_periods(spark, sf):
-    return Q.periods(V.states(spark, sf), ["seq_id"], ["ts", "event_id"], "state", "ts", DAY)
+    return Q.periods(V.states(spark, sf), ["seq_id"], ["ts", "event_id"], "state", "ts")
 
 
 @query("month_last_state", sql("""SELECT seq_id, CAST(date_trunc('month', ts) AS DATE) AS month, arg_max(state, (ts, event_id)) AS state FROM states GROUP BY ALL""", "states"))
