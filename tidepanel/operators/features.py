@@ -47,13 +47,13 @@ def prepare(panel: DataFrame, date: str = "month", exclude: Sequence[str] = (),
     months = panel.select(*bundle, date).distinct()
     order = Window.partitionBy(*bundle, F.lit(0)).orderBy(date)
     months = months.withColumn("position", F.row_number().over(order))
-    total = months.groupBy(*bundle, F.lit(0).alias("_k")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = months.groupBy(*bundle).agg(F.count(F.lit(1)).alias("_rows"))
 
     dated = panel.select(*keys, date, "value", "tcode")
     names = dated.groupBy(*keys).agg(F.max("tcode").alias("tcode")).where(~F.col("series_id").isin(*exclude) if exclude else F.lit(True))
     # every series gets every month of its bundle, generated from the months as one array per bundle
-    calendar = months.groupBy(*bundle, F.lit(0).alias("_k")).agg(F.array_agg(F.struct(date, "position")).alias("_m"))
-    grid = names.withColumn("_k", F.lit(0)).join(calendar, [*bundle, "_k"]).select(*keys, "tcode", F.explode("_m").alias("_c"))
+    calendar = months.groupBy(*bundle).agg(F.array_agg(F.struct(date, "position")).alias("_m"))
+    grid = S.joined(names, calendar, bundle, ["_m"]).select(*keys, "tcode", F.explode("_m").alias("_c"))
     grid = grid.select(*keys, "tcode", F.col("_c")[date].alias(date), F.col("_c")["position"].alias("position"))
     full = grid.join(dated.drop("tcode"), [*keys, date], "left")
 
@@ -67,7 +67,7 @@ def prepare(panel: DataFrame, date: str = "month", exclude: Sequence[str] = (),
     rows = total.withColumn("_need", F.floor(F.lit(min_share) * (F.col("_rows") - drop_initial)))
     series = Window.partitionBy(*keys)
     dense = masked.withColumn("_known", F.count("value").over(series)).withColumn("_median", F.percentile("value", F.lit(0.5)).over(series))
-    dense = dense.withColumn("_k", F.lit(0)).join(rows, [*bundle, "_k"]).where(F.col("_known") >= F.col("_need"))
+    dense = S.joined(dense, rows, bundle, ["_need"]).where(F.col("_known") >= F.col("_need"))
     filled = dense.withColumn("value", F.coalesce(O.interpolated("value", keys, date), "_median"))
     return filled.where(F.col("value").isNotNull()).select(*keys, date, "value", "tcode")
 
@@ -124,10 +124,8 @@ def mean_rank(df: DataFrame, feature: str, scores: Sequence[str], runs: Sequence
 
 def select_top(ranks: DataFrame, size: DataFrame, feature: str, keys: Sequence[str] = ()) -> DataFrame:
     """First ``k`` features in rank order, ``k`` given by a one-row table per key."""
-    group = [*keys, "_all"]
-    w = Window.partitionBy(*group).orderBy("mean_rank", feature)
-    numbered = ranks.withColumn("_all", F.lit(0)).withColumn("position", F.row_number().over(w))
-    limited = numbered.join(size.withColumn("_all", F.lit(0)).select(*group, "k"), group)
+    w = Window.partitionBy(*keys).orderBy("mean_rank", feature)  # as many rows as features
+    limited = S.joined(ranks.withColumn("position", F.row_number().over(w)), size, keys, ["k"])
     return limited.where(F.col("position") <= F.col("k")).select(*keys, feature, "position", "mean_rank")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.operators.stats import joined
+
 # Exchange-rate series of the macro panel, and its full interest and exchange group.
 EXCHANGE_SERIES = ["TWEXAFEGSMTHx", "TWEXMMTH", "EXSZUSx", "EXJPUSx", "EXUSUKx", "EXCAUSx"]
 INTEREST_SERIES = [
@@ -32,9 +34,9 @@ def bundles(macro: DataFrame, engineered: DataFrame, alternative: DataFrame, sin
     columns = ["month", "series_id", "value", "tcode"]
     inside = macro.where(F.col("month") >= F.lit(since).cast("date")).select(*columns)
     months = inside.select("month").distinct()
-    n_months = months.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    n_months = months.agg(F.count(F.lit(1)).alias("_n"))
     alt = alternative.join(months, "month", "left_semi").select(*columns)
-    known = alt.groupBy("series_id").agg(F.count("value").alias("_known")).withColumn("_k", F.lit(0)).join(n_months, "_k")
+    known = joined(alt.groupBy("series_id").agg(F.count("value").alias("_known")), n_months, [], ["_n"])
     kept = known.where(F.col("_n") - F.col("_known") <= max_missing * F.col("_n")).select("series_id")
     blocks = (
         inside.withColumn("block", F.lit("macro"))

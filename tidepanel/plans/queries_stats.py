@@ -24,8 +24,8 @@ def return_vectors(spark, sf):
     """One array of returns per date, a place for every series of the table in name order."""
     returns = V.returns(spark, sf)
     cells = returns.where("ret IS NOT NULL").groupBy("date").agg(F.map_from_entries(F.array_agg(F.struct("series_id", "ret"))).alias("m"))
-    names = returns.groupBy().agg(F.sort_array(F.collect_set("series_id")).alias("names"))  # one row, as wide as the result
-    return cells.join(F.broadcast(names)).select("date", F.transform("names", lambda n: F.try_element_at("m", n)).alias("x"))
+    names = returns.groupBy().agg(F.sort_array(F.collect_set("series_id")).alias("names"))  # as wide as the result
+    return S.joined(cells, names, [], ["names"]).select("date", F.transform("names", lambda n: F.try_element_at("m", n)).alias("x"))
 
 
 @query("correlation_matrix", sql(f"""SELECT CAST(i.k AS INT) AS i, CAST(j.k AS INT) AS j, count(*) AS n, {r('corr(a.ret, b.ret)')} AS corr, {r('covar_samp(a.ret, b.ret)')} AS cov
