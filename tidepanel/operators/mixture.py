@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -88,6 +88,44 @@ def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
         return np.squeeze(np.log(np.exp(a - top).sum(axis=axis, keepdims=True)) + top, axis=axis)
 
 
+def _expected(data: DataFrame, models: dict[str, Mixture], spans: dict[str, Span], n_tasks: int | None = None) -> dict[str, np.ndarray]:
+    """Per model the log-likelihood and the responsibilities' sums, means and products, in one pass."""
+
+    def expect(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+        m = models[run]
+        x = x[spans[run].mask(idx)]
+        joint = m.log_joint(x)
+        norm = log_sum(joint, 1)
+        resp = np.exp(joint - norm[:, None])
+        z = (x - m.mean) / m.scale - m.middle  # products are taken around the middle of the means, so they do not cancel
+        second = resp.T @ (z * z) if m.diagonal else np.einsum("nk,ni,nj->kij", resp, z, z, optimize=True)
+        return np.concatenate([[norm.sum()], resp.sum(axis=0), (resp.T @ z).ravel(), second.ravel()])
+
+    return fold_pass(data, expect, sorted(models), n_tasks, spans)
+
+
+def _maximise(m: Mixture, v: np.ndarray, reg: float) -> None:
+    k, d = m.means.shape
+    nk = v[1 : k + 1] + 10 * np.finfo(float).eps
+    mu = v[k + 1 : k + 1 + k * d].reshape(k, d) / nk[:, None]
+    rest = v[k + 1 + k * d :]
+    if m.diagonal:
+        covs = np.maximum(rest.reshape(k, d) / nk[:, None] - mu**2, 0.0) + reg
+    else:
+        covs = rest.reshape(k, d, d) / nk[:, None, None] - np.einsum("ki,kj->kij", mu, mu)
+        covs = (covs + covs.transpose(0, 2, 1)) / 2 + reg * np.eye(d)
+    m.weights, m.means, m.covs, m.steps = nk / nk.sum(), mu + m.middle, covs, m.steps + 1
+
+
+def step(df: DataFrame, models: dict[str, Mixture], reg: float = 0.0) -> dict[str, Mixture]:
+    """One step of expectation maximisation from given parameters, for all models in one pass."""
+    out = {name: replace(m, history=[]) for name, m in models.items()}
+    for name, v in _expected(columns(df), models, {name: Span(config=m.config) for name, m in models.items()}).items():
+        out[name].loglik = float(v[0])
+        _maximise(out[name], v, reg)
+    return out
+
+
 def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float = 1e-6, max_iter: int = 100, tol: float = 1e-3,
         standardise: bool = True, warm_steps: int = 8) -> dict[str, Mixture]:
     """Best restart per model on ``df(idx, x[, config])``.
@@ -126,38 +164,15 @@ def fit(df: DataFrame, runs: Sequence[Run], covariance: str = "full", reg: float
     for _ in range(max_iter):
         if not live:
             break
-        current = {name: fits[name] for name in live}
-
-        def expect(run: str, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
-            m = current[run]
-            x = x[spans[run].mask(idx)]
-            k, d = m.means.shape
-            joint = m.log_joint(x)
-            norm = log_sum(joint, 1)
-            resp = np.exp(joint - norm[:, None])
-            z = (x - m.mean) / m.scale - m.middle  # products are taken around the middle of the means, so they do not cancel
-            second = np.einsum("nk,ni,nj->kij", resp, z, z, optimize=True) if full else resp.T @ (z * z)
-            return np.concatenate([[norm.sum()], resp.sum(axis=0), (resp.T @ z).ravel(), second.ravel()])
-
-        for name, v in fold_pass(data, expect, sorted(live), n_tasks, spans).items():
+        for name, v in _expected(data, {name: fits[name] for name in live}, spans, n_tasks).items():
             m = fits[name]
-            k, d = m.means.shape
             m.loglik = float(v[0])
             m.history.append(m.loglik)
-            done = len(m.history) > 1 and abs(m.history[-1] - m.history[-2]) / m.n < tol
-            if done:
+            if len(m.history) > 1 and abs(m.history[-1] - m.history[-2]) / m.n < tol:
                 m.converged = True
                 live.discard(name)
-                continue
-            nk = v[1 : k + 1] + 10 * np.finfo(float).eps
-            mu = v[k + 1 : k + 1 + k * d].reshape(k, d) / nk[:, None]
-            rest = v[k + 1 + k * d :]
-            if full:
-                covs = rest.reshape(k, d, d) / nk[:, None, None] - np.einsum("ki,kj->kij", mu, mu)
-                covs = (covs + covs.transpose(0, 2, 1)) / 2 + reg * np.eye(d)
             else:
-                covs = np.maximum(rest.reshape(k, d) / nk[:, None] - mu**2, 0.0) + reg
-            m.weights, m.means, m.covs, m.steps = nk / nk.sum(), mu + m.middle, covs, m.steps + 1
+                _maximise(m, v, reg)
     held.unpersist()
     best: dict[str, Mixture] = {}
     for m in fits.values():

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tidepanel.plans import queries_factors, queries_features, queries_models, queries_panel, queries_risk, queries_stats  # noqa: F401
+    from tidepanel.plans import queries_factors, queries_features, queries_fixed, queries_models, queries_panel, queries_risk, queries_stats  # noqa: F401
