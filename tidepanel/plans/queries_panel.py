@@ -192,17 +192,9 @@ def missing_keys(spark, sf):
     return expected.join(present, ["month", "asset"], "left_anti")
 
 
-@query("outer_concat", sql(f"""SELECT series_id, date, {r('price', 4)} AS value FROM prices UNION ALL
-    SELECT asset, month, {r('ret')} FROM asset_returns WHERE universe = 'F'""", "prices", "asset_returns"))
-def outer_concat(spark, sf):
-    a = V.prices(spark, sf).select("series_id", "date", rounded("price", 4).alias("value"))
-    b = V.asset_returns(spark, sf).where(F.col("universe") == "F")
-    return a.unionByName(b.select(F.col("asset").alias("series_id"), F.col("month").alias("date"), rounded("ret").alias("value")))
-
-
-@query("outer_concat_by_universe", sql(f"""SELECT NULL AS universe, series_id, date, {r('price', 4)} AS value FROM prices UNION ALL
+@query("outer_concat", sql(f"""SELECT NULL AS universe, series_id, date, {r('price', 4)} AS value FROM prices UNION ALL
     SELECT universe, asset, month, {r('ret')} FROM asset_returns""", "prices", "asset_returns"))
-def outer_concat_by_universe(spark, sf):
+def outer_concat(spark, sf):
     """Prices belong to no universe."""
     a = V.prices(spark, sf).select(F.lit(None).cast("string").alias("universe"), "series_id", "date", rounded("price", 4).alias("value"))
     b = V.asset_returns(spark, sf)

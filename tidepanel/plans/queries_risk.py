@@ -41,25 +41,13 @@ def perf_metrics(spark, sf):
     return _round(R.performance(V.asset_returns(spark, sf), ["universe", "asset"]))
 
 
-_BENCH = """SELECT universe, strategy, month, ret FROM backtest_small WHERE gamma = 0.02
-    UNION ALL SELECT universe, 'EQUAL_WEIGHT', month, avg(ret) FROM full_returns GROUP BY ALL
-    UNION ALL SELECT universe, 'SINGLE_ASSET', month, ret FROM full_returns WHERE asset = '1-URGENT'"""
-
-
-@query("benchmarks", sql(perf_sql("bench", "universe, strategy", "compound"), "backtest_small", bench=_BENCH))
-def benchmarks(spark, sf):
-    strategies = V.backtest_small(spark, sf).where(F.col("gamma") == 0.02)
-    full = R.with_benchmarks(strategies, V.asset_returns(spark, sf), ["universe"], "1-URGENT")
-    return _round(R.performance(full, ["universe", "strategy"], sharpe="compound"))
-
-
-_BENCH_BY = """SELECT universe, gamma, strategy, month, ret FROM backtest_small
+_BENCH = """SELECT universe, gamma, strategy, month, ret FROM backtest_small
     UNION ALL SELECT universe, gamma, 'EQUAL_WEIGHT', month, avg(ret) FROM full_returns, (SELECT DISTINCT gamma FROM books) GROUP BY ALL
     UNION ALL SELECT universe, gamma, 'SINGLE_ASSET', month, ret FROM full_returns, (SELECT DISTINCT gamma FROM books) WHERE asset = '1-URGENT'"""
 
 
-@query("benchmarks_by_gamma", sql(perf_sql("bench", "universe, gamma, strategy", "compound"), "backtest_small", bench=_BENCH_BY))
-def benchmarks_by_gamma(spark, sf):
+@query("benchmarks", sql(perf_sql("bench", "universe, gamma, strategy", "compound"), "backtest_small", bench=_BENCH))
+def benchmarks(spark, sf):
     """Every penalty level beside the benchmarks, which do not depend on it."""
     assets = V.asset_returns(spark, sf).withColumn("gamma", F.explode(F.array(*[F.lit(g) for g in V.GAMMAS])))
     full = R.with_benchmarks(V.backtest_small(spark, sf), assets, ["universe", "gamma"], "1-URGENT")

@@ -50,32 +50,18 @@ def second_moments(spark, sf):
     return rnd(N.correlation_pairs(V.features(spark, sf), "x").select("i", "j", "cov"), "cov")
 
 
-_DAY_STATE = "SELECT r.series_id, r.date, r.ret, m.state FROM returns r JOIN states_monthly m ON m.universe = 'F' AND m.month = CAST(date_trunc('month', r.date) AS DATE)"
-
-
-def labelled_returns(spark, sf):
-    state = V.states_monthly(spark, sf).where("universe = 'F'").select("month", "state")
-    return V.returns(spark, sf).withColumn("month", F.trunc("date", "month")).join(state, "month")
-
-
-@query("regime_stats", sql(f"""SELECT state, series_id, count(ret) AS n, {r('avg(ret) * 252')} AS ann_mean, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol FROM lab GROUP BY ALL""",
-    "returns", "states_monthly", lab=_DAY_STATE))
-def regime_stats(spark, sf):
-    return rnd(G.statistics(labelled_returns(spark, sf), "state", ["series_id"], "ret"), "ann_mean", "ann_vol")
-
-
 _DAY_STATES = "SELECT m.universe, r.series_id, r.date, r.ret, m.state FROM returns r JOIN states_monthly m ON m.month = CAST(date_trunc('month', r.date) AS DATE)"
 
 
-def labelled_by_universe(spark, sf):
+def labelled(spark, sf):
     """Every day's return under the state of its month in each universe."""
     return V.returns(spark, sf).withColumn("month", F.trunc("date", "month")).join(V.states_monthly(spark, sf), "month")
 
 
-@query("regime_stats_by_universe", sql(f"""SELECT universe, state, series_id, count(ret) AS n, {r('avg(ret) * 252')} AS ann_mean, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol FROM lab GROUP BY ALL""",
+@query("regime_stats", sql(f"""SELECT universe, state, series_id, count(ret) AS n, {r('avg(ret) * 252')} AS ann_mean, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol FROM lab GROUP BY ALL""",
     "returns", "states_monthly", lab=_DAY_STATES))
-def regime_stats_by_universe(spark, sf):
-    return rnd(G.statistics(labelled_by_universe(spark, sf), "state", ["universe", "series_id"], "ret"), "ann_mean", "ann_vol")
+def regime_stats(spark, sf):
+    return rnd(G.statistics(labelled(spark, sf), "state", ["universe", "series_id"], "ret"), "ann_mean", "ann_vol")
 
 
 @query("trailing_means", sql(f"""SELECT series_id, {r('avg(ret) * 252')} AS ann_mean FROM (SELECT * FROM returns WHERE ret IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 252) GROUP BY ALL""", "returns"))
@@ -146,32 +132,11 @@ def state_support(spark, sf):
     return G.support(flagged_states(spark, sf), "state", F.col("state") == 2, "flag", ["universe"])
 
 
-_PROFILE = "SELECT m.state, x.series_id, x.value, (x.value - avg(x.value) OVER w) / stddev_pop(x.value) OVER w AS z FROM macro_monthly x JOIN states_monthly m ON m.universe = 'F' AND m.month = x.month WINDOW w AS (PARTITION BY x.series_id)"
-
-
-@query("state_profile", sql(f"SELECT state, series_id, count(*) AS n, {r('avg(value)', 2)} AS mean_value, {r('avg(z)')} AS mean_z FROM prof GROUP BY ALL", "macro_monthly", "states_monthly", prof=_PROFILE))
-def state_profile(spark, sf):
-    from tidepanel.operators.features import standardise
-
-    states = V.states_monthly(spark, sf).where("universe = 'F'").select("month", "state")
-    z = standardise(V.macro_monthly(spark, sf).join(states, "month"), ["series_id"], "value", "z")
-    out = G.state_profile(z, "state", ["series_id"], ["value", "z"])
-    return out.select("state", "series_id", "n", rounded("mean_value", 2).alias("mean_value"), rounded("mean_z").alias("mean_z"))
-
-
-@query("state_feature_matrix", sql(f"""SELECT series_id, {', '.join(f"{r(f'avg(value) FILTER (state = {k})', 2)} AS state{k}" for k in range(5))} FROM prof GROUP BY ALL""", "macro_monthly", "states_monthly", prof=_PROFILE))
-def state_feature_matrix(spark, sf):
-    """Transposed profile: one row per series, one column per state."""
-    states = V.states_monthly(spark, sf).where("universe = 'F'").select("month", F.concat(F.lit("state"), F.col("state").cast("string")).alias("s"))
-    wide = V.macro_monthly(spark, sf).join(states, "month").groupBy("series_id").pivot("s", [f"state{k}" for k in range(5)]).agg(F.avg("value"))
-    return rnd(wide, *[f"state{k}" for k in range(5)], digits=2)
-
-
 _PROFILES = "SELECT m.universe, m.state, x.series_id, x.value, (x.value - avg(x.value) OVER w) / coalesce(nullif(stddev_pop(x.value) OVER w, 0), 1) AS z FROM macro_monthly x JOIN states_monthly m USING (month) WINDOW w AS (PARTITION BY m.universe, x.series_id)"
 
 
-@query("state_profile_by_universe", sql(f"SELECT universe, state, series_id, count(*) AS n, {r('avg(value)', 2)} AS mean_value, {r('avg(z)')} AS mean_z FROM prof GROUP BY ALL", "macro_monthly", "states_monthly", prof=_PROFILES))
-def state_profile_by_universe(spark, sf):
+@query("state_profile", sql(f"SELECT universe, state, series_id, count(*) AS n, {r('avg(value)', 2)} AS mean_value, {r('avg(z)')} AS mean_z FROM prof GROUP BY ALL", "macro_monthly", "states_monthly", prof=_PROFILES))
+def state_profile(spark, sf):
     from tidepanel.operators.features import standardise
 
     z = standardise(V.macro_monthly(spark, sf).join(V.states_monthly(spark, sf), "month"), ["universe", "series_id"], "value", "z")
@@ -179,59 +144,36 @@ def state_profile_by_universe(spark, sf):
     return out.select("universe", "state", "series_id", "n", rounded("mean_value", 2).alias("mean_value"), rounded("mean_z").alias("mean_z"))
 
 
-@query("state_feature_matrix_by_universe", sql(f"""SELECT universe, series_id, {', '.join(f"{r(f'avg(value) FILTER (state = {k})', 2)} AS state{k}" for k in range(5))} FROM prof GROUP BY ALL""", "macro_monthly", "states_monthly", prof=_PROFILES))
-def state_feature_matrix_by_universe(spark, sf):
+@query("state_feature_matrix", sql(f"""SELECT universe, series_id, {', '.join(f"{r(f'avg(value) FILTER (state = {k})', 2)} AS state{k}" for k in range(5))} FROM prof GROUP BY ALL""", "macro_monthly", "states_monthly", prof=_PROFILES))
+def state_feature_matrix(spark, sf):
     states = V.states_monthly(spark, sf).select("universe", "month", F.concat(F.lit("state"), F.col("state").cast("string")).alias("s"))
     wide = V.macro_monthly(spark, sf).join(states, "month").groupBy("universe", "series_id").pivot("s", [f"state{k}" for k in range(5)]).agg(F.avg("value"))
     return rnd(wide, *[f"state{k}" for k in range(5)], digits=2)
 
 
-_STATS = f"SELECT state, series_id, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v FROM lab GROUP BY ALL"
 _ROLES = {"Equity": "Brand#1", "Credit": "Brand#2", "Short_Volatility": "Brand#3", "Local_Inflation": "Brand#4", "Commodities": "Brand#5"}
-_RAW = "SELECT state, " + ", ".join(f"max({c}) FILTER (series_id = '{b}') AS {n}" for n, c, b in (("eq", "m", "Brand#1"), ("cr", "m", "Brand#2"), ("sv", "m", "Brand#3"), ("inf", "m", "Brand#4"), ("com", "m", "Brand#5"), ("eqv", "v", "Brand#1"))) + " FROM st GROUP BY state"
-_UNIT = "SELECT state, " + ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER () + 1e-12) AS {c}" for c in ("eq", "cr", "sv", "inf", "com", "eqv")) + " FROM raw"
-_SCORE = """SELECT state, crisis, steady, mixed * (1 - crisis * 0.8) AS woi, inf FROM (SELECT state, inf, (1 - eq) * 0.5 + (1 - cr) * 0.3 + (1 - sv) * 0.2 AS crisis, eq * 0.7 + (1 - eqv) * 0.3 AS steady,
+_SCORE = """SELECT universe, state, crisis, steady, mixed * (1 - crisis * 0.8) AS woi, inf FROM (SELECT universe, state, inf, (1 - eq) * 0.5 + (1 - cr) * 0.3 + (1 - sv) * 0.2 AS crisis, eq * 0.7 + (1 - eqv) * 0.3 AS steady,
     (1 - eq) * 0.3 + com * 0.35 + inf * 0.35 AS mixed FROM unit)"""
-_PICK = lambda c, *used: f"(SELECT state FROM score WHERE state NOT IN (-1{''.join(', ' + u for u in used)}) ORDER BY {c} DESC, state LIMIT 1)"
-_NAMED = f"""SELECT s.*, CASE state WHEN p1 THEN 'Crisis' WHEN p2 THEN 'Steady_State' WHEN p3 THEN 'WOI' WHEN p4 THEN 'Inflation' END AS canon,
-    CASE greatest(crisis, steady, woi, inf) WHEN crisis THEN 'Crisis' WHEN steady THEN 'Steady_State' WHEN woi THEN 'WOI' ELSE 'Inflation' END AS fav
-    FROM score s, (SELECT *, {_PICK('inf', 'p1', 'p2', 'p3')} AS p4 FROM (SELECT *, {_PICK('woi', 'p1', 'p2')} AS p3 FROM (SELECT *, {_PICK('steady', 'p1')} AS p2 FROM (SELECT {_PICK('crisis')} AS p1))))"""
-
-
-@query("regime_names", sql("SELECT state, coalesce(canon, fav || '_' || chr(CAST(64 + row_number() OVER (PARTITION BY canon IS NULL, fav ORDER BY state) AS INT))) AS name FROM named",
-    "returns", "states_monthly", lab=_DAY_STATE, st=_STATS, raw=_RAW, unit=_UNIT, score=_SCORE, named=_NAMED))
-def regime_names(spark, sf):
-    stats = G.statistics(labelled_returns(spark, sf), "state", ["series_id"], "ret")
-    return G.auto_names(G.score_table(stats, "state", roles=_ROLES), "state")
-
-
-@query("regime_relabel", sql("SELECT state, CASE state WHEN 0 THEN 'Stress' ELSE coalesce(canon, fav || '_' || chr(CAST(64 + row_number() OVER (PARTITION BY canon IS NULL, fav ORDER BY state) AS INT))) END AS name FROM named",
-    "returns", "states_monthly", lab=_DAY_STATE, st=_STATS, raw=_RAW, unit=_UNIT, score=_SCORE, named=_NAMED))
-def regime_relabel(spark, sf):
-    return G.relabel(regime_names(spark, sf), {0: "Stress"}, "state")
-
-
-_STATS_BY = "SELECT universe, state, series_id, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v FROM lab GROUP BY ALL"
-_RAW_BY = "SELECT universe, state, " + ", ".join(f"coalesce(max({c}) FILTER (series_id = '{b}'), 0) AS {n}" for n, c, b in (("eq", "m", "Brand#1"), ("cr", "m", "Brand#2"), ("sv", "m", "Brand#3"), ("inf", "m", "Brand#4"), ("com", "m", "Brand#5"), ("eqv", "v", "Brand#1"))) + " FROM st GROUP BY ALL"
-_UNIT_BY = "SELECT universe, state, " + ", ".join(f"({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-12) AS {c}" for c in ("eq", "cr", "sv", "inf", "com", "eqv")) + " FROM raw WINDOW w AS (PARTITION BY universe)"
-_SCORE_BY = _SCORE.replace("SELECT state,", "SELECT universe, state,")
+_STATS = "SELECT universe, state, series_id, avg(ret) * 252 AS m, stddev_samp(ret) * sqrt(252) AS v FROM lab GROUP BY ALL"
+_RAW = "SELECT universe, state, " + ", ".join(f"coalesce(max({c}) FILTER (series_id = '{b}'), 0) AS {n}" for n, c, b in (("eq", "m", "Brand#1"), ("cr", "m", "Brand#2"), ("sv", "m", "Brand#3"), ("inf", "m", "Brand#4"), ("com", "m", "Brand#5"), ("eqv", "v", "Brand#1"))) + " FROM st GROUP BY ALL"
+_UNIT = "SELECT universe, state, " + ", ".join(f"({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w + 1e-12) AS {c}" for c in ("eq", "cr", "sv", "inf", "com", "eqv")) + " FROM raw WINDOW w AS (PARTITION BY universe)"
 _TAKE = lambda source, c, used: f"SELECT *, NOT ({used}) AND row_number() OVER (PARTITION BY universe, ({used}) ORDER BY {c} DESC, state) = 1 AS is_{c} FROM {source}"
 _TAKEN = {"p1": _TAKE("score", "crisis", "false"), "p2": _TAKE("p1", "steady", "is_crisis"), "p3": _TAKE("p2", "woi", "is_crisis OR is_steady"), "p4": _TAKE("p3", "inf", "is_crisis OR is_steady OR is_woi")}
-_NAMED_BY = """SELECT *, CASE WHEN is_crisis THEN 'Crisis' WHEN is_steady THEN 'Steady_State' WHEN is_woi THEN 'WOI' WHEN is_inf THEN 'Inflation' END AS canon,
+_NAMED = """SELECT *, CASE WHEN is_crisis THEN 'Crisis' WHEN is_steady THEN 'Steady_State' WHEN is_woi THEN 'WOI' WHEN is_inf THEN 'Inflation' END AS canon,
     CASE greatest(crisis, steady, woi, inf) WHEN crisis THEN 'Crisis' WHEN steady THEN 'Steady_State' WHEN woi THEN 'WOI' ELSE 'Inflation' END AS fav FROM p4"""
-_NAMES_BY = {"lab": _DAY_STATES, "st": _STATS_BY, "raw": _RAW_BY, "unit": _UNIT_BY, "score": _SCORE_BY, **_TAKEN, "named": _NAMED_BY}
-_NAME_BY = "coalesce(canon, fav || '_' || chr(CAST(64 + row_number() OVER (PARTITION BY universe, canon IS NULL, fav ORDER BY state) AS INT)))"
+_NAMES = {"lab": _DAY_STATES, "st": _STATS, "raw": _RAW, "unit": _UNIT, "score": _SCORE, **_TAKEN, "named": _NAMED}
+_NAME = "coalesce(canon, fav || '_' || chr(CAST(64 + row_number() OVER (PARTITION BY universe, canon IS NULL, fav ORDER BY state) AS INT)))"
 
 
-@query("regime_names_by_universe", sql(f"SELECT universe, state, {_NAME_BY} AS name FROM named", "returns", "states_monthly", **_NAMES_BY))
-def regime_names_by_universe(spark, sf):
-    stats = G.statistics(labelled_by_universe(spark, sf), "state", ["universe", "series_id"], "ret")
+@query("regime_names", sql(f"SELECT universe, state, {_NAME} AS name FROM named", "returns", "states_monthly", **_NAMES))
+def regime_names(spark, sf):
+    stats = G.statistics(labelled(spark, sf), "state", ["universe", "series_id"], "ret")
     return G.auto_names(G.score_table(stats, "state", ["universe"], roles=_ROLES), "state", ["universe"])
 
 
-@query("regime_relabel_by_universe", sql(f"SELECT universe, state, CASE state WHEN 0 THEN 'Stress' ELSE {_NAME_BY} END AS name FROM named", "returns", "states_monthly", **_NAMES_BY))
-def regime_relabel_by_universe(spark, sf):
-    return G.relabel(regime_names_by_universe(spark, sf), {0: "Stress"}, "state")
+@query("regime_relabel", sql(f"SELECT universe, state, CASE state WHEN 0 THEN 'Stress' ELSE {_NAME} END AS name FROM named", "returns", "states_monthly", **_NAMES))
+def regime_relabel(spark, sf):
+    return G.relabel(regime_names(spark, sf), {0: "Stress"}, "state")
 
 
 @query("state_probs_normalise", sql(f"""SELECT entity, list_transform(list_value(greatest(a, 0), greatest(b, 0), greatest(c, 0)), lambda v: CASE WHEN greatest(a, 0) + greatest(b, 0) + greatest(c, 0) > 0
