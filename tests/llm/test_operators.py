@@ -336,3 +336,11 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
         assert docs.count() > 0
+
+
+def test_rows_that_share_a_doc_id_lose_only_their_own_lines(make_docs):
+    a, b = "The first line of a document that is long enough", "Quite another text that occurs only once in all of them"
+    got = line_dedup.cleaned(make_docs([(1, a), (2, a), (2, b)])).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(1, a), (2, b)]
+    removed = {(r["doc_id"], r["n_lines"]): r["removed_lines"] for r in line_dedup.reported(make_docs([(1, a), (2, a), (2, f"{b}\n{a}")])).collect()}
+    assert removed == {(1, 1): "", (2, 1): "0", (2, 2): "1"}

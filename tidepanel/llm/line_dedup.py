@@ -8,7 +8,7 @@ distance decides. Equal lines are one line throughout, so copies never meet each
 
 All of it is column expressions. Cases: a null text has no lines; lines below MIN_CHARS
 stand for themselves and are never removed; a text of any length is split whole; rows that
-share a doc_id count as one document; rows without doc_id are left as they are; other
+share a doc_id but not their text are documents of their own, equal rows are one; rows without doc_id are left as they are; other
 columns pass through; an empty table gives an empty table. A line is named by a 64-bit hash.
 """
 
@@ -26,7 +26,7 @@ LETTERS = "aeinorst"
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no (from 0), line and its name, for lines long enough to be judged."""
     # outer forms throughout: the plain ones evaluate their array once more, for a filter on its size
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.length("line") >= min_chars).withColumn("lid", F.xxhash64("line"))
 
 
@@ -179,9 +179,15 @@ def line_links(lines: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     return left.join(right, near).select(F.least("x.lid", "y.lid").alias("a"), F.greatest("x.lid", "y.lid").alias("b")).distinct()
 
 
-def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, removed (line numbers), n_near (removed lines whose text has no earlier equal), for documents that lose a line."""
-    rows = occurrences(docs, min_chars)
+def row_name(docs: DataFrame) -> Column:
+    """What tells rows apart and orders them: the doc_id, and where rows share one (one small count finds out) the text's hash behind it."""
+    shared = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("text")) if shared else F.col("doc_id")
+
+
+def removals(docs: DataFrame, name: Column, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+    """row (its ``name``), removed (line numbers), n_near (removed lines whose text has no earlier equal), for rows that lose a line."""
+    rows = occurrences(docs.where("doc_id is not null").select(name.alias("doc_id"), "text"), min_chars)
     lines = rows.groupBy("lid").agg(F.first("line").alias("line"))
     links = stored(line_links(lines, tau, min_chars))
     roots = components(links).withColumnRenamed("node", "lid")
@@ -196,14 +202,15 @@ def removals(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Dat
     keeps = F.col("doc_id") == F.col("keep_doc")
     removed = F.when(keeps, F.array_except("nos", F.array(F.array_min("nos")))).otherwise(F.col("nos"))
     per = per.select("doc_id", removed.alias("removed"), (F.col("firsts") - F.when(keeps, 1).otherwise(0)).alias("near")).where(F.size("removed") > 0)
-    return per.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("removed"))).alias("removed"), F.sum("near").cast("long").alias("n_near"))
+    return per.groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.flatten(F.collect_list("removed"))).alias("removed"), F.sum("near").cast("long").alias("n_near"))
 
 
 def reported(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_near, removed_lines of every document."""
-    table = removals(docs.select("doc_id", "text"))
+    name = row_name(docs)
+    table = removals(docs.select("doc_id", "text"), name)
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    out = docs.select("doc_id", lines.alias("n_lines")).join(table, "doc_id", "left")
+    out = docs.select("doc_id", lines.alias("n_lines"), name.alias("row")).join(table, "row", "left")
     return out.select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(F.array_join(F.transform("removed", lambda i: i.cast("string")), ","), F.lit("")).alias("removed_lines"),
@@ -212,9 +219,10 @@ def reported(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; a document left without any word goes, unless it had none before."""
-    removed, = fresh(docs, "removed")
-    table = removals(docs.select("doc_id", "text")).select("doc_id", F.col("removed").alias(removed))
-    out = docs.join(table, "doc_id", "left").select(*[col(c) for c in docs.columns], removed)
+    removed, row = fresh(docs, "removed", "row")
+    name = row_name(docs)
+    table = removals(docs.select("doc_id", "text"), name).select(F.col("row").alias(row), F.col("removed").alias(removed))
+    out = docs.withColumn(row, name).join(table, row, "left").select(*[col(c) for c in docs.columns], removed)
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(removed), i)), "\n")
     out = out.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:

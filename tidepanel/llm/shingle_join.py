@@ -34,7 +34,7 @@ from tidepanel.llm.common import components, fresh, stored
 WIDTH, PERCENT = 5, 80
 # Odd multipliers of the shingle hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-CACHE = 400_000
+CACHE = 150_000
 
 
 class WordHash(dict):
@@ -87,7 +87,7 @@ def _packed(part: int, ids, sizes, counts, hashes, **more) -> dict:
     return {"part": part, **{k: v.tobytes() for k, v in raw.items()}}
 
 
-def dealt(docs: DataFrame, parts: int, flush: int = 1_500_000) -> DataFrame:
+def dealt(docs: DataFrame, parts: int, flush: int = 500_000) -> DataFrame:
     """Every set's shingles by ranges of the hash; a task sends a set once."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
 
