@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source every document has the same expected copies, target over size, at most 2.
-Documents are ordered by size class and hash bucket; the prefix sums of expected copies
+Documents are ordered by size class, hash bucket, doc_id and a hash of the text; the prefix sums of expected copies
 start from one offset per source, and a document is taken once per integer crossed.
 
 Cases: a null text has size 0; a null source is a source of its own, ordered last; ties
@@ -60,7 +60,7 @@ def mixed(docs: DataFrame, seed: int = 11, bucket_rows: int = 100_000) -> tuple[
     keys = [null, name, group, bucket]
     ahead = Window.partitionBy(null, name).orderBy(F.col(group).desc(), bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(rn + "_start"))
-    numbered = placed.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(col("doc_id"), F.col(size))))
+    numbered = placed.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(col("doc_id"), F.col(size), F.xxhash64(col("text")))))
     at = F.col(rn + "_start") + F.col(rn)
     rate, offset = F.col(m)["rate"], F.col(m)["offset"]
     copies = (F.floor(rate * at + offset) - F.floor(rate * (at - 1) + offset)).cast("long")

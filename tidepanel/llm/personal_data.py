@@ -1,14 +1,16 @@
 """Personal data: base patterns, and further spans by weak supervision.
 
 Candidate spans beyond the base patterns get votes from labelers: a strict form, a list of
-context words, the character mix, and the surroundings. Expectation-maximisation over the
+context words, the character mix, the surroundings, and a gazetteer in which the span itself
+is looked up (area codes, key prefixes, specimen numbers). Expectation-maximisation over the
 counts of vote patterns estimates how reliable each labeler is; a span classifier (naive
 Bayes over shape and surroundings) is trained on the posterior and decides.
 
 Everything on the rows is column expressions; only counts by vote and shape pattern, whose
 number the definitions bound, reach the driver.
 
-Cases: a null text is empty; a text of any length is searched whole; equal rows give equal
+Cases: a null text is empty; a text of any length is searched whole, in time that grows with
+its length (a pattern is tried once per run of its characters, not at each of them); equal rows give equal
 rows; other columns are not touched; an empty table gives an empty table, and without
 candidates there is no classifier and no added span.
 """
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import stored
 
-# The base kinds in order. Possessive forms match the same text without deep recursion.
+# The base kinds in order. Possessive forms match the same text without deep recursion; a match can
+# only begin where its run of characters does, or, for e-mail, where the match before ended (\G).
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++){3}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
@@ -34,18 +37,27 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:
 # Kinds of the method: candidates, what they need at least, and the strict form.
 EXTRA = {
     "phone": (r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z-])", r"[0-9]{2}\)?[ .-][0-9]{2}", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
-    "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])", r"[A-Za-z0-9_-]{20}", r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[a-z]{2,4}[-_][A-Za-z0-9_-]{20,}"),
+    "secret": (r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])", r"[A-Za-z0-9_-]{20}", r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[a-z]{2,4}[-_][A-Za-z0-9_-]{20,}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
 }
 CONTEXT = r"(?i)(?:phone|tel|mobile|fax|call|contact|ssn|social|secret|token|passw|api|key|auth|credential|bearer)"
+# Fixed values, the gazetteer: area codes of large towns and of free numbers, prefixes that issuers give their keys, and numbers printed as specimens.
+AREA_CODES = ["201", "202", "206", "212", "213", "214", "215", "301", "303", "305", "310", "312", "313", "314", "315", "316", "317", "404", "408", "410", "412", "415",
+              "416", "504", "510", "512", "514", "602", "604", "612", "614", "615", "617", "619", "702", "703", "713", "718", "719", "720", "800", "801", "808", "813",
+              "816", "818", "833", "844", "855", "866", "877", "888", "901", "904", "907", "916", "917", "919"]
+KEY_PREFIXES = ["AKIA", "ASIA", "AIza", "ya29", "eyJ", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "npm_", "pk_live_", "sk-", "sk_live_", "sk_test_", "xoxb-", "xoxp-"]
+SPECIMENS = ["078-05-1120", "219-09-9999", "123-45-6789", "457-55-5462"]
 ORDER = [*PATTERNS, "secret", "ssn"]
+RUN = 256
 SPAN = "array<struct<start:int,stop:int,found:string>>"
 
 
 def located(text: Column, pattern: str, needs: str) -> Column:
-    """Start, end (exclusive) and text of every leftmost non-overlapping match."""
+    """Start, end (exclusive) and text of every leftmost non-overlapping match.
+
+    Matches are placed in runs of RUN, so that no array grows match by match over a whole text.
+    """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -53,8 +65,17 @@ def located(text: Column, pattern: str, needs: str) -> Column:
         grown = F.concat(state["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), pair["found"].alias("found"))))
         return F.struct(stop.alias("at"), F.when(pair["found"].isNotNull(), grown).otherwise(state["spans"]).alias("spans"))
 
+    def run(state: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(state["at"].alias("at"), F.array().cast(SPAN).alias("spans")), step)
+        return F.get(F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(state["runs"], F.array(i["spans"])).alias("runs"))), F.lit(0))
+
+    def placed(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(RUN)), lambda i: F.slice(pairs, i, RUN))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("runs"))
+        return F.flatten(F.aggregate(runs, empty, run)["runs"])
+
     present = text.contains(needs) if needs == "@" else text.rlike(needs)
-    return F.when(present, F.aggregate(pairs, empty, step)["spans"]).otherwise(F.array().cast(SPAN))
+    return F.when(present, F.get(F.transform(F.array(pairs), placed), F.lit(0))).otherwise(F.array().cast(SPAN))
 
 
 def luhn(digits: Column) -> Column:
@@ -83,6 +104,18 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(located(text, p, NEEDS[k]), checked(k)) for k, p in PATTERNS.items()}
 
 
+def known(kind: str, found: Column) -> Column:
+    """The gazetteer's vote: 1 if the span's own characters are on the list, -1 if they are a printed specimen, else 0."""
+    if kind == "phone":
+        return F.when(F.substring(F.regexp_replace(found, "[^0-9]", ""), 1, 3).isin(AREA_CODES), 1).otherwise(0)
+    if kind == "secret":
+        listed = F.lit(False)
+        for prefix in KEY_PREFIXES:
+            listed |= found.startswith(prefix)
+        return F.when(listed, 1).otherwise(0)
+    return F.when(found.isin(SPECIMENS), -1).otherwise(0)
+
+
 def candidates(text: Column, kind: str, base: list[Column]) -> Column:
     """Spans of a kind that touch no base span, with votes (1 yes, 0 none, -1 no) and the shape the classifier sees."""
     pattern, needs, strict = EXTRA[kind]
@@ -105,6 +138,7 @@ def candidates(text: Column, kind: str, base: list[Column]) -> Column:
         votes = F.array(
             yes_no(found.rlike(f"^(?:{strict})$")), yes_no(before.rlike(CONTEXT), 0), yes_no(mix),
             F.when(left.rlike("^[\\s\"'=:(]?$") & right.rlike("^[\\s\"').,;]?$"), 1).otherwise(-1),
+            known(kind, found),
         )
         char = lambda c: F.when(c == "", "edge").when(c.rlike(r"\s"), "space").when(c.rlike("[\"'=:]"), "quote").otherwise("other")
         shape = F.array(
