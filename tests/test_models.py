@@ -215,6 +215,30 @@ def test_no_random_portfolio_beats_the_optimum(norm, theta, cap):
     assert min(tail_loss(r, p, x, 0.95, theta, norm) for x in others) >= s["objective"] - 1e-7
 
 
+@pytest.mark.parametrize("norm,theta,cap", [("l1", 0.0, 1.0), ("l1", 0.02, 1.0), ("l1", 0.01, 0.3), ("l2", 0.02, 1.0), ("l2", 0.005, 0.4), ("l2", 0.01, 0.2)])
+def test_multipliers_prove_the_optimum_and_only_the_optimum(spark, norm, theta, cap):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(6):
+        p = rng.dirichlet(np.ones(40))
+        p[:3] = 0.0 if i % 2 else p[:3]
+        rows.append(((rng.normal(0.01, 0.05, (40, 5)) @ (np.eye(5) + 0.3)).tolist(), (p / p.sum()).tolist(), theta))
+    solved = Z.optimise(spark.createDataFrame(rows, "r array<array<double>>, p array<double>, theta double"), max_weight=cap, norm=norm, proof=True)
+    for row in Z.certificates(solved, max_weight=cap, norm=norm).collect():
+        assert row["success"] and row["feasible"] and -1e-9 < row["gap"] < 1e-8
+    moved = F.transform("w", lambda w, j: 0.99 * w + F.when(j == 0, 0.01).otherwise(0.0))
+    if cap > 0.2:  # else equal weights are all that is allowed
+        assert max(r["gap"] for r in Z.certificates(solved.withColumn("w", moved), max_weight=cap, norm=norm).collect()) > 1e-7
+    cheat = solved.withColumn("q", F.transform("q", lambda q: 1.01 * q))
+    assert not any(r["feasible"] for r in Z.certificates(cheat, max_weight=cap, norm=norm).collect())
+
+
+def test_unsolvable_rows_have_no_proof(spark):
+    df = spark.createDataFrame([([[0.1, 0.2], [0.0, 0.1]], [0.5, 0.5], 0.0)], "r array<array<double>>, p array<double>, theta double")
+    row = Z.certificates(Z.optimise(df, max_weight=0.3, proof=True), max_weight=0.3).first()
+    assert not row["success"] and not row["feasible"] and row["gap"] is None
+
+
 def test_unsolvable_rows_follow_the_policy(spark):
     df = spark.createDataFrame([([[0.1, 0.2], [0.0, 0.1]], [0.5, 0.5], 0.0)], "r array<array<double>>, p array<double>, theta double")
     row = Z.optimise(df, max_weight=0.3).first()

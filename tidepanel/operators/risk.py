@@ -100,8 +100,9 @@ def concentration(weights: DataFrame, vector: str = "w") -> DataFrame:
 
 
 def regime_conditional(df: DataFrame, keys: Sequence[str], regime: str, ret: str = "ret", periods: int = 12, eta: float = 0.95) -> DataFrame:
-    """Performance by strategy and previous regime."""
+    """Performance by strategy and previous regime, with the mean concentration where ``df`` carries ``max_weight`` and ``effective_n``."""
     group = [*keys, regime]
+    held = {f"avg_{c}": F.avg(c) for c in ("max_weight", "effective_n") if c in df.columns}
     loss = -F.col(ret)
     table = df.where(F.col(ret).isNotNull() & F.col(regime).isNotNull()).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_months"),
@@ -112,6 +113,7 @@ def regime_conditional(df: DataFrame, keys: Sequence[str], regime: str, ret: str
         F.array_sort(F.array_agg(loss)).alias("_losses"),
         F.min(ret).alias("worst_month"),
         F.max(ret).alias("best_month"),
+        *[mean.alias(name) for name, mean in held.items()],
     )
     tail = F.filter("_losses", lambda v: v >= F.col("_var"))
     root = F.sqrt(F.lit(float(periods)))
@@ -121,7 +123,7 @@ def regime_conditional(df: DataFrame, keys: Sequence[str], regime: str, ret: str
         (F.col("_std") * root).alias("ann_vol"),
         F.when(F.col("_std") > 0, F.col("_mean") / F.col("_std") * root).alias("sharpe"),
         (array_sum(tail) / F.size(tail)).alias("tail_loss"),
-        "worst_month", "best_month",
+        "worst_month", "best_month", *held,
     )
 
 
