@@ -40,9 +40,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 11, bucket_rows: int = 100_000) -> tuple[DataFrame, str]:
     """``docs`` with one more column, a struct (size, source_size, target, copies), and that column's name."""
-    m, null, name, size, group, bucket, rn = fresh(docs, "mix", "is_null", "name", "size", "class", "bucket", "rn")
+    m, null, name, size, group, bucket, rn, tie = fresh(docs, "mix", "is_null", "name", "size", "class", "bucket", "rn", "tie")
     source = col("source")
-    sized = docs.withColumns({null: source.isNull(), name: F.coalesce(source.cast("string"), F.lit("")), size: n_words(col("text"))})
+    sized = docs.withColumns({null: source.isNull(), name: F.coalesce(source.cast("string"), F.lit("")), size: n_words(col("text")), tie: F.xxhash64(col("text"))})
     sums = sized.groupBy(F.col(null).alias("is_null"), F.col(name).alias("name")).agg(F.sum(size).alias("size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(sums).select(
         F.col("is_null").alias(null), F.col("name").alias(name),
@@ -60,12 +60,12 @@ def mixed(docs: DataFrame, seed: int = 11, bucket_rows: int = 100_000) -> tuple[
     keys = [null, name, group, bucket]
     ahead = Window.partitionBy(null, name).orderBy(F.col(group).desc(), bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(rn + "_start"))
-    numbered = placed.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(col("doc_id"), F.col(size), F.xxhash64(col("text")))))
+    numbered = placed.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(col("doc_id"), F.col(size), tie)))
     at = F.col(rn + "_start") + F.col(rn)
     rate, offset = F.col(m)["rate"], F.col(m)["offset"]
     copies = (F.floor(rate * at + offset) - F.floor(rate * (at - 1) + offset)).cast("long")
     out = numbered.join(starts, keys).withColumn(m, F.struct(F.col(size).alias("size"), F.col(m)["source_size"], F.col(m)["target"], copies.alias("copies")))
-    return out.drop(null, name, size, group, bucket, rn, rn + "_start"), m
+    return out.drop(null, name, size, group, bucket, rn, rn + "_start", tie), m
 
 
 def repeated(docs: DataFrame) -> DataFrame:
