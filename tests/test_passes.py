@@ -169,6 +169,34 @@ def test_chain_in_levels_equals_one_level(spark, monkeypatch, fan, levels):
     assert all(np.allclose(flat[2][name], deep[2][name]) for name in models)
 
 
+def test_sequences_of_one_block_are_not_shuffled(spark):
+    """They are read where they are stored, beside longer ones that are chained; both give the counts of single days."""
+    m = model()
+    _, df = sequences(spark, [150, 31, 1])
+    short = H.stored(H.to_blocks(df.where("seq > 0"), "seq", "date", "x", 366))
+    plan = H.layout(short)
+    assert plan.alone and not plan.chained
+    for out in (H.filtered(short, m), H.decode(short, m)):
+        after = out._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+        assert "Join" not in after and "Aggregate" not in after
+    mixed, days = H.to_blocks(df, "seq", "date", "x", 60), H.to_blocks(df, "seq", "date", "x", 1)
+    assert H.layout(mixed) == H.Layout(0, H.layout(mixed).tasks, True, True)
+    assert np.allclose(H._expected(mixed, {"m": m}, H.layout(mixed))["m"], H._expected(days, {"m": m}, H.layout(days))["m"])
+
+
+def test_scaled_counts_equal_those_of_logarithms():
+    """States before blocks, with borders on both sides; what would underflow is left to logarithms."""
+    m, rng = model(), np.random.default_rng(8)
+    x, lengths, first = rng.normal(0, 3, (5, 9, 1)), np.array([9, 1, 4, 9, 2]), np.array([True, False, True, False, False])
+    enter, leave = rng.normal(0, 5, (5, 3)), rng.normal(0, 5, (5, 3))
+    assert np.allclose(H._scaled_counts(m, x, lengths, enter, leave, first)[1], H._counts(m, x, lengths, first, enter, leave))
+    sure = H.HiddenMarkov(np.array([[0.0], [1.0]]), np.log(np.full((2, 1), 1e-4)), np.eye(2), np.array([0.5, 0.5]))
+    there = np.array([[[0.0], [1.0], [0.0], [1.0]]])
+    assert H._scaled_counts(sure, there, np.array([4])) is None
+    found = H._of_block(sure, there, np.array([4]), np.array([True]), np.array([[0.0, -np.inf]]), np.zeros((1, 2)), None)
+    assert np.isfinite(found).all() and found[1] == 4 and found[5 + 4 :][:2].sum() == pytest.approx(4)
+
+
 def test_models_of_values_far_from_zero(spark):
     """Shifted by 1e8 the same fits come out, shifted."""
     rng = np.random.default_rng(7)

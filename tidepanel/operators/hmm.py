@@ -6,7 +6,8 @@ run, the matrices are chained, and the chained vectors go back to the blocks. Ch
 matrices multiply associatively, so neighbouring blocks are multiplied ``FAN`` at a time, level by
 level, until one product of a sequence is left, and the vectors come down the same way. However long a
 sequence is, a task holds single blocks and at most ``FAN`` matrices a run.
-Blocks of one batch are padded to the same length and processed together.
+A sequence that fits one block needs no chain: nothing enters it and nothing follows it, so its block is
+read where it is stored and nothing is shuffled. Blocks of one batch are padded to the same length and processed together.
 """
 
 from __future__ import annotations
@@ -75,14 +76,15 @@ class HiddenMarkov:
 
 
 def to_blocks(df: DataFrame, seq: str, date: str, x: str, width: int = 64, config: str | None = None) -> DataFrame:
-    """Blocks ``(config, seq, block, first, n, dates, x)``: ``n`` ordered rows, at most one per day, their vectors end to end."""
+    """Blocks ``(config, seq, block, first, alone, n, dates, x)``: ``n`` ordered rows, at most one per day, their vectors end to end; ``alone`` is a sequence's only one."""
     block = F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / width).cast("long")
     kind = F.col(config).cast("string") if config else F.lit("")
     rows = df.groupBy(kind.alias("config"), F.col(seq).alias("seq"), block.alias("block")).agg(
         F.array_sort(F.array_agg(F.struct(F.col(date).alias("date"), F.col(x).alias("x")))).alias("rows")
     )
-    first = F.min("block").over(Window.partitionBy("config", "seq"))
-    return rows.select("config", "seq", "block", (F.col("block") == first).alias("first"), F.size("rows").alias("n"),
+    whole = Window.partitionBy("config", "seq")
+    first, last = F.min("block").over(whole), F.max("block").over(whole)
+    return rows.select("config", "seq", "block", (F.col("block") == first).alias("first"), (first == last).alias("alone"), F.size("rows").alias("n"),
                        F.transform("rows", lambda r: r["date"]).alias("dates"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
@@ -94,19 +96,22 @@ def stored(blocks: DataFrame, blocks_per_task: int = 2_000) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """How deep the chain's tree is and how many tasks a pass may have."""
+    """How deep the chain's tree is, how many tasks a pass may have, and whether there are sequences of several blocks and of one."""
 
     levels: int
     tasks: int
+    chained: bool = True
+    alone: bool = True
 
 
 def layout(blocks: DataFrame) -> Layout:
-    placed = blocks.select("block", F.spark_partition_id().alias("part"))
-    low, high, parts = placed.agg(F.min("block"), F.max("block"), F.count_distinct("part")).first()
+    placed = blocks.select("block", "alone", F.spark_partition_id().alias("part"))
+    low, high, parts, chained, alone = placed.agg(F.min("block"), F.max("block"), F.count_distinct("part"), F.max(~F.col("alone")), F.max("alone")).first()
     levels, span = 0, (high - low + 1) if low is not None else 1
     while span > FAN:
         levels, span = levels + 1, span // FAN + 2
-    return Layout(levels, max(parts, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(parts, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if chained else parts
+    return Layout(levels, tasks, bool(chained), bool(alone))
 
 
 Models = dict[str, HiddenMarkov]
@@ -137,9 +142,9 @@ def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-    """Configuration and rows, at most CHUNK blocks at once."""
+    """Configuration and rows, at most CHUNK blocks at once, blocks of like length next to each other."""
     for batch in batches:
-        for config, rows in batch.groupby("config", sort=False):
+        for config, rows in batch.sort_values("n", kind="stable").groupby("config", sort=False):
             for i in range(0, len(rows), CHUNK):
                 yield config, rows.iloc[i : i + CHUNK]
 
@@ -272,8 +277,13 @@ def _forward(m: HiddenMarkov, lb: np.ndarray, first: np.ndarray, enter: np.ndarr
     return out
 
 
-def _per_model(batch: pd.DataFrame, own: list[tuple[str, HiddenMarkov]], best: bool) -> Iterator[tuple[int, str, HiddenMarkov, np.ndarray, np.ndarray]]:
-    """Every model with its part of the chained vectors of a batch of blocks."""
+def _per_model(batch: pd.DataFrame, own: list[tuple[str, HiddenMarkov]], best: bool) -> Iterator[tuple[int, str, HiddenMarkov, np.ndarray, np.ndarray | None]]:
+    """Every model with its part of the chained vectors of a batch of blocks; sequences of one block enter from nowhere and have nothing behind them."""
+    if "enter" not in batch.columns:
+        for i, (name, m) in enumerate(own):
+            enter = np.tile(np.where(np.arange(m.k) == 0, 0.0, -np.inf), (len(batch), 1))
+            yield i, name, m, enter, None if best else np.zeros((len(batch), m.k))
+        return
     enter, leave = np.stack(batch["enter"].to_numpy()), np.stack(batch["leave"].to_numpy())
     at = 0
     for i, (name, m) in enumerate(own):
@@ -310,25 +320,106 @@ def _counts(m: HiddenMarkov, x: np.ndarray, lengths: np.ndarray, first: np.ndarr
     return np.concatenate([gamma[:, 0][first].sum(axis=0), moves.ravel(), gamma.sum(axis=(0, 1)), (g.T @ flat).ravel(), (g.T @ flat**2).ravel()])
 
 
+def _scaled_counts(m: HiddenMarkov, x: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None,
+                   first: np.ndarray | None = None) -> tuple[float, np.ndarray] | None:
+    """Log-likelihood (of whole sequences) and ``_counts`` with probabilities scaled row by row, states before blocks: products of small matrices instead of logarithms.
+
+    What is lost to underflow lies below 1e-308 of the largest; if forward and backward weights of some row meet in less
+    than 1e-100, a lost path could have counted, and the caller takes logarithms instead (the result is None).
+    """
+    k, d = m.means.shape
+    n, t_max = x.shape[:2]
+    first = np.ones(n, bool) if first is None else first
+    moved = m.transition + TINY
+    lb = np.ascontiguousarray(m.emissions(x).transpose(1, 2, 0))
+    top = lb.max(axis=1)
+    e = np.exp(lb - top[:, None])
+    live = np.arange(t_max)[:, None] < lengths[None, :]
+    behind = np.ones((k, n)) if leave is None else np.exp(leave - leave.max(axis=1, keepdims=True)).T
+    prior = np.tile((m.start + TINY)[:, None], (1, n))
+    if not first.all():
+        entered = np.exp(enter - enter.max(axis=1, keepdims=True)).T
+        prior = np.where(first, prior, moved.T @ np.where(first, 1.0, entered))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+        alpha, ahead, scale = np.empty_like(e), np.empty_like(e), np.empty((t_max, n))
+        for t in range(t_max):
+            ahead[t] = moved.T @ alpha[t - 1] if t else prior
+            alpha[t] = ahead[t] * e[t]
+            scale[t] = alpha[t].sum(axis=0)
+            alpha[t] /= scale[t]
+        beta = np.empty_like(e)
+        for t in range(t_max - 1, -1, -1):
+            if t + 1 < t_max:
+                beta[t] = moved @ (e[t + 1] * beta[t + 1])
+                beta[t] /= beta[t].max(axis=0)
+                beta[t] = np.where(t == lengths - 1, behind, beta[t])
+            else:
+                beta[t] = behind
+        gamma = alpha * beta
+        met = gamma.sum(axis=1)
+        if not (met[live] > 1e-100).all():
+            return None
+        gamma = np.where(live[:, None], gamma / met[:, None], 0.0)
+        weighted = e * beta
+        moves = np.zeros((k, k))
+        for t in range(t_max):
+            use = live[t] & ~first if t == 0 else live[t]
+            if use.any():
+                before = entered if t == 0 else alpha[t - 1]
+                pair = (ahead[t] * weighted[t]).sum(axis=0)
+                if not (pair[use] > 1e-100).all():
+                    return None
+                moves += moved * (np.where(use, before / pair, 0.0) @ np.where(use, weighted[t], 0.0).T)
+        loglik = float((np.log(scale) + top)[live].sum())
+    flat = np.where(live.T[:, :, None], x - m.means.mean(axis=0), 0.0).transpose(1, 0, 2).reshape(-1, d)
+    g = gamma.transpose(0, 2, 1).reshape(-1, k)
+    return loglik, np.concatenate([gamma[0][:, first].sum(axis=1), moves.ravel(), g.sum(axis=0), (g.T @ flat).ravel(), (g.T @ flat**2).ravel()])
+
+
+def _of_block(m: HiddenMarkov, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, enter: np.ndarray, leave: np.ndarray, ll: float | None) -> np.ndarray:
+    """Log-likelihood, rows, sequences and expected counts of a batch; ``ll`` is None for whole sequences, which know their own."""
+    found = _scaled_counts(m, x, lengths, enter, leave, first)
+    if found is None:
+        if ll is None:
+            alpha = _forward(m, m.emissions(x), first, enter)
+            ll = log_sum(alpha[np.arange(len(x)), lengths - 1], 1).sum()
+        return np.concatenate([[ll, lengths.sum(), first.sum()], _counts(m, x, lengths, first, enter, leave)])
+    return np.concatenate([[found[0] if ll is None else ll, lengths.sum(), first.sum()], found[1]])
+
+
 def _expected(blocks: DataFrame, models: Models, plan: Layout) -> dict[str, np.ndarray]:
     """Per model the log-likelihood, rows, sequences and expected counts, added up over all blocks in one job."""
     ordered = _ordered(models)
-    chain = _chain(_summaries(blocks, models, False), models, False, plan.levels)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for config, batch in _chunks(batches):
             x, lengths = _padded(batch)
             first = batch["first"].to_numpy()
-            ll = np.stack(batch["ll"].to_numpy()).sum(axis=0)
+            ll = np.stack(batch["ll"].to_numpy()).sum(axis=0) if "ll" in batch.columns else None
             for i, name, m, enter, leave in _per_model(batch, ordered[config], False):
-                v = np.concatenate([[ll[i], lengths.sum(), first.sum()], _counts(m, x, lengths, first, enter, leave)])
+                v = _of_block(m, x, lengths, first, enter, leave, None if ll is None else ll[i])
                 total[name] = total[name] + v if name in total else v
         if total:
             yield pd.DataFrame({"run": list(total), "v": list(total.values())})
 
-    joined = blocks.select("config", "seq", "block", "first", "n", "x").join(chain, ["config", "seq", "block"])
-    return add_up(joined.mapInPandas(task, "run string, v array<double>"), plan.tasks)
+    sums = None
+    for part in _parts(blocks, models, False, plan, ["config", "seq", "block", "first", "n", "x"]):
+        one = part.mapInPandas(task, "run string, v array<double>")
+        sums = one if sums is None else sums.unionByName(one)
+    return add_up(sums, plan.tasks)
+
+
+def _parts(blocks: DataFrame, models: Models, best: bool, plan: Layout, names: Sequence[str]) -> list[DataFrame]:
+    """The blocks of sequences of one block as they are, those of longer ones with their chained vectors."""
+    out = []
+    if plan.alone:
+        of_one = blocks.where("alone") if plan.chained else blocks
+        out.append(of_one.select(*[c for c in names if c in ("config", "first", "n", "x", "seq", "dates")]))
+    if plan.chained:
+        longer = blocks.where("not alone")
+        out.append(longer.select(*names).join(_chain(_summaries(longer, models, best), models, best, plan.levels), ["config", "seq", "block"]))
+    return out or [blocks.select(*names)]
 
 
 def _maximised(m: HiddenMarkov, e: np.ndarray, reg: float) -> HiddenMarkov:
@@ -394,17 +485,24 @@ def _applied(blocks: DataFrame, models: HiddenMarkov | Models, best: bool, colum
     """``(model, seq, date, …)`` under every model; without ``model`` where a single one was given."""
     named = models if isinstance(models, dict) else {"": models}
     ordered = _ordered(named)
-    chain = _chain(_summaries(blocks, named, best), named, best, layout(blocks).levels)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for config, batch in _chunks(batches):
+            if config not in ordered:
+                continue
             x, lengths = _padded(batch)
             first = batch["first"].to_numpy()
+            rows = pd.DataFrame({"seq": np.repeat(batch["seq"].to_numpy(), lengths), "date": np.concatenate([np.asarray(v) for v in batch["dates"]])})
+            live = np.arange(x.shape[1])[None, :] < lengths[:, None]
             for _, name, m, enter, leave in _per_model(batch, ordered[config], best):
-                yield _unrolled(batch, lengths, {column.name: values(m, x, lengths, first, enter, leave)}).assign(model=name)
+                v = values(m, x, lengths, first, enter, leave)[live]
+                yield rows.assign(**{column.name: list(v) if v.ndim == 2 else v, "model": name})
 
     schema = T.StructType([blocks.schema["seq"], T.StructField("date", T.DateType()), column, T.StructField("model", T.StringType())])
-    out = blocks.join(chain, ["config", "seq", "block"]).mapInPandas(task, schema)
+    out = None
+    for part in _parts(blocks, named, best, layout(blocks), ["config", "seq", "block", "first", "n", "dates", "x"]):
+        one = part.mapInPandas(task, schema)
+        out = one if out is None else out.unionByName(one)
     return out.select("model", "seq", "date", column.name) if isinstance(models, dict) else out.drop("model")
 
 
@@ -415,7 +513,7 @@ def decode(blocks: DataFrame, models: HiddenMarkov | Models) -> DataFrame:
         lb = m.emissions(x)
         score = _forward(m, lb, first, enter, best=True)
         la = np.log(m.transition + TINY)
-        state, path = leave, np.zeros(lb.shape[:2], dtype=int)
+        state, path = score[np.arange(len(x)), lengths - 1].argmax(axis=1) if leave is None else leave, np.zeros(lb.shape[:2], dtype=int)
         for t in range(lb.shape[1] - 1, -1, -1):
             if t < lb.shape[1] - 1:
                 back = (score[:, t] + la[:, state].T).argmax(axis=1)
@@ -436,14 +534,6 @@ def filtered(blocks: DataFrame, models: HiddenMarkov | Models) -> DataFrame:
     return _applied(blocks, models, False, T.StructField("p", T.ArrayType(T.DoubleType())), probabilities)
 
 
-def _unrolled(batch: pd.DataFrame, lengths: np.ndarray, values: dict[str, np.ndarray]) -> pd.DataFrame:
-    out = {"seq": np.repeat(batch["seq"].to_numpy(), lengths), "date": np.concatenate([np.asarray(v) for v in batch["dates"]])}
-    live = np.arange(next(iter(values.values())).shape[1])[None, :] < lengths[:, None]
-    for name, v in values.items():
-        out[name] = list(v[live]) if v.ndim == 3 else v[live]
-    return pd.DataFrame(out)
-
-
 def numbered_rows(df: DataFrame, keys: Sequence[str], x: str = "x") -> DataFrame:
     """Rows with a stable hash number, the form the starting-point pass reads."""
     return df.select(F.xxhash64(*keys).alias("idx"), F.col(x).alias("x"))
