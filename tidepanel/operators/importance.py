@@ -1,44 +1,37 @@
-"""Tree-based feature importance on MLlib forests."""
+"""Tree-based feature importance on forests."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.operators import features as J
+from tidepanel.operators.forest import Binned, Forest, binned, grow, swapped_hits
 from tidepanel.operators.passes import numbered
 
 
-def _forest(data: DataFrame, seed: int, trees: int, depth: int) -> RandomForestClassificationModel:
-    return RandomForestClassifier(
-        featuresCol="vec", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", minInstancesPerNode=3, seed=seed
-    ).fit(data)
+def _forest(data: Binned, seed: int, trees: int, depth: int) -> Forest:
+    return grow(data, seed, trees, depth)
 
 
-def _vectors(df: DataFrame, vector: str, label: str) -> DataFrame:
-    return df.select(array_to_vector(vector).alias("vec"), F.col(label).cast("double").alias("label"))
-
-
-def _forests(data: DataFrame, seeds: Sequence[int], trees: int, depth: int) -> list[RandomForestClassificationModel]:
-    """One forest per seed, grown side by side: a forest is many short jobs that leave most of a cluster idle."""
+def _forests(data: Binned, seeds: Sequence[int], trees: int, depth: int) -> list[Forest]:
+    """One forest per seed, grown side by side."""
     with ThreadPoolExecutor(4) as pool:
         return list(pool.map(lambda seed: _forest(data, seed, trees, depth), seeds))
 
 
-def _gini(model: RandomForestClassificationModel, seed: int) -> list[tuple[int, int, float]]:
-    return [(int(seed), j, float(v)) for j, v in enumerate(model.featureImportances.toArray())]
+def _gini(model: Forest, seed: int) -> list[tuple[int, int, float]]:
+    return [(int(seed), j, float(v)) for j, v in enumerate(model.importances())]
 
 
 def forest_importance(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), trees: int = 200, depth: int = 30) -> DataFrame:
     """Impurity importance of every vector component, one forest per seed."""
-    data = _vectors(df, vector, label).persist()
+    data = binned(df, vector, label)
     rows = [row for seed, model in zip(seeds, _forests(data, seeds, trees, depth)) for row in _gini(model, seed)]
-    data.unpersist()
+    data.rows.unpersist()
     return df.sparkSession.createDataFrame(rows, "seed int, feature long, gini double")
 
 
@@ -56,15 +49,9 @@ def partnered(df: DataFrame, vector: str, label: str, seed: int, repeats: int) -
     return out.select("x", F.array(*[F.col(f"_p{r}") for r in range(repeats)]).alias("partners"), "label")
 
 
-def permutation_scores(model: RandomForestClassificationModel, rows: DataFrame, seed: int, repeats: int) -> DataFrame:
-    """Mean accuracy lost when one component is taken from another row; copies of a row stream through the forest one by one."""
-    width = model.numFeatures
-    which = F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).alias("r"))), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.transform(
-        F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.struct(j.alias("j"), r.alias("r")))))))
-    each = rows.withColumn("_w", which)
-    swapped = F.transform("x", lambda v, i: F.when(i == F.col("_w.j"), F.get(F.get("partners", F.col("_w.r")), i)).otherwise(v))
-    scored = model.transform(each.select(F.col("_w.j").cast("long").alias("feature"), F.col("_w.r").alias("repeat"), "label", array_to_vector(swapped).alias("vec")))
-    accuracy = scored.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc"))
+def permutation_scores(model: Forest, rows: DataFrame, seed: int, repeats: int) -> DataFrame:
+    """Mean accuracy lost when one component is taken from another row; in every tree only rows whose path turns off are walked again."""
+    accuracy = swapped_hits(model, rows, repeats).select("feature", "repeat", (F.col("hits") / F.col("n")).alias("acc"))
     means = accuracy.groupBy("feature").agg(F.avg("acc").alias("acc"))
     base = F.max(F.when(F.col("feature") == -1, F.col("acc"))).over(J.Window.partitionBy())  # one row per feature
     return means.select("feature", (base - F.col("acc")).alias("drop"), F.lit(seed).alias("seed")).where("feature >= 0")
@@ -72,21 +59,21 @@ def permutation_scores(model: RandomForestClassificationModel, rows: DataFrame,
 
 def permutation_importance(df: DataFrame, vector: str, label: str, seed: int = 0, repeats: int = 3, trees: int = 200, depth: int = 30) -> DataFrame:
     """Mean accuracy lost when one component is permuted over the whole table."""
-    data = _vectors(df, vector, label).persist()
+    data = binned(df, vector, label)
     model = _forest(data, seed, trees, depth)
-    data.unpersist()
+    data.rows.unpersist()
     return permutation_scores(model, partnered(df, vector, label, seed, repeats), seed, repeats)
 
 
 def tree_scores(df: DataFrame, vector: str, label: str, seeds: Sequence[int] = (0, 1, 2), repeats: int = 3, trees: int = 200, depth: int = 30) -> DataFrame:
     """Impurity and permutation importance from one forest per seed: ``(seed, feature, gini, drop)``."""
-    data = _vectors(df, vector, label).persist()
+    data = binned(df, vector, label)
     rows, drops = [], None
     for seed, model in zip(seeds, _forests(data, seeds, trees, depth)):
         rows += _gini(model, seed)
         one = permutation_scores(model, partnered(df, vector, label, seed, repeats), seed, repeats)
         drops = one if drops is None else drops.unionByName(one)
-    data.unpersist()
+    data.rows.unpersist()
     return df.sparkSession.createDataFrame(rows, "seed int, feature long, gini double").join(drops, ["seed", "feature"])
 
 
