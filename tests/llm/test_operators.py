@@ -271,6 +271,12 @@ def test_katz_keeps_every_word(make_docs):
             assert r.score == pytest.approx(expected[r.doc_id]), (vocabulary, r.doc_id)
 
 
+def test_katz_splits_the_texts_once_for_all_word_figures(make_docs, capsys):
+    """Sizes, known and base scores and uncached words come from one pass over the texts."""
+    katz.scored(make_docs(sample_texts()).select("doc_id", "text")).explain("simple")
+    assert capsys.readouterr().out.count("MapInPandas") == 1
+
+
 def test_suffix_dedup(make_docs):
     rng = random.Random(4)
     passage = prose(rng, 70)

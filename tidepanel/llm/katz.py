@@ -22,7 +22,6 @@ uniform; other columns are not touched; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def signed(word: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-END = signed(b" end")  # no word holds a blank
+STOP = b" end"  # no word holds a blank
 
 
 class Names(dict):
@@ -61,10 +61,35 @@ class Names(dict):
         return value
 
 
-def tokens(text: str | None, names: Names) -> list[int]:
-    out = list(map(names.__getitem__, (text or "").encode().lower().split()))  # on bytes: only A-Z, only ASCII white space
-    out.append(END)
-    return out
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # on bytes: only A-Z, only ASCII white space
+
+
+class Places(dict):
+    """Words in the order in which they first occur."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def chunks(batches: Iterator[pd.DataFrame], flush: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """About ``flush`` tokens at a time: the texts' rids and sizes, the hashes of the distinct words (the end first), every token's place among these."""
+    names = Names()
+    places, rids, sizes, found = Places({STOP: 0}), [], [], []
+    cut = lambda: (np.array(rids, np.int64), np.array(sizes, np.int64), np.fromiter(map(names.__getitem__, places), np.int64, len(places)), np.array(found, np.int64))
+    for batch in batches:
+        for rid, t in zip(batch["rid"], batch["text"]):
+            words = split_words(t)
+            rids.append(rid)
+            sizes.append(len(words) + 1)
+            found.extend(map(places.__getitem__, words))
+            found.append(0)
+            if len(found) >= flush:
+                yield cut()
+                places, rids, sizes, found = Places({STOP: 0}), [], [], []
+    if rids:
+        yield cut()
 
 
 @dataclass
@@ -104,15 +129,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (hash) and its count over the training texts; a task adds up before rows travel."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts = Names(), Counter()
+        counts = Counter()
+        added = lambda: pd.DataFrame({"word": list(map(signed, counts)), "n": list(counts.values())})
         for batch in batches:
             for t in batch["text"]:
-                counts.update(tokens(t, names))
+                counts.update(split_words(t))
+            counts[STOP] += len(batch)
             if len(counts) > 1_000_000:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                yield added()
                 counts.clear()
         if counts:
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+            yield added()
 
     return docs.where("not held_out").select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -122,7 +149,7 @@ def _numpy(df: DataFrame) -> list[np.ndarray]:
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
 
 
 def _deltas(a: np.ndarray) -> bytes:
@@ -130,7 +157,7 @@ def _deltas(a: np.ndarray) -> bytes:
 
 
 def _ints(raw: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
 def _sums(raw: bytes) -> np.ndarray:
@@ -152,32 +179,34 @@ def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int =
     """
 
     def split(part: np.ndarray, values: list[np.ndarray], doc: np.ndarray, times: np.ndarray, rids: np.ndarray, side: str) -> pd.DataFrame:
-        order = np.argsort(part, kind="stable")
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # two bytes are sorted by digits
         part, doc, times, values = part[order], doc[order], times[order], [v[order] for v in values]
         bounds = (np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []) + [len(part)]
         rows = []
         for i, j in zip(bounds, bounds[1:]):
-            own, local = np.unique(doc[i:j], return_inverse=True)
             named = [_deltas(values[0][i:j])] + [_squeeze(v[i:j]) for v in values[1:]]
-            rows.append((int(part[i]), *named, _squeeze(local.astype(np.int32)), _squeeze(times[i:j].astype(np.int32)), rids[own].tobytes() if by_doc else b""))
+            owners = (b"", b"")
+            if by_doc:
+                here = np.zeros(len(rids), bool)
+                here[doc[i:j]] = True
+                owners = (_squeeze((np.cumsum(here) - 1)[doc[i:j]].astype(np.int32)), rids[here].tobytes())
+            rows.append((int(part[i]), *named, owners[0], _squeeze(times[i:j].astype(np.int32)), owners[1]))
         names = ["first", "second"] if side else ["keys"]
         return pd.DataFrame(rows, columns=["part", *names, f"{side}docs", f"{side}times", f"{side}rids"])
 
-    def pack(rids: list[int], sizes: list[int], hashes: list[int]) -> pd.DataFrame:
+    def pack(rids: np.ndarray, sizes: np.ndarray, own: np.ndarray, second: np.ndarray) -> pd.DataFrame:
         w = words.value
-        own, second = np.unique(np.array(hashes, np.int64), return_inverse=True)
         numbers = np.append(w.number(own), w.k + 1)
         first = np.roll(second, 1)
-        first[np.cumsum([0, *sizes[:-1]])] = len(own)  # before the first word
+        first[np.cumsum(sizes) - sizes] = len(own)  # before the first word
         doc = np.repeat(np.arange(len(rids)), sizes) if by_doc else np.zeros(len(second), np.int64)
-        names = np.array(rids, np.int64)
         hashed = (numbers[first] == w.k) | (numbers[second] == w.k)
 
         many = len(rids) if by_doc else 1
         both = (numbers[first] * (w.k + 2) + numbers[second])[~hashed] * many + doc[~hashed]
         both, times = np.unique(both, return_counts=True)
         key, own_doc = both // many, both % many
-        rows = split(part_of(key // (w.k + 2), key % (w.k + 2), parts), [key], own_doc, times, names, "")
+        rows = split(part_of(key // (w.k + 2), key % (w.k + 2), parts), [key], own_doc, times, rids, "")
 
         one, two, doc = first[hashed], second[hashed], doc[hashed]
         called = np.where(numbers == w.k, np.append(own, 0), numbers)
@@ -187,24 +216,13 @@ def packed_pairs(docs: DataFrame, words, parts: int, by_doc: bool, flush: int =
         new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]))) if len(one) else np.empty(0, np.int64)
         times = np.diff(np.append(new, len(one)))
         one, two, doc = one[new], two[new], doc[new]
-        others = split(part_of(one, two, parts), [one, two], doc, times, names, "hashed_")
+        others = split(part_of(one, two, parts), [one, two], doc, times, rids, "hashed_")
         out = rows.merge(others, "outer", "part") if len(others) else rows.reindex(columns=[*rows.columns, *others.columns[1:]])
         return out.astype(object).where(out.notna(), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = Names()
-        rids, sizes, hashes = [], [], []
-        for batch in batches:
-            for rid, t in zip(batch["rid"], batch["text"]):
-                got = tokens(t, names)
-                rids.append(rid)
-                sizes.append(len(got))
-                hashes += got
-                if len(hashes) >= flush:
-                    yield pack(rids, sizes, hashes)
-                    rids, sizes, hashes = [], [], []
-        if rids:
-            yield pack(rids, sizes, hashes)
+        for chunk in chunks(batches, flush):
+            yield pack(*chunk)
 
     return docs.select("rid", "text").mapInPandas(run, PACKED)
 
@@ -442,44 +460,32 @@ def scored(docs: DataFrame, vocabulary: int = 1 << 18) -> DataFrame:
     pair_score = sums.where("word is null").select("rid", F.col("s").alias("pair_score"))
     late = sums.where("word is not null").select("rid", "word", F.lit(0).cast("long").alias("times"), F.col("times").alias("unseen"))
 
-    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, w = Names(), shared.value
-        for batch in batches:
-            rids, found, times = [], [], []
-            for rid, t in zip(batch["rid"], batch["text"]):
-                got = np.array(tokens(t, names), np.int64)
-                own, n = np.unique(got[w.number(got) == w.k], return_counts=True)
-                rids.append(np.full(len(own), rid))
-                found.append(own)
-                times.append(n)
-            if rids:
-                yield pd.DataFrame({"rid": np.concatenate(rids), "word": np.concatenate(found), "times": np.concatenate(times)})
-
-    own_rare = texts.select("rid", "text").mapInPandas(rare_words, "rid long, word long, times long").withColumn("unseen", F.lit(0).cast("long"))
-    rare_rows = own_rare.unionByName(late).join(counts, "word", "left")
+    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row of figures of every text, and one for each of its words that is not cached."""
+        w = shared.value
+        logs = np.append(np.log10((w.counts + 1) / base), 0.0)
+        for rids, sizes, own, found in chunks(batches, 500_000):
+            doc, number = np.repeat(np.arange(len(rids)), sizes), w.number(own)[found]
+            cached = number < w.k
+            whole = pd.DataFrame({"rid": rids, "n_tokens": sizes, "known": np.bincount(doc[cached], minlength=len(rids)), "base": np.bincount(doc, logs[number], len(rids))})
+            pairs, times = np.unique(doc[~cached] * len(own) + found[~cached], return_counts=True)
+            rare = pd.DataFrame({"rid": rids[pairs // len(own)], "n_tokens": 0, "known": 0, "base": 0.0, "word": own[pairs % len(own)], "times": times, "copies": 0})
+            # a text's own row meets no word: its name only spreads these rows, and it counts none
+            yield pd.concat([whole.assign(word=rids, times=0, copies=1), rare])
+
+    zero = F.lit(0).cast("long")
+    own = texts.select("rid", "text").mapInPandas(own_words, "rid long, n_tokens long, known long, base double, word long, times long, copies long").withColumn("unseen", zero)
+    late = late.withColumns({"n_tokens": zero, "known": zero, "base": F.lit(0.0), "copies": zero})
     n = F.coalesce("n", F.lit(0))
     log_p = F.log10((n + 1) / base)
-    rare_sums = rare_rows.groupBy("rid").agg(
-        F.sum(F.col("times") * log_p).alias("rare_base"), F.sum(F.col("unseen") * log_p).alias("rare_score"),
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+    word_sums = own.unionByName(late).join(counts, "word", "left").groupBy("rid").agg(
+        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"),  # equal rows add to the same sums
+        F.sum(F.col("known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.col("base") + F.col("times") * log_p).alias("base"), F.sum(F.col("unseen") * log_p).alias("rare_score"),
     )
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, w = Names(), shared.value
-        logs = np.append(np.log10((w.counts + 1) / base), 0.0)
-        for batch in batches:
-            out = []
-            for t in batch["text"]:
-                number = w.number(np.array(tokens(t, names), np.int64))
-                out.append((len(number), int((number < w.k).sum()), float(logs[number].sum())))
-            frame = pd.DataFrame(out, columns=["n_tokens", "known", "base"])
-            yield pd.concat([batch[["rid", "held_out"]], frame], axis=1).assign(doc_id=batch["doc_id"].astype("Int64"))
-
-    own = texts.select(F.col("doc_id").cast("long"), "held_out", "rid", "text").mapInPandas(frequent, "rid long, held_out boolean, n_tokens long, known long, base double, doc_id long")
-    copies = texts.groupBy("rid").agg(F.count(F.lit(1)).alias("copies"))  # equal rows add to the same sums
-    out = own.join(copies, "rid").join(pair_score, "rid", "left").join(rare_sums, "rid", "left")
+    out = texts.select(F.col("doc_id").cast("long"), "held_out", "rid").join(word_sums, "rid").join(pair_score, "rid", "left")
     share = lambda c: F.coalesce(c, F.lit(0)) / F.col("copies")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + share("rare_known").cast("long")).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.col("base") + share("rare_base")).alias("base_score"), (share("pair_score") + share("rare_score")).alias("score"),
+        "doc_id", "held_out", share("n_tokens").cast("long").alias("n_tokens"), share("known").cast("long").alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"),
+        share("base").alias("base_score"), (share("pair_score") + share("rare_score")).alias("score"),
     )
