@@ -296,6 +296,18 @@ def test_suffix_dedup(make_docs):
     assert suffix_dedup.reported(make_docs([])).count() == 0
 
 
+def test_suffix_dedup_finds_anchors_once(make_docs, capsys):
+    """The repeated places are stored; what reads them does not cut the texts into anchors again."""
+    rows = sample_texts()
+    docs = make_docs(rows)
+    suffix_dedup.reported(docs).explain("simple")
+    # unpacked for samples, equal and unlike places; surroundings; the cut
+    assert capsys.readouterr().out.count("MapInPandas") == 5
+    places = docs.sparkSession.createDataFrame([(i, i % 7, -i, i % 2 == 0) for i in range(30_000)], "rid long, pos int, ctx long, same boolean")
+    held = suffix_dedup.packed(places)
+    assert held.count() < 50 and suffix_dedup.unpacked(held).exceptAll(places).count() == 0 and suffix_dedup.unpacked(held).count() == 30_000
+
+
 def test_blind_trie():
     rng = random.Random(6)
     rows = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(200)]

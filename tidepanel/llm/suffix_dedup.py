@@ -22,9 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import stored
+
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # bytes around the anchor that a string can take on one side
 HALF = REACH // 2
@@ -160,6 +162,20 @@ def _map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+PLACE = {"rid": np.int64, "pos": np.int32, "ctx": np.int64, "same": np.bool_}
+
+
+def packed(places: DataFrame) -> DataFrame:
+    """``places`` (rid, pos, ctx, same) as binary columns, a row per batch."""
+    one = lambda batch: pd.DataFrame({c: [batch[c].to_numpy(t).tobytes()] for c, t in PLACE.items()})
+    return _map(places, one, ", ".join(f"{c} binary" for c in PLACE))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    all_ = lambda batch: pd.DataFrame({c: np.frombuffer(b"".join(batch[c]), t) for c, t in PLACE.items()})
+    return _map(rows, all_, "rid long, pos int, ctx long, same boolean")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).withColumn("rid", F.xxhash64("doc_id", "raw"))
@@ -179,9 +195,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"rid": join(rids), "pos": join(pos).astype(np.int32), "anchor": join(anchor), "ctx": np.array(ctx, np.uint64).view(np.int64)})
 
     at = _map(texts.where(F.octet_length("raw") >= LENGTH).select("rid", "raw"), find, "rid long, pos int, anchor long, ctx long")
-    met = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-    # an anchor whose surroundings are equal everywhere is decided by its count alone
-    places = at.join(met.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor").select("rid", "pos", "ctx", "same")
+    met = Window.partitionBy("anchor")
+    repeated = at.select("rid", "pos", "ctx", F.count(F.lit(1)).over(met).alias("n"), F.min("ctx").over(met).alias("low"), F.max("ctx").over(met).alias("high")).where("n > 1")
+    # an anchor whose surroundings are equal everywhere is decided by its count alone; stored, so that the anchors are found and dealt out once
+    places = unpacked(stored(packed(repeated.select("rid", "pos", "ctx", (F.col("low") == F.col("high")).alias("same")))))
     unlike = places.where("not same").groupBy("ctx").agg(F.min(F.struct("rid", "pos")).alias("at"), F.count(F.lit(1)).alias("times"))
     samples = unlike.select("at.rid", "at.pos", "ctx", "times").groupBy("rid").agg(F.collect_set(F.struct("pos", "ctx", "times")).alias("found"))
 
@@ -220,7 +237,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     marks = around.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(mark, "ctx long, marks binary")
     marks = marks.groupBy("ctx").agg(F.collect_set("marks").alias("marks"))  # one of each side
-    found = places.join(marks, "ctx", "left").where("same or marks is not null").groupBy("rid").agg(F.collect_set(F.struct("pos", "marks")).alias("found"))
+    whole = places.where("same").select("rid", "pos", F.lit(None).cast("array<binary>").alias("marks"))
+    partly = places.where("not same").join(marks, "ctx").select("rid", "pos", "marks")
+    found = whole.unionByName(partly).groupBy("rid").agg(F.collect_set(F.struct("pos", "marks")).alias("found"))
 
     def cut(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
