@@ -129,6 +129,36 @@ def test_shingle_join(make_docs):
     assert shingle_join.grouped(make_docs([]).select("doc_id", "text")).count() == 0
 
 
+def test_shingles_travel_once_and_short(make_docs):
+    """One pass deals out the sets, seven bytes a shingle, and tells every row's set, also of null ids and empty texts."""
+    rows = sample_texts()
+    parts = 64
+    packed = shingle_join.dealt(make_docs(rows).select("doc_id", "text").coalesce(1), parts)
+    texts = {t.lower() for _, t in rows if t}
+    words = shingle_join.WordHash()
+    sizes = {t: len(shingle_join.shingle_set(t, words)) for t in texts}
+    sent = packed.where("docs is null").agg(F.sum(F.octet_length("hashes"))).first()[0]
+    assert sent == 7 * sum(n for t, n in sizes.items() if n)
+    got = shingle_join.shared_shingles(packed, parts).where("hashes is null").collect()
+    expected = sorted((str(d), sizes[t.lower()] if t else 0) for d, t in rows)
+    assert sorted((str(r.doc_id), r.n) for r in got) == expected and len({r.set_id for r in got}) == len({t.lower() for t in texts if sizes[t]}) + 1
+
+
+def test_regions_of_the_same_members_are_one(spark):
+    """Twelve near copies share many anchors; their regions are compared once, and the links are those of all."""
+    sets = spark.createDataFrame([(i, 100, np.append(np.arange(99), 1000 + i).astype(np.uint64).tobytes()) for i in range(12)], "set_id long, n long, hashes binary")
+    members = spark.createDataFrame([(a, i, 100) for a in range(21) for i in range(12)], "anchor long, set_id long, n long")
+    seen = []
+    plain = shingle_join.stored
+    try:
+        shingle_join.stored = lambda df: seen.append((df.columns, (out := plain(df)).count())) or out
+        links = shingle_join.region_links(members, sets).collect()
+    finally:
+        shingle_join.stored = plain
+    assert next(n for columns, n in seen if "anchor" in columns) == 12
+    assert set(union_find([(r.a, r.b) for r in links], range(12)).values()) == {0}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(230, 8)))]

@@ -16,7 +16,7 @@ holds more than a range. A set only travels on when enough of its shingles occur
 Cases: a null text or one without words has an empty set, linked with nothing; fewer words
 than a shingle make one shingle; repeated rows are equal sets; a text of any length is used
 whole; other columns are not touched; an empty table gives an empty table. Shingles are
-named by 64-bit hashes.
+named by 62 bits of a hash or more.
 """
 
 from __future__ import annotations
@@ -67,19 +67,9 @@ def name_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the name of the set."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHash()
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": [name_of(s) for s in sets]})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_id long")
-
-
 PACKED = "part long, ids binary, sizes binary, counts binary, hashes binary"
+ROWS = "docs binary, known binary"  # of a row that only says which set every document has: ids and sizes by document
+BYTES = 7  # of a hash that travel; its first bits are the part's number
 
 
 def _packed(part: int, ids, sizes, counts, hashes, **more) -> dict:
@@ -87,87 +77,116 @@ def _packed(part: int, ids, sizes, counts, hashes, **more) -> dict:
     return {"part": part, **{k: v.tobytes() for k, v in raw.items()}}
 
 
+def _shortened(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The BYTES after the first ``bits`` of every hash."""
+    return np.ascontiguousarray((hashes << np.uint64(bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :])
+
+
+def _lengthened(raw: bytes, part: int, bits: int) -> np.ndarray:
+    whole = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    whole[:, 8 - BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return (whole.reshape(-1).view("<u8") >> np.uint64(bits)) | np.uint64(part << (64 - bits))
+
+
 def dealt(docs: DataFrame, parts: int, flush: int = 500_000) -> DataFrame:
-    """Every set's shingles by ranges of the hash; a task sends a set once."""
-    shift = np.uint64(64 - (parts.bit_length() - 1))
+    """Every set's shingles by ranges of the hash, a task sends a set once; beside them every document's set."""
+    bits = parts.bit_length() - 1
 
-    def pack(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    def pack(held: list[tuple[int, np.ndarray]]) -> list[dict]:
         hashes = np.concatenate([s for _, s in held])
         owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
         ids, sizes = np.array([i for i, _ in held], np.int64), np.array([len(s) for _, s in held], np.int32)
-        part = (hashes >> shift).astype(np.int64) if parts > 1 else np.zeros(len(hashes), np.int64)
-        order = np.argsort(part, kind="stable")
+        part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
         part, owner, hashes = part[order], owner[order], hashes[order]
-        rows = []
+        short, rows = _shortened(hashes, bits), []
         bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() + [len(part)]
         for i, j in zip(bounds, bounds[1:]):
-            own, counts = np.unique(owner[i:j], return_counts=True)
-            rows.append(_packed(int(part[i]), ids[own], sizes[own], counts.astype(np.int32), hashes[i:j]))
-        return pd.DataFrame(rows)
+            counts = np.bincount(owner[i:j], minlength=len(held))
+            own = np.flatnonzero(counts)
+            rows.append(_packed(int(part[i]), ids[own], sizes[own], counts[own].astype(np.int32), short[i:j]))
+        return rows
+
+    def listed(of: list[tuple]) -> dict:
+        docs_, ids, sizes = zip(*of)
+        known = np.array([d is not None for d in docs_])
+        numbers = np.array([0 if d is None else d for d in docs_], np.int64)
+        mixed = xxhash.xxh3_64_intdigest(numbers.tobytes())  # any part will do
+        return _packed(mixed % parts, np.array(ids, np.int64), np.array(sizes, np.int32), np.empty(0, np.int32), np.empty(0, np.uint8), docs=numbers, known=known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen, held, size = WordHash(), set(), [], 0
+        words, seen, held, size, of = WordHash(), set(), [], 0, []
+        frame = lambda: pd.DataFrame([*(pack(held) if held else []), listed(of)], columns=["part", "ids", "sizes", "counts", "hashes", "docs", "known"])
         for batch in batches:
-            for t in batch["text"]:
+            for d, t in zip(batch["doc"].tolist(), batch["text"]):
                 s = shingle_set(t, words)
                 i = name_of(s)
+                of.append((int(d) if isinstance(d, str) else None, i, len(s)))
                 if len(s) and i not in seen:
                     seen.add(i)
                     held.append((i, s))
                     size += len(s)
-                if size >= flush:
-                    yield pack(held)
-                    held, size = [], 0
-        if held:
-            yield pack(held)
+                if size >= flush or len(of) >= flush // 4:
+                    yield frame()
+                    held, size, of = [], 0, []
+        if of:
+            yield frame()
 
-    return docs.select("text").mapInPandas(run, PACKED)
+    named = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), "text")  # as text, so that nulls and long numbers stay
+    return named.mapInPandas(run, f"{PACKED}, {ROWS}")
 
 
-def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    join = lambda c, t: np.frombuffer(b"".join(rows[c]), t)
-    counts = join("counts", np.int32)
-    return np.repeat(join("ids", np.int64), counts), np.repeat(join("sizes", np.int32), counts), join("hashes", np.uint64)
+def _joined(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
 
 
 def shared_shingles(packed: DataFrame, parts: int) -> DataFrame:
-    """Sets of which enough shingles occur in another set, with those shingles and their frequencies (set_id, n, hashes, freqs)."""
+    """Sets of which enough shingles occur in another set (set_id, n, hashes: rarest first), and every document's set (set_id, n, doc_id; hashes null)."""
+    bits = parts.bit_length() - 1
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, hashes = _entries(rows)
-        order = np.lexsort((ids, hashes))
-        ids, sizes, hashes = ids[order], sizes[order], hashes[order]
-        new = np.append(True, (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1]))
-        ids, sizes, hashes = ids[new], sizes[new], hashes[new]
-        start = np.append(True, hashes[1:] != hashes[:-1])
+        listed, rows = rows[rows["docs"].notna()].assign(freqs=None), rows[rows["docs"].isna()]
+        ids, sizes, counts = _joined(rows["ids"], np.int64), _joined(rows["sizes"], np.int32), _joined(rows["counts"], np.int32)
+        hashes = np.concatenate([np.empty(0, np.uint64), *[_lengthened(raw, int(part), bits) for part, raw in zip(rows["part"], rows["hashes"])]])
+        first = np.zeros(len(ids), bool)
+        first[np.unique(ids, return_index=True)[1]] = True  # a set that several tasks sent counts once
+        hashes, owner = hashes[np.repeat(first, counts)], np.repeat(np.arange(len(ids), dtype=np.int32), np.where(first, counts, 0))
+        order = np.argsort(hashes)
+        hashes, owner = hashes[order], owner[order]
+        start = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
         freq = np.diff(np.append(np.flatnonzero(start), len(hashes)))[np.cumsum(start) - 1].astype(np.int32)
         keep = freq > 1
-        ids, sizes, hashes, freq = ids[keep], sizes[keep], hashes[keep], freq[keep]
-        part = (ids.astype(np.uint64) * ODD[1] >> np.uint64(40)).astype(np.int64) % parts
-        order = np.lexsort((ids, part))
-        ids, sizes, hashes, freq, part = ids[order], sizes[order], hashes[order], freq[order], part[order]
+        hashes, owner, freq = hashes[keep], owner[keep], freq[keep]
+        to = (ids.astype(np.uint64) * ODD[1] >> np.uint64(40)).astype(np.int64) % parts
+        part = to[owner]
+        order = np.lexsort((owner, part))
+        hashes, owner, freq, part = hashes[order], owner[order], freq[order], part[order]
         out = []
         bounds = (np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []) + [len(part)]
         for i, j in zip(bounds, bounds[1:]):
-            first = np.flatnonzero(np.append(True, ids[i + 1 : j] != ids[i : j - 1]))
-            counts = np.diff(np.append(first, j - i)).astype(np.int32)
-            out.append(_packed(int(part[i]), ids[i:j][first], sizes[i:j][first], counts, hashes[i:j], freqs=freq[i:j]))
-        return pd.DataFrame(out, columns=["part", "ids", "sizes", "counts", "hashes", "freqs"])
+            new = np.flatnonzero(np.append(True, owner[i + 1 : j] != owner[i : j - 1]))
+            each = np.diff(np.append(new, j - i)).astype(np.int32)
+            own = owner[i:j][new]
+            out.append(_packed(int(part[i]), ids[own], sizes[own], each, hashes[i:j], freqs=freq[i:j]))
+        return pd.concat([listed, pd.DataFrame(out, columns=["part", "ids", "sizes", "counts", "hashes", "freqs"])]).astype(object).where(lambda x: x.notna(), None)
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, hashes = _entries(rows)
-        freq = np.frombuffer(b"".join(rows["freqs"]), np.int32)
+        listed, rows = rows[rows["docs"].notna()], rows[rows["docs"].isna()]
+        numbers, known = _joined(listed["docs"], np.int64), _joined(listed["known"], np.bool_)
+        of = pd.DataFrame({"set_id": _joined(listed["ids"], np.int64), "n": _joined(listed["sizes"], np.int32), "hashes": None, "doc_id": pd.array(numbers, "Int64")})
+        of.loc[~known, "doc_id"] = pd.NA
+        counts = _joined(rows["counts"], np.int32)
+        ids, sizes = np.repeat(_joined(rows["ids"], np.int64), counts), np.repeat(_joined(rows["sizes"], np.int32), counts)
+        hashes, freq = _joined(rows["hashes"], np.uint64), _joined(rows["freqs"], np.int32)
         order = np.lexsort((hashes, freq, ids))
-        ids, sizes, hashes, freq = ids[order], sizes[order], hashes[order], freq[order]
-        bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist() + [len(ids)]
-        out = [
-            (int(ids[i]), int(sizes[i]), hashes[i:j].tobytes(), freq[i:j].tobytes())
-            for i, j in zip(bounds, bounds[1:]) if 100 * (j - i) >= PERCENT * int(sizes[i])
-        ]
-        return pd.DataFrame(out, columns=["set_id", "n", "hashes", "freqs"])
+        ids, sizes, hashes = ids[order], sizes[order], hashes[order]
+        bounds = (np.flatnonzero(np.append(True, ids[1:] != ids[:-1])).tolist() if len(ids) else []) + [len(ids)]
+        out = [(int(ids[i]), int(sizes[i]), hashes[i:j].tobytes()) for i, j in zip(bounds, bounds[1:]) if 100 * (j - i) >= PERCENT * int(sizes[i])]
+        sets = pd.DataFrame(out, columns=["set_id", "n", "hashes"]).assign(doc_id=pd.array([None] * len(out), "Int64"))
+        return pd.concat([sets.astype({"set_id": np.int64, "n": np.int64}), of.astype({"n": np.int64})])
 
-    counted = packed.groupBy("part").applyInPandas(count, PACKED + ", freqs binary")
-    return counted.groupBy("part").applyInPandas(gather, "set_id long, n long, hashes binary, freqs binary")
+    counted = packed.groupBy("part").applyInPandas(count, f"{PACKED}, {ROWS}, freqs binary")
+    return counted.groupBy("part").applyInPandas(gather, "set_id long, n long, hashes binary, doc_id long")
 
 
 def anchors(sets: DataFrame) -> DataFrame:
@@ -236,7 +255,13 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all sets of a region within the distance of each other; ``members``: anchor, set_id, n."""
     reach = 1 - PERCENT / 100
-    wide = lambda m: m.join(m.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "anchor")
+
+    def wide(m: DataFrame) -> DataFrame:
+        """Regions of several members; of those with the very same members one is enough."""
+        members_ = [F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")]
+        alike = m.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *members_).where("c > 1").groupBy("c", "x", "y")
+        return m.join(alike.agg(F.min("anchor").alias("anchor")).select("anchor"), "anchor")
+
     open_, pivots_each = stored(wide(members)), 1
     inside = lambda s: stored(s.join(open_.select("set_id").distinct(), "set_id", "left_semi"))  # noqa: E731  what later rounds compare
     sets = inside(sets)
@@ -271,12 +296,13 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def grouped(docs: DataFrame, range_rows: int = 1_500_000) -> DataFrame:
+def grouped(docs: DataFrame, range_rows: int = 3_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    sigs = stored(signatures(docs))
-    total = sigs.agg(F.sum("n_shingles")).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 6 + 16)).first()[0] or 0  # about the number of shingles
     parts = 1 << max(6, int(total // range_rows).bit_length())
-    sets = stored(shared_shingles(dealt(docs, parts), parts))
+    both = stored(shared_shingles(dealt(docs, parts), parts))
+    sigs = both.where("hashes is null").select("doc_id", F.col("n").alias("n_shingles"), "set_id")
+    sets = both.where("hashes is not null").select("set_id", "n", "hashes")
     links = stored(region_links(anchors(sets), sets))
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     rooted = sigs.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
