@@ -159,6 +159,38 @@ def test_regions_of_the_same_members_are_one(spark):
     assert set(union_find([(r.a, r.b) for r in links], range(12)).values()) == {0}
 
 
+def test_far_members_of_a_region_are_not_paired_as_rows(spark, monkeypatch):
+    """Sets at 0.1 to 0.4 of each other in two regions: all links' components, and no table of members by members."""
+    rng = np.random.default_rng(4)
+    base, sets = np.arange(100), {}
+    for i in range(300):
+        own = np.concatenate([rng.permutation(base)[: rng.integers(82, 97)], rng.integers(100, 400, 9)])
+        sets[i] = np.unique(own).astype(np.uint64)
+    near = lambda a, b: 100 * (c := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - c)
+    members = [(0, i) for i in range(300)] + [(1, i) for i in range(100, 300)]
+    links = [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])]
+    sizes, seen, plain = {i: len(s) for i, s in sets.items()}, [], shingle_join.stored
+    rows = spark.createDataFrame([(i, sizes[i], s.tobytes()) for i, s in sets.items()], "set_id long, n long, hashes binary")
+    monkeypatch.setattr(shingle_join, "stored", lambda df: seen.append((out := plain(df)).count()) or out)
+    monkeypatch.setattr(shingle_join, "BLOCK_SETS", 40, raising=False)  # cells are cut into rings and blocks
+    got = shingle_join.region_links(spark.createDataFrame([(a, i, sizes[i]) for a, i in members], "anchor long, set_id long, n long"), rows).collect()
+    expected = union_find(links, sets)
+    assert len(set(expected.values())) > 3 and union_find([(r.a, r.b) for r in got], sets) == expected
+    assert max(seen) <= len(members)
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(shingle_join, "COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(0, 40, 25)] + [np.unique(rng.integers(0, 1000, 200)).astype(np.uint64) for _ in range(6)]
+    left, right = np.arange(0, 31, 2), np.arange(1, 31, 2)
+    for i, j in ((left, right), (np.arange(31), np.arange(31))):
+        off = i[:, None] != j[None, :]  # a set is not compared with itself
+        expected = np.array([[len(np.intersect1d(sets[a], sets[b])) for b in j] for a in i])
+        assert (shingle_join.overlaps(sets, i, j) == expected)[off].all()
+    assert shingle_join.overlaps([], np.arange(0), np.arange(0)).shape == (0, 0)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(230, 8)))]

@@ -4,11 +4,14 @@ Regions. Unlike texts all lie at distance 1 from each other, so cells around sam
 would leave nearly everything in one cell. Regions are therefore anchored at single shingles:
 in the order of document frequency, rarest first, two sets within the distance share one of
 their first (1 - 0.8) n + 1 shingles, so a set enters the regions of those that another set
-also holds. Inside a region, pivots are drawn, every member's distance to them is computed
-exactly, members near a pivot are linked to it and make up its cell, and by the triangle
-inequality only members that could be near one outside their cell stay for the next round,
-with eight times as many pivots. Rounds end when no region has two open members. No pair is lost,
-and copies are never paired with each other: equal sets are one set throughout.
+also holds. Inside a region, the smallest set is the
+pivot, every member's distance to it is computed exactly, and members near it are linked to it.
+Sets that links connect have one root, and a region of one root is done. Sets of the other
+regions fall into cells by their smallest pivot; a large cell is cut into rings by distance
+and rings into blocks. Blocks that meet in a region are compared as matrices, set by set, but
+not those of one cell whose rings the triangle inequality keeps apart. A set travels once with
+every pair of blocks, not with every pair of sets. No pair of different roots is lost, and
+copies are never paired with each other: equal sets are one set throughout.
 
 Frequencies are counted by ranges of the hash, packed into binary columns, so that no task
 holds more than a range. A set only travels on when enough of its shingles occur elsewhere.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import components, fresh, stored
@@ -208,32 +211,6 @@ def anchors(sets: DataFrame) -> DataFrame:
     return sets.select("set_id", "n", "hashes").mapInPandas(run, "anchor long, set_id long, n long")
 
 
-CELLS = 256
-
-
-def sketched(sets: DataFrame) -> DataFrame:
-    """set_id, n and how many of a set's shared shingles fall into each of CELLS cells of the hash."""
-
-    def count(hashes: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount((np.frombuffer(h, np.uint64) >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.int32).tobytes() for h in hashes])
-
-    return sets.select("set_id", "n", F.pandas_udf(count, "binary")("hashes").alias("cells"))
-
-
-def bounded(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """``pairs`` with a lower bound of the distance: sets share no more than the smaller count of every cell."""
-
-    def bound(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        common = [int(np.minimum(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)).sum()) for a, b in zip(x, y)]
-        common = np.array(common, np.int64)
-        return pd.Series(np.where(100 * common >= PERCENT * (n + m - common), 0.0, 1 - common / (n + m - common)))
-
-    left = cells.select("set_id", F.col("n").alias("n1"), F.col("cells").alias("c1"))
-    right = cells.select(F.col("set_id").alias("pivot"), F.col("n").alias("n2"), F.col("cells").alias("c2"))
-    both = pairs.join(left, "set_id").join(right, "pivot")
-    return both.select("set_id", "pivot", F.pandas_udf(bound, "double")("c1", "c2", "n1", "n2").alias("least"))
-
-
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact Jaccard distance and whether it is near, for pairs (set_id, pivot)."""
 
@@ -252,48 +229,101 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("set_id", "pivot", udf("h1", "h2", "n1", "n2").alias("c")).select("set_id", "pivot", "c.d", "c.near")
 
 
+# Sets and shingles a block of a cell holds, about; a shingle of more sets than SPARSE is counted by matrices.
+BLOCK_SETS, BLOCK_SHINGLES, SPARSE, COLUMNS = 512, 1 << 18, 8, 4096
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles every set of ``left`` shares with every one of ``right`` (places in ``sets``)."""
+    k = len(sets)
+    hashes, owner = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(k), [len(s) for s in sets])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    start = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+    column = np.cumsum(start) - 1
+    freq = np.diff(np.append(np.flatnonzero(start), len(hashes)))[column]
+    rare, total = (freq > 1) & (freq <= SPARSE), np.zeros(k * k, np.int64)
+    h, o = hashes[rare], owner[rare]
+    for step in range(1, SPARSE):
+        same = np.flatnonzero(h[step:] == h[:-step])
+        total += np.bincount(o[same] * k + o[same + step], minlength=k * k)
+    total = total.reshape(k, k)
+    out = (total + total.T)[np.ix_(left, right)]
+    wide = freq > SPARSE
+    owner, column = owner[wide], np.unique(column[wide], return_inverse=True)[1]
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((k, COLUMNS), np.float32)
+        held[owner[i:j], column[i:j] - first] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
+
+
+def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that connect the sets of a pair of blocks as all their links between different roots do; equal blocks are one."""
+    right = (rows["block"] == rows["b2"]).to_numpy()
+    left = np.flatnonzero(~right) if not right.all() else np.arange(len(rows))
+    right = np.flatnonzero(right)
+    ids, roots, n = (rows[c].to_numpy() for c in ("set_id", "root", "n"))
+    common = overlaps([np.frombuffer(raw, np.uint64) for raw in rows["hashes"]], left, right)
+    near = (100 * common >= PERCENT * (n[left][:, None] + n[right][None, :] - common)) & (roots[left][:, None] != roots[right][None, :])
+    label, before = np.arange(len(rows)), None
+    while near.any() and (before is None or (label != before).any()):
+        before = label.copy()
+        label[left] = np.minimum(label[left], np.where(near, label[right][None, :], len(rows)).min(axis=1, initial=len(rows)))
+        label[right] = np.minimum(label[right], np.where(near, label[left][:, None], len(rows)).min(axis=0, initial=len(rows)))
+    moved = np.flatnonzero(label != np.arange(len(rows)))
+    return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+
+
+def wide(members: DataFrame, key: str, least: int) -> DataFrame:
+    """``members`` of regions (anchor) with at least so many different ``key``; of regions with the very same ones one is enough."""
+    mixed = [F.bit_xor(F.xxhash64(key)).alias("x"), F.bit_xor(F.xxhash64(key, F.lit(1))).alias("y")]
+    alike = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *mixed).where(F.col("c") >= least).groupBy("c", "x", "y")
+    return members.join(alike.agg(F.min("anchor").alias("anchor")).select("anchor"), "anchor")
+
+
+def blocks_of(cells: DataFrame) -> DataFrame:
+    """Blocks of sets of the same cell (set_id, root, n, pivot, ring, block): a large cell is cut by distance from its pivot, then evenly."""
+    many = lambda df, by: df.groupBy(by).agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    ring = F.when(F.col("parts") > 1, F.coalesce(F.floor(F.col("d") / RING), F.lit(-1))).otherwise(-1).alias("ring")  # -1: any distance
+    cut = cells.join(many(cells, ["pivot"]), "pivot").select("set_id", "root", "n", "pivot", ring)
+    block = F.xxhash64("pivot", "ring", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("block")
+    return cut.join(many(cut, ["pivot", "ring"]), ["pivot", "ring"]).select("set_id", "root", "n", "pivot", "ring", block)
+
+
+REACH = 1 - PERCENT / 100
+RING = REACH / 2
+
+
 def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all sets of a region within the distance of each other; ``members``: anchor, set_id, n."""
-    reach = 1 - PERCENT / 100
-
-    def wide(m: DataFrame) -> DataFrame:
-        """Regions of several members; of those with the very same members one is enough."""
-        members_ = [F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")]
-        alike = m.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), *members_).where("c > 1").groupBy("c", "x", "y")
-        return m.join(alike.agg(F.min("anchor").alias("anchor")).select("anchor"), "anchor")
-
-    open_, pivots_each = stored(wide(members)), 1
-    inside = lambda s: stored(s.join(open_.select("set_id").distinct(), "set_id", "left_semi"))  # noqa: E731  what later rounds compare
-    sets = inside(sets)
-    cells = stored(sketched(sets))
-    links = []
-    while open_.take(1):
-        rank = F.row_number().over(Window.partitionBy("anchor").orderBy("set_id"))
-        pivots = open_.withColumn("rank", rank).where(F.col("rank") <= pivots_each).select("anchor", F.col("set_id").alias("pivot"), F.col("n").alias("m"))
-        met = open_.join(pivots, "anchor").where("set_id <> pivot").withColumn("bound", 1 - F.least("n", "m") / F.greatest("n", "m"))
-        possible = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-        # a pair is compared once, whatever number of regions it shares
-        rough = stored(bounded(met.where(possible).select("set_id", "pivot").distinct(), cells))
-        exact = distances(rough.where("least = 0").select("set_id", "pivot"), sets)
-        far = rough.where("least > 0").select("set_id", "pivot", F.col("least").alias("d"), F.lit(False).alias("near"))
-        known = stored(exact.unionByName(far))
-        links.append(known.where("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")))
-        seen = met.join(known, ["set_id", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False))).withColumn("d", F.coalesce("d", "bound"))
-        is_pivot = pivots.select("anchor", F.col("pivot").alias("set_id"))
-        seen = seen.join(is_pivot, ["anchor", "set_id"], "left_anti")
-        home = seen.groupBy("anchor", "set_id", "n").agg(F.min(F.when(F.col("near"), F.struct("d", "pivot"))).alias("home"))
-        outside = seen.join(home.select("anchor", "set_id", "home"), ["anchor", "set_id"]).where("home is null or home.pivot <> pivot")
-        closest = outside.groupBy("anchor", "pivot").agg(F.min("d").alias("closest"))
-        placed = home.withColumn("pivot", F.col("home.pivot")).join(closest, ["anchor", "pivot"], "left")
-        # a member of a cell stays only if one outside it may be near by the triangle inequality
-        stays = placed.where(F.col("home").isNull() | (F.col("closest") <= F.col("home.d") + reach + 1e-9))
-        open_ = stored(wide(stays.select("anchor", "set_id", "n")))
-        sets, cells = inside(sets), inside(cells)
-        pivots_each *= 8
-    out = links[0] if links else members.where("false").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    open_ = stored(wide(members, "set_id", 2))
+    # the smallest set is the pivot, so that regions that overlap have mostly the same one
+    pivots = open_.groupBy("anchor").agg(F.min(F.struct(F.col("set_id").alias("pivot"), F.col("n").alias("m"))).alias("p")).select("anchor", "p.*")
+    met = stored(open_.join(pivots, "anchor").select("set_id", "n", "pivot", "m").distinct())
+    possible = met.where("set_id <> pivot").where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
+    known = stored(distances(possible.select("set_id", "pivot"), sets))
+    links = known.where("near").select(F.col("set_id").alias("a"), F.col("pivot").alias("b"))
+    # sets that the pivots connect need no more links between them: a region of one root is done
+    roots = components(links).select(F.col("node").alias("set_id"), "root")
+    rooted = open_.join(roots, "set_id", "left").select("anchor", "set_id", F.coalesce("root", "set_id").alias("root"))
+    several = rooted.groupBy("anchor").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("anchor")
+    rest = stored(rooted.join(several, "anchor", "left_semi"))
+    if not rest.take(1):
+        return links
+    home = F.min(F.struct("pivot", F.when(F.col("set_id") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))).alias("home")
+    cells = met.join(known, ["set_id", "pivot"], "left").join(rest.select("set_id", "root").distinct(), "set_id").groupBy("set_id", "root", "n").agg(home)
+    blocks = stored(blocks_of(cells.select("set_id", "root", "n", "home.*")))
+    meet = stored(wide(rest.join(blocks, "set_id").select("anchor", "block", "pivot", "ring").distinct(), "block", 1))
+    side = lambda k: meet.select("anchor", *[F.col(c).alias(f"{c[0]}{k}") for c in ("block", "pivot", "ring")])
+    # by the triangle inequality sets of rings further apart than the reach are not near
+    apart = (F.col("p1") == F.col("p2")) & (F.least("r1", "r2") >= 0) & ((F.abs(F.col("r1") - F.col("r2")) - 1) * RING > REACH + 1e-9)
+    pairs = side(1).join(side(2), "anchor").where("b1 <= b2").where(~apart).select("b1", "b2").distinct()
+    sides = pairs.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    held = blocks.select("set_id", "root", "n", "block").join(sets.select("set_id", "hashes"), "set_id")
+    more = sides.join(held, "block").groupBy("b1", "b2").applyInPandas(block_links, "a long, b long")
+    return links.unionByName(more)
 
 
 def grouped(docs: DataFrame, range_rows: int = 3_000_000) -> DataFrame:
