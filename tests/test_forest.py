@@ -79,3 +79,52 @@ def test_what_a_forest_cannot_use_is_refused(spark):
     for row in (([1.0, None], 0.0), ([1.0, float("nan")], 0.0), ([1.0, 2.0], None), (None, 1.0)):
         with pytest.raises(ValueError, match="a forest needs"):
             W.binned(spark.createDataFrame([([0.0, 1.0], 1.0), row], "x array<double>, label double"), "x", "label")
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_row_is_dealt_out_per_tree_and_no_tree_per_group(spark):
+    """Rows and trees are read where they are stored: copies of either would grow with the number of trees or groups."""
+    _, _, df = labelled(spark)
+    model = W.grow(W.binned(df, "x", "label"), 0, 3, 30)
+    assert "hashpartitioning(tree" not in planned(model.parts)
+    hits = planned(W.swapped_hits(model, I.partnered(df, "x", "label", 0, 2), 2, rows_per_group=90))
+    assert "hashpartitioning(g" not in hits and "CoGroup" not in hits
+
+
+@pytest.mark.parametrize("local", [60_000, 30])
+def test_forests_are_the_same_from_blocks_and_from_dealt_rows(spark, monkeypatch, local):
+    _, _, df = labelled(spark)
+    rows = I.partnered(df, "x", "label", 0, 2)
+    monkeypatch.setattr(W, "LOCAL_ROWS", local)
+
+    def grown():
+        model = W.grow(W.binned(df, "x", "label"), 2, 6, 30)
+        assert all((t.feature == -2).sum() > 1 for t in model.tops) == (local == 30)
+        return model.gains, trees_of(model), sorted(map(tuple, W.swapped_hits(model, rows, 2, rows_per_group=100).collect()))
+
+    gains, trees, hits = grown()
+    monkeypatch.setattr(W, "SHARED_BYTES", 0)
+    other = grown()
+    assert np.allclose(gains, other[0]) and hits == other[2]
+    bins = W.bins_of(labelled(spark)[0], W.binned(df, "x", "label").ends)
+    assert all(np.array_equal(a.votes[W._walked(a, bins)], b.votes[W._walked(b, bins)]) for a, b in zip(trees, other[1]))
+
+
+def test_permuting_bins_equals_permuting_vectors(spark):
+    _, _, df = labelled(spark, 300)
+    model = W.grow(W.binned(df, "x", "label"), 5, 8, 30)
+    acc = {(r["feature"], r["repeat"]): r["hits"] / r["n"] for r in W.swapped_hits(model, I.partnered(df, "x", "label", 5, 2), 2).collect()}
+    got = {r["feature"]: r["drop"] for r in I.permutation_importance(df, "x", "label", seed=5, repeats=2, trees=8).collect()}
+    assert got == pytest.approx({j: acc[-1, 0] - (acc[j, 0] + acc[j, 1]) / 2 for j in range(5)})
+
+
+def test_trees_that_end_above_their_parts_are_counted(spark, monkeypatch):
+    x, _, _ = labelled(spark, 200)
+    df = spark.createDataFrame([(v.tolist(), 0.0) for v in x], "x array<double>, label double")
+    monkeypatch.setattr(W, "LOCAL_ROWS", 20)
+    model = W.grow(W.binned(df, "x", "label"), 0, 4, 30)
+    assert model.parts.count() == 0
+    assert {(r["hits"], r["n"]) for r in W.swapped_hits(model, I.partnered(df, "x", "label", 0, 2), 2).collect()} == {(200, 200)}

@@ -1,8 +1,10 @@
 """Classification forests whose trees grow over all rows, the lower parts of every tree side by side in tasks.
 
 Values are cut into at most ``BINS`` bins at quantiles. A node with more than ``LOCAL_ROWS`` rows is split from counts
-per bin that all tasks add up; once a node is smaller, its rows meet in one task, which grows everything below
-it. So no task sends counts for nodes it holds no rows of, and neither rows nor whole trees pass through the
+per bin that all tasks add up; once a node is smaller, one task grows everything below it. As long as the bins of all
+rows fit ``SHARED_BYTES``, every task reads them where they are stored, from nodes four times as large, and nothing is dealt out; beyond that
+the rows of a node are shuffled to its task.
+So no task sends counts for nodes it holds no rows of, and neither rows nor whole trees pass through the
 driver, only the nodes above ``LOCAL_ROWS`` rows and one number per tree and feature. Bootstrap weights and the features tried at a node
 come from hashes, so a forest does not depend on how the rows are dealt out.
 """
@@ -10,27 +12,31 @@ come from hashes, so a forest does not depend on how the rows are dealt out.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepanel.operators.passes import hashed, numbered, stack
+from tidepanel.operators.passes import hashed, numbered, stack, task_count
 from tidepanel.session import kept
 
 BINS, LOCAL_ROWS, LEAST = 32, 60_000, 3  # bins of a feature, rows a task grows from, rows of a leaf
-CELLS, TREES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 16, 1_024
+CELLS, TREES_AT_ONCE, ROWS_AT_ONCE = 200_000, 16, 1_024
+SHARED_BYTES, BUNDLE_BYTES, VOTES = 64_000_000, 4_000_000, 8_000_000  # bins every task may read whole, trees that are stored as one row, votes a task holds while it walks
+STORED = "tree array<int>, node array<int>, feature array<binary>, cut array<binary>, many array<binary>, kind array<binary>, share array<binary>, gains array<double>"
 POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
 @dataclass
 class Binned:
-    """Rows ``(idx, bins, label)``, one byte per feature, and the upper ends of the bins."""
+    """Rows ``(idx, bins, label, _o0, …)``, one byte per feature, as ``blocks`` of many rows where all fit ``SHARED_BYTES``, and the upper ends of the bins."""
 
     rows: DataFrame
+    blocks: DataFrame | None  # idx, bins, label
     ends: list[np.ndarray]
     n: int
     classes: int
@@ -38,14 +44,26 @@ class Binned:
 
 @dataclass
 class Forest:
-    """Per tree the nodes above ``LOCAL_ROWS`` rows (``tops``), the parts below them as a table, and the weighted gains of all features."""
+    """Per tree the nodes above ``LOCAL_ROWS`` rows (``tops``), the parts below them as a table (``STORED``, all of a tree in one partition), and the weighted gains of all features."""
 
-    parts: DataFrame  # tree, node, feature, cut, child, votes
+    stored: DataFrame
     tops: list[Part]
     ends: list[np.ndarray]
     classes: int
     gains: np.ndarray  # (trees, features)
 
+    @property
+    def parts(self) -> DataFrame:
+        """A row per part: tree, node, feature, cut, child, votes."""
+        classes = self.classes
+
+        def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(tree, node, *(v.tobytes() for v in (p.feature, p.cut, p.child, p.votes))) for tree, node, p in _unpacked(batch, classes)]
+                yield pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "child", "votes"])
+
+        return self.stored.mapInPandas(unpack, "tree int, node int, feature binary, cut binary, child binary, votes binary")
+
     def importances(self) -> np.ndarray:
         """Weighted gains, every tree's made to add up to one."""
         total = self.gains.sum(axis=1, keepdims=True)
@@ -63,12 +81,40 @@ class Part:
     votes: np.ndarray
 
 
+def _packed(parts: list[tuple[int, int, Part, np.ndarray]]) -> pd.DataFrame:
+    """Parts as one stored row: features and cuts, and for the leaves only the classes seen there with their shares; children follow from the order of the nodes."""
+    out: dict[str, list] = {c: [] for c in ("tree", "node", "feature", "cut", "many", "kind", "share", "gains")}
+    for tree, node, p, gains in parts:
+        votes = p.votes[p.feature < 0]
+        leaf, kind = np.nonzero(votes)
+        small = np.min_scalar_type(votes.shape[1])
+        out["tree"].append(tree)
+        out["node"].append(node)
+        for c, v in (("feature", p.feature), ("cut", p.cut), ("many", np.count_nonzero(votes, axis=1).astype(small)), ("kind", kind.astype(small)), ("share", votes[leaf, kind])):
+            out[c].append(v.tobytes())
+        out["gains"] += gains.tolist()
+    return pd.DataFrame({c: [v] for c, v in out.items()})
+
+
+def _unpacked(stored: pd.DataFrame, classes: int) -> Iterator[tuple[int, int, Part]]:
+    """Tree, node and part of everything in stored rows."""
+    small = np.min_scalar_type(classes)
+    for row in zip(*(stored[c] for c in ("tree", "node", "feature", "cut", "many", "kind", "share"))):
+        for tree, node, feature, cut, many, kind, share in zip(*row):
+            feature = np.frombuffer(feature, np.int16)
+            split = feature >= 0
+            votes = np.zeros((len(feature), classes), np.float32)
+            votes[np.repeat(np.flatnonzero(~split), np.frombuffer(many, small)), np.frombuffer(kind, small)] = np.frombuffer(share, np.float32)
+            yield int(tree), int(node), Part(feature, np.frombuffer(cut, np.uint8), np.where(split, 2 * np.cumsum(split) - 1, -1).astype(np.int32), votes)
+
+
 def bins_of(x: np.ndarray, ends: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(ends)], axis=1).astype(np.uint8)
 
 
-def binned(df: DataFrame, vector: str, label: str) -> Binned:
-    """Bins of all values; every ends is a value that occurs. Labels are 0, 1, …"""
+def binned(df: DataFrame, vector: str, label: str, orders: Sequence[Column] = ()) -> Binned:
+    """Bins of all values; every ends is a value that occurs. Labels are 0, 1, … Rows carry the numbers ``orders`` makes of them."""
+    own = [f"_o{i}" for i in range(len(orders))]
     rows = df.select(F.col(vector).alias("x"), F.col(label).cast("double").alias("label"))
     odd = F.col("x").isNull() | F.col("label").isNull() | (F.col("label") < 0) | F.exists("x", lambda v: v.isNull() | F.isnan(v))
     n, top, least, most, wrong = rows.agg(F.count(F.lit(1)), F.max("label"), F.min(F.size("x")), F.max(F.size("x")), F.count_if(odd)).first()
@@ -84,10 +130,18 @@ def binned(df: DataFrame, vector: str, label: str) -> Binned:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"idx": batch["idx"], "bins": [row.tobytes() for row in bins_of(stack(batch["x"]), ends)], "label": batch["label"].astype(int)})
+            yield batch[["h", *own]].assign(bins=[row.tobytes() for row in bins_of(stack(batch["x"]), ends)], label=batch["label"].astype(int))
 
-    order = numbered(rows, F.xxhash64("x", "label"), "x", "label")
-    return Binned(order.mapInPandas(cut, "idx long, bins binary, label int").persist(), ends, n, int(top) + 1)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"idx": [batch["idx"].to_numpy().tobytes()], "bins": [b"".join(batch["bins"])], "label": [batch["label"].to_numpy().tobytes()]})
+
+    hashes = F.xxhash64("x", "label").alias("h"), *[o.alias(c) for o, c in zip(orders, own)]
+    small = rows.select("x", "label", *hashes).mapInPandas(cut, "h long, bins binary, label int" + "".join(f", {c} long" for c in own))
+    order = numbered(small, "h", "bins", "label").select("idx", "bins", "label", *own).persist()
+    fits = n * most <= SHARED_BYTES
+    blocks = kept(order.select("idx", "bins", "label").coalesce(task_count(order, n)).mapInPandas(pack, "idx binary, bins binary, label binary")) if fits else None
+    return Binned(order, blocks, ends, n, int(top) + 1)
 
 
 def _weights(idx: np.ndarray, seed: int, tree: int) -> np.ndarray:
@@ -120,20 +174,23 @@ def _counts(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, at: np.ndar
 
 
 def _splits(counts: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best feature (-1: none), last bin that goes left, and gain times weight of every node."""
+    """Best feature (-1: none), last bin that goes left, and gain times weight of every node. Weights are whole numbers, so sums are exact in any order."""
+    nodes, most, _, classes = counts.shape
     left = counts.cumsum(axis=2)
-    total = left[:, :1, -1:, :]
-    left = left[:, :, :-1]
-    right = total - left
-    n_left, n_right, n = left.sum(axis=3), right.sum(axis=3), total.sum(axis=3)
+    total, ones = left[:, 0, -1].copy(), np.ones(classes)
+    left = left.reshape(nodes, most * BINS, classes)
+    n_left, both = left @ ones, (left @ total[:, :, None])[:, :, 0]
+    square = np.multiply(left, left, out=left) @ ones
+    n, whole = total @ ones, (total * total) @ ones
+    n_right = n[:, None] - n_left
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (left**2).sum(axis=3) / n_left + (right**2).sum(axis=3) / n_right - (total**2).sum(axis=3) / n
-    gain = np.where((n_left >= LEAST) & (n_right >= LEAST), gain, -1.0).reshape(len(counts), -1)
+        gain = square / n_left + (whole[:, None] - 2 * both + square) / n_right - (whole / n)[:, None]
+    gain = np.where((n_left >= LEAST) & (n_right >= LEAST), gain, -1.0)
     best = gain.argmax(axis=1)
-    value = gain[np.arange(len(gain)), best]
-    good = value > 1e-9 * n[:, 0, 0]
-    j, cut = np.divmod(best, BINS - 1)
-    return np.where(good, tried[np.arange(len(tried)), j], -1), cut, np.where(good, value, 0.0)
+    value = gain[np.arange(nodes), best]
+    good = value > 1e-9 * n
+    j, cut = np.divmod(best, BINS)
+    return np.where(good, tried[np.arange(nodes), j], -1), cut, np.where(good, value, 0.0)
 
 
 def _shares(at: np.ndarray, label: np.ndarray, weight: np.ndarray, nodes: int, classes: int) -> np.ndarray:
@@ -211,9 +268,14 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), width)
 
 
+def _local_rows(data: Binned) -> int:
+    """Rows a task grows from: more where it reads all of them anyway."""
+    return LOCAL_ROWS if data.blocks is None else 4 * LOCAL_ROWS
+
+
 def _split_tops(data: Binned, tops: list[_Top], gains: np.ndarray, seed: int, depth: int) -> int:
-    """Split all nodes above ``LOCAL_ROWS`` rows, one level of all trees a pass; returns the levels that were split."""
-    width, classes, level = len(data.ends), data.classes, 0
+    """Split all nodes too large for a task, one level of all trees a pass; returns the levels that were split."""
+    width, classes, level, local = len(data.ends), data.classes, 0, _local_rows(data)
     while level < depth and any(t.open for t in tops):
         todo = [(i, t.part(classes), np.array(t.open), np.array([t.names[k] for k in t.open], np.int64)) for i, t in enumerate(tops) if t.open]
 
@@ -253,7 +315,7 @@ def _split_tops(data: Binned, tops: list[_Top], gains: np.ndarray, seed: int, de
             t.feature[place], t.cut[place], t.child[place] = row["f"], row["c"], len(t.feature)
             left = np.array(row["left"])
             for name, side in zip(_children(np.array([t.names[place]], np.int64))[0], (left, np.array(row["whole"]) - left)):
-                if side.sum() > LOCAL_ROWS:
+                if side.sum() > local:
                     t.open.append(len(t.feature))
                 t.feature.append(-2)
                 t.cut.append(0)
@@ -268,17 +330,58 @@ def grow(data: Binned, seed: int, trees: int, depth: int) -> Forest:
     """Trees over bootstrap weights, square root of the features tried at a node, Gini impurity, at least ``LEAST`` rows a leaf."""
     width, classes = len(data.ends), data.classes
     gains = np.zeros((trees, width))
-    tops = [_Top([-2], [0], [-1], [1], [np.zeros(classes)], [0] if data.n > LOCAL_ROWS else []) for _ in range(trees)]
+    tops = [_Top([-2], [0], [-1], [1], [np.zeros(classes)], [0] if data.n > _local_rows(data) else []) for _ in range(trees)]
     _split_tops(data, tops, gains, seed, depth)
     parts = [t.part(classes) for t in tops]
-    names = [t.names for t in tops]
-    levels = [_levels(p) for p in parts]
+    grown = _from_blocks if data.blocks is not None else _from_dealt
+    stored = kept(grown(data, parts, [t.names for t in tops], seed, depth))
+    own = F.get("tree", F.floor(F.col("at") / width).cast("int")).alias("tree")
+    sums = stored.select("tree", F.posexplode("gains").alias("at", "g")).groupBy(own, (F.col("at") % width).alias("j")).agg(F.sum("g").alias("g"))
+    for row in sums.collect():
+        gains[row["tree"], row["j"]] += row["g"]
+    return Forest(stored, parts, data.ends, classes, gains)
+
+
+def _from_blocks(data: Binned, tops: list[Part], names: list[list[int]], seed: int, depth: int) -> DataFrame:
+    """Everything below the tops, some trees a task; every task reads the bins of all rows."""
+    width, classes, trees, levels = len(data.ends), data.classes, len(tops), [_levels(p) for p in tops]
+    spark = data.rows.sparkSession
+    tasks = min(trees, 4 * spark.sparkContext.defaultParallelism)
+
+    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held = None, []
+        for batch in batches:
+            task = int(batch["task"].iloc[0]) if len(batch) else task
+            held += zip(batch["idx"], batch["bins"], batch["label"])
+        if task is None:
+            return
+        idx, bins, label = (np.frombuffer(b"".join(column), kind) for column, kind in zip(zip(*held), (np.int64, np.uint8, np.int32)))
+        held.clear()
+        bins, label, out = bins.reshape(-1, width), label.astype(np.int64), []
+        for tree in range(task, trees, tasks):
+            weight, at = _weights(idx, seed, tree), _walked(tops[tree], bins)
+            for node in np.unique(at[(tops[tree].feature[at] == -2) & (weight > 0)]):
+                use = (at == node) & (weight > 0)
+                out.append((tree, int(node), *_grown(bins[use], label[use], weight[use].astype(float), names[tree][node], seed, tree, depth - int(levels[tree][node]), classes)))
+            if sum(p.feature.nbytes + p.votes.nbytes for _, _, p, _ in out) > BUNDLE_BYTES:
+                yield _packed(out)
+                out = []
+        if out:
+            yield _packed(out)
+
+    each = spark.range(0, tasks, 1, tasks).withColumnRenamed("id", "task").hint("shuffle_replicate_nl")
+    return each.crossJoin(data.blocks.coalesce(1)).mapInPandas(lower, STORED)
+
+
+def _from_dealt(data: Binned, tops: list[Part], names: list[list[int]], seed: int, depth: int) -> DataFrame:
+    """Everything below the tops, a node a task; the rows of a node meet there."""
+    width, classes, levels = len(data.ends), data.classes, [_levels(p) for p in tops]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bins, label, idx = _matrix(batch["bins"], width), batch["label"].to_numpy(), batch["idx"].to_numpy()
             out = []
-            for tree, part in enumerate(parts):
+            for tree, part in enumerate(tops):
                 weight, at = _weights(idx, seed, tree), _walked(part, bins)
                 for node in np.unique(at[part.feature[at] == -2]):
                     use = (at == node) & (weight > 0)
@@ -295,14 +398,12 @@ def grow(data: Binned, seed: int, trees: int, depth: int) -> Forest:
         joined = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
         p, g = _grown(joined("bins", np.uint8).reshape(-1, width), joined("label", np.int32).astype(np.int64), joined("weight", np.uint8).astype(float),
                       names[tree][node], seed, tree, depth - int(levels[tree][node]), classes)
-        return pd.DataFrame({"tree": [tree], "node": [node], "feature": [p.feature.tobytes()], "cut": [p.cut.tobytes()], "child": [p.child.tobytes()], "votes": [p.votes.tobytes()], "gains": [g]})
+        return _packed([(tree, node, p, g)])
 
     dealt = data.rows.mapInPandas(deal, "tree int, node int, bins binary, label binary, weight binary")
-    grown = kept(dealt.groupBy("tree", "node").applyInPandas(lower, "tree int, node int, feature binary, cut binary, child binary, votes binary, gains array<double>"))
-    sums = grown.select("tree", F.posexplode("gains").alias("j", "g")).groupBy("tree", "j").agg(F.sum("g").alias("g"))
-    for row in sums.collect():
-        gains[row["tree"], row["j"]] += row["g"]
-    return Forest(grown.drop("gains"), parts, data.ends, classes, gains)
+    grown = dealt.groupBy("tree", "node").applyInPandas(lower, STORED)
+    first = F.get("tree", F.lit(0))
+    return grown.repartition(first).sortWithinPartitions(first) if any(len(t.feature) > 1 for t in tops) else grown
 
 
 def _levels(part: Part) -> np.ndarray:
@@ -332,78 +433,114 @@ def _whole(top: Part, lower: dict[int, Part]) -> Part:
 
 
 def _swapped_votes(tree: Part, bins: np.ndarray, other: np.ndarray, base: np.ndarray, delta: np.ndarray) -> None:
-    """Add a tree's votes for every row to ``base``, and to ``delta`` (rows, features, repeats) what changes when one feature is taken from the partner.
+    """Add a tree's votes for every row to ``base``, and to ``delta`` (rows, features, repeats) what changes when one feature is taken from the partner in ``other``, of the same shape.
 
     Every row walks down once; where a partner's value would turn off for the first time, a walker of that feature and repeat leaves for the other child.
     """
-    n, width = bins.shape
-    repeats = other.shape[1]
-    left_off = np.zeros((n, width, repeats), bool)
-    at, live = np.zeros(n, np.int64), np.arange(n)
+    n, width, repeats = other.shape
+    inner, feature, cut, child = tree.feature >= 0, tree.feature.astype(np.int64), tree.cut, tree.child.astype(np.int64)
+    mine, others = bins.reshape(-1), other.reshape(-1, repeats)
+    left_off = np.zeros((n * width, repeats), bool)
+    at, live = np.zeros(n, np.int64), np.arange(n if inner[0] else 0)
     walkers = []
-    live = live[tree.feature[at] >= 0]
     while len(live):
-        here = at[live]
-        f, c, child = tree.feature[here], tree.cut[here], tree.child[here]
-        side = bins[live, f] > c
-        turned = ((other[live, :, f] > c[:, None]) != side[:, None]) & ~left_off[live, f]
-        k, r = np.nonzero(turned)
+        here = at.take(live)
+        cell, c, first = live * width + feature.take(here), cut.take(here), child.take(here)
+        side = mine.take(cell) > c
+        turned = (others.take(cell, axis=0) > c[:, None]) != side[:, None]
+        turned &= ~left_off.take(cell, axis=0)
+        k, r = np.divmod(np.flatnonzero(turned), repeats)
         if len(k):
-            left_off[live[k], f[k], r] = True
-            walkers.append((live[k], f[k].astype(np.int64), r, child[k] + ~side[k]))
-        at[live] = child + side
-        live = live[tree.feature[at[live]] >= 0]
-    own = tree.votes[at]
+            left_off[cell[k], r] = True
+            walkers.append((cell[k] * repeats + r, first[k] + ~side[k]))
+        first += side
+        at[live] = first
+        live = live[inner.take(first)]
+    own = tree.votes.take(at, axis=0)
     base += own
     if walkers:
-        row, j, r, place = (np.concatenate(v) for v in zip(*walkers))
-        place = place.astype(np.int64)
-        go = np.flatnonzero(tree.feature[place] >= 0)
+        key, place = (np.concatenate(v) for v in zip(*walkers))  # of row, feature and repeat
+        row, j = np.divmod(key // repeats, width)
+        begin, swap = row * width, others.reshape(-1).take(key)
+        go = np.flatnonzero(inner.take(place))
         while len(go):
-            here = place[go]
-            f = tree.feature[here]
-            value = np.where(f == j[go], other[row[go], r[go], f], bins[row[go], f])
-            place[go] = tree.child[here] + (value > tree.cut[here])
-            go = go[tree.feature[place[go]] >= 0]
-        delta[row, j, r] += tree.votes[place] - own[row]
+            here = place.take(go)
+            f = feature.take(here)
+            value = np.where(f == j.take(go), swap.take(go), mine.take(begin.take(go) + f))
+            after = child.take(here) + (value > cut.take(here))
+            place[go] = after
+            go = go[inner.take(after)]
+        delta.reshape(-1, delta.shape[-1])[key] += tree.votes.take(place, axis=0) - own.take(row, axis=0)
 
 
-def swapped_hits(model: Forest, rows: DataFrame, repeats: int, rows_per_group: int = 4_096) -> DataFrame:
+def swapped_hits(model: Forest, rows: DataFrame, repeats: int, rows_per_group: int = 4_096, n: int | None = None) -> DataFrame:
     """``(feature, repeat, hits, n)``: rows ``(x, partners, label)`` that are still named rightly when one feature is a partner's; feature -1 is the row as it is.
 
-    Rows fall into groups by hash; a group meets the trees' parts in one task.
+    ``x`` and ``partners`` are vectors or their bins. A group of rows is one block in one task, and all trees are read past it, one
+    after the other, from where they are stored; votes are sums of shares, exact in any order. ``n`` is the number of rows, if known.
     """
     ends, classes, tops, width = model.ends, model.classes, model.tops, len(model.ends)
+    cells = width * repeats * classes
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = bins_of(stack(batch["x"]), ends)
             partners = np.stack([bins_of(stack(batch["partners"].map(lambda p: p[r])), ends) for r in range(repeats)], axis=1)
-            yield pd.DataFrame({"g": batch["g"], "bins": [b.tobytes() for b in own], "other": [b.tobytes() for b in partners], "label": batch["label"].astype(int)})
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"feature": [], "repeat": [], "hits": [], "n": []})
-        lower: dict[int, dict[int, Part]] = {}
-        for tree, node, f, c, child, votes in zip(*(right[c] for c in ("tree", "node", "feature", "cut", "child", "votes"))):
-            lower.setdefault(tree, {})[node] = Part(np.frombuffer(f, np.int16), np.frombuffer(c, np.uint8), np.frombuffer(child, np.int32), np.frombuffer(votes, np.float32).reshape(-1, classes))
-        hits, sure = np.zeros((width, repeats)), 0
-        whole = [_whole(top, lower.get(tree, {})) for tree, top in enumerate(tops)]
-        for i in range(0, len(left), ROWS_AT_ONCE):
-            some = left.iloc[i : i + ROWS_AT_ONCE]
-            bins, other = _matrix(some["bins"], width), _matrix(some["other"], width * repeats).reshape(len(some), repeats, width)
-            base, delta, label = np.zeros((len(some), classes)), np.zeros((len(some), width, repeats, classes)), some["label"].to_numpy()
-            for tree in whole:
-                _swapped_votes(tree, bins, other, base, delta)
-            sure += int((base.argmax(axis=1) == label).sum())
-            hits += ((base[:, None, None] + delta).argmax(axis=3) == label[:, None, None]).sum(axis=0)
+            yield pd.DataFrame({"x": [b.tobytes() for b in own], "partners": [[b.tobytes() for b in some] for some in partners], "label": batch["label"].astype(int)})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, other, label = [], [], []
+        for batch in batches:
+            own += batch["x"].tolist()
+            other += (b for some in batch["partners"] for b in some)
+            label.append(batch["label"].to_numpy(np.int32))
+        if own:
+            yield pd.DataFrame({"bins": [b"".join(own)], "other": [b"".join(other)], "label": [np.concatenate(label).tobytes()]})
+
+    open_nodes = [int((t.feature == -2).sum()) for t in tops]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins = None
+        waiting: dict[int, dict[int, Part]] = {}
+        left = set(range(len(tops)))
+
+        def walk(tree: int) -> None:
+            whole = _whole(tops[tree], waiting.pop(tree, {}))
+            left.remove(tree)
+            for i in range(0, len(bins), ROWS_AT_ONCE):
+                some = slice(i, i + ROWS_AT_ONCE)
+                _swapped_votes(whole, bins[some], other[some], base[some], delta[some])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            if bins is None:
+                label = np.frombuffer(batch["label"].iloc[0], np.int32)
+                bins = np.frombuffer(batch["bins"].iloc[0], np.uint8).reshape(len(label), width)
+                other = np.frombuffer(batch["other"].iloc[0], np.uint8).reshape(len(label), repeats, width).transpose(0, 2, 1).copy()
+                base, delta = np.zeros((len(label), classes)), np.zeros((len(label), width, repeats, classes))
+            for tree, node, part in _unpacked(batch, classes):
+                waiting.setdefault(tree, {})[node] = part
+                if len(waiting[tree]) == open_nodes[tree]:
+                    walk(tree)
+        if bins is None:
+            return
+        for tree in sorted(left):  # ended above ``LOCAL_ROWS`` rows, or no row of the bootstrap came to a part
+            walk(tree)
+        hits = np.zeros((width, repeats))
+        for i in range(0, len(bins), ROWS_AT_ONCE):
+            some = slice(i, i + ROWS_AT_ONCE)
+            hits += ((base[some, None, None] + delta[some]).argmax(axis=3) == label[some, None, None]).sum(axis=0)
         j, r = np.indices(hits.shape)
         out = pd.DataFrame({"feature": j.ravel(), "repeat": r.ravel(), "hits": hits.ravel().astype(int)})
-        return pd.concat([pd.DataFrame({"feature": [-1], "repeat": [0], "hits": [sure]}), out]).assign(n=len(left))
-
-    held = kept(rows)
-    groups = max(1, min(held.sparkSession.sparkContext.defaultParallelism * 2, held.count() // 64), -(-held.count() // rows_per_group))
-    mine = held.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")).mapInPandas(cut, "g int, bins binary, other binary, label int")
-    trees = model.parts.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = mine.groupBy("g").cogroup(trees.groupBy("g")).applyInPandas(meet, "feature long, repeat int, hits long, n long")
+        yield pd.concat([pd.DataFrame({"feature": [-1], "repeat": [0], "hits": [int((base.argmax(axis=1) == label).sum())]}), out]).assign(n=len(label))
+
+    if not isinstance(rows.schema["x"].dataType, T.BinaryType):
+        rows = rows.mapInPandas(cut, "x binary, partners array<binary>, label int")
+    n = rows.count() if n is None else n
+    groups = max(1, min(rows.sparkSession.sparkContext.defaultParallelism * 2, n // 64), -(-n // min(rows_per_group, max(64, VOTES // cells))))
+    blocks = kept(rows.repartition(groups).mapInPandas(pack, "bins binary, other binary, label binary"))
+    trees = model.stored.drop("gains")
+    none = trees.sparkSession.range(1).select(*[F.array().cast(c.dataType).alias(c.name) for c in trees.schema])  # a block meets one row at least
+    met = trees.unionByName(none).coalesce(1).hint("shuffle_replicate_nl").crossJoin(blocks).mapInPandas(meet, "feature long, repeat int, hits long, n long")
     return met.groupBy("feature", "repeat").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
